@@ -86,7 +86,9 @@ def wall_time(x: Column, instant: bool, zone: str | None) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone or "UTC"), from_us(F.unix_micros(x)))
 
 
-def shift(x: Column, us: int) -> Column:
+def shift(x: Column, us: int, instant: bool = False) -> Column:
+    if instant or _session_is_utc():
+        return from_us(to_us(x, instant) + F.lit(us), instant)
     return F.timestamp_add("MICROSECOND", F.lit(us), x)
 
 
