@@ -122,11 +122,11 @@ def zoned_bucket(x: Column, zone: str, truncate) -> Column:
 
 # -- parsing --------------------------------------------------------------------------
 
+# Groups: 1 the date and time, 5 the offset, 6 its sign, 7 its hours, 8 its minutes.
 _ISO_TEXT = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?)?"
+    r"^([0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?)?)"
+    r"\s*([Zz]|([+-])([0-9]{2})(?::?([0-9]{2}))?)?$"
 )
-_OFFSET = r"\s*([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)$"
 
 
 def iso_text_to_us(text: Column, zone: str | None = None) -> Column:
@@ -135,16 +135,19 @@ def iso_text_to_us(text: Column, zone: str | None = None) -> Column:
     Text without an offset is UTC wall time, or wall time in *zone* when one is given.
     """
     text = F.trim(text)
-    stamp = F.regexp_replace(F.regexp_replace(text, _OFFSET, ""), ",", ".")
-    wall = F.when(text.rlike(_ISO_TEXT + "$") | text.rlike(_ISO_TEXT + _OFFSET), stamp.try_cast("timestamp_ntz"))
-    tail = F.regexp_extract(text, r"[0-9][T ][0-9]{2}:[0-9]{2}.*?" + _OFFSET, 1)
-    hours = F.regexp_extract(tail, r"^[+-]([0-9]{2})", 1).try_cast("int")
-    minutes = F.coalesce(F.regexp_extract(tail, r"^[+-][0-9]{2}:?([0-9]{2})$", 1).try_cast("int"), F.lit(0))
-    away = F.coalesce((hours * 60 + minutes).cast("bigint"), F.lit(0)) * 60_000_000
-    utc = to_us(wall) - F.when(tail.startswith("-"), -away).otherwise(away)
+
+    def group(number: int) -> Column:
+        return F.regexp_extract(text, _ISO_TEXT, number)
+
+    # More than six fraction digits are cut off.
+    stamp = F.regexp_replace(F.replace(group(1), F.lit(","), F.lit(".")), r"(\.[0-9]{6})[0-9]+$", "$1")
+    wall = stamp.try_cast("timestamp_ntz")
+    minutes = F.coalesce(group(7).try_cast("int") * 60 + F.coalesce(group(8).try_cast("int"), F.lit(0)), F.lit(0))
+    away = minutes.cast("bigint") * 60_000_000
+    utc = to_us(wall) - F.when(group(6) == "-", -away).otherwise(away)
     if zone:
         local = to_us(F.convert_timezone(F.lit(zone), F.lit("UTC"), wall))
-        utc = F.when(tail == "", local).otherwise(utc)
+        utc = F.when(group(5) == "", local).otherwise(utc)
     return F.coalesce(utc, F.round(text.try_cast("double") * 1e6).cast("bigint"))
 
 
