@@ -26,8 +26,7 @@ def _profile(spark, folder):
 def _dialects(spark, folder):
     """The dialect of every document, taken as one CSV file each."""
     docs = table(spark, folder, "documents")
-    found = C.dialect(C.head_lines(F.col("text")))
-    return docs.select("doc_id", found.alias("d")).select("doc_id", "d.separator", "d.decimal_comma")
+    return C.with_dialect(docs, C.head_lines(F.col("text"))).select("doc_id", "separator", "decimal_comma")
 
 
 DIALECT_SQL = r"""
@@ -69,7 +68,7 @@ def _typed(spark, folder):
 
 
 def _infer(spark, folder):
-    counts = C.type_counts(_cells(spark, folder), COLUMNS, (), F.col("pos") < C.INFER_ROWS, decimal_comma=True)
+    counts = C.cell_classes(_cells(spark, folder), COLUMNS, (), F.col("pos") < C.INFER_ROWS, decimal_comma=True)
     return C.infer_types(counts, COLUMNS).select("column", "type", "rows")
 
 
@@ -86,7 +85,7 @@ def _late(spark, folder):
         F.col("l_tax").cast("string").alias("v"),
     )
     columns = ["n", "t", "d", "flag", "v"]
-    counts = C.type_counts(cells, columns, ["l_linestatus"], F.col("pos") < 4000)
+    counts = C.cell_classes(cells, columns, ["l_linestatus"], F.col("pos") < 4000)
     return C.infer_types(counts, columns, ["l_linestatus"])
 
 

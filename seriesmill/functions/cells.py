@@ -6,24 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _plain(value: Column, scale: int) -> Column:
-    digits = F.regexp_replace(value.cast(f"decimal(38,{scale})").cast("string"), "0+$", "")
-    return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-
-
 def float_text(value: Column) -> Column:
     """The shortest text that reads back as the same double, plain from 1e-5 up to 1e16."""
-    text = value.cast("string")
-    size = F.abs(value)
-    power = F.lower(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E\+", "E"))
-    return (
-        F.when(value.isNull() | (value == 0) | ((size >= 1e-3) & (size < 1e7)), text)
-        .when(F.isnan(value), "NaN")
-        .when(size == F.lit(float("inf")), F.when(value > 0, "inf").otherwise("-inf"))
-        .when((size >= 1e7) & (size < 1e16), _plain(value, 12))
-        .when((size >= 1e-5) & (size < 1e-3), _plain(value, 24))
-        .otherwise(power)
-    )
+    text, size = value.cast("string"), F.abs(value)
+    usual = value.isNull() | (value == 0) | ((size >= 1e-3) & (size < 1e7))
+    # Spark writes the rest with a power of ten: spell it out, or shorten it to 1e20.
+    digits = F.rtrim(value.cast("decimal(38,24)").cast("string"), F.lit("0"))
+    large = F.rtrim(value.cast("decimal(38,12)").cast("string"), F.lit("0"))
+    spelled = F.when(size < 1, digits).otherwise(large)
+    spelled = F.when(spelled.endswith("."), F.concat(spelled, F.lit("0"))).otherwise(spelled)
+    power = F.lower(F.replace(text, F.lit(".0E"), F.lit("E")))
+    odd = F.when(F.isnan(value), "NaN").when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+    plain = (size >= 1e-5) & (size < 1e16)
+    return F.when(usual, text).otherwise(F.coalesce(odd, F.when(plain, spelled).otherwise(power)))
 
 
 def fixed_text(value: Column, digits: int) -> Column:

@@ -18,13 +18,12 @@ SNIFF_LINES = 50
 SNIFF_BYTES = 64 * 1024
 INTEGER = r"^[+-]?[0-9]+$"
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|NaN)$"
-BOOLEAN = r"^(true|false)$"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 DATETIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?$"
 COMMA_FLOAT = r"^[+-]?[0-9]+,[0-9]+$"
 POINT_FLOAT = r"^[+-]?[0-9]*\.[0-9]+$"
-#: Candidate types, narrowest first.
-TYPES = ("integer", "float", "boolean", "date", "datetime")
+#: One bit per class of cells.
+CLASSES = {"integer": 1, "float": 2, "boolean": 4, "date": 8, "datetime": 16, "text": 32}
 
 
 # -- dialect ------------------------------------------------------------------------------
@@ -62,37 +61,43 @@ def read_heads(spark: SparkSession, files: DataFrame) -> DataFrame:
     return files.select("path").repartition(count, "path").mapInPandas(heads, "path string, head binary")
 
 
-def unquoted_count(line: Column, separator: str) -> Column:
-    """How often *separator* occurs outside double quotes."""
-    bare = F.regexp_replace(line, '"[^"]*"?', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit("")))
-
-
-def dialect(lines: Column, tab_file: Column | None = None) -> Column:
-    """``struct(separator, decimal_comma)`` from an array of the first non-blank lines.
+def with_dialect(df: DataFrame, lines: Column, tab_file: Column | None = None) -> DataFrame:
+    """Add ``separator`` and ``decimal_comma``, found from an array of the first non-blank lines.
 
     The separator found equally often on every line wins, then the one that makes most columns.
+    Each step is a column of its own, so that nothing is computed again for every line.
     """
+    bare = F.transform(lines, lambda line: F.regexp_replace(line, '"[^"]*"?', ""))
+    df = df.withColumn("_lines", lines).withColumn("_bare", bare)
+    df = df.withColumns({f"_c{i}": _counts(F.col("_bare"), separator) for i, separator in enumerate(SEPARATORS)})
     scores = []
-    for rank, separator in enumerate(SEPARATORS):
-        counts = F.transform(lines, lambda line, sep=separator: unquoted_count(line, sep))
-        first = F.get(counts, F.lit(0))
-        same = F.forall(counts, lambda c: c == F.get(counts, F.lit(0)))
-        score = F.struct(same.alias("same"), first.alias("columns"), F.lit(-rank).alias("rank"), F.lit(separator).alias("separator"))
-        scores.append(F.when(first > 0, score))
+    for i, separator in enumerate(SEPARATORS):
+        counts = F.col(f"_c{i}")
+        same = F.array_min(counts) == F.array_max(counts)
+        score = F.struct(same.alias("same"), counts[0].alias("columns"), F.lit(-i).alias("rank"), F.lit(separator).alias("separator"))
+        scores.append(F.when(F.get(counts, F.lit(0)) > 0, score))
     best = F.coalesce(F.array_max(F.array_compact(F.array(*scores)))["separator"], F.lit(","))
     if tab_file is not None:
         best = F.when(tab_file, "\t").otherwise(best)
-    # Cells of all lines but the header, split at the chosen separator.
-    body = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    cells = F.flatten(F.transform(body, lambda line: F.split(line, F.concat(F.lit("\\Q"), best, F.lit("\\E")))))
-    cells = F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), '^"+|"+$', ""))
-    comma = (
-        (best != ",")
-        & F.exists(cells, lambda c: c.rlike(COMMA_FLOAT))
-        & ~F.exists(cells, lambda c: c.rlike(POINT_FLOAT))
-    )
-    return F.struct(best.alias("separator"), comma.alias("decimal_comma"))
+    df = df.withColumn("separator", best)
+    # Cells of all lines but the header, split at the chosen separator; commas never mark decimals
+    # between comma-separated cells.
+    body = F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))
+    cut = F.split(F.array_join(body, "\n"), F.concat(F.lit("\n|\\Q"), F.col("separator"), F.lit("\\E")))
+    df = df.withColumn("_cells", F.when(F.col("separator") != ",", cut))
+    # Spaces and quotes around a number do not count.
+    comma = F.exists("_cells", lambda c: c.rlike(_around(COMMA_FLOAT))) & ~F.exists("_cells", lambda c: c.rlike(_around(POINT_FLOAT)))
+    helpers = ["_lines", "_bare", "_cells", *[f"_c{i}" for i in range(len(SEPARATORS))]]
+    return df.withColumn("decimal_comma", F.coalesce(comma, F.lit(False))).drop(*helpers)
+
+
+def _counts(bare: Column, separator: str) -> Column:
+    """How often *separator* is on each line."""
+    return F.transform(bare, lambda line: F.length(line) - F.length(F.replace(line, F.lit(separator), F.lit(""))))
+
+
+def _around(pattern: str) -> str:
+    return pattern.replace("^", r'^\s*"*', 1)[:-1] + r'"*\s*$'
 
 
 def head_lines(text: Column) -> Column:
@@ -108,10 +113,10 @@ def file_dialects(spark: SparkSession, files: DataFrame) -> DataFrame:
     text = F.make_valid_utf8(F.col("head").cast("string"))
     # A full sample probably ends in the middle of a line.
     text = F.when(F.length("head") >= SNIFF_BYTES, F.regexp_replace(text, r"[\r\n][^\r\n]*$", "")).otherwise(text)
-    found = dialect(head_lines(text), F.col("path").rlike(r"(?i)\.tsv$"))
     error = F.when(F.col("head").cast("string").contains("\x00"), "neither a Parquet nor a CSV file").when(F.length("head") == 0, "not a readable CSV file")
-    rows = heads.select(F.col("path").alias("source"), found.alias("d"), error.alias("error"))
-    return rows.select("source", "d.separator", "d.decimal_comma", "error")
+    rows = heads.select(F.col("path").alias("source"), head_lines(text).alias("_head"), error.alias("error"))
+    found = with_dialect(rows, F.col("_head"), F.col("source").rlike(r"(?i)\.tsv$"))
+    return found.select("source", "separator", "decimal_comma", "error")
 
 
 # -- types ----------------------------------------------------------------------------------
@@ -127,52 +132,62 @@ def _point(cell: Column, decimal_comma: bool) -> Column:
     return F.replace(cell, F.lit(","), F.lit(".")) if decimal_comma else cell
 
 
-def fits(cell: Column, kind: str, decimal_comma: bool = False) -> Column:
-    """Whether a non-null cell reads as *kind*."""
-    if kind == "integer":
-        return cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull()
-    if kind == "float":
-        plain = ~cell.contains(".") if decimal_comma else F.lit(True)
-        return plain & _point(cell, decimal_comma).rlike(FLOAT)
-    if kind == "boolean":
-        return cell.rlike(BOOLEAN)
-    if kind == "date":
-        return cell.rlike(DATE) & cell.try_cast("date").isNotNull()
-    return cell.rlike(DATETIME) & F.replace(cell, F.lit(","), F.lit(".")).try_cast("timestamp").isNotNull()
+def _quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "r'" + value + "'"
+
+
+def cell_class(name: str, decimal_comma: bool = False) -> Column:
+    """The narrowest type the cell of a column reads as, as one bit of :data:`CLASSES`; 0 when missing."""
+    cell = _quote(name)
+    missing = ", ".join(_text(t) for t in ("", *NULL_TEXTS))
+    number = f"replace({cell}, ',', '.')" if decimal_comma else cell
+    plain = f"NOT contains({cell}, '.') AND " if decimal_comma else ""
+    return F.expr(
+        f"""CASE WHEN {cell} IS NULL OR {cell} IN ({missing}) THEN 0
+        WHEN {cell} RLIKE {_text(INTEGER)} AND try_cast({cell} AS BIGINT) IS NOT NULL THEN {CLASSES["integer"]}
+        WHEN {plain}{number} RLIKE {_text(FLOAT)} THEN {CLASSES["float"]}
+        WHEN {cell} IN ('true', 'false') THEN {CLASSES["boolean"]}
+        WHEN {cell} RLIKE {_text(DATE)} AND try_cast({cell} AS DATE) IS NOT NULL THEN {CLASSES["date"]}
+        WHEN {cell} RLIKE {_text(DATETIME)} AND try_cast(replace({cell}, ',', '.') AS TIMESTAMP) IS NOT NULL
+        THEN {CLASSES["datetime"]} ELSE {CLASSES["text"]} END"""
+    )
 
 
-def type_counts(
+def cell_classes(
     cells: DataFrame, columns: Sequence[str], by: Sequence[str] = (), head: Column | None = None, decimal_comma: bool = False
 ) -> DataFrame:
-    """One aggregate over all rows: per column, the known cells and those that fail each type,
-    in the head rows and overall."""
-    head = F.lit(True) if head is None else head
-    aggregates = []
-    for i, name in enumerate(columns):
-        cell = null_text(F.col(name), "typed")
-        aggregates.append(F.count_if(head & cell.isNotNull()).alias(f"known{i}"))
-        for kind in TYPES:
-            bad = cell.isNotNull() & ~fits(cell, kind, decimal_comma)
-            aggregates += [F.count_if(head & bad).alias(f"{kind}{i}_head"), F.count_if(bad).alias(f"{kind}{i}_all")]
-    return cells.groupBy(*by).agg(*aggregates, F.count(F.lit(1)).alias("rows"))
-
-
-def infer_types(counts: DataFrame, columns: Sequence[str], by: Sequence[str] = (), verify: bool = True) -> DataFrame:
+    """One aggregate over all rows: the classes met per column, in the head rows and overall."""
+    classes = [cell_class(name, decimal_comma).alias(f"_k{i}") for i, name in enumerate(columns)]
+    rows = cells.select(*by, (F.lit(True) if head is None else head).alias("_head"), *classes)
+    aggregates = ["count(1) AS rows"]
+    for i in range(len(columns)):
+        aggregates += [f"bit_or(IF(_head, _k{i}, 0)) AS head{i}", f"bit_or(_k{i}) AS all{i}"]
+    return rows.groupBy(*by).agg(*[F.expr(text) for text in aggregates])
+
+
+def _only(classes: str, *kinds: str) -> str:
+    """SQL that tells whether no other class than *kinds* was met."""
+    return f"{classes} & {sum(bit for kind, bit in CLASSES.items() if kind not in kinds)} = 0"
+
+
+def infer_types(classes: DataFrame, columns: Sequence[str], by: Sequence[str] = (), verify: bool = True) -> DataFrame:
     """``(by, column, head_type, type, rows)``: the narrowest type of the head rows, widened to
     float or text where later cells do not fit (unless *verify* is off)."""
-    structs = []
-    for i, name in enumerate(columns):
-        guess = F.when(F.col(f"known{i}") == 0, "text")
-        for kind in TYPES:
-            guess = guess.when(F.col(f"{kind}{i}_head") == 0, kind)
-        guess = guess.otherwise("text")
-        fine = F.lit(False)
-        for kind in TYPES:
-            fine = fine | ((guess == kind) & (F.col(f"{kind}{i}_all") == 0))
-        wide = F.when(fine | (guess == "text"), guess).when((guess == "integer") & (F.col(f"float{i}_all") == 0), "float").otherwise("text")
-        structs.append(F.struct(F.lit(name).alias("column"), guess.alias("head_type"), (wide if verify else guess).alias("type")))
-    rows = counts.select(*by, "rows", F.explode(F.array(*structs)).alias("_c"))
-    return rows.select(*by, "_c.column", "_c.head_type", "_c.type", "rows")
+    names = ", ".join(f"{_text(name)}, coalesce(head{i}, 0), coalesce(all{i}, 0)" for i, name in enumerate(columns))
+    rows = classes.select(*by, "rows", F.expr(f"stack({len(columns)}, {names}) AS (column, _head, _all)"))
+    alone = [f"WHEN {_only('_head', kind)} THEN '{kind}'" for kind in ("boolean", "date", "datetime")]
+    guess = f"""CASE WHEN _head = 0 THEN 'text' WHEN {_only('_head', 'integer')} THEN 'integer'
+        WHEN {_only('_head', 'integer', 'float')} THEN 'float' {' '.join(alone)} ELSE 'text' END"""
+    kept = [f"WHEN head_type = '{kind}' AND {_only('_all', kind)} THEN '{kind}'" for kind in ("integer", "boolean", "date", "datetime")]
+    wide = f"""CASE {' '.join(kept)} WHEN head_type IN ('integer', 'float') AND {_only('_all', 'integer', 'float')}
+        THEN 'float' ELSE 'text' END"""
+    rows = rows.withColumn("head_type", F.expr(guess))
+    rows = rows.withColumn("type", F.expr(wide) if verify else F.col("head_type"))
+    return rows.select(*by, "column", "head_type", "type", "rows")
 
 
 def typed_cell(cell: Column, kind: str, decimal_comma: bool = False) -> Column:
@@ -236,8 +251,8 @@ def inspect_csv(
     """Column types of the CSV files under *path* (one dialect) and their number of rows."""
     cells = number_lines(read_cells(spark, path, separator))
     names = [n for n in cells.columns if n not in ("source", "pos")]
-    counts = type_counts(cells, names, (), F.col("pos") < INFER_ROWS, decimal_comma)
-    rows = infer_types(counts, names, (), verify).collect()  # one row per column
+    classes = cell_classes(cells, names, (), F.col("pos") < INFER_ROWS, decimal_comma)
+    rows = infer_types(classes, names, (), verify).collect()  # one row per column
     return {row.column: row.type for row in rows}, rows[0].rows if rows else 0
 
 
