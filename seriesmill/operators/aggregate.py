@@ -13,29 +13,15 @@ from .joins import lookup_join
 #: A group with more rows than this gets its median from :func:`split_median`.
 MEDIAN_ROWS = 2_000_000
 _FLOATS = (T.DoubleType, T.FloatType)
-_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def without_nan(value: Column, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(value), value) if isinstance(dtype, _FLOATS) else value
 
 
-def order_key(df: DataFrame, order: Sequence[str]) -> Column:
-    """One comparable value for the order columns.
-
-    A time and a BIGINT tie-break fit a DECIMAL(38), which keeps min_by/max_by in a hash
-    aggregate; other combinations use a struct, which sorts.
-    """
-    from .normalise import x_key
-
-    types = [df.schema[name].dataType for name in order]
-    if len(order) == 1:
-        return F.col(order[0])
-    times = (T.TimestampType, T.TimestampNTZType, T.IntegerType, T.ShortType, T.ByteType)
-    if len(order) == 2 and isinstance(types[0], times) and isinstance(types[1], (T.LongType, T.IntegerType)):
-        major = x_key(F.col(order[0]), types[0]).cast("decimal(19,0)")
-        return major * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.col(order[1]).cast("decimal(20,0)")
-    return F.struct(*order)
+def order_key(order: Sequence[str]) -> Column:
+    """One comparable value for the order columns."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
 def value_column(df: DataFrame, column: str, function: str, key: Column) -> Column:
@@ -82,7 +68,7 @@ def aggregate(
     if medians:
         largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     split = medians if largest > limit else []
-    key = order_key(df, order)
+    key = order_key(order)
     inline = [value_column(df, c, f, key).alias(n) for n, c, f in outputs if (n, c, f) not in split]
     inline += list(extra)
     result = df.groupBy(*keys).agg(*inline) if inline else df.select(*keys).distinct()

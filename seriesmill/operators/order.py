@@ -52,20 +52,43 @@ class Sliced:
         return lookup_join(self.df, table, [*self.by, "_slice"])
 
 
-def _literal(value, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.TimestampNTZType) and value is not None:
-        return F.expr(f"TIMESTAMP_NTZ'{value:%Y-%m-%d %H:%M:%S.%f}'")
-    return F.lit(value).cast(dtype)
-
-
-def position(key: Column, cuts: Column, count: int) -> Column:
-    """How many of the sorted *cuts* are at or below *key* (binary search)."""
-    steps = [1 << bit for bit in reversed(range(count.bit_length()))]
-
-    def step(low: Column, size: Column) -> Column:
-        return F.when(F.get(cuts, low + size - 1) <= key, low + size).otherwise(low)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+def _constants(values: Sequence, dtype: T.DataType) -> Column:
+    """An array of constants as one foldable column."""
+    kind = f"array<{dtype.simpleString()}>"
+    texts = [None if v is None else str(v) for v in values]
+    if None in texts or isinstance(dtype, T.StringType):
+        return F.array(*[F.lit(t) for t in texts]).cast(kind)
+    # Read from one text: thousands of literals would be slow to build.
+    return F.split(F.lit(",".join(texts)), ",").cast(kind)
+
+
+def _reached(keys: Sequence[str], at: str) -> str:
+    """SQL: whether the cut at index *at* is at or below the row's key, NULLs first."""
+    test = ""
+    for i, key in reversed(list(enumerate(keys))):
+        cut = f"get(_cuts{i}, {at})"
+        if not test:
+            test = f"({cut} IS NULL OR {cut} <= {key})"
+        else:
+            below = f"({key} IS NOT NULL AND ({cut} IS NULL OR {cut} < {key}))"
+            test = f"({below} OR ({cut} <=> {key} AND {test}))"
+    return test
+
+
+def locate(df: DataFrame, keys: Sequence[str], cuts: Sequence[Sequence], name: str) -> DataFrame:
+    """Add the number of sorted *cuts* (tuples of key values) that are at or below each row's key.
+
+    A binary search with one projection per step, which stays in generated code.
+    """
+    quoted = ["`" + k.replace("`", "``") + "`" for k in keys]
+    arrays = {f"_cuts{i}": _constants([cut[i] for cut in cuts], df.schema[k].dataType) for i, k in enumerate(keys)}
+    df = df.withColumns({**arrays, name: F.lit(0)})
+    for bit in reversed(range(len(cuts).bit_length())):
+        step = 1 << bit
+        # Beyond the last cut there is nothing to reach.
+        test = f"{name} + {step} <= {len(cuts)} AND {_reached(quoted, f'{name} + {step - 1}')}"
+        df = df.withColumn(name, F.expr(f"CASE WHEN {test} THEN {name} + {step} ELSE {name} END"))
+    return df.drop(*arrays)
 
 
 def slice_rows(
@@ -75,26 +98,36 @@ def slice_rows(
     slice_rows: int | None = None,
     max_slices: int | None = None,
 ) -> Sliced:
-    """Cut *df* into slices of about *slice_rows* rows. *order* must be unique within a series."""
+    """Cut *df* into slices of about *slice_rows* rows. *order* must be unique within a series.
+
+    When no series is larger than a slice, every series is one slice.
+    """
     by, order = list(by), list(order)
     size = SLICE_ROWS if slice_rows is None else slice_rows
-    keys = df.select(*by, *order)
-    total = keys.count()
-    wanted = -(-total // size)
-    if not by:  # one series: use all cores even when it is short
-        wanted = max(wanted, min(df.sparkSession.sparkContext.defaultParallelism, total // 5_000))
+    # Instants are compared as numbers: their text depends on the session's time zone.
+    instants = [n for n in (*by, *order) if isinstance(df.schema[n].dataType, T.TimestampType)]
+    plain = df
+    df = df.withColumns({f"_us_{n}": F.unix_micros(n) for n in instants}) if instants else df
+    keys = df.select(*[f"_us_{n}" if n in instants else n for n in (*by, *order)])
+    if by:
+        sizes = plain.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+        wanted = -(-(sizes.total or 0) // size) if (sizes.largest or 0) > size else 1
+        total = sizes.total or 0
+    else:  # one series: use all cores even when it is short
+        total = keys.count()
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        wanted = max(-(-total // size), min(4 * cores, total // 20_000))
     wanted = min(wanted, MAX_SLICES if max_slices is None else max_slices)
-    if wanted < 2:
-        return Sliced(df.withColumn("_slice", F.lit(0)), by, order, True)
-    target = wanted * OVERSAMPLE
-    sample = keys.sample(min(1.0, target / total), seed=11).limit(4 * target).orderBy(*by, *order).collect()
-    picks = sorted({i * len(sample) // wanted for i in range(1, wanted)})
-    types = [f.dataType for f in keys.schema.fields]
-    cuts = [F.struct(*[_literal(v, t).alias(f"k{i}") for i, (v, t) in enumerate(zip(sample[p], types))]) for p in picks if p < len(sample)]
+    cuts: list = []
+    if wanted > 1:
+        target = wanted * OVERSAMPLE
+        sample = keys.sample(min(1.0, target / total), seed=11).limit(4 * target).orderBy(*keys.columns).collect()
+        picks = sorted({i * len(sample) // wanted for i in range(1, wanted)})
+        cuts = [sample[p] for p in picks if p < len(sample)]
     if not cuts:
-        return Sliced(df.withColumn("_slice", F.lit(0)), by, order, True)
-    key = F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(keys.columns)])
-    return Sliced(df.withColumn("_slice", position(key, F.array(*cuts), len(cuts))), by, order, False)
+        return Sliced(plain.withColumn("_slice", F.lit(0)), by, order, True)
+    located = locate(df, keys.columns, cuts, "_slice").drop(*[f"_us_{n}" for n in instants])
+    return Sliced(located, by, order, False)
 
 
 def number_rows(

@@ -18,7 +18,7 @@ from ..plans.job import Affine, JobError, Span
 from ..sources.schema import kind_of, x_kind_of
 from .joins import SALTS, small_rows
 from .normalise import INTEGERS, x_key
-from .order import position
+from .order import locate
 
 
 @dataclass(frozen=True)
@@ -185,10 +185,9 @@ def filter_by_table(
             return df.filter(F.lit(False))
         if len(disjoint) > 16:
             hull = value.between(disjoint[0][0], disjoint[-1][1])
-            starts = F.array(*[F.lit(float(lo)) for lo, _ in disjoint])
             stops = F.array(*[F.lit(float(hi)) for _, hi in disjoint])
-            at = position(value.cast("double"), starts, len(disjoint))
-            return df.filter(hull & (value <= F.get(stops, at - 1)))
+            placed = locate(df.filter(hull).withColumn("_at", value.cast("double")), ["_at"], [(lo,) for lo, _ in disjoint], "_range")
+            return placed.filter(F.col("_at") <= F.get(stops, F.col("_range") - 1)).drop("_at", "_range")
         return df.filter(reduce(lambda a, b: a | b, [value.between(lo, hi) for lo, hi in disjoint]))
     first, last = df.agg(F.min(x), F.max(x)).first()
     if first is None:

@@ -17,11 +17,11 @@ from pyspark.sql import types as T
 from ..operators.aggregate import aggregate
 from ..operators.bounds import with_bounds, x_bounds
 from ..operators.buckets import interval_bucket, points_bucket
-from ..operators.normalise import is_valid, normalise
+from ..operators.normalise import is_valid, key_type, normalise, x_key
 from ..operators.order import every_nth, first_rows
 from ..operators.ranges import Interval, any_inside, resolve, span_of, split_by_interval, stored_filter
 from ..sources.schema import kind_of, x_kind_of
-from .checks import check_job
+from .checks import check_job, interval_of
 from .job import ROW_INDEX, Job, JobError
 
 
@@ -183,12 +183,39 @@ def bucketed(prepared: Prepared, rows: DataFrame, by: list[str], split: bool) ->
         bucket = points_bucket(x, prepared.stored, agg.points, prepared.scaled, lo, hi)
     # Grouping uses its own column, because x itself still orders first and last.
     rows = rows.withColumn("_bucket", bucket)
+    order = prepared.order
+    if any(function in ("first", "last") for _, _, function in prepared.outputs):
+        rows, order = first_last_order(prepared, rows)
     first = [F.min(order_struct(prepared)).alias("_appears")] if prepared.category else []
-    grouped = aggregate(rows, [*by, "_bucket"], prepared.outputs, prepared.order, first)
+    grouped = aggregate(rows, [*by, "_bucket"], prepared.outputs, order, first)
     grouped = grouped.withColumnRenamed("_bucket", prepared.x)
     return Processed(prepared, grouped, by, ["_appears"] if prepared.category else [prepared.x])
 
 
+def first_last_order(prepared: Prepared, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Order columns for first and last within a bucket, as one BIGINT where that is exact.
+
+    A struct of x and the tie-break needs a sorting aggregate. Within a bucket, the distance of x
+    from the bucket's start and the tie-break often fit 63 bits together, and then a hash
+    aggregate does; the range of the tie-break is looked up to know.
+    """
+    agg, tie = prepared.job.aggregation, prepared.tie
+    if agg.method == "per_value":  # x is the same in the whole bucket
+        return rows, tie
+    whole = prepared.dtype if not isinstance(prepared.dtype, T.TimestampType) else None
+    packable = prepared.order != tie and len(tie) == 1 and isinstance(rows.schema[tie[0]].dataType, (T.LongType, T.IntegerType))
+    if agg.method != "interval" or whole is None or key_type(whole) != "bigint" or not packable:
+        return rows, prepared.order
+    unit, size = interval_of(agg.every, prepared.stored)
+    width = int(size) * 31 * 86_400_000_000 if unit == "months" else int(size)
+    low, high = rows.agg(F.min(tie[0]), F.max(tie[0])).first()
+    if low is None or width * (high - low + 1) >= 1 << 63:
+        return rows, prepared.order
+    start = x_key(F.col("_bucket"), whole)
+    packed = (x_key(F.col(prepared.x), whole) - start) * F.lit(high - low + 1) + (F.col(tie[0]) - F.lit(low))
+    return rows.withColumn("_place", packed), ["_place"]
+
+
 def order_struct(prepared: Prepared) -> Column:
     """The file position as one value."""
     return F.col(prepared.tie[0]) if len(prepared.tie) == 1 else F.struct(*prepared.tie)

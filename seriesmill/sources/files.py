@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,36 +51,36 @@ _FOOTER = (
 )
 
 
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as fs
-    import pyarrow.parquet as pq
-
-    for batch in batches:
-        out = []
-        for path in batch["path"]:
-            try:
-                system, inner = fs.FileSystem.from_uri(path)
-                with system.open_input_file(inner) as handle:
-                    meta = pq.ParquetFile(handle).metadata
-                for g in range(max(1, meta.num_row_groups)):
-                    if meta.num_row_groups == 0:
-                        out.append((path, None, 0, 0, meta.num_columns, "", meta.created_by, None))
-                        continue
-                    group = meta.row_group(g)
-                    codecs = sorted({group.column(c).compression for c in range(group.num_columns)})
-                    out.append((path, g, group.num_rows, group.total_byte_size, meta.num_columns, ", ".join(codecs), meta.created_by, None))
-            except Exception as error:  # an unreadable file is a row of the result, not a failed job
-                out.append((path, None, None, None, None, None, None, str(error)[:500]))
-        columns = [part.split()[0] for part in _FOOTER.split(", ")]
-        frame = pd.DataFrame(out, columns=columns)
-        yield frame.astype({"row_group": "Int32", "rows": "Int64", "bytes": "Int64", "columns": "Int32"})
-
-
 def row_groups(files: DataFrame) -> DataFrame:
     """One row per row group of the Parquet files in *files* (``path``); reads footers only."""
+
+    def footers(batches):  # nested, so that it travels to the executors by value
+        import pandas as pd
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                try:
+                    system, inner = fs.FileSystem.from_uri(path)
+                    with system.open_input_file(inner) as handle:
+                        meta = pq.ParquetFile(handle).metadata
+                    facts = (meta.num_columns, meta.created_by)
+                    for g in range(meta.num_row_groups):
+                        group = meta.row_group(g)
+                        codecs = sorted({group.column(c).compression for c in range(group.num_columns)})
+                        out.append((path, g, group.num_rows, group.total_byte_size, facts[0], ", ".join(codecs), facts[1], None))
+                    if not meta.num_row_groups:
+                        out.append((path, None, 0, 0, facts[0], "", facts[1], None))
+                except Exception as error:  # an unreadable file is a row of the result, not a failed job
+                    out.append((path, *[None] * 6, str(error)[:500]))
+            frame = pd.DataFrame(out, columns=[part.split()[0] for part in _FOOTER.split(", ")])
+            yield frame.astype({"row_group": "Int32", "rows": "Int64", "bytes": "Int64", "columns": "Int32"})
+
     count = max(1, files.sparkSession.sparkContext.defaultParallelism)
     paths = files.select("path").filter(_suffix_test(F.col("path"), PARQUET_SUFFIXES))
-    return paths.repartition(count, "path").mapInPandas(_footers, _FOOTER)
+    return paths.repartition(count, "path").mapInPandas(footers, _FOOTER)
 
 
 def inventory(files: DataFrame) -> DataFrame:
