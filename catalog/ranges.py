@@ -19,12 +19,6 @@ RANGES_SQL = """(ts BETWEEN TIMESTAMP '2024-01-03 06:00:00' AND TIMESTAMP '2024-
     AND TIMESTAMP '2024-01-06 12:00:00.5' OR ts BETWEEN TIMESTAMP '2024-01-25' AND TIMESTAMP '2024-01-26')"""
 
 
-def _per_user_ranges(df):
-    """Each user's first day and third week, as a small ranges table."""
-    first = F.min("ts")
-    return df.groupBy("user_id").agg(first.alias("first"))
-
-
 def _semi(spark, folder):
     """Orders whose total lies in a band around any customer's balance."""
     bands = table(spark, folder, "customer").select((F.col("c_acctbal") * 40).alias("lo"), (F.col("c_acctbal") * 40 + 25).alias("hi"))
@@ -32,8 +26,8 @@ def _semi(spark, folder):
     return filter_by_table(df, "o_totalprice", bands)
 
 
-def _semi_cells(spark, folder):
-    """The same with the join used when the ranges table is too large to collect."""
+def _semi_running(spark, folder):
+    """The same in the way used when the ranges table is too large to collect."""
     bands = table(spark, folder, "customer").select((F.col("c_acctbal") * 40).alias("lo"), (F.col("c_acctbal") * 40 + 25).alias("hi"))
     df = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
     return filter_by_table(df, "o_totalprice", bands, limit=0)
@@ -93,7 +87,7 @@ QUERIES = {
     ),
     "range_multi": (job_query("events", {**EVENTS, "ranges": RANGES}), f"SELECT ts, value FROM events WHERE {RANGES_SQL}"),
     "range_semi_join": (_semi, SEMI_SQL),
-    "range_semi_join_cells": (_semi_cells, SEMI_SQL),
+    "range_semi_join_running": (_semi_running, SEMI_SQL),
     "range_open_end": (
         job_query("orders", {"x": "o_totalprice", "y": ["o_orderkey"], "ranges": [[None, 20000], [440000.5, None]]}, tie=("o_orderkey",)),
         "SELECT o_totalprice, o_orderkey FROM orders WHERE o_totalprice <= 20000 OR o_totalprice >= 440000.5",

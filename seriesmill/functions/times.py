@@ -128,6 +128,8 @@ _ISO_TEXT = (
     r"\s*([Zz]|([+-])([0-9]{2})(?::?([0-9]{2}))?)?$"
 )
 
+_PLAIN_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
+
 
 def iso_text_to_us(text: Column, zone: str | None = None) -> Column:
     """ISO 8601 text, or epoch seconds, to microseconds; NULL where it is neither.
@@ -148,7 +150,11 @@ def iso_text_to_us(text: Column, zone: str | None = None) -> Column:
     if zone:
         local = to_us(F.convert_timezone(F.lit(zone), F.lit("UTC"), wall))
         utc = F.when(group(5) == "", local).otherwise(utc)
-    return F.coalesce(utc, F.round(text.try_cast("double") * 1e6).cast("bigint"))
+    other = F.coalesce(utc, F.round(text.try_cast("double") * 1e6).cast("bigint"))
+    if zone:
+        return other
+    # The usual form needs no taking apart.
+    return F.when(text.rlike(_PLAIN_ISO), to_us(text.try_cast("timestamp_ntz"))).otherwise(other)
 
 
 def bound_us(value: str | float | dt.datetime, zone: str | None) -> int:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,12 @@ from ..functions.durations import offset_seconds
 from ..functions.times import bound_us, is_instant, time_literal
 from ..plans.job import Affine, JobError, Span
 from ..sources.schema import kind_of, x_kind_of
-from .joins import SALTS, small_rows
+from .joins import small_rows
 from .normalise import INTEGERS, x_key
-from .order import locate
+from .order import slice_rows
+
+#: Merged ranges that are still tested one by one.
+OR_RANGES = 64
 
 
 @dataclass(frozen=True)
@@ -170,12 +173,13 @@ def merged(ends: Sequence[tuple[Any, Any]]) -> list[tuple[Any, Any]]:
 
 
 def filter_by_table(
-    df: DataFrame, x: str, ranges: DataFrame, limit: int | None = None, cells: int = 4096
+    df: DataFrame, x: str, ranges: DataFrame, limit: int | None = None, rows_per_slice: int | None = None
 ) -> DataFrame:
     """Rows whose number *x* lies in any row of a ranges table ``(lo, hi)``, each row once.
 
-    A ranges table of checked size is merged and searched as a sorted list. A larger one becomes a
-    left semi join on equal cells of x, which emits no pairs.
+    A few ranges, once merged, are a pushed-down predicate. Beyond that, rows and ranges are
+    ordered together along x: a row is inside when the furthest end of the ranges that
+    start at or before it reaches it. That is one running maximum, and no pairs arise.
     """
     rows = small_rows(ranges.select("lo", "hi"), limit)
     value = F.col(x)
@@ -183,34 +187,28 @@ def filter_by_table(
         disjoint = merged([(row.lo, row.hi) for row in rows])
         if not disjoint:
             return df.filter(F.lit(False))
-        if len(disjoint) > 16:
-            hull = value.between(disjoint[0][0], disjoint[-1][1])
-            stops = F.array(*[F.lit(float(hi)) for _, hi in disjoint])
-            placed = locate(df.filter(hull).withColumn("_at", value.cast("double")), ["_at"], [(lo,) for lo, _ in disjoint], "_range")
-            return placed.filter(F.col("_at") <= F.get(stops, F.col("_range") - 1)).drop("_at", "_range")
-        return df.filter(reduce(lambda a, b: a | b, [value.between(lo, hi) for lo, hi in disjoint]))
-    first, last = df.agg(F.min(x), F.max(x)).first()
-    if first is None:
-        return df
-    lo, width = F.lit(first), F.lit(max((last - first) / cells, 1e-12))
-
-    def cell(at: Column) -> Column:
-        return F.floor((at - lo) / width).cast("int")
-
-    start = F.greatest(F.coalesce("lo", lo), lo)
-    stop = F.least(F.coalesce("hi", F.lit(last)), F.lit(last))
-    pieces = (
-        ranges.select(start.alias("_from"), stop.alias("_to"))
-        .filter("_from <= _to")
-        .withColumn("_at", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to")))))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        .distinct()
+        if len(disjoint) <= OR_RANGES:
+            return df.filter(reduce(lambda a, b: a | b, [value.between(lo, hi) for lo, hi in disjoint]))
+        df = df.filter(value.between(disjoint[0][0], disjoint[-1][1]))
+    infinity = float("inf")
+    starts = ranges.select(
+        F.coalesce(F.col("lo").cast("double"), F.lit(-infinity)).alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_spread"),
+        F.coalesce(F.col("hi").cast("double"), F.lit(infinity)).alias("_reach"),
     )
+    # Rows with equal x may go to different slices, told apart by a hash.
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
-    keyed = df.withColumns({"_cell": cell(value), "_salt": F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")})
-    same = (keyed["_cell"] == pieces["_at"]) & (keyed["_salt"] == pieces["_copy"])
-    held = (keyed[x] >= pieces["_from"]) & (keyed[x] <= pieces["_to"])
-    return keyed.join(pieces, same & held, "left_semi").drop("_cell", "_salt")
+    keyed = df.withColumns({"_x": value.cast("double"), "_kind": F.lit(1), "_spread": F.xxhash64(*plain)})
+    both = keyed.filter("_x IS NOT NULL AND NOT isnan(_x)").unionByName(starts, allowMissingColumns=True)
+    cut = slice_rows(both, [], ["_x", "_kind", "_spread"], rows_per_slice)
+    upto = cut.window.rowsBetween(Window.unboundedPreceding, 0)
+    reach, placed = F.max("_reach").over(upto), cut.df
+    if not cut.single:
+        earlier = F.max("_furthest").over(cut.border_window.rowsBetween(Window.unboundedPreceding, -1))
+        table = cut.borders(F.max("_reach").alias("_furthest")).select("_slice", earlier.alias("_before"))
+        placed = cut.carry(table)
+        reach = F.greatest(reach, F.col("_before"))
+    placed = placed.withColumn("_furthest", reach)
+    return placed.filter("_kind = 1 AND _furthest >= _x").select(*df.columns)
 
 
 # -- measures -------------------------------------------------------------------------

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.bounds import distinct_x
 from ..operators.joins import lookup_join
-from ..operators.ranges import covered_share
+from ..operators.ranges import Interval, covered_share
 from ..sources.schema import x_kind_of
 from .checks import interval_seconds
 from .job import Job
@@ -31,19 +33,19 @@ def estimate_column(job: Job, stored: T.DataType, rows: Column, share: Column, l
     return kept.cast("bigint")
 
 
-def estimate_rows(prepared: Prepared) -> DataFrame:
-    """``(by, estimate)`` per series; *prepared* needs its bounds."""
+def estimate_rows(prepared: Prepared, intervals: Sequence[Interval] | None = None) -> DataFrame:
+    """``(by, estimate)`` per series, for all ranges or the given ones; *prepared* needs its bounds."""
     job, by = prepared.job, prepared.by
+    intervals = prepared.intervals if intervals is None else intervals
     lo, hi = F.col("lo"), F.col("hi")
     if job.aggregation.method == "per_value":
-        exact = distinct_x(keep_ranges(prepared), prepared.x, by)
+        exact = distinct_x(keep_ranges(prepared, intervals), prepared.x, by)
         table = exact.select(*by, F.col("distinct_x").cast("bigint").alias("estimate"))
         if not by:
             return table
         joined = lookup_join(prepared.bounds.select(*by), table, by)
         return joined.withColumn("estimate", F.coalesce("estimate", F.lit(0)))
     bounds = prepared.bounds
-    intervals = prepared.intervals
     if prepared.by:  # relative ends are written in terms of the row's series start
         bounds = bounds.withColumns({"_lo": lo, "_hi": hi})
     share = covered_share(intervals, lo, hi) if intervals else F.lit(1.0)

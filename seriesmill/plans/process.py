@@ -143,8 +143,9 @@ def prepare(
     return Prepared(job, rows, by, tie, stored, dtype, zone, texts, intervals, bounds, lo, hi)
 
 
-def keep_ranges(prepared: Prepared) -> DataFrame:
-    predicate = any_inside(F.col(prepared.x), prepared.dtype, prepared.intervals)
+def keep_ranges(prepared: Prepared, intervals: Sequence[Interval] | None = None) -> DataFrame:
+    intervals = prepared.intervals if intervals is None else intervals
+    predicate = any_inside(F.col(prepared.x), prepared.dtype, intervals)
     return prepared.df if predicate is None else prepared.df.filter(predicate)
 
 

@@ -12,7 +12,8 @@ from seriesmill.operators import display as D
 from seriesmill.operators import joins
 from seriesmill.operators.lookup import lookup_hold, lookup_nearest
 from seriesmill.operators.order import every_nth, number_rows, number_table, slice_rows
-from seriesmill.operators.ranges import filter_by_table, merged
+from seriesmill.operators import ranges as R
+from seriesmill.operators.ranges import merged
 
 
 def series_of(df):
@@ -116,17 +117,24 @@ def test_number_table_beyond_the_driver_limit(spark, monkeypatch):
     assert [r.code for r in number_table(table, ["value"], "code").orderBy("value").collect()] == list(range(300))
 
 
-@pytest.mark.parametrize("limit", [0, None])
-def test_filter_by_table(spark, skewed, limit):
+@pytest.mark.parametrize("few", [0, 64])
+def test_filter_by_table(spark, skewed, few, monkeypatch):
+    monkeypatch.setattr(R, "OR_RANGES", few)
     rng = random.Random(5)
     pairs = [(lo, lo + rng.randint(0, 3)) for lo in (rng.randint(0, 1000) for _ in range(60))] + [(None, 4), (990, None)]
     table = spark.createDataFrame(pairs, "lo bigint, hi bigint")
-    got = {r.pos for r in filter_by_table(skewed, "x", table, limit).collect()}
+    got = {r.pos for r in R.filter_by_table(skewed, "x", table, 0 if few == 0 else None, 150).collect()}
     inside = lambda x: any((lo is None or x >= lo) and (hi is None or x <= hi) for lo, hi in pairs)
     assert got == {r.pos for r in skewed.collect() if inside(r.x)}
     assert merged([(5, 9), (1, 2), (2, 6), (11, None)]) == [(1, 9), (11, float("inf"))]
 
 
+def test_many_slices_stay_plannable(skewed):
+    """Ten search steps: the plan must not grow with the product of its steps."""
+    got = number_rows(skewed, [], ["x", "pos"], "n", 4).filter("n % 100 = 0")
+    assert got.count() == 30 and len(plan(got)) < 2_000_000
+
+
 # -- plans --------------------------------------------------------------------------------------
 
 
