@@ -223,3 +223,18 @@ def test_many_series_at_once(skewed):
     for r in got:
         same = F.col("series").eqNullSafe(F.lit(r.series))
         assert r.n == skewed.filter(same & F.col("x").between(first[r.series], first[r.series] + 400)).count()
+
+
+def test_session_time_zone_does_not_matter(spark, telemetry):
+    settings = job(
+        scaling={"time": {"offset": "1h"}}, ranges=[["2024-01-01T01:00:10", "2024-01-01T01:00:50"]],
+        aggregation=agg("interval", ["first", "last", "count"], every="7s"),
+    )
+    points = job(aggregation=agg("points", ["mean"], points=7), range_mode="relative", ranges=[[1, "20s"]])
+    want = [rows(telemetry, settings), rows(telemetry, points)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [rows(telemetry, settings), rows(telemetry, points)] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
