@@ -19,6 +19,14 @@ def _inventory(spark, folder):
     return inventory(files).select(name.alias("name"), "format", "size", "rows", "row_groups", "columns", "codecs", "error")
 
 
+def _file_rows(spark, folder):
+    """Rows per table file, from the footers."""
+    return _inventory(spark, folder).select("name", "format", "rows")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
 def _profile(spark, folder):
     return column_profile(table(spark, folder, "orders")).withColumn("mean", F.round("mean", 6))
 
@@ -118,6 +126,10 @@ def _done(spark, folder):
 
 QUERIES = {
     "file_inventory": (_inventory, None),
+    "file_rows": (
+        _file_rows,
+        " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, 'parquet' AS format, count(*) AS rows FROM {t}" for t in TABLES),
+    ),
     "column_profile": (
         _profile,
         """SELECT 'o_orderkey' AS "column", 'numeric' AS kind, count(*) FILTER (o_orderkey IS NULL) AS nulls, min(o_orderkey)::DOUBLE AS min_number, max(o_orderkey)::DOUBLE AS max_number,
