@@ -102,8 +102,10 @@ def _around(pattern: str) -> str:
 
 def head_lines(text: Column) -> Column:
     """The lines detection looks at: non-blank, from the start of the text, without a cut-off one."""
-    head = F.regexp_replace(text, "^\uFEFF", "")
-    lines = F.split(head, "\r\n|\n|\r")
+    head = F.when(text.startswith("\uFEFF"), F.substr(text, F.lit(2))).otherwise(text)
+    # Splitting at one plain character is much faster than at alternatives.
+    head = F.when(head.contains("\r"), F.regexp_replace(head, "\r\n?", "\n")).otherwise(head)
+    lines = F.split(head, "\n")
     return F.slice(F.filter(lines, lambda line: F.trim(line) != ""), 1, SNIFF_LINES)
 
 
