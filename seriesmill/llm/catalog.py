@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, simhash
 
-MODULES = (mixing, packing)
+MODULES = (mixing, simhash, packing)
 
 
 def queries():
