@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash
+from . import mixing, packing, simhash, vector_links
 
-MODULES = (mixing, simhash, packing)
+MODULES = (vector_links, mixing, simhash, packing)
 
 
 def queries():
