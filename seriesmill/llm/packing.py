@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import byte_view, saved, table, word_spans
+from .shared import LOWER, SPACES, by_bytes, byte_view, row_starts, saved, table, word_spans
 
 SIZE = 2048
 SALTS = 64
@@ -31,47 +31,125 @@ ROUNDS = 600
 PIECES = "piece int, start long, length long, ids binary"
 
 
-@functools.cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+KNOWN = 300_000  # words whose ids a worker keeps between batches
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+KINDS = np.full(256, ODD, dtype=np.uint8)
+KINDS[:128] = OTHER
+KINDS[SPACES] = SPACE
+KINDS[48:58] = DIGIT
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+KINDS[39] = ODD  # apostrophes begin contractions
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
 
+class _Vocabulary:
+    """Ids of words, kept from batch to batch.
 
-def _word_ids(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all *words* in a row, and where each begins."""
-    found = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
-    return np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(ends[-1])), ends
+    The tokenizer lowers letters, drops white space and joins nothing across letters, single digits and runs of other
+    characters. Words of ASCII and of the letters from U+00C0 to U+00FF are therefore cut here and each different part
+    is encoded once; all other words go through the whole tokenizer.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = self.parts.encode_special_tokens = True
+        self.parts.normalizer = normalizers.Sequence([])
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.forget()
+
+    def forget(self):
+        self.known: dict[bytes, int] = {}
+        self.ids, self.bounds = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where each word's ids are."""
+        if len(self.known) > KNOWN:
+            self.forget()
+        known = self.known
+        new = [w for w in words if w not in known]
+        plain, other = [], []
+        for word in new:
+            (plain if _plain(word) else other).append(word)
+        ids, counts = [self.ids], [np.diff(self.bounds)]
+        for begin in range(0, len(plain), 2000):
+            part = plain[begin : begin + 2000]
+            found = self.parts.encode(b" ".join(part).decode(), add_special_tokens=False)
+            ids.append(np.array(found.ids, dtype=np.uint32))
+            counts.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
+        for word in other:
+            found = self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids.append(np.array(found, dtype=np.uint32))
+            counts.append(np.array([len(found)]))
+        for word in (*plain, *other):
+            known[word] = len(known)
+        self.ids = np.concatenate(ids)
+        self.bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
+
+
+PLAIN = bytes(b for b in range(256) if KINDS[b] in (LETTER, DIGIT, OTHER))
+
+
+def _plain(word: bytes) -> bool:
+    """Whether only plain bytes are left without the letters from U+00C0 to U+00FF."""
+    if word.isascii():
+        return b"'" not in word
+    rest = word.translate(None, PLAIN)
+    return not len(rest) % 2 and not rest.strip(LATIN) and all(b == 0xC3 for b in rest[::2]) and not any(b in (0x97, 0xB7, 0xC3) for b in rest[1::2])
+
+
+LATIN = bytes([0xC3, *range(0x80, 0xC0)])
 
-def token_ids(tokenizer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts with the end token 0 after each, and the offsets of the texts.
 
-    The tokenizer drops white space and joins nothing across it, so each different word is encoded once per batch.
-    """
-    data, offsets = byte_view(column)
-    starts, ends, before = word_spans(data, offsets)
-    lengths = ends - starts
-    at = np.zeros(len(starts) + 1, dtype=np.int64)
-    np.cumsum(lengths, out=at[1:])
-    packed = data[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])] if len(starts) else data[:0]
-    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(packed))])
+@functools.cache
+def _vocabulary(path: str) -> _Vocabulary:
+    return _Vocabulary(path)
+
+
+def parts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lowered bytes of all parts of words, the bounds of the parts, and the number of parts before each row."""
+    kinds, text = KINDS[data], LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    follow = data[lead + 1]
+    fits = (follow >= 0x80) & (follow < 0xC0) & (follow != 0x97) & (follow != 0xB7)
+    lead, follow = lead[fits], follow[fits]
+    kinds[lead] = kinds[lead + 1] = LETTER
+    text[lead + 1] += np.where(follow < 0x9F, 32, 0).astype(np.uint8)
+    odd = np.flatnonzero(kinds == ODD)
+    if len(odd):  # a word with such a byte stays whole
+        starts, ends, _ = word_spans(data, offsets)
+        hit = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+        sizes = ends[hit] - starts[hit]
+        place = np.repeat(starts[hit] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        kinds[place] = ODD
+        text[place] = data[place]
+    begins = kinds != SPACE
+    inside = begins.copy()
+    begins[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT) | row_starts(offsets, len(data))[1:]
+    starts = np.flatnonzero(begins)
+    kept = np.cumsum(inside)
+    bounds = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
+    return text[inside], bounds, np.searchsorted(starts, offsets)
+
+
+def token_ids(vocabulary: _Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts with the end token 0 after each, and the offsets of the texts."""
+    text, bounds, before = parts_of(*byte_view(column))
+    words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(text)])
     coded = words.dictionary_encode()
-    ids, bounds = _word_ids(tokenizer, coded.dictionary.to_pylist())
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = np.diff(bounds)[code] if len(code) else np.zeros(0, dtype=np.int64)
-    total = np.zeros(len(code) + 1, dtype=np.int64)
+    place = vocabulary.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    first = vocabulary.bounds[place]
+    counts = vocabulary.bounds[place + 1] - first
+    total = np.zeros(len(place) + 1, dtype=np.int64)
     np.cumsum(counts, out=total[1:])
-    rows = len(offsets) - 1
+    rows = len(column)
     at_row = total[before] + np.arange(rows + 1)
+    ids = vocabulary.ids[np.repeat(first - total[:-1], counts) + np.arange(total[-1])]
     out = np.zeros(int(at_row[-1]), dtype=np.uint32)
-    if len(code):
-        ahead = np.repeat(np.arange(rows), np.diff(before))
-        place = np.repeat(total[:-1] + ahead, counts) + (np.arange(total[-1]) - np.repeat(total[:-1], counts))
-        out[place] = ids[np.repeat(bounds[code] - total[:-1], counts) + np.arange(total[-1])]
+    inner = np.ones(len(out), dtype=bool)
+    inner[at_row[1:] - 1] = False
+    out[inner] = ids
     return out, at_row
 
 
@@ -79,11 +157,10 @@ def tokenise(docs: DataFrame, path: str, size: int = SIZE, id: str = "doc_id") -
     """Pieces (id, piece, start, length, ids): each document's token ids and end token, cut after every *size* tokens; ids are little-endian 32-bit."""
 
     def run(batches):
-        tokenizer = _tokenizer(path)
+        vocabulary = _vocabulary(path)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                part = batch.slice(begin, 2000)
-                ids, offsets = token_ids(tokenizer, part.column(1))
+            for part in by_bytes(batch, 1):
+                ids, offsets = token_ids(vocabulary, part.column(1))
                 pieces = -(-np.diff(offsets) // size)
                 row = np.repeat(np.arange(part.num_rows), pieces)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

@@ -71,5 +71,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def long_ids(column: pa.Array) -> pa.Array:
-    return column.cast(pa.int64())
+def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 24):
+    """Slices of *batch* with about *size* bytes of text each, one row at least."""
+    lengths = np.diff(byte_view(batch.column(column))[1])
+    ends = np.cumsum(lengths)
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
