@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, graph_search, mixing, packing, quality, simhash, vector_links
+from . import extraction, graph_search, mixing, packing, quality, simhash, suffixes, vector_links
 
-MODULES = (vector_links, extraction, quality, graph_search, mixing, simhash, packing)
+MODULES = (vector_links, extraction, suffixes, quality, graph_search, mixing, simhash, packing)
 
 
 def queries():
