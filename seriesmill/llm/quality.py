@@ -4,16 +4,16 @@ Two things make a document unwanted: low quality and toxicity. For each, labelle
 text. All words of the labelled documents are counted by class under hashed keys: their first 5 to 8 bytes, their last
 3 and whether they are in capitals. Keys whose share of documents differs between the classes beyond chance get the log ratio of
 their rates, shrunk to the common rate by a Dirichlet prior; a text's sum over its words is its log likelihood
-ratio under Poisson rates. A logistic fit turns these sums, the share of different words and the length into calibrated log odds. Half of
-the labelled documents (by a hash of the id) give the counts, all of them; the other half gives the fit, at most
-FIT_ROWS rows chosen by the hash.
+ratio under Poisson rates. A logistic fit turns these sums, the share of different words and the length into calibrated
+log odds. The fit uses about LABELLED labels, chosen by a hash of the id (all, if there are fewer), so that they can be
+broadcast to the texts: half of them give the counts, the other half the logistic fit. Everything else covers all documents.
 
 Then grouped aggregates give each host's posterior rate, shrunk to the global rate, and each path's, shrunk to its
 host's. The strength of each prior comes from the spread between hosts, or between the paths of a host, beyond what
 their sizes explain, so sparse sites stay near the prior above them. A document's final log odds are its own evidence
 with the global rate as prior replaced by its path's. Documents with odds above even on either count are rejected.
 
-A NULL text counts as empty, a NULL host or path is one of its own. Labels that are NULL are left out; without labels of
+A NULL text counts as empty, a NULL host or path is one of its own. Labels that are NULL are left out, and of several for one id the worst counts; without labels of
 both classes a target says nothing about texts and its odds are the labels' share. Repeated rows are documents of their own. An empty table gives an
 empty result. Columns other than those named are ignored.
 """
@@ -30,7 +30,7 @@ from .shared import LOWER, by_bytes, byte_view, saved, table, word_spans
 KEYS = 1 << 16
 FIRST = (5, 6, 7, 8)
 KINDS = len(FIRST) + 2
-FIT_ROWS = 20_000
+LABELLED = 40_000
 SIGNIFICANT = 3.0
 PRIOR = 200.0
 TARGETS = ("low", "toxic")
@@ -135,11 +135,15 @@ def fit(rows: np.ndarray, target: np.ndarray, ridge: float = 0.01) -> np.ndarray
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", rows: int = LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ratios, costs, coefficients) by target from *docs* (id, text) and *labels* (id, quality, toxic)."""
     known = labels.select(F.col(id).alias("id"), (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic")).dropna()
+    known = saved(known.groupBy("id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")))
+    part = int(1_000_000 * min(1.0, rows / max(1, known.count())))
+    known = known.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < part)
+    known = known.withColumn("half", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)))
     texts = docs.select(docs[id].alias("id"), docs["text"].cast("string").alias("text"))
-    joined = texts.join(known, "id").withColumn("half", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)))
+    joined = texts.join(F.broadcast(known), "id")  # about *rows* labels, whatever the table
     sizes = np.zeros((2, 4), dtype=np.int64)
     for half, low, toxic, count in joined.groupBy("half", "low", "toxic").count().collect():  # 8 rows at most
         sizes[half, low + 2 * toxic] = count
@@ -157,8 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", fit_rows: int
         ratios.append(ratio)
         costs.append(cost)
     ratios, costs = np.stack(ratios), np.stack(costs)
-    share = min(1.0, fit_rows / max(1, int(sizes[1].sum())))
-    chosen = joined.filter("half = 1").filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "low", "toxic")
+    chosen = joined.filter("half = 1").select("text", "low", "toxic")
 
     def measure(batches):
         for batch in batches:
@@ -168,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", fit_rows: int
                 yield pa.RecordBatch.from_arrays([lists, part.column(1), part.column(2)], ["row", "low", "toxic"])
 
     sample = chosen.mapInArrow(measure, "row array<double>, low int, toxic int").toArrow()
-    rows = sample["row"].combine_chunks().flatten().to_numpy().reshape(-1, 2, KINDS + 3) if sample.num_rows else np.zeros((0, 2, KINDS + 3))
-    return ratios, costs, np.stack([fit(rows[:, n], sample[name].to_numpy().astype(float)) for n, name in enumerate(TARGETS)])
+    measured = sample["row"].combine_chunks().flatten().to_numpy().reshape(-1, 2, KINDS + 3) if sample.num_rows else np.zeros((0, 2, KINDS + 3))
+    return ratios, costs, np.stack([fit(measured[:, n], sample[name].to_numpy().astype(float)) for n, name in enumerate(TARGETS)])
 
 
 def _logit(p):
