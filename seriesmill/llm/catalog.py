@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, graph_search, mixing, packing, ppm, quality, simhash, suffixes, vector_links
+from . import extraction, graph_search, mixing, packing, ppm, quality, simhash, suffixes, vector_links, warc
 
-MODULES = (vector_links, extraction, ppm, suffixes, quality, graph_search, mixing, simhash, packing)
+MODULES = (vector_links, extraction, ppm, warc, suffixes, quality, graph_search, mixing, simhash, packing)
 
 
 def queries():
