@@ -211,8 +211,8 @@ def site_rates(scored: DataFrame, target: str) -> DataFrame:
     return paths.select("host", "path", F.greatest(F.least(rate, F.lit(1 - 1e-6)), F.lit(1e-6)).alias(f"{target}_site"), mean.alias(f"{target}_mean"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id: str = "doc_id") -> DataFrame:
-    """Rows (id, host, path, low_evidence, toxic_evidence, low, toxic, kept) with the final chances, one per row of *docs*."""
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, host, path, low_evidence, toxic_evidence, low, toxic, kept, *carry*) with the final chances, one per row of *docs*."""
     model = train(docs, labels, id)
 
     def score(batches):
@@ -220,14 +220,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         for batch in batches:
             for part in by_bytes(batch, 3, 1 << 22):
                 odds = np.einsum("rtf,tf->tr", features(part.column(3), ratios, costs), coefficients)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in range(3)), *(pa.array(x) for x in odds)], ["id", "host", "path", *(f"{t}_evidence" for t in TARGETS)])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in range(3)), *(pa.array(x) for x in odds), *part.columns[4:]], names)
 
     def named(column):  # NULL is a site of its own
         return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("NULL"))
 
-    narrow = docs.select(docs[id].alias("id"), named(docs[host]).alias("host"), named(docs[path]).alias("path"), docs["text"].cast("string").alias("text"))
+    carried = [f"carry_{c}" for c in carry]
+    names = ["id", "host", "path", *(f"{t}_evidence" for t in TARGETS), *carried]
+    narrow = docs.select(
+        docs[id].alias("id"), named(docs[host]).alias("host"), named(docs[path]).alias("path"), docs["text"].cast("string").alias("text"), *(docs[c].alias(f"carry_{c}") for c in carry)
+    )
     odds = F.lit(0.0)
-    schema = narrow.select("id", "host", "path", *(odds.alias(f"{t}_evidence") for t in TARGETS)).schema
+    schema = narrow.select("id", "host", "path", *(odds.alias(f"{t}_evidence") for t in TARGETS), *carried).schema
     scored = saved(narrow.mapInArrow(score, schema))
     chances = scored.withColumns({t: 1 / (1 + F.exp(-F.col(f"{t}_evidence"))) for t in TARGETS})
     out = scored
@@ -238,7 +242,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         out = out.withColumn(target, 1 / (1 + F.exp(-final)))
     plain = {c: F.when(F.col(c) != "NULL", F.substring(c, 2, 1 << 30)) for c in ("host", "path")}
     out = out.withColumns(plain)
-    return out.select("id", "host", "path", *(f"{t}_evidence" for t in TARGETS), *TARGETS, ((F.col("low") <= 0.5) & (F.col("toxic") <= 0.5)).alias("kept"))
+    return out.select("id", "host", "path", *(f"{t}_evidence" for t in TARGETS), *TARGETS, ((F.col("low") <= 0.5) & (F.col("toxic") <= 0.5)).alias("kept"), *(F.col(f"carry_{c}").alias(c) for c in carry))
 
 
 def op6_site_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -247,22 +247,24 @@ def link_prints(prints: DataFrame, distance: int = DISTANCE, group: int = GROUP)
     return links.select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """Rows (id, print, component): the fingerprint as a signed 64-bit number and the smallest id that links reach."""
-    narrow = docs.select(docs[id].alias("id"), docs["text"].cast("string").alias("text"))
+def near_duplicates(docs: DataFrame, id: str = "doc_id", words: int = WORDS, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, print, component, root, *carry*): the fingerprint as a signed 64-bit number, and the smallest id and fingerprint that links reach."""
+    carried = [f"carry_{c}" for c in carry]
+    narrow = docs.select(docs[id].alias("id"), docs["text"].cast("string").alias("text"), *(docs[c].alias(f"carry_{c}") for c in carry))
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), words).view(np.int64))], ["id", "print"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), words).view(np.int64)), *part.columns[2:]], ["id", "print", *carried])
 
-    printed = saved(narrow.mapInArrow(run, narrow.select("id", F.lit(0).cast("long").alias("print")).schema))
+    printed = saved(narrow.mapInArrow(run, narrow.select("id", F.lit(0).cast("long").alias("print"), *carried).schema))
     prints = saved(printed.groupBy("print").agg(F.min("id").alias("first")))
     found = components(link_prints(prints, distance))
     rooted = prints.join(found, prints["print"] == found["node"], "left").select("print", "first", F.coalesce("component", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return printed.join(rooted.join(least, "root").select("print", "component"), "print").select("id", "print", "component")
+    named = rooted.join(least, "root").select("print", "component", "root")
+    return printed.join(named, "print").select("id", "print", "component", "root", *(F.col(f"carry_{c}").alias(c) for c in carry))
 
 
 def op9_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:

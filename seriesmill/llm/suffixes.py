@@ -5,7 +5,8 @@ start) is removed; strings are those of the input and never cross documents.
 
 Equal strings contain the same GRAM-byte gram of least hash (leftmost among equals) at the same place. So the starts
 in a document fall into runs that share this minimizer, and only runs with the same minimizer can hold equal strings. A batch
-keeps the earliest of identical runs and marks the others; the minimizers of the rest are shuffled without text, and
+keeps the earliest of identical runs and marks the others; copies of whole documents, found by their SHA-256, are marked,
+too. The minimizers of the rest are shuffled without text, and
 those seen once are dropped. For the others the text of the runs is dealt by minimizer, the suffix bucket. Runs of a minimizer
 with more than HOT different surroundings are dealt start by start, by their whole string, so that no bucket is large.
 
@@ -192,9 +193,9 @@ def _cut(length: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for doc, packed, listed in zip(*(batch.column(n).to_pylist() for n in range(3))):
-                text = unpack(packed)
-                for item in listed:
+            for doc, packed, listed in zip(*batch.columns):
+                doc, text = doc.as_py(), unpack(packed.as_py())
+                for item in listed.as_py():
                     start, n = item["pos"] & 0xFFFFFFFF, item["n"]
                     if item["state"] == NORMAL:
                         rows.append((item["key"], doc, item["pos"], n, text[start : start + n + length - 1]))
@@ -385,13 +386,16 @@ def repeated(docs: DataFrame, id: str = "doc_id", length: int = LENGTH, gram: in
     found = narrow.select("doc", "print", "text").mapInArrow(_find(length, gram), "key long, doc long, pos long, n int, state int")
     found = saved(found.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(hot), found.schema))
     print_ = F.shiftright("pos", 32).alias("print")
+    copies = saved(_copies(narrow))
     item = F.struct("key", "pos", "n", "state")
     listed = found.filter(F.col("state") != MARKED).groupBy("doc", print_).agg(F.collect_list(item).alias("listed"))  # runs of one document
+    listed = listed.join(copies, ["doc", "print"], "left_anti")
     packed = narrow.mapInArrow(_pack, _packed_schema(narrow))
     cut = packed.select("doc", "print", "packed").dropDuplicates(["doc", "print"]).join(listed, ["doc", "print"]).select("doc", "packed", "listed")
     cut = cut.mapInArrow(_cut(length), "bucket long, doc long, pos long, n int, text binary")
     marked = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mark(length, block), "doc long, pos long, n int")
-    marked = saved(marked.union(found.filter(F.col("state") == MARKED).select("doc", "pos", "n")))
+    whole = copies.filter(F.col("size") >= length).select("doc", F.shiftleft("print", 32).alias("pos"), (F.col("size") - length + 1).cast("int").alias("n"))
+    marked = saved(marked.union(found.filter(F.col("state") == MARKED).select("doc", "pos", "n")).union(whole))
     removed = marked.groupBy("doc", print_).agg(F.collect_list(F.struct(F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"), "n")).alias("removed"))
     joined = packed.join(removed, ["doc", "print"], "left")
     names = [f"keep_{c}" for c in keep]
@@ -416,14 +420,23 @@ def repeated(docs: DataFrame, id: str = "doc_id", length: int = LENGTH, gram: in
     return out.withColumnsRenamed({f"keep_{c}": c for c in keep})
 
 
+def _copies(narrow: DataFrame) -> DataFrame:
+    """(doc, print, size) of the documents whose whole text an earlier one has; all their strings repeat, so none needs sorting."""
+    texts = narrow.select("doc", "print", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest"))
+    first = texts.groupBy("digest").agg(F.min(F.struct("doc", "print")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    return texts.join(first, "digest").filter(F.struct("doc", "print") > F.col("first")).select("doc", "print", "size").distinct()
+
+
 def _pack(batches):
     """The text column compressed, so that it is cheap to shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        columns = {name: batch.column(n) for n, name in enumerate(batch.schema.names)}
-        texts = columns.pop("text").cast(pa.large_binary())
-        columns["packed"] = pa.array([pack(x) for x in texts.to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        for begin in range(0, batch.num_rows, 1000):
+            part = batch.slice(begin, 1000)
+            columns = {name: part.column(n) for n, name in enumerate(part.schema.names)}
+            texts = columns.pop("text").cast(pa.large_binary())
+            columns["packed"] = pa.array([pack(x.as_py()) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _packed_schema(narrow: DataFrame):
