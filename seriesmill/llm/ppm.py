@@ -8,9 +8,10 @@ longer one are excluded. Below the empty context all bytes that are left are equ
 of all bytes. Next to it stands the score of a smoothed unigram model of the words and the end.
 
 What a byte costs depends on the ORDER bytes before it alone, so texts are scored by their different grams (context and
-byte). Documents are dealt to blocks of bounded size. A block hands on its different grams and words with their training counts; grams meet by
-the last three bytes of the context, where counts of all blocks are added and the costs of all grams are computed, and go
-back to the blocks that asked. The trie is thus never in one place; only the contexts of up to two bytes are, at most 2^24 counts. All counts grow
+byte). Documents are dealt to blocks of bounded size. A block hands on its different grams and words with their training counts, compressed
+in pieces by bucket: grams by a hash of the last three bytes of the context, words by their own. In a bucket the counts of all
+blocks are added, the costs of all grams are computed, and the answers go back to the blocks that asked. The number of
+buckets grows with that of the blocks. The trie is thus never in one place; only the contexts of up to two bytes are, at most 2^24 counts. All counts grow
 with the corpus.
 
 A NULL text counts as empty; it has the end token alone. Rows with a NULL id count as training. Repeated rows are documents of their own. An
@@ -22,17 +23,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACES, by_bytes, byte_view, saved, table, word_spans
+from .shared import LOWER, SPACES, byte_view, saved, table, word_spans
 
 ORDER = 5
 SHARED = 2  # contexts of up to so many bytes are known to all tasks
 BLOCK_BYTES = 1 << 25
 BLOCKS = 32
-SLICE = 1 << 22
+BUCKETS = 256
+SLICE = 1 << 20
 END = 10
 
 
@@ -92,11 +95,65 @@ def _slices(rows: pa.Table, unpack):
             yield batch.slice(first, len(texts)), pa.array(texts, pa.large_binary())
 
 
-def _count(order: int):
-    """(block, gram, word, n): the different grams and words of a block, with the training documents' counts."""
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Equally long number columns, compressed; the first is sorted and stored by its steps."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in (first, *columns[1:])))
+
+
+def unsqueeze(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    rows, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for kind in kinds:
+        size = rows * np.dtype(kind).itemsize
+        out.append(np.frombuffer(data[at : at + size], dtype=kind))
+        at += size
+    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
+
+
+def squeeze_words(words: pa.Array, counts: np.ndarray) -> bytes:
+    data, offsets = byte_view(words)
+    parts = (np.array([len(words)], dtype=np.int64), np.diff(offsets).astype(np.int32), counts.astype(np.int64), data)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+
+
+def unsqueeze_words(blob: bytes) -> tuple[pa.Array, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    rows = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+    sizes = np.frombuffer(data, dtype=np.int32, count=rows, offset=8)
+    counts = np.frombuffer(data, dtype=np.int64, count=rows, offset=8 + 4 * rows) if not rows % 2 else np.frombuffer(data[8 + 4 * rows : 8 + 12 * rows], dtype=np.int64)
+    bounds = np.zeros(rows + 1, dtype=np.int64)
+    np.cumsum(sizes, out=bounds[1:])
+    return pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(bounds), pa.py_buffer(data[8 + 12 * rows :])]), counts
+
+
+GRAMS, WORDS, CLOSE = range(3)
+ASKED = "block long, bucket long, kind int, data binary"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    block, bucket, kind, data = zip(*rows) if rows else ((), (), (), ())
+    return pa.table({"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "kind": pa.array(kind, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def _bucket_of(gram: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    """Contexts of three bytes stay together."""
+    owner = (gram >> np.uint64(8 * (order - SHARED))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((owner >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _parts(bucket: np.ndarray):
+    order = np.argsort(bucket, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], bucket[order[1:]] != bucket[order[:-1]]])) if len(order) else []
+    for begin, end in zip(begins, [*begins[1:], len(order)]):
+        yield int(bucket[order[begin]]), order[begin:end]
+
+
+def _count(order: int, buckets: int):
+    """The different grams and words of a block with the training documents' counts, in pieces by bucket."""
 
     def run(key, rows):
-        unpack = zstandard.ZstdDecompressor().decompress
+        block, unpack = key[0].as_py(), zstandard.ZstdDecompressor().decompress
         found, words = [], []
         for part, texts in _slices(rows, unpack):
             text, offsets, parts, before = stream(*byte_view(texts))
@@ -105,25 +162,43 @@ def _count(order: int):
             keys.sort()
             new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             counts = np.diff(new, append=len(keys)) * (keys[new] & np.uint64(1) == 0)
-            found.append(_merge([(keys[new] >> np.uint64(1), counts)]))
+            found.append((keys[new] >> np.uint64(1), counts))
+            if len(found) == 8:
+                found = [_merge(found)]
             coded = parts.dictionary_encode()
             index = coded.indices.to_numpy(zero_copy_only=False)
             trained = np.bincount(index, np.repeat(~held, np.diff(before)), len(coded.dictionary)).astype(np.int64)
             words.append(pa.table({"word": coded.dictionary, "n": trained}))
-        gram, count = _merge(found) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-        tally = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]) if words else pa.table({"word": pa.array([], pa.large_binary()), "n_sum": pa.array([], pa.int64())})
-        first, second = len(gram), tally.num_rows
-        block = pa.array(np.full(first + second, key[0].as_py(), dtype=np.int64))
-        return pa.table({
-            "block": block,
-            "gram": pa.chunked_array([pa.array(gram.view(np.int64)), pa.nulls(second, pa.int64())]),
-            "word": pa.chunked_array([pa.nulls(first, pa.binary()), *tally["word"].cast(pa.binary()).chunks]),
-            "n": pa.chunked_array([pa.array(count), *tally["n_sum"].chunks]),
-        })
+            if len(words) == 8:
+                words = [_add_up(words)]
+        if not found:
+            return _rows([])
+        gram, count = _merge(found)
+        out = [(block, bucket, GRAMS, squeeze(gram[at], count[at])) for bucket, at in _parts(_bucket_of(gram, order, buckets))]
+        short = (gram >> np.uint64(8 * (order - SHARED + 1)) << np.uint64(8)) | (gram & np.uint64(255))
+        out.append((block, -1, CLOSE, squeeze(*_merge([(short[count > 0], count[count > 0])]))))
+        tally = _add_up(words)
+        word, number = tally["word"].combine_chunks(), tally["n"].to_numpy()
+        place = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in word.to_pylist()), dtype=np.int64, count=len(word))
+        out += [(block, bucket, WORDS, squeeze_words(word.take(pa.array(at)), number[at])) for bucket, at in _parts(place)]
+        return _rows(out)
 
     return run
 
 
+def _add_up(words: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
+def _close(batches):
+    """Counts of (context of SHARED bytes, byte)."""
+    for batch in batches:
+        found = [unsqueeze(blob.as_py(), (np.uint64, np.int64)) for blob in batch.column(0)]
+        if found:
+            key, count = _merge(found)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
+
+
 class Short:
     """Contexts of up to SHARED bytes from the counts of (context, byte), the nearest byte in the highest place."""
 
@@ -187,34 +262,26 @@ def costs(gram: np.ndarray, count: np.ndarray, short: Short, order: int) -> np.n
     return cost
 
 
-def _costs(short: Short, order: int):
-    """(block, gram, cost) for rows (block, gram, n) sorted by gram; contexts of three bytes are treated as a whole."""
-
-    def solve(rows):
-        gram = rows["gram"].to_numpy().view(np.uint64)
-        new = np.concatenate([[True], gram[1:] != gram[:-1]])
-        at = np.flatnonzero(new)
-        cost = costs(gram[at], np.add.reduceat(rows["n"].to_numpy(), at), short, order)
-        cost = cost[np.cumsum(new) - 1]
-        return pa.RecordBatch.from_arrays([rows["block"].combine_chunks(), rows["gram"].combine_chunks(), pa.array(cost)], ["block", "gram", "cost"])
-
-    def run(batches):
-        held: list = []
-        waiting = 0
-        bits = np.uint64(8 * (order - SHARED))  # below the bytes of the shortest context that is not shared
-        for batch in batches:
-            held.append(batch)
-            waiting += batch.num_rows
-            if waiting < 500_000:
-                continue
-            rows = pa.Table.from_batches(held)
-            owner = rows["gram"].to_numpy().view(np.uint64) >> bits
-            cut = int(np.searchsorted(owner, owner[-1], side="left"))
-            if cut:
-                yield solve(rows.slice(0, cut))
-            held, waiting = rows.slice(cut).to_batches(), rows.num_rows - cut
-        if waiting:
-            yield solve(pa.Table.from_batches(held))
+def _answer(short: Short, order: int):
+    """For the pieces of a bucket: grams with their costs, words with their counts, and the bucket's tokens and different words."""
+
+    def run(key, rows):
+        bucket, out = key[0].as_py(), []
+        kind, block, data = rows["kind"].to_numpy(), rows["block"].to_pylist(), rows["data"]
+        mine = np.flatnonzero(kind == GRAMS).tolist()
+        if mine:
+            asked = [unsqueeze(data[n].as_py(), (np.uint64, np.int64)) for n in mine]
+            gram, count = _merge(asked)
+            cost = costs(gram, count, short, order)
+            out += [(block[n], bucket, GRAMS, squeeze(own, cost[np.searchsorted(gram, own)])) for n, (own, _) in zip(mine, asked)]
+        mine = np.flatnonzero(kind == WORDS).tolist()
+        if mine:
+            asked = [unsqueeze_words(data[n].as_py()) for n in mine]
+            tally = _add_up([pa.table({"word": w, "n": c}) for w, c in asked])
+            word, count = tally["word"].combine_chunks(), tally["n"].to_numpy()
+            out += [(block[n], bucket, WORDS, squeeze_words(w, count[pc.index_in(w, value_set=word).to_numpy(zero_copy_only=False)])) for n, (w, _) in zip(mine, asked)]
+            out.append((int(count.sum()), int((count > 0).sum()), CLOSE, b""))
+        return _rows(out)
 
     return run
 
@@ -225,13 +292,14 @@ def _score(order: int, ends: int, total: int, kinds: int):
 
     def run(docs, answers):
         unpack = zstandard.ZstdDecompressor().decompress
-        is_gram = pc.is_valid(answers["gram"])
-        known = answers.filter(is_gram)
-        gram, cost = known["gram"].to_numpy().view(np.uint64), known["cost"].to_numpy()
+        kind, data = answers["kind"].to_numpy(), answers["data"]
+        found = [unsqueeze(data[n].as_py(), (np.uint64, np.float64)) for n in np.flatnonzero(kind == GRAMS).tolist()]
+        gram, cost = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0))
         turn = np.argsort(gram)
         gram, cost = gram[turn], cost[turn]
-        known = answers.filter(pc.invert(is_gram))
-        words, count = known["word"].combine_chunks().cast(pa.large_binary()), known["n"].to_numpy()
+        found = [unsqueeze_words(data[n].as_py()) for n in np.flatnonzero(kind == WORDS).tolist()]
+        words = pa.concat_arrays([w for w, _ in found]) if found else pa.array([], pa.large_binary())
+        count = np.concatenate([c for _, c in found]) if found else np.zeros(0, dtype=np.int64)
         out = []
         for part, texts in _slices(docs, unpack):
             text, offsets, parts, before = stream(*byte_view(texts))
@@ -269,23 +337,15 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", order: int = OR
     count = max(blocks, -(-size // block_bytes))
     narrow = narrow.withColumn("held", F.coalesce(held_out, F.lit(False))).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
     packed = narrow.mapInArrow(_pack, "id long, held boolean, block long, packed binary")
-    asked = saved(packed.groupBy("block").applyInArrow(_count(order), "block long, gram long, word binary, n long"))
-    wanted, words = asked.filter("gram IS NOT NULL").select("block", "gram", "n"), asked.filter("word IS NOT NULL").select("block", "word", "n")
-
-    high = F.shiftrightunsigned("gram", 8 * (order - SHARED + 1)) * 256 + F.col("gram").bitwiseAND(F.lit(255))
-    close = wanted.filter("n > 0").groupBy(high.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # 2^24 rows at most
+    buckets = max(BUCKETS, count // 16)
+    asked = saved(packed.groupBy("block").applyInArrow(_count(order, buckets), ASKED))
+    close = asked.filter(F.col("kind") == CLOSE).select("data").mapInArrow(_close, "key long, n long")
+    close = close.groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # 2^24 rows at most
     short = Short(close["key"].to_numpy().astype(np.uint64), close["n"].to_numpy())
-    owner = F.shiftrightunsigned("gram", 8 * (order - SHARED)).alias("owner")
-    priced = wanted.withColumn("owner", owner).repartition("owner").drop("owner").sortWithinPartitions("gram").mapInArrow(_costs(short, order), "block long, gram long, cost double")
-
-    counted = words.groupBy("word").agg(F.sum("n").alias("n"))
-    total, kinds = counted.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    answers = saved(asked.filter(F.col("kind") != CLOSE).groupBy("bucket").applyInArrow(_answer(short, order), ASKED))
+    total, kinds = answers.filter(F.col("kind") == CLOSE).agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("bucket"), F.lit(0))).first()
     ends = narrow.filter(~F.col("held")).count()
-    counted = words.select("block", "word").join(counted, "word")
-    nothing = F.lit(None)
-    answers = priced.select("block", "gram", "cost", nothing.cast("binary").alias("word"), nothing.cast("long").alias("n")).union(
-        counted.select("block", nothing.cast("long"), nothing.cast("double"), "word", "n")
-    )
+    answers = answers.filter(F.col("kind") != CLOSE)
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, ends, total + ends, kinds + (ends > 0)), schema)
 
