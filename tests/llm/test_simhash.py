@@ -1,38 +1,14 @@
 import random
 
 import numpy as np
-import xxhash
 
 from seriesmill.llm import simhash
 from seriesmill.llm.components import components
+from tests_llm_helpers import brute_components, brute_print
 
 SCHEMA = "doc_id long, text string, print string, a int"
 
 
-def brute_print(text):
-    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = [w for w in lowered.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
-    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] * bool(words)
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def brute_components(prints, distance=4):
-    found = {p: p for p in prints}
-
-    def top(p):
-        while found[p] != p:
-            p = found[p]
-        return p
-
-    unique = sorted(set(prints))
-    for i, a in enumerate(unique):
-        for b in unique[:i]:
-            if bin(a ^ b).count("1") <= distance:
-                found[top(a)] = top(b)
-    return {p: top(p) for p in unique}
-
-
 def near_prints(seed=7, centres=60):
     draw = random.Random(seed)
     prints = [0, 1, (1 << 64) - 1]
