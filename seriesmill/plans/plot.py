@@ -87,7 +87,7 @@ def plot_points(
     dictionaries = {source: text_dictionary(frame, names, by) for source, names in texts.items()}
     x_categories = None
     if category:
-        position = F.col(result.order[0]) if job.aggregation.bucketed else order_struct(prepared)
+        position = F.col(result.order[0]) if job.bucketed else order_struct(prepared)
         x_categories = category_dictionary(frame, prepared.x, position, by)
         frame = encode(frame, prepared.x, x_categories, by, "bigint")
     for source, names in texts.items():
