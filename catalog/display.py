@@ -108,18 +108,18 @@ QUERIES = {
            UNION ALL SELECT 'event_id', epoch_us(ts) / 1e6::DOUBLE, event_id::DOUBLE FROM events""",
     ),
     "envelope": (
-        _plot("events", EVENTS, ("event_id",), max_points=1000, envelope_buckets=400),
+        _plot("events", EVENTS, ("event_id",), buckets=400),
         """WITH b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events), w AS (SELECT lo, greatest(1, ceil((hi - lo + 1) / 400))::BIGINT AS w FROM b),
            src AS (SELECT (epoch_us(ts) - lo) // w AS b, epoch_us(ts) / 1e6::DOUBLE AS x, value AS v FROM events, w)""" + ENVELOPE_SQL.format(key=""),
     ),
     "envelope_points": (
-        _plot("lineitem", {"x": "l_extendedprice", "y": ["value"]} | {"y": ["l_quantity"]}, ("pos",), max_points=1000, envelope_buckets=250),
+        _plot("lineitem", {"x": "l_extendedprice", "y": ["value"]} | {"y": ["l_quantity"]}, ("pos",), buckets=250),
         """WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), w AS (SELECT lo, (hi - lo) / 250.0::DOUBLE AS w FROM b),
            src AS (SELECT least(greatest(floor((l_extendedprice - lo) / w), 0), 249) AS b, l_extendedprice AS x, l_quantity AS v FROM lineitem, w)"""
         + ENVELOPE_SQL.format(key="").replace("'value'", "'l_quantity'"),
     ),
     "envelope_per_user": (
-        _plot("events", EVENTS, ("event_id",), ("user_id",), max_points=10, envelope_buckets=12),
+        _plot("events", EVENTS, ("event_id",), ("user_id",), buckets=12),
         """WITH b AS (SELECT user_id, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events GROUP BY 1),
            w AS (SELECT user_id, lo, greatest(1, ceil((hi - lo + 1) / 12))::BIGINT AS w FROM b),
            src AS (SELECT e.user_id, (epoch_us(ts) - lo) // w AS b, epoch_us(ts) / 1e6::DOUBLE AS x, value AS v FROM events e JOIN w ON e.user_id = w.user_id)"""
@@ -148,7 +148,7 @@ QUERIES = {
         PLACES_SQL + " SELECT 'o_totalprice' AS series, x, o_totalprice AS y FROM n JOIN k ON o_orderpriority = c",
     ),
     "category_envelope": (
-        _plot("orders", {"x": "o_orderpriority", "y": ["o_totalprice"]}, ("pos",), max_points=2),
+        _plot("orders", {"x": "o_orderpriority", "y": ["o_totalprice"]}, ("pos",), buckets=1),
         PLACES_SQL + """ SELECT 'o_totalprice' AS series, x, min(o_totalprice) AS y FROM n JOIN k ON o_orderpriority = c GROUP BY x
            UNION ALL SELECT 'o_totalprice', x, max(o_totalprice) FROM n JOIN k ON o_orderpriority = c GROUP BY x""",
     ),

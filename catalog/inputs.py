@@ -34,11 +34,11 @@ def _profile(spark, folder):
 def _dialects(spark, folder):
     """The dialect of every document, taken as one CSV file each."""
     docs = table(spark, folder, "documents")
-    return C.with_dialect(docs, C.head_lines(F.col("text"))).select("doc_id", "separator", "decimal_comma")
+    return C.with_dialect(docs, C.text_lines(F.col("text"))).select("doc_id", "separator", "decimal_comma")
 
 
 DIALECT_SQL = r"""
-    WITH h AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '^\x{FEFF}', ''), '\r\n|\n|\r'), lambda l: trim(l) <> '')[1:50] AS ls FROM documents),
+    WITH h AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '^\x{FEFF}', ''), '\r\n|\n|\r'), lambda l: trim(l) <> '') AS ls FROM documents),
     bare AS (SELECT doc_id, ls, list_transform(ls, lambda l: regexp_replace(l, '"[^"]*"?', '', 'g')) AS bs FROM h),
     c AS (SELECT doc_id, ls, list_transform(bs, lambda l: length(l) - length(replace(l, ',', ''))) AS c1, list_transform(bs, lambda l: length(l) - length(replace(l, ';', ''))) AS c2,
           list_transform(bs, lambda l: length(l) - length(replace(l, chr(9), ''))) AS c3, list_transform(bs, lambda l: length(l) - length(replace(l, '|', ''))) AS c4 FROM bare),
@@ -76,7 +76,7 @@ def _typed(spark, folder):
 
 
 def _infer(spark, folder):
-    counts = C.cell_classes(_cells(spark, folder), COLUMNS, (), F.col("pos") < C.INFER_ROWS, decimal_comma=True)
+    counts = C.cell_classes(_cells(spark, folder), COLUMNS, (), decimal_comma=True)
     return C.infer_types(counts, COLUMNS).select("column", "type", "rows")
 
 
@@ -93,7 +93,7 @@ def _late(spark, folder):
         F.col("l_tax").cast("string").alias("v"),
     )
     columns = ["n", "t", "d", "flag", "v"]
-    counts = C.cell_classes(cells, columns, ["l_linestatus"], F.col("pos") < 4000)
+    counts = C.cell_classes(cells, columns, ["l_linestatus"])
     return C.infer_types(counts, columns, ["l_linestatus"])
 
 
@@ -154,7 +154,7 @@ QUERIES = {
     "csv_widen_types": (
         _late,
         """WITH s AS (SELECT l_linestatus, count(*) AS rows FROM lineitem GROUP BY 1)
-           SELECT l_linestatus, unnest(['n', 't', 'd', 'flag', 'v']) AS "column", unnest(['integer', 'date', 'date', 'boolean', 'float']) AS head_type,
+           SELECT l_linestatus, unnest(['n', 't', 'd', 'flag', 'v']) AS "column",
            unnest(['float', 'text', 'text', 'text', 'float']) AS type, rows FROM s""",
     ),
     "exclude_own_outputs": (_own, PATHS_SQL + " SELECT source FROM p WHERE source NOT IN (SELECT source FROM o)"),

@@ -76,15 +76,6 @@ def _preview(spark, folder):
     return preview(numbered(spark, folder, "lineitem"), job, rows=20)
 
 
-def _capped(spark, folder):
-    """The first 2,000 rows in file order that are in range, sorted and bucketed."""
-    job = Job.from_dict({
-        "x": "o_orderdate", "y": ["o_totalprice"], "ranges": [["1997-01-01", None]],
-        "aggregation": {"method": "interval", "every": "1y", "functions": ["mean", "count"]},
-    })
-    return rounded(run(prepare(numbered(spark, folder, "orders"), job), row_cap=2000).frame, 6)
-
-
 def _window(spark, folder):
     """The first 500 rows of a view, with their original types."""
     lo = 1704412800.0  # 2024-01-05
@@ -162,12 +153,6 @@ QUERIES = {
            l AS (SELECT line_no, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f') || ';' || printf('%.1f', l_extendedprice) || ';' || l_returnflag AS line FROM r WHERE line_no <= 20)
            SELECT 0::BIGINT AS line_no, 'l_shipdate;l_extendedprice;l_returnflag' AS line UNION ALL SELECT line_no, line FROM l""",
     ),
-    "preview_capped": (
-        _capped,
-        """WITH n AS (SELECT row_number() OVER () - 1 AS i, * FROM orders), c AS (SELECT * FROM n WHERE o_orderdate >= TIMESTAMP '1997-01-01' ORDER BY i LIMIT 2000)
-           SELECT date_trunc('year', o_orderdate)::TIMESTAMP AS o_orderdate, round(avg(o_totalprice), 6) AS o_totalprice_mean, count(o_totalprice) AS o_totalprice_count
-           FROM c GROUP BY 1""",
-    ),
     "table_window": (
         _window,
         """SELECT ts, event_type, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 500""",

@@ -21,7 +21,9 @@ def interval_bucket(x: Column, dtype: T.DataType, every: str | float, scaled: bo
     if unit == "number":
         if isinstance(dtype, INTEGERS) and not scaled and float(size).is_integer():
             return x - F.pmod(x, F.lit(int(size)))
-        return F.floor(x / F.lit(float(size))) * F.lit(float(size))
+        # floor gives a BIGINT; from 2^53 on doubles are whole, and infinities stay what they are.
+        steps = x / F.lit(float(size))
+        return F.when(F.abs(steps) < float(1 << 53), F.floor(steps).cast("double")).otherwise(steps) * F.lit(float(size))
 
     def truncate(wall: Column) -> Column:
         if unit == "months":

@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from .joins import lookup_join
 from .order import number_table, slice_rows
 
-#: Plots hold at most this many rows before they are reduced; fewer with a text x axis.
-MAX_POINTS = 1_000_000
-CATEGORY_MAX_POINTS = 100_000
-ENVELOPE_BUCKETS = 50_000
-
 
 def long_points(df: DataFrame, by: Sequence[str], x: Column, outputs: Sequence[str]) -> DataFrame:
     """``(by, series, x, y)``: one row per output value, all as doubles."""

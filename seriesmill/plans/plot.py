@@ -1,4 +1,4 @@
-"""Points and rows for display: full rows, or a min/max envelope when there are too many."""
+"""Points and rows for display: full rows, or a min/max envelope where one is asked for."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..operators.bounds import with_bounds
 from ..operators.buckets import points_bucket
 from ..operators.display import (
-    CATEGORY_MAX_POINTS, ENVELOPE_BUCKETS, MAX_POINTS, category_dictionary, encode, envelope, long_points, text_dictionary,
+    category_dictionary, encode, envelope, long_points, text_dictionary,
 )
 from ..operators.normalise import plot_x
 from ..operators.order import first_rows
@@ -54,7 +54,7 @@ def _prepared(df: DataFrame, job: Job, by, tie, zone, view) -> tuple[Prepared, b
 
 
 def total_estimate(prepared: Prepared, df: DataFrame) -> int:
-    """The largest estimate of any series, which decides whether plots are reduced."""
+    """The largest estimate of any series."""
     if prepared.bounds is None:
         method = prepared.job.aggregation.method
         if method != "per_value":
@@ -69,15 +69,16 @@ def plot_points(
     by: Sequence[str] = (),
     tie: Sequence[str] = ("pos",),
     zone: str | None = None,
-    max_points: int = MAX_POINTS,
-    envelope_buckets: int = ENVELOPE_BUCKETS,
+    buckets: int | None = None,
     view: tuple[float, float] | None = None,
 ) -> Points:
-    """The points of a plot. The job's ranges are not applied; *view* loads one window of x."""
+    """The points of a plot. The job's ranges are not applied; *view* loads one window of x.
+
+    All points, or with *buckets* the lowest and highest of each of so many buckets (of each category on a text axis).
+    """
     prepared, category = _prepared(df, job, by, tie, zone, view)
     by = prepared.by
     estimate = total_estimate(prepared, df)
-    reduce = estimate > (min(max_points, CATEGORY_MAX_POINTS) if category else max_points)
     result = run(prepared)
     frame, x = result.df, F.col(prepared.x)
     texts: dict[str, list[str]] = {}
@@ -95,7 +96,7 @@ def plot_points(
             frame = encode(frame, name, dictionaries[source], by)
     dtype = T.LongType() if category else prepared.dtype
     outputs = [name for name, _, _ in prepared.outputs]
-    if not reduce:
+    if buckets is None:
         points = long_points(frame, by, plot_x(x, dtype), outputs)
         return Points(points, estimate, False, prepared.bounds, x_categories, dictionaries)
     if category:
@@ -107,7 +108,7 @@ def plot_points(
         frame, lo, hi = with_bounds(frame, prepared.bounds, by)
     if prepared.intervals:
         lo, hi = (F.lit(end).cast(prepared.bounds.schema["lo"].dataType) for end in (prepared.intervals[0].lo, prepared.intervals[0].hi))
-    bucket = points_bucket(x, prepared.dtype, envelope_buckets, False, lo, hi)
+    bucket = points_bucket(x, prepared.dtype, buckets, False, lo, hi)
     points = envelope(frame, by, bucket, plot_x(x, dtype), outputs)
     return Points(points, estimate, True, prepared.bounds, None, dictionaries)
 
@@ -123,7 +124,7 @@ class Table:
 
 
 def table_rows(
-    df: DataFrame, job: Job, tie: Sequence[str] = ("pos",), zone: str | None = None, limit: int = 50_000,
+    df: DataFrame, job: Job, tie: Sequence[str] = ("pos",), zone: str | None = None, *, limit: int,
     view: tuple[float, float] | None = None, by: Sequence[str] = (),
 ) -> Table:
     """The first *limit* processed rows of an x window, and whether there are more."""

@@ -18,7 +18,7 @@ from ..operators.aggregate import aggregate
 from ..operators.bounds import with_bounds, x_bounds
 from ..operators.buckets import interval_bucket, points_bucket
 from ..operators.normalise import is_valid, key_type, normalise, x_key
-from ..operators.order import every_nth, first_rows
+from ..operators.order import every_nth
 from ..operators.ranges import Interval, any_inside, resolve, span_of, split_by_interval, stored_filter
 from ..sources.schema import kind_of, x_kind_of
 from .checks import check_job, interval_of
@@ -149,7 +149,7 @@ def keep_ranges(prepared: Prepared, intervals: Sequence[Interval] | None = None)
     return prepared.df if predicate is None else prepared.df.filter(predicate)
 
 
-def run(prepared: Prepared, split: bool = False, row_cap: int | None = None, slice_rows: int | None = None) -> Processed:
+def run(prepared: Prepared, split: bool = False, slice_rows: int | None = None) -> Processed:
     """Filter, then thin or aggregate. With *split*, each range is a result of its own."""
     job, by = prepared.job, list(prepared.by)
     if split:
@@ -157,8 +157,6 @@ def run(prepared: Prepared, split: bool = False, row_cap: int | None = None, sli
         by += ["range_no", "range"]
     else:
         rows = keep_ranges(prepared)
-    if row_cap is not None:  # the first matching rows in file order
-        rows = first_rows(rows, row_cap, prepared.tie)
     method = job.aggregation.method
     if method in ("none", "every_nth"):
         if method == "every_nth":

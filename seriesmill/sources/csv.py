@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,13 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import lookup_join
+from .files import plain_path
 
 # What a CSV cell or file may look like.
 NULL_TEXTS = ("NA", "N/A", "#N/A", "null", "NULL")
 SEPARATORS = (",", ";", "\t", "|")
-INFER_ROWS = 10_000
-SNIFF_LINES = 50
-SNIFF_BYTES = 64 * 1024
 INTEGER = r"^[+-]?[0-9]+$"
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|NaN)$"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -33,36 +32,15 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``(source, block, at, line)``: text lines in file order along ``(block, at)``."""
     df = spark.read.text([paths] if isinstance(paths, str) else list(paths))
     return df.select(
-        F.col("_metadata.file_path").alias("source"),
+        plain_path(F.col("_metadata.file_path")).alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
         F.col("value").alias("line"),
     )
 
 
-def read_heads(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``(source, text)``: the sniffed start of each file in *files* (``path``, ``size``).
-
-    Detection only looks at the start of a file, so one task opens a file and reads no more.
-    """
-
-    def heads(batches):
-        import pyarrow.fs as fs
-
-        for batch in batches:
-            texts = []
-            for path in batch["path"]:
-                system, inner = fs.FileSystem.from_uri(path)
-                with system.open_input_file(inner) as handle:
-                    texts.append(bytes(handle.read(SNIFF_BYTES)))
-            yield batch.assign(head=texts)[["path", "head"]]
-
-    count = max(1, spark.sparkContext.defaultParallelism)
-    return files.select("path").repartition(count, "path").mapInPandas(heads, "path string, head binary")
-
-
 def with_dialect(df: DataFrame, lines: Column, tab_file: Column | None = None) -> DataFrame:
-    """Add ``separator`` and ``decimal_comma``, found from an array of the first non-blank lines.
+    """Add ``separator`` and ``decimal_comma``, found from an array of the non-blank lines.
 
     The separator found equally often on every line wins, then the one that makes most columns.
     Each step is a column of its own, so that nothing is computed again for every line.
@@ -100,25 +78,52 @@ def _around(pattern: str) -> str:
     return pattern.replace("^", r'^\s*"*', 1)[:-1] + r'"*\s*$'
 
 
-def head_lines(text: Column) -> Column:
-    """The lines detection looks at: non-blank, from the start of the text, without a cut-off one."""
-    head = F.when(text.startswith("\uFEFF"), F.substr(text, F.lit(2))).otherwise(text)
+def text_lines(text: Column) -> Column:
+    """The non-blank lines of a text."""
+    whole = F.when(text.startswith("\uFEFF"), F.substr(text, F.lit(2))).otherwise(text)
     # Splitting at one plain character is much faster than at alternatives.
-    head = F.when(head.contains("\r"), F.regexp_replace(head, "\r\n?", "\n")).otherwise(head)
-    lines = F.split(head, "\n")
-    return F.slice(F.filter(lines, lambda line: F.trim(line) != ""), 1, SNIFF_LINES)
+    whole = F.when(whole.contains("\r"), F.regexp_replace(whole, "\r\n?", "\n")).otherwise(whole)
+    return F.filter(F.split(whole, "\n"), lambda line: F.trim(line) != "")
 
 
 def file_dialects(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``(source, separator, decimal_comma, error)`` for each CSV file in *files*."""
-    heads = read_heads(spark, files)
-    text = F.make_valid_utf8(F.col("head").cast("string"))
-    # A full sample probably ends in the middle of a line.
-    text = F.when(F.length("head") >= SNIFF_BYTES, F.regexp_replace(text, r"[\r\n][^\r\n]*$", "")).otherwise(text)
-    error = F.when(F.col("head").cast("string").contains("\x00"), "neither a Parquet nor a CSV file").when(F.length("head") == 0, "not a readable CSV file")
-    rows = heads.select(F.col("path").alias("source"), head_lines(text).alias("_head"), error.alias("error"))
-    found = with_dialect(rows, F.col("_head"), F.col("source").rlike(r"(?i)\.tsv$"))
-    return found.select("source", "separator", "decimal_comma", "error")
+    """``(source, separator, decimal_comma, error)`` for each CSV file in *files* (``path``).
+
+    All lines count. Each line gives the number of every separator outside quotes and whether a cell between them reads
+    as a number with a decimal comma or point; one hash aggregate per file compares the lines.
+    """
+    paths = [row.path for row in files.select("path").collect()]  # names only
+    if not paths:
+        return spark.createDataFrame([], "source string, separator string, decimal_comma boolean, error string")
+    lines = read_lines(spark, paths)
+    first = F.min(F.struct("block", "at"))
+    starts = lines.filter(F.trim("line") != "").groupBy("source").agg(first.alias("_first"))
+    bare = F.regexp_replace(F.regexp_replace("line", "^\uFEFF", ""), '"[^"]*"?', "")
+    seen = {f"_n{i}": F.length("_bare") - F.length(F.replace("_bare", F.lit(s), F.lit(""))) for i, s in enumerate(SEPARATORS)}
+    for i, separator in enumerate(SEPARATORS):
+        edge = re.escape(separator)
+        for name, pattern in (("comma", COMMA_FLOAT), ("point", POINT_FLOAT)):
+            cell = rf'(^|{edge})\s*"*{pattern[1:-1]}"*\s*($|{edge})'
+            seen[f"_{name}{i}"] = F.col("line").rlike(cell)
+    rows = lines.withColumn("_bare", bare).withColumns(seen).join(starts, "source", "left")
+    head = F.struct("block", "at") == F.col("_first")
+    used = F.trim("line") != ""
+    aggregates = [F.max(F.col("line").contains("\x00")).alias("_binary")]
+    for i in range(len(SEPARATORS)):
+        count = F.when(used, F.col(f"_n{i}"))
+        aggregates += [F.min(count).alias(f"_least{i}"), F.max(count).alias(f"_most{i}"), F.max(F.when(head, count)).alias(f"_top{i}")]
+        aggregates += [F.max(F.col(f"_{name}{i}") & ~F.coalesce(head, F.lit(False))).alias(f"_{name}{i}") for name in ("comma", "point")]
+    found = rows.groupBy("source").agg(*aggregates)
+    scores = []
+    for i, separator in enumerate(SEPARATORS):
+        same = F.col(f"_least{i}") == F.col(f"_most{i}")
+        decimal = F.col(f"_comma{i}") & ~F.col(f"_point{i}") & F.lit(separator != ",")
+        score = F.struct(same.alias("same"), F.col(f"_top{i}").alias("columns"), F.lit(-i).alias("rank"), F.lit(separator).alias("separator"), decimal.alias("decimal_comma"))
+        given = F.lit(separator == "\t")
+        scores.append(F.when(F.when(F.col("source").rlike(r"(?i)\.tsv$"), given).otherwise(F.col(f"_top{i}") > 0), score))
+    best = F.array_max(F.array_compact(F.array(*scores)))
+    error = F.when(F.col("_binary"), "neither a Parquet nor a CSV file")
+    return found.select("source", F.coalesce(best["separator"], F.lit(",")).alias("separator"), F.coalesce(best["decimal_comma"], F.lit(False)).alias("decimal_comma"), error.alias("error"))
 
 
 # -- types ----------------------------------------------------------------------------------
@@ -159,16 +164,11 @@ def cell_class(name: str, decimal_comma: bool = False) -> Column:
     )
 
 
-def cell_classes(
-    cells: DataFrame, columns: Sequence[str], by: Sequence[str] = (), head: Column | None = None, decimal_comma: bool = False
-) -> DataFrame:
-    """One aggregate over all rows: the classes met per column, in the head rows and overall."""
+def cell_classes(cells: DataFrame, columns: Sequence[str], by: Sequence[str] = (), decimal_comma: bool = False) -> DataFrame:
+    """One aggregate over all rows: the classes met per column."""
     classes = [cell_class(name, decimal_comma).alias(f"_k{i}") for i, name in enumerate(columns)]
-    rows = cells.select(*by, (F.lit(True) if head is None else head).alias("_head"), *classes)
-    aggregates = ["count(1) AS rows"]
-    for i in range(len(columns)):
-        aggregates += [f"bit_or(IF(_head, _k{i}, 0)) AS head{i}", f"bit_or(_k{i}) AS all{i}"]
-    return rows.groupBy(*by).agg(*[F.expr(text) for text in aggregates])
+    met = [F.expr(f"bit_or(_k{i}) AS all{i}") for i in range(len(columns))]
+    return cells.select(*by, *classes).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *met)
 
 
 def _only(classes: str, *kinds: str) -> str:
@@ -176,20 +176,14 @@ def _only(classes: str, *kinds: str) -> str:
     return f"{classes} & {sum(bit for kind, bit in CLASSES.items() if kind not in kinds)} = 0"
 
 
-def infer_types(classes: DataFrame, columns: Sequence[str], by: Sequence[str] = (), verify: bool = True) -> DataFrame:
-    """``(by, column, head_type, type, rows)``: the narrowest type of the head rows, widened to
-    float or text where later cells do not fit (unless *verify* is off)."""
-    names = ", ".join(f"{_text(name)}, coalesce(head{i}, 0), coalesce(all{i}, 0)" for i, name in enumerate(columns))
-    rows = classes.select(*by, "rows", F.expr(f"stack({len(columns)}, {names}) AS (column, _head, _all)"))
-    alone = [f"WHEN {_only('_head', kind)} THEN '{kind}'" for kind in ("boolean", "date", "datetime")]
-    guess = f"""CASE WHEN _head = 0 THEN 'text' WHEN {_only('_head', 'integer')} THEN 'integer'
-        WHEN {_only('_head', 'integer', 'float')} THEN 'float' {' '.join(alone)} ELSE 'text' END"""
-    kept = [f"WHEN head_type = '{kind}' AND {_only('_all', kind)} THEN '{kind}'" for kind in ("integer", "boolean", "date", "datetime")]
-    wide = f"""CASE {' '.join(kept)} WHEN head_type IN ('integer', 'float') AND {_only('_all', 'integer', 'float')}
-        THEN 'float' ELSE 'text' END"""
-    rows = rows.withColumn("head_type", F.expr(guess))
-    rows = rows.withColumn("type", F.expr(wide) if verify else F.col("head_type"))
-    return rows.select(*by, "column", "head_type", "type", "rows")
+def infer_types(classes: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(by, column, type, rows)``: the narrowest type that all cells of a column read as."""
+    names = ", ".join(f"{_text(name)}, coalesce(all{i}, 0)" for i, name in enumerate(columns))
+    rows = classes.select(*by, "rows", F.expr(f"stack({len(columns)}, {names}) AS (column, _all)"))
+    alone = [f"WHEN {_only('_all', kind)} THEN '{kind}'" for kind in ("boolean", "date", "datetime")]
+    kind = f"""CASE WHEN _all = 0 THEN 'text' WHEN {_only('_all', 'integer')} THEN 'integer'
+        WHEN {_only('_all', 'integer', 'float')} THEN 'float' {' '.join(alone)} ELSE 'text' END"""
+    return rows.select(*by, "column", F.expr(kind).alias("type"), "rows")
 
 
 def typed_cell(cell: Column, kind: str, decimal_comma: bool = False) -> Column:
@@ -229,7 +223,7 @@ def read_cells(spark: SparkSession, paths: str | Sequence[str], separator: str =
     df = reader.option("nullValue", "\u0000").option("emptyValue", "").option("enforceSchema", "false").csv(paths)
     return df.select(
         "*",
-        F.col("_metadata.file_path").alias("source"),
+        plain_path(F.col("_metadata.file_path")).alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
@@ -247,14 +241,11 @@ def number_lines(df: DataFrame, name: str = "pos") -> DataFrame:
     return joined.withColumn(name, F.col("at") + F.col("_shift")).drop("block", "at", "_shift")
 
 
-def inspect_csv(
-    spark: SparkSession, path: str, separator: str, decimal_comma: bool, verify: bool = True
-) -> tuple[dict[str, str], int]:
+def inspect_csv(spark: SparkSession, path: str, separator: str, decimal_comma: bool) -> tuple[dict[str, str], int]:
     """Column types of the CSV files under *path* (one dialect) and their number of rows."""
-    cells = number_lines(read_cells(spark, path, separator))
-    names = [n for n in cells.columns if n not in ("source", "pos")]
-    classes = cell_classes(cells, names, (), F.col("pos") < INFER_ROWS, decimal_comma)
-    rows = infer_types(classes, names, (), verify).collect()  # one row per column
+    cells = read_cells(spark, path, separator)
+    names = [n for n in cells.columns if n not in ("source", "block", "at")]
+    rows = infer_types(cell_classes(cells, names, (), decimal_comma), names).collect()  # one row per column
     return {row.column: row.type for row in rows}, rows[0].rows if rows else 0
 
 

@@ -40,6 +40,11 @@ def find_inputs(spark: SparkSession, paths: Iterable[str], recursive: bool = Fal
     return found.dropDuplicates(["path"])
 
 
+def plain_path(path):
+    """A path of file metadata, where special characters are escaped, as listings have it."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def file_format(path):
     """``parquet`` or ``csv`` from the suffix of a path column."""
     return F.when(_suffix_test(path, PARQUET_SUFFIXES), "parquet").otherwise("csv")
@@ -106,7 +111,7 @@ def read_parquet(spark: SparkSession, paths: str | Sequence[str], recursive: boo
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.parquet(*([paths] if isinstance(paths, str) else paths))
-    return df.select("*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.row_index").alias("pos"))
+    return df.select("*", plain_path(F.col("_metadata.file_path")).alias("source"), F.col("_metadata.row_index").alias("pos"))
 
 
 def number_across_sources(df: DataFrame, source: str = "source", pos: str = "pos") -> DataFrame:
@@ -128,5 +133,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="seriesmill-")
     return posixpath.join(shared, f"{name}-{uuid.uuid4().hex}")

@@ -27,7 +27,7 @@ def test_full_points(telemetry):
 
 
 def test_envelope_keeps_peaks(telemetry):
-    got = plot_points(telemetry, job(y=["speed", "temp"]), max_points=100, envelope_buckets=20)
+    got = plot_points(telemetry, job(y=["speed", "temp"]), buckets=20)
     speed = pairs(got.points, "speed")
     assert got.reduced and len(speed) == 40 and min(y for _, y in speed) == 0 and max(y for _, y in speed) == 599
     temp = pairs(got.points, "temp")
@@ -36,23 +36,23 @@ def test_envelope_keeps_peaks(telemetry):
 
 def test_envelope_of_buckets_and_missing_values(telemetry):
     empty = telemetry.withColumn("speed", F.when(F.col("speed") >= 300, F.col("speed")))
-    got = plot_points(empty, job(), max_points=100, envelope_buckets=10)
+    got = plot_points(empty, job(), buckets=10)
     assert len(pairs(got.points)) == 10  # the five buckets without values are left out
     means = job(aggregation={"method": "interval", "every": "1s", "functions": ["mean", "max"]})
-    got = plot_points(telemetry, means, max_points=10, envelope_buckets=6)
+    got = plot_points(telemetry, means, buckets=6)
     assert got.reduced and len(pairs(got.points, "speed_max")) == 12
 
 
 def test_scaled_points_and_table(telemetry):
     settings = job(scaling={"speed": {"scale": -1}, "time": {"offset": 60}})
     assert plot_points(telemetry, settings).bounds.first().lo == (LO + 60) * 1e6
-    reduced = plot_points(telemetry, settings, max_points=100, envelope_buckets=10)
+    reduced = plot_points(telemetry, settings, buckets=10)
     assert min(y for _, y in pairs(reduced.points)) == -599
-    assert table_rows(telemetry, settings).rows.collect()[1].speed == -1.0
+    assert table_rows(telemetry, settings, limit=1000).rows.collect()[1].speed == -1.0
 
 
 def test_detail_and_splice(telemetry):
-    overview = plot_points(telemetry, job(y=["speed", "rpm"]), max_points=100, envelope_buckets=10)
+    overview = plot_points(telemetry, job(y=["speed", "rpm"]), buckets=10)
     detail = plot_points(telemetry, job(), view=(LO + 10, LO + 15))
     assert not detail.reduced and len(pairs(detail.points)) == 51
     both = D.splice(overview.points, detail.points, LO + 10, LO + 15)
@@ -77,7 +77,7 @@ def test_text_codes(modes):
 
 def test_detail_codes_move_to_the_overview(modes):
     settings = Job.from_dict({"x": "t", "y": ["state"]})
-    overview = plot_points(modes, settings, max_points=10, envelope_buckets=5)
+    overview = plot_points(modes, settings, buckets=5)
     detail = plot_points(modes, settings, view=(LO + 40, LO + 50))
     assert {y for _, y in pairs(detail.points)} == {0.0}
     moved = D.recode(detail.points, detail.categories["state"], overview.categories["state"])
@@ -92,7 +92,7 @@ def test_category_axis(sales):
     assert [r.value for r in got.x_categories.orderBy("code").collect()] == ["North", "South", "East"]
     assert pairs(got.points, "revenue") == [(0, 10), (0, 30), (1, 20), (2, 5)]
     assert pairs(got.points, "grade") == [(0, 0), (0, 1), (1, 0), (2, 2)]
-    reduced = plot_points(sales, Job.from_dict({"x": "region", "y": ["revenue"]}), max_points=2)
+    reduced = plot_points(sales, Job.from_dict({"x": "region", "y": ["revenue"]}), buckets=1)
     assert pairs(reduced.points) == [(0, 10), (0, 30), (1, 20), (1, 20), (2, 5), (2, 5)]
     summary = {r.x: r.text for r in D.category_summary(got.points.filter("series = 'revenue'")).collect()}
     assert summary == {0: "10.0 … 30.0 (2 values)", 1: "20.0", 2: "5.0"}
@@ -103,10 +103,10 @@ def test_table(modes, sales):
     settings = Job.from_dict({"x": "t", "y": ["state", "v"]})
     table = table_rows(modes, settings, limit=20)
     assert table.truncated and table.estimate == 100 and not table.windowed and table.rows.count() == 20
-    table = table_rows(modes, settings, view=(LO + 29, LO + 31))
+    table = table_rows(modes, settings, limit=20, view=(LO + 29, LO + 31))
     assert table.windowed and not table.truncated
     assert [r.state for r in table.rows.collect()] == ["idle", "run", "run"]
-    table = table_rows(sales, Job.from_dict({"x": "region", "y": ["grade"]}), view=(0.5, 1.5))
+    table = table_rows(sales, Job.from_dict({"x": "region", "y": ["grade"]}), view=(0.5, 1.5), limit=50)
     assert not table.windowed and table.rows.count() == 4
 
 
