@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_view, saved, table, word_spans
+from .shared import by_bytes, byte_view, saved, table, word_spans
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -34,9 +34,9 @@ BLOCK = 2000
 
 def _sizes(batches):
     for batch in batches:
-        data, offsets = byte_view(batch.column(2))
-        words = np.diff(word_spans(data, offsets)[2])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.int64())], ["id", "source", "size"])
+        for part in by_bytes(batch, 2):
+            words = np.diff(word_spans(*byte_view(part.column(2)))[2])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.int64())], ["id", "source", "size"])
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:

@@ -159,7 +159,7 @@ def tokenise(docs: DataFrame, path: str, size: int = SIZE, id: str = "doc_id") -
     def run(batches):
         vocabulary = _vocabulary(path)
         for batch in batches:
-            for part in by_bytes(batch, 1):
+            for part in by_bytes(batch, 1, 1 << 22):
                 ids, offsets = token_ids(vocabulary, part.column(1))
                 pieces = -(-np.diff(offsets) // size)
                 row = np.repeat(np.arange(part.num_rows), pieces)

@@ -63,7 +63,7 @@ def _count(batches):
     """(key, class, words, documents) of a batch; class is low + 2 * toxic."""
     for batch in batches:
         sums: dict[int, np.ndarray] = {}
-        for part in by_bytes(batch, 0, 1 << 22):
+        for part in by_bytes(batch, 0):
             data, offsets = byte_view(part.column(0))
             starts, ends, before = word_spans(data, offsets)
             kind = part.column(1).to_numpy().astype(np.int64)
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", rows: int = LA
 
     def measure(batches):
         for batch in batches:
-            for part in by_bytes(batch, 0, 1 << 22):
+            for part in by_bytes(batch, 0):
                 rows = features(part.column(0), ratios, costs).reshape(part.num_rows, -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([lists, part.column(1), part.column(2)], ["row", "low", "toxic"])
@@ -218,7 +218,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     def score(batches):
         ratios, costs, coefficients = model
         for batch in batches:
-            for part in by_bytes(batch, 3, 1 << 22):
+            for part in by_bytes(batch, 3):
                 odds = np.einsum("rtf,tf->tr", features(part.column(3), ratios, costs), coefficients)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in range(3)), *(pa.array(x) for x in odds), *part.columns[4:]], names)
 

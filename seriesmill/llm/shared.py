@@ -71,8 +71,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 24):
-    """Slices of *batch* with about *size* bytes of text each, one row at least."""
+def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 20):
+    """Slices of *batch* with about *size* bytes of text each, one row at least; small ones keep a task's arrays small."""
     lengths = np.diff(byte_view(batch.column(column))[1])
     ends = np.cumsum(lengths)
     begin = 0
@@ -80,3 +80,4 @@ def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 24):
         end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    pa.default_memory_pool().release_unused()

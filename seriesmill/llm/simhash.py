@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, byte_view, saved, table, word_spans
+from .shared import LOWER, by_bytes, byte_view, saved, table, word_spans
 
 WORDS = 4
 SEED = 42
@@ -254,8 +254,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", words: int = WORDS, dis
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for part in by_bytes(batch, 1, 1 << 19):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), words).view(np.int64)), *part.columns[2:]], ["id", "print", *carried])
 
     printed = saved(narrow.mapInArrow(run, narrow.select("id", F.lit(0).cast("long").alias("print"), *carried).schema))

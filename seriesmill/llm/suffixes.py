@@ -109,7 +109,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
     first, count = starts[at], np.diff(at, append=len(starts))
-    up, down = _powers(1 << max(21, int(size).bit_length()))
+    up, down = _powers(1 << max(20, int(size).bit_length()))
     sums = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
     content = (sums[first + count + length - 1] - sums[first]) * down[first] ^ (count.astype(np.uint64) << np.uint64(56))
@@ -122,7 +122,7 @@ def _find(length: int, gram: int):
     def run(batches):
         for batch in batches:
             found = []
-            for part in by_bytes(batch, 2, 1 << 21):
+            for part in by_bytes(batch, 2, 1 << 19):
                 data, offsets = byte_view(part.column(2))
                 first, count, key, content = runs(data, offsets, length, gram)
                 row = np.searchsorted(offsets, first, side="right") - 1
