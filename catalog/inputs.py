@@ -16,11 +16,11 @@ from .base import numbered, table
 def _inventory(spark, folder):
     files = find_inputs(spark, [folder])
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    return inventory(files).select(name.alias("name"), "format", "size", "rows", "row_groups", "columns", "codecs", "error")
+    return inventory(files).select(name.alias("name"), "format", (F.col("size") > 0).alias("stored"), "rows")
 
 
 def _file_rows(spark, folder):
-    """Rows per table file, from the footers."""
+    """Rows per table file."""
     return _inventory(spark, folder).select("name", "format", "rows")
 
 
@@ -125,7 +125,10 @@ def _done(spark, folder):
 
 
 QUERIES = {
-    "file_inventory": (_inventory, None),
+    "file_inventory": (
+        _inventory,
+        " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, 'parquet' AS format, true AS stored, count(*) AS rows FROM {t}" for t in TABLES),
+    ),
     "file_rows": (
         _file_rows,
         " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, 'parquet' AS format, count(*) AS rows FROM {t}" for t in TABLES),
