@@ -33,6 +33,19 @@ def _semi_running(spark, folder):
     return filter_by_table(df, "o_totalprice", bands, limit=0)
 
 
+def _semi_exact(spark, folder):
+    """Whole numbers beyond what doubles hold exactly, by both ways at once."""
+    far = 1 << 60
+    keys = table(spark, folder, "orders").select((F.col("o_orderkey") + far).alias("k"))
+    one = (F.col("p_partkey") * 16 + far).alias("lo"), (F.col("p_partkey") * 16 + far + 1).alias("hi")
+    bands = table(spark, folder, "part").select(*one)
+    few = filter_by_table(keys, "k", bands.agg(F.min("lo").alias("lo"), F.min("hi").alias("hi")))
+    return filter_by_table(keys, "k", bands, limit=0).withColumn("way", F.lit("running")).union(few.withColumn("way", F.lit("listed")))
+
+
+SEMI_EXACT_SQL = """WITH k AS (SELECT o_orderkey + 1152921504606846976 AS k FROM orders), b AS (SELECT p_partkey * 16 + 1152921504606846976 AS lo FROM part)
+    SELECT k, 'running' AS way FROM k WHERE EXISTS (SELECT 1 FROM b WHERE k BETWEEN lo AND lo + 1)
+    UNION ALL SELECT k, 'listed' FROM k WHERE k BETWEEN (SELECT min(lo) FROM b) AND (SELECT min(lo) + 1 FROM b)"""
 SEMI_SQL = """SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM customer
     WHERE o_totalprice BETWEEN c_acctbal * 40 AND c_acctbal * 40 + 25)"""
 
@@ -88,6 +101,7 @@ QUERIES = {
     "range_multi": (job_query("events", {**EVENTS, "ranges": RANGES}), f"SELECT ts, value FROM events WHERE {RANGES_SQL}"),
     "range_semi_join": (_semi, SEMI_SQL),
     "range_semi_join_running": (_semi_running, SEMI_SQL),
+    "range_table_exact": (_semi_exact, SEMI_EXACT_SQL),
     "range_open_end": (
         job_query("orders", {"x": "o_totalprice", "y": ["o_orderkey"], "ranges": [[None, 20000], [440000.5, None]]}, tie=("o_orderkey",)),
         "SELECT o_totalprice, o_orderkey FROM orders WHERE o_totalprice <= 20000 OR o_totalprice >= 440000.5",

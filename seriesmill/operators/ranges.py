@@ -172,6 +172,12 @@ def merged(ends: Sequence[tuple[Any, Any]]) -> list[tuple[Any, Any]]:
     return [(lo, hi) for lo, hi in out]
 
 
+def _between(value: Column, lo: Any, hi: Any) -> Column:
+    """Within ends of which infinite ones are open, so that whole numbers are compared as such."""
+    tests = [test for end, test in ((lo, value >= F.lit(lo)), (hi, value <= F.lit(hi))) if not (isinstance(end, float) and math.isinf(end))]
+    return reduce(lambda a, b: a & b, tests) if tests else value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
 def filter_by_table(
     df: DataFrame, x: str, ranges: DataFrame, limit: int | None = None, rows_per_slice: int | None = None
 ) -> DataFrame:
@@ -188,16 +194,18 @@ def filter_by_table(
         if not disjoint:
             return df.filter(F.lit(False))
         if len(disjoint) <= OR_RANGES:
-            return df.filter(reduce(lambda a, b: a | b, [value.between(lo, hi) for lo, hi in disjoint]))
-        df = df.filter(value.between(disjoint[0][0], disjoint[-1][1]))
-    infinity = float("inf")
+            return df.filter(reduce(lambda a, b: a | b, [_between(value, lo, hi) for lo, hi in disjoint]))
+        df = df.filter(_between(value, disjoint[0][0], disjoint[-1][1]))
+    # Whole numbers keep their own type: doubles are not exact beyond 2^53.
+    exact = all(isinstance(dtype, INTEGERS) for dtype in (df.schema[x].dataType, ranges.schema["lo"].dataType, ranges.schema["hi"].dataType))
+    kind, least, most = ("bigint", -(1 << 63), (1 << 63) - 1) if exact else ("double", float("-inf"), float("inf"))
     starts = ranges.select(
-        F.coalesce(F.col("lo").cast("double"), F.lit(-infinity)).alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_spread"),
-        F.coalesce(F.col("hi").cast("double"), F.lit(infinity)).alias("_reach"),
+        F.coalesce(F.col("lo").cast(kind), F.lit(least).cast(kind)).alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_spread"),
+        F.coalesce(F.col("hi").cast(kind), F.lit(most).cast(kind)).alias("_reach"),
     )
     # Rows with equal x may go to different slices, told apart by a hash.
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
-    keyed = df.withColumns({"_x": value.cast("double"), "_kind": F.lit(1), "_spread": F.xxhash64(*plain)})
+    keyed = df.withColumns({"_x": value.cast(kind), "_kind": F.lit(1), "_spread": F.xxhash64(*plain)})
     both = keyed.filter("_x IS NOT NULL AND NOT isnan(_x)").unionByName(starts, allowMissingColumns=True)
     cut = slice_rows(both, [], ["_x", "_kind", "_spread"], rows_per_slice)
     upto = cut.window.rowsBetween(Window.unboundedPreceding, 0)
