@@ -92,6 +92,17 @@ def _manifest(spark, folder):
     return X.write_batch(events, job, target, tie=["event_id"]).manifest
 
 
+def _resume(spark, folder):
+    """The lines of each output after a batch and its resume into the same folder, which skips what is done."""
+    job = Job.from_dict({**EVENTS, "output": {"path": "{stem}.csv"}})
+    target = scratch_folder(spark, "resume")
+    name = F.concat(F.lit("/data/"), F.col("event_type"), F.lit(".parquet"))
+    events = table(spark, folder, "events").withColumn("source", name)
+    first = X.write_batch(events.filter("event_type < 'p'"), job, target, tie=["event_id"])
+    X.write_batch(events, job, target, tie=["event_id"], skip=first.manifest.filter("status = 'written'"))
+    return spark.read.text(target).groupBy(F.col("output").cast("string").alias("output")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _dry(spark, folder):
     job = Job.from_dict({**EVENTS, "aggregation": {"method": "every_nth", "n": 4}})
     return X.dry_run(_sources(spark, folder), job, tie=["event_id"])
@@ -191,6 +202,7 @@ QUERIES = {
            SELECT source, 'start' AS range, replace(source, '.parquet', '_start.csv') AS output, n1 AS rows, 'written' AS status, NULL::VARCHAR AS error FROM c
            UNION ALL SELECT source, '2', replace(source, '.parquet', '_2.csv'), n2, 'written', NULL FROM c""",
     ),
+    "batch_resume": (_resume, "SELECT '/data/' || event_type || '.csv' AS output, count(*) + 1 AS lines FROM events GROUP BY event_type"),
     "dry_run_plan": (
         _dry,
         """SELECT '/data/' || event_type || '/user_' || user_id || '.parquet' AS source, '/data/' || event_type || '/user_' || user_id || '_export.csv' AS output,
