@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+
 from . import extraction, graph_search, mixing, packing, ppm, quality, simhash, suffixes, vector_links, warc
+from .shared import shipped
 
 MODULES = (vector_links, extraction, ppm, warc, suffixes, quality, graph_search, mixing, simhash, packing)
 
 
 def queries():
-    return {name: run for module in MODULES for name, (run, _) in module.QUERIES.items()}
+    return {name: _ready(run) for module in MODULES for name, (run, _) in module.QUERIES.items()}
+
+
+def _ready(run):
+    """*run* with the package on all workers."""
+    return functools.wraps(run)(lambda spark, folder: run(shipped(spark), folder))
 
 
 def oracle_sql():

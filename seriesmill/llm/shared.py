@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """*spark*, with this package sent to its workers, once per application, so that they need no path to it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = pathlib.Path(__file__).resolve().parents[2]
+        archive = f"{tempfile.mkdtemp(prefix='seriesmill-')}/seriesmill.zip"  # Spark's own file server takes it from here
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted((root / "seriesmill").rglob("*.py")):
+                out.write(path, path.relative_to(root))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see; only a local session may go without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
