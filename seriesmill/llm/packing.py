@@ -31,7 +31,7 @@ ROUNDS = 600
 PIECES = "piece int, start long, length long, ids binary"
 
 
-KNOWN = 300_000  # words whose ids a worker keeps between batches
+KNOWN = 100_000  # words whose ids a worker keeps between batches
 SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 KINDS = np.full(256, ODD, dtype=np.uint8)
 KINDS[:128] = OTHER
@@ -52,12 +52,21 @@ class _Vocabulary:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = self.parts.encode_special_tokens = True
+        self.path, self.parts = path, Tokenizer.from_file(path)
+        self.parts.encode_special_tokens = True
         self.parts.normalizer = normalizers.Sequence([])
         self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer as it is, loaded where a word needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def forget(self):
         self.known: dict[bytes, int] = {}
         self.ids, self.bounds = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
