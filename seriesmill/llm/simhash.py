@@ -40,12 +40,12 @@ SMALL = 8
 GENERATOR = 0b110001110101
 
 
-def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
-    """The fingerprint of each text as an unsigned 64-bit number."""
+def shingle_hashes(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles in text order, and the bounds of the texts."""
     data, offsets = byte_view(column)
     starts, ends, before = word_spans(data, offsets)
     if not len(starts):
-        return np.zeros(len(column), dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(column) + 1, dtype=np.int64)
     lengths = ends - starts
     at = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(lengths + 1, out=at[1:])
@@ -59,11 +59,18 @@ def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
     last = np.minimum(first + words, np.repeat(before[1:], shingles))
     text, digest = joined.tobytes(), xxhash.xxh64_intdigest
     found = np.fromiter((digest(text[s:e], SEED) for s, e in zip(at[first].tolist(), (at[last] - 1).tolist())), dtype=np.uint64, count=len(first))
-    out = np.zeros(len(counts), dtype=np.uint64)
+    return found, bounds
+
+
+def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
+    """The fingerprint of each text as an unsigned 64-bit number."""
+    found, bounds = shingle_hashes(column, words)
+    shingles = np.diff(bounds)
+    out = np.zeros(len(shingles), dtype=np.uint64)
     full = np.flatnonzero(shingles)
     step = 1 << 16
-    votes = np.zeros((len(counts), 64), dtype=np.int32)
-    row = np.repeat(np.arange(len(counts)), shingles)
+    votes = np.zeros((len(shingles), 64), dtype=np.int32)
+    row = np.repeat(np.arange(len(shingles)), shingles)
     for begin in range(0, len(found), step):  # bits of a part of the hashes at a time
         part = np.unpackbits(found[begin : begin + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         rows = row[begin : begin + step]
