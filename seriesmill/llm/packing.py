@@ -8,6 +8,9 @@ the pieces of one length, numbered from 0, go to the pattern places of that leng
 are numbered in groups of (length, salt), the salts' counts giving each group's first number, so a length that a third
 of all pieces share is spread over many tasks.
 
+The queries give the ids of a plain encode(text, add_special_tokens=False): added tokens of the tokenizer that stand in a
+text, such as <|endoftext|>, get their own ids. Without *added* they are read as any other characters.
+
 A NULL text counts as empty; every document has at least its end token. Repeated rows and NULL ids are pieces of their own. An empty
 table gives an empty result. Columns other than id and text are ignored.
 """
@@ -15,6 +18,7 @@ table gives an empty result. Columns other than id and text are ignored.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +50,16 @@ class _Vocabulary:
 
     The tokenizer lowers letters, drops white space and joins nothing across letters, single digits and runs of other
     characters. Words of ASCII and of the letters from U+00C0 to U+00FF are therefore cut here and each different part
-    is encoded once; all other words go through the whole tokenizer.
+    is encoded once; all other words go through the whole tokenizer, with *added* also those that hold an added token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.path, self.parts = path, Tokenizer.from_file(path)
-        self.parts.encode_special_tokens = True
+        self.parts.encode_special_tokens = True  # its parts never hold an added token
+        literals = [token.content.encode() for token in self.parts.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile(b"|".join(map(re.escape, sorted(literals, key=len, reverse=True)))) if literals else None
         self.parts.normalizer = normalizers.Sequence([])
         self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
@@ -64,7 +70,7 @@ class _Vocabulary:
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
+        found.encode_special_tokens = self.added is None
         return found
 
     def forget(self):
@@ -79,7 +85,7 @@ class _Vocabulary:
         new = [w for w in words if w not in known]
         plain, other = [], []
         for word in new:
-            (plain if _plain(word) else other).append(word)
+            (plain if _plain(word) and not (self.added and self.added.search(word)) else other).append(word)
         ids, counts = [self.ids], [np.diff(self.bounds)]
         for begin in range(0, len(plain), 2000):
             part = plain[begin : begin + 2000]
@@ -112,12 +118,12 @@ LATIN = bytes([0xC3, *range(0x80, 0xC0)])
 
 
 @functools.cache
-def _vocabulary(path: str) -> _Vocabulary:
-    return _Vocabulary(path)
+def _vocabulary(path: str, added: bool = False) -> _Vocabulary:
+    return _Vocabulary(path, added)
 
 
-def parts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lowered bytes of all parts of words, the bounds of the parts, and the number of parts before each row."""
+def parts_of(data: np.ndarray, offsets: np.ndarray, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lowered bytes of all parts of words, the bounds of the parts, and the number of parts before each row; words with a match of *added* stay as they are."""
     kinds, text = KINDS[data], LOWER[data]
     lead = np.flatnonzero(data[:-1] == 0xC3)
     follow = data[lead + 1]
@@ -125,6 +131,10 @@ def parts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     lead, follow = lead[fits], follow[fits]
     kinds[lead] = kinds[lead + 1] = LETTER
     text[lead + 1] += np.where(follow < 0x9F, 32, 0).astype(np.uint8)
+    if added is not None:
+        hits = np.array([found.span() for found in added.finditer(data)], dtype=np.int64).reshape(-1, 2)
+        hits = hits[np.searchsorted(offsets, hits[:, 0], side="right") == np.searchsorted(offsets, hits[:, 1] - 1, side="right")]  # within a row
+        kinds[hits[:, 0]] = ODD
     odd = np.flatnonzero(kinds == ODD)
     if len(odd):  # a word with such a byte stays whole
         starts, ends, _ = word_spans(data, offsets)
@@ -144,7 +154,7 @@ def parts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def token_ids(vocabulary: _Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts with the end token 0 after each, and the offsets of the texts."""
-    text, bounds, before = parts_of(*byte_view(column))
+    text, bounds, before = parts_of(*byte_view(column), vocabulary.added)
     words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(text)])
     coded = words.dictionary_encode()
     place = vocabulary.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
@@ -162,11 +172,14 @@ def token_ids(vocabulary: _Vocabulary, column: pa.Array) -> tuple[np.ndarray, np
     return out, at_row
 
 
-def tokenise(docs: DataFrame, path: str, size: int = SIZE, id: str = "doc_id") -> DataFrame:
-    """Pieces (id, piece, start, length, ids): each document's token ids and end token, cut after every *size* tokens; ids are little-endian 32-bit."""
+def tokenise(docs: DataFrame, path: str, size: int = SIZE, id: str = "doc_id", added: bool = False) -> DataFrame:
+    """Pieces (id, piece, start, length, ids): each document's token ids and end token, cut after every *size* tokens; ids are little-endian 32-bit.
+
+    *added*: whether added tokens in the texts get their own ids, as in a plain encode.
+    """
 
     def run(batches):
-        vocabulary = _vocabulary(path)
+        vocabulary = _vocabulary(path, added)
         for batch in batches:
             for part in by_bytes(batch, 1, 1 << 22):
                 ids, offsets = token_ids(vocabulary, part.column(1))
@@ -335,7 +348,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op10_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = tokenise(table(spark, folder, "documents"), tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = tokenise(table(spark, folder, "documents"), tokenizer_path(), added=True).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(saved(pieces)).withColumnRenamed("id", "doc_id")
 
 
