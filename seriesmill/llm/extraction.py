@@ -9,7 +9,8 @@ characters LC and link tags LT below it, the composite density is
 article. The least density on the path from the body to it is the threshold: other blocks at or above it give their own
 block with the largest sum. An article or main element around the best block is taken whole.
 
-Elements that are by name, role or class menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+Classes and ids count as whole words; those in articles only on containers, and a block that they mark stays if it holds
+an article or, on pages without one, most of the body's unlinked characters. Elements that are by name, role or class menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 or reader comments leave before the densities are computed. A header inside an article stays, as it holds the title.
 The text has one line per block: references decoded, white space turned into one space, trimmed; blank blocks give no line.
 
@@ -59,10 +60,10 @@ TOKEN = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _unwanted(name: str, rest: str, in_article: bool) -> bool:
+def _unwanted(name: str, rest: str, in_article: bool) -> bool | None:
+    """Whether an element leaves at once; None if its class or id says so, which its contents can overrule."""
     if name in DROPPED:
         return True
     if name == "header" and not in_article:
@@ -81,10 +82,12 @@ def _unwanted(name: str, rest: str, in_article: bool) -> bool:
             if name not in KEPT and value.strip().lower() in ROLES:
                 return True
         else:
-            words.update(w.lower() for w in WORDS.findall(value))
-    if name in KEPT:
+            words.update(value.lower().split())
+    if name in KEPT or in_article and name not in ("div", "section", "ul", "ol"):
         return False
-    return not words.isdisjoint(NEVER) or (not words.isdisjoint(SELDOM) and words.isdisjoint(CONTENT) and not (in_article and name not in ("div", "section", "ul", "ol")))
+    if not words.isdisjoint(NEVER) or (not words.isdisjoint(SELDOM) and words.isdisjoint(CONTENT)):
+        return True if name in INLINE else None
+    return False
 
 
 class _Page:
@@ -93,6 +96,7 @@ class _Page:
     def __init__(self):
         self.name, self.parent, self.children = ["body"], [-1], [[]]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
+        self.doubtful: list[int] = []  # blocks whose class or id marks them as no article
         self.parts: list[list] = [[]]  # texts, and the numbers of child blocks between them
 
     def add(self, name: str, parent: int) -> int:
@@ -176,10 +180,8 @@ def parse(source: str) -> _Page:
                 if name in ("br", "hr"):
                     page.parts[block].append(" ")
             continue
-        if not dropped and name not in ("p", "b", "i", "em", "strong") and _unwanted(name, rest, articles > 0):
-            stack.append((name, block))
-            dropped = len(stack)
-        elif not dropped and rest and name in ("p", "b", "i", "em", "strong") and _unwanted(name, rest, articles > 0):
+        unwanted = not dropped and _unwanted(name, rest, articles > 0)
+        if unwanted:
             stack.append((name, block))
             dropped = len(stack)
         elif name in INLINE or dropped:
@@ -189,14 +191,44 @@ def parse(source: str) -> _Page:
                 page.link_tags[block] += name == "a"
         else:
             stack.append((name, page.add(name, block)))
+            if unwanted is None:
+                page.doubtful.append(stack[-1][1])
         links += name == "a"
         articles += name in ("article", "main")
         if rest.endswith("/") and name not in INLINE and name not in ENDS_PARAGRAPH:
             close(len(stack) - 1)
     write(source[at:])
+    _without_doubtful(page)
     return page
 
 
+def _without_doubtful(page: _Page) -> None:
+    """Takes out doubtful blocks, unless they hold an article or, on pages without one, most of the body's unlinked characters."""
+    if not page.doubtful:
+        return
+    count = len(page.name)
+    last, plain = list(range(count)), [c - x for c, x in zip(page.chars, page.link_chars)]
+    holds = [name in ("article", "main") for name in page.name]
+    for k in range(count - 1, 0, -1):
+        up = page.parent[k]
+        last[up] = max(last[up], last[k])
+        plain[up] += plain[k]
+        holds[up] |= holds[k]
+    gone, end = set(), -1
+    for k in page.doubtful:  # in page order
+        if k <= end or holds[k] or not holds[0] and 2 * plain[k] > plain[0]:
+            continue
+        gone.add(k)
+        end = last[k]
+        for counts in (page.chars, page.tags, page.link_chars, page.link_tags):
+            counts[k : end + 1] = [0] * (end + 1 - k)
+        page.parts[k : end + 1] = [[] for _ in range(k, end + 1)]
+        page.tags[page.parent[k]] -= 1
+    for up in {page.parent[k] for k in gone}:
+        page.children[up] = [k for k in page.children[up] if k not in gone]
+        page.parts[up] = [x for x in page.parts[up] if not (isinstance(x, int) and x in gone)]
+
+
 def densities(page: _Page) -> tuple[list[float], list[float]]:
     """Composite density and density sum of each block; counts become those of whole subtrees."""
     for k in range(len(page.name) - 1, 0, -1):
