@@ -215,8 +215,7 @@ def typed(cells: DataFrame, types: dict[str, str], keep: Sequence[str] = (), dec
 def read_cells(spark: SparkSession, paths: str | Sequence[str], separator: str = ",") -> DataFrame:
     """CSV cells as texts plus ``source`` and the file position ``block``, ``at``.
 
-    Cells may hold line breaks only inside quotes, which needs the whole file in one task; plain
-    files are split.
+    Records end at every line break, so cells must not hold any, quoted or not.
     """
     reader = spark.read.option("header", "true").option("sep", separator).option("quote", '"').option("escape", '"')
     # Empty and null-like texts are told apart later, so the reader keeps them as they are.
