@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from . import alignment, decontamination, extraction, graph_search, mixing, packing, ppm, quality, simhash, suffixes, vector_links, warc
+from . import alignment, decontamination, extraction, graph_search, mixing, packing, ppm, quality, simhash, suffixes, vector_codes, vector_links, warc
 from .shared import shipped
 
-MODULES = (vector_links, extraction, ppm, warc, suffixes, quality, graph_search, mixing, simhash, packing, alignment, decontamination)
+MODULES = (vector_links, extraction, ppm, warc, suffixes, quality, graph_search, mixing, simhash, packing, vector_codes, alignment, decontamination)
 
 
 def queries():
