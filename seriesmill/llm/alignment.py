@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packing import tokenizer_path
-from .shared import by_bytes, saved, table
+from .shared import by_bytes, byte_view, saved, table
 
 LANE = 512  # bytes that one place of the state merges
 SLICE = 1 << 21  # bytes of text merged at once
-PARTS = ["a_ids", "b_ids", "a_sizes", "b_sizes"]
+PARTS = ["a_ids", "b_ids", "a_cuts", "b_cuts"]
+LISTS = ["a_ids", "b_ids", "a_sizes", "b_sizes"]
 
 
 class ByteLevel:
@@ -133,8 +134,10 @@ def merged(a_ends: np.ndarray, b_ends: np.ndarray, bounds: np.ndarray, lane: int
     return links[0][order], links[1][order]
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A row of raw numbers for each count."""
+    bounds = np.append(0, np.cumsum(counts) * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(values)]).cast(pa.binary())
 
 
 def _aligned(texts: list[str | None], one: str, other: str) -> list[pa.Array]:
@@ -147,17 +150,19 @@ def _aligned(texts: list[str | None], one: str, other: str) -> list[pa.Array]:
     a_ends, b_ends = np.cumsum(a_lengths[a_ids]), np.cumsum(b_lengths[b_ids])
     at = np.append(0, np.cumsum(a_counts))
     a_last, b_last = merged(a_ends, b_ends, np.append(0, a_ends)[at])
-    row = np.searchsorted(at, a_last, side="right") - 1
-    # Each document ends with a cut, so the tokens between two links are the group of the later one.
-    a_sizes, b_sizes = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
-    groups = np.bincount(row, minlength=len(texts))
-    return [_lists(a_ids, a_counts), _lists(b_ids, b_counts), _lists(a_sizes, groups), _lists(b_sizes, groups)]
+    out = []
+    for ids, counts, last, made in ((a_ids, a_counts, a_last, a), (b_ids, b_counts, b_last, b)):
+        cuts = np.zeros(len(ids), dtype=np.uint8)
+        cuts[last] = 1
+        out.append((_binaries(ids.astype("<u2" if len(made.tokens) <= 1 << 16 else "<u4"), counts), _binaries(cuts, counts)))
+    return [out[0][0], out[1][0], out[0][1], out[1][1]]
 
 
 def aligned(docs: DataFrame, a: str, b: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, a_ids, b_ids, a_sizes, b_sizes): the tokens of both, and how many of each lie in each group between two cuts.
+    """Rows (id, a_ids, b_ids, a_cuts, b_cuts): the tokens of both, and for each token a byte that is 1 where a cut follows.
 
-    The last two tokens of a group are linked. *a* and *b* are tokenizer files, which the workers need at the same place:
+    Ids are little-endian numbers of two bytes, of four for vocabularies beyond 65,536. The n-th tokens with a cut of both are linked; see
+    unpacked() for lists. *a* and *b* are tokenizer files, which the workers need at the same place:
     byte-level BPE (``.json``) or sentencepiece (``.model``).
     """
 
@@ -167,30 +172,51 @@ def aligned(docs: DataFrame, a: str, b: str, id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), *_aligned(part.column(1).to_pylist(), a, b)], ["id", *PARTS])
 
     narrow = docs.select(docs[id].alias("id"), docs[text].cast("string").alias("text"))
-    return narrow.mapInArrow(run, T.StructType([narrow.schema["id"], *[T.StructField(x, T.ArrayType(T.IntegerType())) for x in PARTS]]))
+    return narrow.mapInArrow(run, T.StructType([narrow.schema["id"], *[T.StructField(x, T.BinaryType()) for x in PARTS]]))
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column, and where each row's begin."""
-    counts = column.value_lengths().to_numpy()
-    return column.flatten().to_numpy(), np.append(0, np.cumsum(counts))
-
-
-def _slices(batches, tokens: int = 1 << 19):
+def _slices(batches, size: int = 1 << 19):
     """Slices of *batches* with about so many tokens each, one row at least."""
     for batch in batches:
-        until = np.cumsum(batch.column("a_ids").value_lengths().to_numpy().astype(np.int64))
+        until = np.cumsum(np.diff(byte_view(batch.column("a_cuts"))[1]))
         begin = 0
         while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(until, (until[begin - 1] if begin else 0) + tokens, side="right")))
+            end = max(begin + 1, int(np.searchsorted(until, (until[begin - 1] if begin else 0) + size, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
 
 
-def _linked(batch: pa.RecordBatch) -> np.ndarray:
-    """The linked ids of A and B of all groups as one number each."""
-    (a_ids, _), (b_ids, _), (a_sizes, _), (b_sizes, _) = (_flat(batch.column(x)) for x in PARTS)
-    return a_ids[np.cumsum(a_sizes) - 1].astype(np.int64) << 32 | b_ids[np.cumsum(b_sizes) - 1]
+class _Aligned:
+    """A slice of aligned documents: ids, and where each document's and each group's tokens begin and end."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.ids, self.rows, self.until = [], [], []
+        for side in "ab":
+            raw, _ = byte_view(batch.column(f"{side}_ids"))
+            cuts, at = byte_view(batch.column(f"{side}_cuts"))
+            self.ids.append(raw.view(f"<u{len(raw) // len(cuts)}") if len(cuts) else np.zeros(0, dtype=np.uint16))
+            self.rows.append(at)
+            self.until.append(np.flatnonzero(cuts) + 1)
+        self.groups = np.searchsorted(self.until[0], self.rows[0], side="right")  # groups before each document
+
+    @property
+    def links(self) -> np.ndarray:
+        """The linked ids of A and B of all groups as one number each."""
+        a, b = (ids[until - 1].astype(np.int64) for ids, until in zip(self.ids, self.until))
+        return a << 32 | b
+
+
+def unpacked(found: DataFrame) -> DataFrame:
+    """A result of aligned() as lists (id, a_ids, b_ids, a_sizes, b_sizes): the sizes say how many tokens lie in each group."""
+
+    def run(batches):
+        for batch in _slices(batches):
+            part = _Aligned(batch)
+            lists = [*zip(part.ids, part.rows), *((np.diff(until, prepend=0), part.groups) for until in part.until)]
+            columns = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32))) for values, at in lists]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *LISTS])
+
+    return found.mapInArrow(run, T.StructType([found.schema["id"], *[T.StructField(x, T.ArrayType(T.IntegerType())) for x in LISTS]]))
 
 
 def link_counts(found: DataFrame) -> DataFrame:
@@ -199,7 +225,7 @@ def link_counts(found: DataFrame) -> DataFrame:
     def run(batches):
         pairs, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in _slices(batches):  # what a task holds is bounded by the vocabularies
-            new, times = np.unique(_linked(batch), return_counts=True)
+            new, times = np.unique(_Aligned(batch).links, return_counts=True)
             pairs, where = np.unique(np.concatenate([pairs, new]), return_inverse=True)
             counts = np.bincount(where, weights=np.concatenate([counts, times]), minlength=len(pairs)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)], ["a", "b", "n"])
@@ -251,19 +277,21 @@ def scored(found: DataFrame, counts: DataFrame) -> DataFrame:
     def run(batches):
         pairs, number, best = sent.value
         for batch in _slices(batches):
-            (a_ids, a_at), (b_ids, b_at), (a_sizes, at), (b_sizes, _) = (_flat(batch.column(x)) for x in PARTS)
-            place = np.searchsorted(pairs, _linked(batch))
+            part = _Aligned(batch)
+            place = np.searchsorted(pairs, part.links)
+            a_sizes, b_sizes = (np.diff(x, prepend=0) for x in part.until)
+            at = part.groups
             last = np.zeros(len(a_sizes), dtype=bool)
             full = np.diff(at) > 0
             last[at[1:][full] - 1] = True
-            text, until = rendered(a_ids, b_ids, a_sizes, b_sizes, last)
+            text, until = rendered(*part.ids, a_sizes, b_sizes, last)
             begins = np.append(0, until)
             prints = [""] * batch.num_rows
             for row, begin, end in zip(np.flatnonzero(full).tolist(), begins.tolist(), until.tolist()):
                 prints[row] = hashlib.sha256(text[begin:end]).hexdigest()
             total = lambda x: pa.array(np.diff(np.append(0, np.cumsum(x))[at]))
             links = pa.array(np.diff(at).astype(np.int64))
-            columns = [pa.array(np.diff(a_at)), pa.array(np.diff(b_at)), links, links, total(best[place]), total(number[place]), pa.array(prints, pa.string())]
+            columns = [*[pa.array(np.diff(x)) for x in part.rows], links, links, total(best[place]), total(number[place]), pa.array(prints, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *RESULT])
 
     return found.mapInArrow(run, T.StructType([found.schema["id"], *[T.StructField(x, T.LongType()) for x in RESULT[:-1]], T.StructField("groups", T.StringType())]))

@@ -71,6 +71,8 @@ def test_documents_match_plain_tokenizers_and_sets_of_ends(spark):
     got = sorted((tuple(r) for r in alignment.scored(found, alignment.link_counts(found)).collect()), key=str)
     want = brute(rows)
     assert got == sorted(((i, *x) for i, x in zip(ids, want)), key=str)
+    for r in alignment.unpacked(found).collect():
+        assert (len(r.a_ids), len(r.b_ids)) == (sum(r.a_sizes), sum(r.b_sizes)) and len(r.a_sizes) == len(r.b_sizes)
     assert sum(x[0] == 0 for x in want) == 4  # None, "" and the two with U+2581
 
 
