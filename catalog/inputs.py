@@ -34,7 +34,7 @@ def _profile(spark, folder):
 def _dialects(spark, folder):
     """The dialect of every document, taken as one CSV file each."""
     docs = table(spark, folder, "documents")
-    return C.with_dialect(docs, C.text_lines(F.col("text"))).select("doc_id", "separator", "decimal_comma")
+    return C.text_dialects(docs, ["doc_id"], "text")
 
 
 DIALECT_SQL = r"""

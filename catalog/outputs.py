@@ -60,6 +60,16 @@ def _round_trip(spark, folder):
     return read_csv(spark, target, ";", True).drop("source", "pos")
 
 
+def _texts_round_trip(spark, folder):
+    """Whole documents, with their line breaks and quotes, written as CSV and read back with inferred types."""
+    job = Job.from_dict({"x": "doc_id", "y": ["text", "lang", "source", "n_chars"]})
+    target = scratch_folder(spark, "texts")
+    docs = table(spark, folder, "documents")
+    X.write_csv(X.export_rows(docs, job, tie=["doc_id"]), target)
+    back = read_csv(spark, target, types={"doc_id": "integer", "text": "text", "lang": "text", "source": "text", "n_chars": "integer"}, source="file")
+    return back.drop("file", "pos")
+
+
 def _paths(spark, folder):
     """Output paths for every page address."""
     url = F.col("url")
@@ -175,6 +185,7 @@ QUERIES = {
         _lines("events", {"x": "ts", "y": ["value", "props", "user_id"], "csv": {"quote_style": "non_numeric", "separator": "tab"}}),
         """SELECT '"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"' || chr(9) || value::VARCHAR || chr(9) || '"' || replace(props, '"', '""') || '"' || chr(9) || user_id AS line FROM events""",
     ),
+    "csv_texts_round_trip": (_texts_round_trip, "SELECT doc_id, text, lang, source, n_chars FROM documents"),
     "csv_round_trip": (
         _round_trip,
         "SELECT o_orderdate, o_orderkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders",

@@ -30,7 +30,7 @@ def _semi_running(spark, folder):
     """The same in the way used when the ranges table is too large to collect."""
     bands = table(spark, folder, "customer").select((F.col("c_acctbal") * 40).alias("lo"), (F.col("c_acctbal") * 40 + 25).alias("hi"))
     df = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    return filter_by_table(df, "o_totalprice", bands, limit=0)
+    return filter_by_table(df, "o_totalprice", bands, few=0)
 
 
 def _semi_exact(spark, folder):
@@ -40,7 +40,7 @@ def _semi_exact(spark, folder):
     one = (F.col("p_partkey") * 16 + far).alias("lo"), (F.col("p_partkey") * 16 + far + 1).alias("hi")
     bands = table(spark, folder, "part").select(*one)
     few = filter_by_table(keys, "k", bands.agg(F.min("lo").alias("lo"), F.min("hi").alias("hi")))
-    return filter_by_table(keys, "k", bands, limit=0).withColumn("way", F.lit("running")).union(few.withColumn("way", F.lit("listed")))
+    return filter_by_table(keys, "k", bands, few=0).withColumn("way", F.lit("running")).union(few.withColumn("way", F.lit("listed")))
 
 
 SEMI_EXACT_SQL = """WITH k AS (SELECT o_orderkey + 1152921504606846976 AS k FROM orders), b AS (SELECT p_partkey * 16 + 1152921504606846976 AS lo FROM part)

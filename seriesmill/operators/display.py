@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import lookup_join
-from .order import number_table, slice_rows
+from .joins import free_names, lookup_join
+from .order import number_table, ranked
 
 
 def long_points(df: DataFrame, by: Sequence[str], x: Column, outputs: Sequence[str]) -> DataFrame:
@@ -99,19 +99,16 @@ def splice(overview: DataFrame, detail: DataFrame, lo: float, hi: float, by: Seq
 
 
 def state_intervals(
-    df: DataFrame, by: Sequence[str], x: str, tie: Sequence[str], value: str, rows_per_slice: int | None = None
+    df: DataFrame, by: Sequence[str], x: str, tie: Sequence[str], value: str, slices: int | None = None
 ) -> DataFrame:
     """``(by, x_start, x_end, value)``: a value holds until the next sample; the last one is open."""
     order = [x, *[t for t in tie if t != x]]
-    cut = slice_rows(df.select(*by, *order, value), by, order, rows_per_slice)
-    following = F.lead(x).over(cut.window)
-    rows = cut.df
-    if not cut.single:
-        firsts = cut.borders(F.min(x).alias("_first"))
-        after = F.lead("_first").over(cut.border_window)
-        rows = cut.carry(firsts.select(*cut.by, "_slice", after.alias("_next")))
-        following = F.coalesce(following, F.col("_next"))
-    return rows.select(*by, F.col(x).alias("x_start"), following.alias("x_end"), F.col(value).alias("value"))
+    cut = ranked(df.select(*dict.fromkeys([*by, *order, value])), by, order, slices)
+    first, following = free_names(["first", "following"], cut.df)
+    after = F.lead(first).over(cut.border_window)
+    rows = cut.carry(cut.borders(F.min(x).alias(first)).select(*cut.by, cut.slice, after.alias(following)))
+    end = F.coalesce(F.lead(x).over(cut.window), F.col(following))
+    return rows.select(*by, F.col(x).alias("x_start"), end.alias("x_end"), F.col(value).alias("value"))
 
 
 def category_summary(points: DataFrame, by: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins with small derived tables: broadcast behind a size check, salted beyond it."""
+"""Joins with derived tables, and names that no column of a frame has."""
 
 from __future__ import annotations
 
@@ -7,49 +7,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Tables up to this many rows are collected once and broadcast.
-SMALL_ROWS = 200_000
-#: How many ways a hot key is spread when the table is too large to broadcast.
-SALTS = 16
 
-
-def small_rows(table: DataFrame, limit: int | None = None) -> list | None:
-    """The rows of *table*, or None when it has more than *limit*."""
-    limit = SMALL_ROWS if limit is None else limit
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def free_names(names: Sequence[str], *frames: DataFrame) -> list[str]:
+    """*names*, lengthened where a column of *frames* has them already (in any case)."""
+    taken = {column.lower() for frame in frames for column in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _matches(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def lookup_join(
-    df: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    salt_by: Sequence[str] = (),
-    limit: int | None = None,
-) -> DataFrame:
+def lookup_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Add the columns of *table* (unique in *on*) to *df*; NULL keys match each other.
 
-    A table within *limit* rows is computed once and broadcast. A larger one is equi-joined on
-    ``on`` plus a salt taken from *salt_by* (default: all plain columns of *df*), so that a key
-    holding a large share of *df* is spread over several tasks.
+    An equi-join that adaptive execution plans by the size in bytes of *table*: a broadcast below Spark's threshold, else
+    a shuffle whose hot keys it splits. Nothing is computed before the query runs. Without keys, *table* is one row.
     """
-    spark = df.sparkSession
-    rows = small_rows(table, limit)
-    renamed = [f"__{name}" if name in on else name for name in table.columns]
-    pairs = [(name, f"__{name}") for name in on]
-    if rows is not None:
-        local = spark.createDataFrame(rows, table.schema).toDF(*renamed)
-        return df.join(F.broadcast(local), _matches(df, local, pairs), how).drop(*[b for _, b in pairs])
-    nested = (T.ArrayType, T.MapType, T.StructType)
-    salt_by = salt_by or [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
-    copies = table.toDF(*renamed).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs.append(("__salt", "__copy"))
-    return salted.join(copies, _matches(salted, copies, pairs), how).drop(*[b for _, b in pairs], "__salt")
+    names = free_names([f"{name}_of" for name in on], df, table)
+    right = table.withColumnsRenamed(dict(zip(on, names)))
+    if not on:
+        return df.join(F.broadcast(right), how=how, on=F.lit(True))
+    return df.join(right, _matches(df, right, list(zip(on, names))), how).drop(*names)

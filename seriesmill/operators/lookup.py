@@ -4,78 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import slice_rows
-
-
-def _combined(samples: DataFrame, probes: DataFrame, by: list[str], x: str, tie: str, value: str, probe_id: str, probe_first: bool) -> DataFrame:
-    kind = 0 if probe_first else 2
-    left = samples.select(*by, F.col(x).alias("_x"), F.lit(1).alias("_kind"), F.col(tie).cast("bigint").alias("_tie"), F.struct(F.col(x).alias("x"), F.col(value).alias("v")).alias("_sample"))
-    right = probes.select(*by, F.col(x).alias("_x"), F.lit(kind).alias("_kind"), F.col(probe_id).cast("bigint").alias("_tie"))
-    return left.unionByName(right, allowMissingColumns=True)
+from .joins import free_names
+from .order import ranked
 
 
 def _held(
     samples: DataFrame, probes: DataFrame, by: Sequence[str], x: str, tie: str, value: str, probe_id: str,
-    both_sides: bool, rows_per_slice: int | None,
+    both_sides: bool, slices: int | None,
 ) -> DataFrame:
-    """Probe rows with ``_before`` (and ``_after``): the neighbouring samples as (x, v) structs."""
+    """Probe rows (by, x, tie) with ``before`` (and ``after``): the neighbouring samples as (x, v) structs."""
     by = list(by)
-    rows = _combined(samples, probes, by, x, tie, value, probe_id, probe_first=both_sides)
-    cut = slice_rows(rows, by, ["_x", "_kind", "_tie"], rows_per_slice)
-    upto = cut.window.rowsBetween(Window.unboundedPreceding, -1)
-    # Looking ahead is looking back along the reversed order: a running frame, linear in the rows.
-    reverse = Window.partitionBy(*by, "_slice").orderBy(*[F.desc(name) for name in cut.order])
-    onward = reverse.rowsBetween(Window.unboundedPreceding, -1)
-    before: Column = F.last("_sample", ignorenulls=True).over(upto)
-    after: Column = F.last("_sample", ignorenulls=True).over(onward)
-    rows = cut.df
-    if not cut.single:
-        place = F.when(F.col("_sample").isNotNull(), F.struct("_x", "_kind", "_tie"))
-        edges = cut.borders(F.min_by("_sample", place).alias("_head"), F.max_by("_sample", place).alias("_tail"))
-        earlier = cut.border_window.rowsBetween(Window.unboundedPreceding, -1)
-        later = Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-        table = edges.select(
-            *by, "_slice",
-            F.last("_tail", ignorenulls=True).over(earlier).alias("_earlier"),
-            F.last("_head", ignorenulls=True).over(later).alias("_later"),
-        )
-        rows = cut.carry(table)
-        before, after = F.coalesce(before, F.col("_earlier")), F.coalesce(after, F.col("_later"))
-    found = rows.withColumn("_before", before)
+    at, kind, order, sample, before, after = free_names(["at", "kind", "order", "sample", "before", "after"], samples, probes)
+    left = samples.select(*by, F.col(x).alias(at), F.lit(1).alias(kind), F.col(tie).cast("bigint").alias(order), F.struct(F.col(x).alias("x"), F.col(value).alias("v")).alias(sample))
+    right = probes.select(*by, F.col(x).alias(at), F.lit(0 if both_sides else 2).alias(kind), F.col(probe_id).cast("bigint").alias(order))
+    cut = ranked(left.unionByName(right, allowMissingColumns=True), by, [at, kind, order], slices)
+    known = F.when(F.col(sample).isNotNull(), F.col(cut.place))
+    tail, head = free_names(["tail", "head"], cut.df)
+    past = Window.unboundedPreceding, -1
+    edges = [F.max_by(sample, known).alias(tail), *([F.min_by(sample, known).alias(head)] if both_sides else [])]
+    carried = [F.last(tail, ignorenulls=True).over(cut.border_window.rowsBetween(*past)).alias(tail)]
+    if both_sides:
+        later = Window.partitionBy(*by).orderBy(F.desc(cut.slice)).rowsBetween(*past)
+        carried.append(F.last(head, ignorenulls=True).over(later).alias(head))
+    rows = cut.carry(cut.borders(*edges).select(*by, cut.slice, *carried))
+    rows = rows.withColumn(before, F.coalesce(F.last(sample, ignorenulls=True).over(cut.window.rowsBetween(*past)), F.col(tail)))
+    found = [F.col(before).alias("before")]
     if both_sides:
-        found = found.withColumn("_after", after)
-    return found.filter("_kind != 1")
+        # Looking ahead is looking back along the reversed order: a running frame, linear in the rows.
+        reverse = Window.partitionBy(*by, cut.slice).orderBy(F.desc(cut.place)).rowsBetween(*past)
+        rows = rows.withColumn(after, F.coalesce(F.last(sample, ignorenulls=True).over(reverse), F.col(head)))
+        found.append(F.col(after).alias("after"))
+    return rows.filter(F.col(kind) != 1).select(*by, F.col(order).alias(probe_id), F.col(at).alias(x), F.struct(*found).alias("near"))
 
 
 def lookup_hold(
     samples: DataFrame, probes: DataFrame, by: Sequence[str], x: str, tie: str, value: str, probe_id: str,
-    rows_per_slice: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """``(by, probe_id, x, sample_x, value)``: the last sample at or before each probe, else NULL."""
-    rows = _held(samples, probes, by, x, tie, value, probe_id, False, rows_per_slice)
-    return rows.select(
-        *by, F.col("_tie").alias(probe_id), F.col("_x").alias(x), F.col("_before.x").alias("sample_x"), F.col("_before.v").alias("value")
-    )
+    rows = _held(samples, probes, by, x, tie, value, probe_id, False, slices)
+    return rows.select(*by, probe_id, x, F.col("near.before.x").alias("sample_x"), F.col("near.before.v").alias("value"))
 
 
 def lookup_nearest(
     samples: DataFrame, probes: DataFrame, by: Sequence[str], x: str, tie: str, value: str, probe_id: str,
-    distance_key=None, rows_per_slice: int | None = None,
+    distance_key=None, slices: int | None = None,
 ) -> DataFrame:
     """The sample nearest to each probe; the earlier one at equal distance.
 
     *distance_key* turns x into a number (for times).
     """
     number = distance_key or (lambda column: column)
-    rows = _held(samples, probes, by, x, tie, value, probe_id, True, rows_per_slice)
-    here = number(F.col("_x"))
-    ahead, behind = number(F.col("_after.x")) - here, here - number(F.col("_before.x"))
-    later = F.col("_after").isNotNull() & (F.col("_before").isNull() | (ahead < behind))
-    pick = F.when(later, F.col("_after")).otherwise(F.col("_before"))
-    rows = rows.withColumn("_pick", pick)
-    return rows.select(
-        *by, F.col("_tie").alias(probe_id), F.col("_x").alias(x), F.col("_pick.x").alias("sample_x"), F.col("_pick.v").alias("value")
-    )
+    rows = _held(samples, probes, by, x, tie, value, probe_id, True, slices)
+    here, earlier, later = number(F.col(x)), F.col("near.before"), F.col("near.after")
+    ahead, behind = number(later["x"]) - here, here - number(earlier["x"])
+    pick = F.when(later.isNotNull() & (earlier.isNull() | (ahead < behind)), later).otherwise(earlier)
+    return rows.select(*by, probe_id, x, pick["x"].alias("sample_x"), pick["v"].alias("value"))

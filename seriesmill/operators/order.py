@@ -1,10 +1,10 @@
 """Exact order-dependent work without a single-task window.
 
-Rows are cut into slices along ``(series, order columns)``. The cut points come from a small
-sample and only balance the work: any cut points give the same result. Windows then run inside a
-slice, and what crosses a slice border comes from a table with one row per slice. A series, or an
-x value, that holds most of the rows is spread over many slices, because the order columns end in
-a unique tie-break.
+Rows are range-partitioned and sorted along ``(series, order columns)`` once and written, each with the slice it lies in and its
+place there. That fixes the slices, however often and wherever the rows are read again. Windows then run inside a slice, and what crosses
+a slice border comes from a table with one row per slice. A series, or an x value, that holds most of the rows is spread over
+many slices, because the order columns end in a unique tie-break. The plan of the rows is evaluated twice: by Spark
+for the range borders, and for the rows.
 """
 
 from __future__ import annotations
@@ -14,145 +14,80 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .joins import lookup_join, small_rows
+from ..sources.files import scratch_folder
+from .joins import free_names, lookup_join
 
-SLICE_ROWS = 1_000_000
-MAX_SLICES = 16_384
-#: Sampled rows per slice when choosing cut points.
-OVERSAMPLE = 24
+#: Bits of the place in a slice, as in Spark's increasing ids.
+PLACE_BITS = 33
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """*df* as a table in the session's shared folder, which nothing here deletes."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 @dataclass
-class Sliced:
-    """A frame with a ``_slice`` number that grows along ``(by, order)``."""
+class Ranked:
+    """Written rows with the number of their slice, which grows along ``(by, order)``, and a place that grows inside it."""
 
     df: DataFrame
     by: list[str]
     order: list[str]
-    single: bool
+    slice: str
+    place: str
 
     @property
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.by, "_slice").orderBy(*self.order)
+        return Window.partitionBy(*self.by, self.slice).orderBy(self.place)
 
     def borders(self, *aggregates: Column) -> DataFrame:
-        """One row per slice of every series that spans several: at most two per cut point."""
-        table = self.df.groupBy(*self.by, "_slice").agg(*aggregates)
-        several = F.count(F.lit(1)).over(Window.partitionBy(*self.by, F.lit(0)))
-        return table.withColumn("_several", several).filter("_several > 1").drop("_several")
+        """One row per series and slice: at most one per slice beyond one per series."""
+        return self.df.groupBy(*self.by, self.slice).agg(*aggregates)
 
     @property
     def border_window(self) -> WindowSpec:
-        return Window.partitionBy(*self.by, F.lit(0)).orderBy("_slice")
+        return Window.partitionBy(*self.by).orderBy(self.slice)
 
     def carry(self, table: DataFrame) -> DataFrame:
-        """Join a table made from :meth:`borders` back onto the rows."""
-        return lookup_join(self.df, table, [*self.by, "_slice"])
-
-
-def _constants(values: Sequence, dtype: T.DataType) -> Column:
-    """An array of constants as one foldable column."""
-    kind = f"array<{dtype.simpleString()}>"
-    texts = [None if v is None else str(v) for v in values]
-    if None in texts or isinstance(dtype, T.StringType):
-        return F.array(*[F.lit(t) for t in texts]).cast(kind)
-    # Read from one text: thousands of literals would be slow to build.
-    return F.split(F.lit(",".join(texts)), ",").cast(kind)
-
+        """Join a table made from :meth:`borders` back onto the rows; written, so that its size decides how."""
+        return lookup_join(self.df, written(table, "borders"), [*self.by, self.slice])
 
-def _reached(keys: Sequence[str], at: str) -> str:
-    """SQL: whether the cut at index *at* is at or below the row's key, NULLs first."""
-    test = ""
-    for i, key in reversed(list(enumerate(keys))):
-        cut = f"get(_cuts{i}, {at})"
-        if not test:
-            test = f"({cut} IS NULL OR {cut} <= {key})"
-        else:
-            below = f"({key} IS NOT NULL AND ({cut} IS NULL OR {cut} < {key}))"
-            test = f"({below} OR ({cut} <=> {key} AND {test}))"
-    return test
 
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], slices: int | None = None) -> Ranked:
+    """Sort *df* into slices. *order* must be unique within a series.
 
-def locate(df: DataFrame, keys: Sequence[str], cuts: Sequence[Sequence], name: str) -> DataFrame:
-    """Add the number of sorted *cuts* (tuples of key values) that are at or below each row's key.
-
-    A binary search with one projection per step, which stays in generated code.
-    """
-    quoted = ["`" + k.replace("`", "``") + "`" for k in keys]
-    arrays = {f"_cuts{i}": _constants([cut[i] for cut in cuts], df.schema[k].dataType) for i, k in enumerate(keys)}
-    df = df.withColumns({**arrays, name: F.lit(0)})
-    for bit in reversed(range(len(cuts).bit_length())):
-        step = 1 << bit
-        # Beyond the last cut there is nothing to reach.
-        test = f"{name} + {step} <= {len(cuts)} AND {_reached(quoted, f'{name} + {step - 1}')}"
-        df = df.withColumn(name, F.expr(f"CASE WHEN {test} THEN {name} + {step} ELSE {name} END"))
-    return df.drop(*arrays)
-
-
-def slice_rows(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    slice_rows: int | None = None,
-    max_slices: int | None = None,
-) -> Sliced:
-    """Cut *df* into slices of about *slice_rows* rows. *order* must be unique within a series.
-
-    When no series is larger than a slice, every series is one slice.
+    There are as many slices as Spark takes shuffle partitions for the data, or *slices*.
     """
     by, order = list(by), list(order)
-    size = SLICE_ROWS if slice_rows is None else slice_rows
-    # Instants are compared as numbers: their text depends on the session's time zone.
-    instants = [n for n in (*by, *order) if isinstance(df.schema[n].dataType, T.TimestampType)]
-    plain = df
-    df = df.withColumns({f"_us_{n}": F.unix_micros(n) for n in instants}) if instants else df
-    keys = df.select(*[f"_us_{n}" if n in instants else n for n in (*by, *order)])
-    if by:
-        sizes = plain.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-        wanted = -(-(sizes.total or 0) // size) if (sizes.largest or 0) > size else 1
-        total = sizes.total or 0
-    else:  # one series: use all cores even when it is short
-        total = keys.count()
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        wanted = max(-(-total // size), min(4 * cores, total // 20_000))
-    wanted = min(wanted, MAX_SLICES if max_slices is None else max_slices)
-    cuts: list = []
-    if wanted > 1:
-        target = wanted * OVERSAMPLE
-        sample = keys.sample(min(1.0, target / total), seed=11).limit(4 * target).orderBy(*keys.columns).collect()
-        picks = sorted({i * len(sample) // wanted for i in range(1, wanted)})
-        cuts = [sample[p] for p in picks if p < len(sample)]
-    if not cuts:
-        return Sliced(plain.withColumn("_slice", F.lit(0)), by, order, True)
-    located = locate(df, keys.columns, cuts, "_slice").drop(*[f"_us_{n}" for n in instants])
-    return Sliced(located, by, order, False)
+    place, number = free_names(["place", "slice"], df)
+    keys = [F.col(f"`{name}`") for name in (*by, *order)]
+    spread = df.repartitionByRange(*([slices] if slices else []), *keys).sortWithinPartitions(*keys)
+    rows = written(spread.withColumn(place, F.monotonically_increasing_id()), "ranked")
+    return Ranked(rows.withColumn(number, F.shiftright(place, PLACE_BITS).cast("int")), by, order, number, place)
 
 
 def number_rows(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "row_no", rows_per_slice: int | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "row_no", slices: int | None = None
 ) -> DataFrame:
     """Add the 0-based position of each row in its series, ordered by *order*."""
-    cut = slice_rows(df, by, order, rows_per_slice)
-    inside = F.row_number().over(cut.window).cast("bigint") - 1
-    if cut.single:
-        return cut.df.withColumn(name, inside).drop("_slice")
-    counts = cut.borders(F.count(F.lit(1)).alias("_rows"))
-    before = F.sum("_rows").over(cut.border_window.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*cut.by, "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
-    carried = cut.carry(offsets)
-    return carried.withColumn(name, inside + F.coalesce("_before", F.lit(0))).drop("_slice", "_before")
-
-
-def every_nth(
-    df: DataFrame, n: int, by: Sequence[str], order: Sequence[str], rows_per_slice: int | None = None
-) -> DataFrame:
+    cut = ranked(df, by, order, slices)
+    first, rows, before = free_names(["first", "rows", "before"], cut.df)
+    counts = cut.borders(F.min(cut.place).alias(first), F.count(F.lit(1)).alias(rows))
+    earlier = F.sum(rows).over(cut.border_window.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*cut.by, cut.slice, (F.coalesce(earlier, F.lit(0)) - F.col(first)).alias(before))
+    return cut.carry(offsets).withColumn(name, F.col(cut.place) + F.col(before)).select(*df.columns, name)
+
+
+def every_nth(df: DataFrame, n: int, by: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
     """Rows 0, n, 2n, … of each series."""
     if n == 1:
         return df
-    numbered = number_rows(df, by, order, "_row_no", rows_per_slice)
-    return numbered.filter(F.pmod("_row_no", F.lit(n)) == 0).drop("_row_no")
+    [name] = free_names(["row_no"], df)
+    numbered = number_rows(df, by, order, name, slices)
+    return numbered.filter(F.pmod(name, F.lit(n)) == 0).drop(name)
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -161,16 +96,5 @@ def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 
 def number_table(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positions for a table that is usually small (categories, files): numbered on the driver
-    when it is, else with :func:`number_rows`."""
-    rows = small_rows(df.orderBy(*by, *order))
-    if rows is None:
-        return number_rows(df, by, order, name)
-    counters: dict[tuple, int] = {}
-    numbered = []
-    for row in rows:
-        key = tuple(row[b] for b in by)
-        numbered.append((*row, counters.get(key, 0)))
-        counters[key] = counters.get(key, 0) + 1
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(numbered, schema)
+    """Positions for a derived table (categories, files), from 0 in each *by*."""
+    return number_rows(df, by, order, name)

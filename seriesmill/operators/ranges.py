@@ -16,9 +16,9 @@ from ..functions.durations import offset_seconds
 from ..functions.times import bound_us, is_instant, time_literal
 from ..plans.job import Affine, JobError, Span
 from ..sources.schema import kind_of, x_kind_of
-from .joins import small_rows
+from .joins import free_names
 from .normalise import INTEGERS, x_key
-from .order import slice_rows
+from .order import ranked
 
 #: Merged ranges that are still tested one by one.
 OR_RANGES = 64
@@ -178,45 +178,42 @@ def _between(value: Column, lo: Any, hi: Any) -> Column:
     return reduce(lambda a, b: a & b, tests) if tests else value.isNotNull() & ~F.isnan(value.cast("double"))
 
 
-def filter_by_table(
-    df: DataFrame, x: str, ranges: DataFrame, limit: int | None = None, rows_per_slice: int | None = None
-) -> DataFrame:
+def filter_by_table(df: DataFrame, x: str, ranges: DataFrame, few: int = OR_RANGES, slices: int | None = None) -> DataFrame:
     """Rows whose number *x* lies in any row of a ranges table ``(lo, hi)``, each row once.
 
-    A few ranges, once merged, are a pushed-down predicate. Beyond that, rows and ranges are
-    ordered together along x: a row is inside when the furthest end of the ranges that
-    start at or before it reaches it. That is one running maximum, and no pairs arise.
+    Up to *few* ranges, once merged, are a pushed-down predicate. More of them are ordered together with the rows along
+    x: a row is inside when the furthest end of the ranges that start at or before it reaches it. That is one running maximum,
+    and no pairs arise. Their hull is pushed down.
     """
-    rows = small_rows(ranges.select("lo", "hi"), limit)
     value = F.col(x)
-    if rows is not None:
-        disjoint = merged([(row.lo, row.hi) for row in rows])
-        if not disjoint:
-            return df.filter(F.lit(False))
-        if len(disjoint) <= OR_RANGES:
-            return df.filter(reduce(lambda a, b: a | b, [_between(value, lo, hi) for lo, hi in disjoint]))
-        df = df.filter(_between(value, disjoint[0][0], disjoint[-1][1]))
-    # Whole numbers keep their own type: doubles are not exact beyond 2^53.
-    exact = all(isinstance(dtype, INTEGERS) for dtype in (df.schema[x].dataType, ranges.schema["lo"].dataType, ranges.schema["hi"].dataType))
-    kind, least, most = ("bigint", -(1 << 63), (1 << 63) - 1) if exact else ("double", float("-inf"), float("inf"))
-    starts = ranges.select(
-        F.coalesce(F.col("lo").cast(kind), F.lit(least).cast(kind)).alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_spread"),
-        F.coalesce(F.col("hi").cast(kind), F.lit(most).cast(kind)).alias("_reach"),
-    )
+    head = ranges.select("lo", "hi").limit(few + 1).collect()
+    if len(head) <= few:
+        disjoint = merged([(row.lo, row.hi) for row in head])
+        return df.filter(reduce(lambda a, b: a | b, [_between(value, lo, hi) for lo, hi in disjoint], F.lit(False)))
+    # Exact numbers keep their type: doubles are not exact beyond 2^53.
+    given = [df.schema[x].dataType, ranges.schema["lo"].dataType, ranges.schema["hi"].dataType]
+    exact = [t for t in given if isinstance(t, (*INTEGERS, T.DecimalType))]
+    kind = "double"
+    if len(exact) == len(given):
+        kind = "bigint" if all(isinstance(t, INTEGERS) for t in given) else f"decimal(38,{max(t.scale for t in given if isinstance(t, T.DecimalType))})"
+    ends = ranges.select(F.col("lo").cast(kind).alias("lo"), F.col("hi").cast(kind).alias("hi")).filter("lo IS NULL OR hi IS NULL OR lo <= hi")
+    hull = ends.agg(F.when(F.count("lo") == F.count("*"), F.min("lo")).alias("lo"), F.when(F.count("hi") == F.count("*"), F.max("hi")).alias("hi")).first()
+    df = df.filter(_between(value, *[end if end is not None else sign * float("inf") for end, sign in ((hull.lo, -1), (hull.hi, 1))]))
+    at, side, spread, reach, furthest = free_names(["at", "side", "spread", "reach", "furthest"], df)
+    # Ranges open below come first of all, those open above reach everything.
+    starts = ends.select(F.col("lo").alias(at), F.lit(0).alias(side), F.lit(0).cast("bigint").alias(spread), F.struct(F.col("hi").isNull().alias("all"), F.col("hi").alias("to")).alias(reach))
     # Rows with equal x may go to different slices, told apart by a hash.
-    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
-    keyed = df.withColumns({"_x": value.cast(kind), "_kind": F.lit(1), "_spread": F.xxhash64(*plain)})
-    both = keyed.filter("_x IS NOT NULL AND NOT isnan(_x)").unionByName(starts, allowMissingColumns=True)
-    cut = slice_rows(both, [], ["_x", "_kind", "_spread"], rows_per_slice)
-    upto = cut.window.rowsBetween(Window.unboundedPreceding, 0)
-    reach, placed = F.max("_reach").over(upto), cut.df
-    if not cut.single:
-        earlier = F.max("_furthest").over(cut.border_window.rowsBetween(Window.unboundedPreceding, -1))
-        table = cut.borders(F.max("_reach").alias("_furthest")).select("_slice", earlier.alias("_before"))
-        placed = cut.carry(table)
-        reach = F.greatest(reach, F.col("_before"))
-    placed = placed.withColumn("_furthest", reach)
-    return placed.filter("_kind = 1 AND _furthest >= _x").select(*df.columns)
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
+    keyed = df.withColumns({at: value.cast(kind), side: F.lit(1), spread: F.xxhash64(*plain)}).filter(F.col(at).isNotNull())
+    if kind == "double":
+        keyed = keyed.filter(~F.isnan(at))
+    # NULL starts sort before all rows.
+    cut = ranked(keyed.unionByName(starts, allowMissingColumns=True), [], [at, side, spread], slices)
+    earlier = F.max(furthest).over(cut.border_window.rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut.carry(cut.borders(F.max(reach).alias(furthest)).select(cut.slice, earlier.alias(furthest)))
+    best = F.greatest(F.max(reach).over(cut.window.rowsBetween(Window.unboundedPreceding, 0)), F.col(furthest))
+    placed = placed.withColumn(reach, best)
+    return placed.filter((F.col(side) == 1) & (F.col(f"{reach}.all") | (F.col(f"{reach}.to") >= F.col(at)))).select(*[f"`{c}`" for c in df.columns])
 
 
 # -- measures -------------------------------------------------------------------------

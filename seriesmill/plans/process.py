@@ -149,7 +149,7 @@ def keep_ranges(prepared: Prepared, intervals: Sequence[Interval] | None = None)
     return prepared.df if predicate is None else prepared.df.filter(predicate)
 
 
-def run(prepared: Prepared, split: bool = False, slice_rows: int | None = None) -> Processed:
+def run(prepared: Prepared, split: bool = False, slices: int | None = None) -> Processed:
     """Filter, then thin or aggregate. With *split*, each range is a result of its own."""
     job, by = prepared.job, list(prepared.by)
     if split:
@@ -160,7 +160,7 @@ def run(prepared: Prepared, split: bool = False, slice_rows: int | None = None)
     method = job.aggregation.method
     if method in ("none", "every_nth"):
         if method == "every_nth":
-            rows = every_nth(rows, job.aggregation.n, by, prepared.order, slice_rows)
+            rows = every_nth(rows, job.aggregation.n, by, prepared.order, slices)
         return Processed(prepared, rows, by, prepared.order)
     return bucketed(prepared, rows, by, split)
 

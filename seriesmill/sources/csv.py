@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from .files import plain_path
 
 # What a CSV cell or file may look like.
 NULL_TEXTS = ("NA", "N/A", "#N/A", "null", "NULL")
-SEPARATORS = (",", ";", "\t", "|")
+TAB = "\t"
+SEPARATORS = (",", ";", TAB, "|")
 INTEGER = r"^[+-]?[0-9]+$"
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|NaN)$"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -25,57 +27,109 @@ POINT_FLOAT = r"^[+-]?[0-9]*\.[0-9]+$"
 CLASSES = {"integer": 1, "float": 2, "boolean": 4, "date": 8, "datetime": 16, "text": 32}
 
 
-# -- dialect ------------------------------------------------------------------------------
+# -- lines and records ----------------------------------------------------------------------
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``(source, block, at, line)``: text lines in file order along ``(block, at)``."""
-    df = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-    return df.select(
+    """``(source, block, at, part, line)``: text lines in file order along ``(block, at, part)``.
+
+    Lines end at ``\\n`` or at a lone ``\\r``; a ``\\r`` stays at the end of its line. *part* numbers the lines between two ``\\n``
+    and *last* marks the one that a ``\\n`` follows.
+    """
+    df = spark.read.option("lineSep", "\n").text([paths] if isinstance(paths, str) else list(paths))
+    cut = F.when(F.col("value").contains("\r"), F.split("value", r"(?<=\r)(?!$)")).otherwise(F.array("value"))
+    df = df.select(
         plain_path(F.col("_metadata.file_path")).alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        F.col("value").alias("line"),
+        cut.alias("cut"),
     )
+    df = df.select("source", "block", "at", F.size("cut").alias("parts"), F.posexplode("cut").alias("part", "line"))
+    return df.withColumn("last", F.col("part") + 1 == F.col("parts")).drop("parts")
 
 
-def with_dialect(df: DataFrame, lines: Column, tab_file: Column | None = None) -> DataFrame:
-    """Add ``separator`` and ``decimal_comma``, found from an array of the non-blank lines.
+def read_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``(source, no, record, open)``: the records of CSV files, numbered from 0 (the header) in each file; blank lines are none.
 
-    The separator found equally often on every line wins, then the one that makes most columns.
-    Each step is a column of its own, so that nothing is computed again for every line.
+    A line break inside quotes does not end a record. Whether a line starts inside quotes depends on all quotes before it, so
+    the state is a prefix scan: every block of a file is counted for both states it may start in, a running parity
+    over one row per block says which of them holds, and then the lines of each block know their state and number. Only
+    records of several lines are put together. *open* marks lines after a quote that the file never closes: each of
+    them is a record.
     """
-    bare = F.transform(lines, lambda line: F.regexp_replace(line, '"[^"]*"?', ""))
-    df = df.withColumn("_lines", lines).withColumn("_bare", bare)
-    df = df.withColumns({f"_c{i}": _counts(F.col("_bare"), separator) for i, separator in enumerate(SEPARATORS)})
+    lines = read_lines(spark, paths)
+    odd = F.pmod(F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))), F.lit(2)).cast("int")
+    inside = Window.partitionBy("source", "block").orderBy("at", "part")
+    lines = lines.withColumn("odd", odd)
+    lines = lines.withColumn("turn", F.pmod(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("odd"), F.lit(2)))
+    blank = (F.trim(F.replace("line", F.lit("\r"), F.lit(""))) == "") | ((F.col("block") == 0) & (F.trim("line") == "\uFEFF"))
+    lines = lines.withColumn("blank", blank)
+    # "turn" is the state a line starts in if its block starts outside quotes; inside them, it is the other one.
+    begins = {s: (F.col("turn") == s) & ~F.col("blank") for s in (0, 1)}
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumns({f"begun{s}": F.sum(test.cast("bigint")).over(upto) for s, test in begins.items()})
+    counts = [F.count(F.when(test, 1)).alias(f"n{s}") for s, test in begins.items()]
+    blocks = lines.groupBy("source", "block").agg(F.pmod(F.sum("odd"), F.lit(2)).alias("flip"), *counts)
+    file = Window.partitionBy("source").orderBy("block")
+    before = file.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source")
+    blocks = blocks.withColumn("state", F.pmod(F.coalesce(F.sum("flip").over(before), F.lit(0)), F.lit(2)))
+    blocks = blocks.withColumn("n", F.when(F.col("state") == 0, F.col("n0")).otherwise(F.col("n1")))
+    blocks = blocks.select(
+        "source", "block", "state", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"),
+        (F.pmod(F.sum("flip").over(whole), F.lit(2)) == 1).alias("broken"), F.sum("n").over(whole).alias("all"),
+    )
+    rows = lookup_join(lines, blocks, ["source", "block"])
+    rows = rows.withColumn("starts", F.pmod(F.col("turn") + F.col("state"), F.lit(2)) == 0)
+    rows = rows.withColumn("no", F.col("earlier") + F.when(F.col("state") == 0, F.col("begun0")).otherwise(F.col("begun1")) - 1)
+    rows = rows.filter(~(F.col("starts") & F.col("blank")))
+    # The last record of a file that ends inside quotes is the one whose quote is not closed.
+    open_ = F.col("broken") & (F.col("no") == F.col("all") - 1)
+    alone = open_ | (F.col("starts") & (F.col("odd") == 0))
+    text = F.regexp_replace(F.when((F.col("block") == 0) & (F.col("no") == 0), F.regexp_replace("line", "^\uFEFF", "")).otherwise(F.col("line")), r"\r$", "")
+    single = rows.filter(alone).select("source", "no", text.alias("record"), open_.alias("open"))
+    ended = F.concat("line", F.when(F.col("last"), "\n").otherwise(""))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "part", ended.alias("text"))))
+    several = rows.filter(~alone).groupBy("source", "no").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("record"))
+    record = F.regexp_replace(F.when(F.col("no") == 0, F.regexp_replace("record", "^\uFEFF", "")).otherwise(F.col("record")), r"\r?\n$|\r$", "")
+    return single.unionByName(several.select("source", "no", record.alias("record"), F.lit(False).alias("open")))
+
+
+# -- dialect ------------------------------------------------------------------------------
+
+
+def line_dialects(lines: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(by, separator, decimal_comma, binary)`` from lines ``(by, line, head)``; blank lines do not count, *head* marks the first other one.
+
+    The separator found equally often on every line wins, then the one that makes most columns in the first. Each line gives the number of
+    every separator outside quotes and whether a cell between them reads as a number with a decimal comma or point (spaces and
+    quotes around it do not count; commas never mark decimals between comma-separated cells). One hash aggregate compares the lines.
+    """
+    seen = {f"n{i}": F.length("bare") - F.length(F.replace("bare", F.lit(s), F.lit(""))) for i, s in enumerate(SEPARATORS)}
+    for i, separator in enumerate(SEPARATORS):
+        edge = re.escape(separator)
+        for name, pattern in (("comma", COMMA_FLOAT), ("point", POINT_FLOAT)):
+            seen[f"{name}{i}"] = F.col("line").rlike(rf'(^|{edge})\s*"*{pattern[1:-1]}"*\s*($|{edge})')
+    used = F.trim(F.replace("line", F.lit("\r"), F.lit(""))) != ""
+    rows = lines.select(*by, "line", "head", used.alias("used"), F.regexp_replace("line", '"[^"]*"?', "").alias("bare")).withColumns(seen)
+    aggregates = [F.max(F.col("line").contains("\x00")).alias("binary")]
+    for i in range(len(SEPARATORS)):
+        count = F.when(F.col("used"), F.col(f"n{i}"))
+        aggregates += [F.min(count).alias(f"least{i}"), F.max(count).alias(f"most{i}"), F.max(F.when(F.col("head"), count)).alias(f"top{i}")]
+        aggregates += [F.max(F.col(f"{name}{i}") & F.col("used") & ~F.col("head")).alias(f"{name}{i}") for name in ("comma", "point")]
+    found = rows.groupBy(*by).agg(*aggregates)
     scores = []
     for i, separator in enumerate(SEPARATORS):
-        counts = F.col(f"_c{i}")
-        same = F.array_min(counts) == F.array_max(counts)
-        score = F.struct(same.alias("same"), counts[0].alias("columns"), F.lit(-i).alias("rank"), F.lit(separator).alias("separator"))
-        scores.append(F.when(F.get(counts, F.lit(0)) > 0, score))
-    best = F.coalesce(F.array_max(F.array_compact(F.array(*scores)))["separator"], F.lit(","))
-    if tab_file is not None:
-        best = F.when(tab_file, "\t").otherwise(best)
-    df = df.withColumn("separator", best)
-    # Cells of all lines but the header, split at the chosen separator; commas never mark decimals
-    # between comma-separated cells.
-    body = F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))
-    cut = F.split(F.array_join(body, "\n"), F.concat(F.lit("\n|\\Q"), F.col("separator"), F.lit("\\E")))
-    df = df.withColumn("_cells", F.when(F.col("separator") != ",", cut))
-    # Spaces and quotes around a number do not count.
-    comma = F.exists("_cells", lambda c: c.rlike(_around(COMMA_FLOAT))) & ~F.exists("_cells", lambda c: c.rlike(_around(POINT_FLOAT)))
-    helpers = ["_lines", "_bare", "_cells", *[f"_c{i}" for i in range(len(SEPARATORS))]]
-    return df.withColumn("decimal_comma", F.coalesce(comma, F.lit(False))).drop(*helpers)
-
-
-def _counts(bare: Column, separator: str) -> Column:
-    """How often *separator* is on each line."""
-    return F.transform(bare, lambda line: F.length(line) - F.length(F.replace(line, F.lit(separator), F.lit(""))))
-
-
-def _around(pattern: str) -> str:
-    return pattern.replace("^", r'^\s*"*', 1)[:-1] + r'"*\s*$'
+        same = F.col(f"least{i}") == F.col(f"most{i}")
+        decimal = F.col(f"comma{i}") & ~F.col(f"point{i}") & F.lit(separator != ",")
+        score = F.struct(same.alias("same"), F.col(f"top{i}").alias("columns"), F.lit(-i).alias("rank"), F.lit(separator).alias("separator"), decimal.alias("decimal_comma"))
+        scores.append(F.when(F.col(f"top{i}") > 0, score))
+    best = F.array_max(F.array_compact(F.array(*scores)))
+    tabs = F.col(f"comma{SEPARATORS.index(TAB)}") & ~F.col(f"point{SEPARATORS.index(TAB)}")
+    return found.select(
+        *by, F.coalesce(best["separator"], F.lit(",")).alias("separator"), F.coalesce(best["decimal_comma"], F.lit(False)).alias("decimal_comma"),
+        F.coalesce(tabs, F.lit(False)).alias("tab_decimal_comma"), F.coalesce("binary", F.lit(False)).alias("binary"),
+    )
 
 
 def text_lines(text: Column) -> Column:
@@ -86,44 +140,29 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.split(whole, "\n"), lambda line: F.trim(line) != "")
 
 
-def file_dialects(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``(source, separator, decimal_comma, error)`` for each CSV file in *files* (``path``).
+def text_dialects(df: DataFrame, by: Sequence[str], text: str) -> DataFrame:
+    """:func:`line_dialects` of texts, each taken as a CSV file of its own; *by* is its key."""
+    lines = df.select(*by, F.posexplode_outer(text_lines(F.col(text))).alias("at", "line"))
+    return line_dialects(lines.select(*by, "line", (F.coalesce("at", F.lit(0)) == 0).alias("head")), by).drop("tab_decimal_comma", "binary")
 
-    All lines count. Each line gives the number of every separator outside quotes and whether a cell between them reads
-    as a number with a decimal comma or point; one hash aggregate per file compares the lines.
-    """
+
+def file_dialects(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``(source, separator, decimal_comma, error)`` for each CSV file in *files* (``path``), from all of its lines."""
     paths = [row.path for row in files.select("path").collect()]  # names only
     if not paths:
         return spark.createDataFrame([], "source string, separator string, decimal_comma boolean, error string")
-    lines = read_lines(spark, paths)
-    first = F.min(F.struct("block", "at"))
-    starts = lines.filter(F.trim("line") != "").groupBy("source").agg(first.alias("_first"))
-    bare = F.regexp_replace(F.regexp_replace("line", "^\uFEFF", ""), '"[^"]*"?', "")
-    seen = {f"_n{i}": F.length("_bare") - F.length(F.replace("_bare", F.lit(s), F.lit(""))) for i, s in enumerate(SEPARATORS)}
-    for i, separator in enumerate(SEPARATORS):
-        edge = re.escape(separator)
-        for name, pattern in (("comma", COMMA_FLOAT), ("point", POINT_FLOAT)):
-            cell = rf'(^|{edge})\s*"*{pattern[1:-1]}"*\s*($|{edge})'
-            seen[f"_{name}{i}"] = F.col("line").rlike(cell)
-    rows = lines.withColumn("_bare", bare).withColumns(seen).join(starts, "source", "left")
-    head = F.struct("block", "at") == F.col("_first")
-    used = F.trim("line") != ""
-    aggregates = [F.max(F.col("line").contains("\x00")).alias("_binary")]
-    for i in range(len(SEPARATORS)):
-        count = F.when(used, F.col(f"_n{i}"))
-        aggregates += [F.min(count).alias(f"_least{i}"), F.max(count).alias(f"_most{i}"), F.max(F.when(head, count)).alias(f"_top{i}")]
-        aggregates += [F.max(F.col(f"_{name}{i}") & ~F.coalesce(head, F.lit(False))).alias(f"_{name}{i}") for name in ("comma", "point")]
-    found = rows.groupBy("source").agg(*aggregates)
-    scores = []
-    for i, separator in enumerate(SEPARATORS):
-        same = F.col(f"_least{i}") == F.col(f"_most{i}")
-        decimal = F.col(f"_comma{i}") & ~F.col(f"_point{i}") & F.lit(separator != ",")
-        score = F.struct(same.alias("same"), F.col(f"_top{i}").alias("columns"), F.lit(-i).alias("rank"), F.lit(separator).alias("separator"), decimal.alias("decimal_comma"))
-        given = F.lit(separator == "\t")
-        scores.append(F.when(F.when(F.col("source").rlike(r"(?i)\.tsv$"), given).otherwise(F.col(f"_top{i}") > 0), score))
-    best = F.array_max(F.array_compact(F.array(*scores)))
-    error = F.when(F.col("_binary"), "neither a Parquet nor a CSV file")
-    return found.select("source", F.coalesce(best["separator"], F.lit(",")).alias("separator"), F.coalesce(best["decimal_comma"], F.lit(False)).alias("decimal_comma"), error.alias("error"))
+    lines = read_lines(spark, paths).withColumn("line", F.regexp_replace("line", "^\uFEFF", ""))
+    filled = lines.filter(F.trim(F.replace("line", F.lit("\r"), F.lit(""))) != "")
+    starts = filled.groupBy("source").agg(F.min("block").alias("first"))
+    first = filled.join(starts.withColumnRenamed("source", "of"), (F.col("source") == F.col("of")) & (F.col("block") == F.col("first"))).groupBy("source")
+    first = first.agg(F.min(F.col("at") * F.lit(1 << 10) + F.least("part", F.lit((1 << 10) - 1))).alias("top"))
+    place = F.col("at") * F.lit(1 << 10) + F.least("part", F.lit((1 << 10) - 1))
+    rows = lookup_join(lines, first, ["source"]).withColumn("head", F.coalesce(place == F.col("top"), F.lit(False)))
+    found = line_dialects(rows, ["source"])
+    tsv = F.col("source").rlike(r"(?i)\.tsv$")
+    error = F.when(F.col("binary"), "neither a Parquet nor a CSV file")
+    separator, comma = F.when(tsv, TAB).otherwise(F.col("separator")), F.when(tsv, F.col("tab_decimal_comma")).otherwise(F.col("decimal_comma"))
+    return found.select("source", separator.alias("separator"), comma.alias("decimal_comma"), error.alias("error"))
 
 
 # -- types ----------------------------------------------------------------------------------
@@ -211,51 +250,117 @@ def typed(cells: DataFrame, types: dict[str, str], keep: Sequence[str] = (), dec
 
 # -- reading --------------------------------------------------------------------------------
 
+#: Why a row or cell is in :func:`misfits`.
+UNCLOSED, UNEVEN, UNTYPED, RENAMED = "a quote is not closed", "not as many cells as columns", "the cell is no %s", "another header"
 
-def read_cells(spark: SparkSession, paths: str | Sequence[str], separator: str = ",") -> DataFrame:
-    """CSV cells as texts plus ``source`` and the file position ``block``, ``at``.
 
-    Records end at every line break, so cells must not hold any, quoted or not.
-    """
-    reader = spark.read.option("header", "true").option("sep", separator).option("quote", '"').option("escape", '"')
-    # Empty and null-like texts are told apart later, so the reader keeps them as they are.
-    df = reader.option("nullValue", "\u0000").option("emptyValue", "").option("enforceSchema", "false").csv(paths)
-    return df.select(
-        "*",
-        plain_path(F.col("_metadata.file_path")).alias("source"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-    )
+def header_of(spark: SparkSession, paths: str | Sequence[str], separator: str = ",") -> list[str]:
+    """The column names of the first file."""
+    return spark.read.options(header=True, sep=separator, quote='"', escape='"', multiLine=True).csv(paths).columns
 
 
-def number_lines(df: DataFrame, name: str = "pos") -> DataFrame:
-    """Replace ``block`` and ``at`` by the 0-based row number in the file.
+def _parsed(spark: SparkSession, paths: str | Sequence[str], separator: str, names: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    """``(source, no, record, open, head, cells)``: records with a struct of texts ``c0``, ``c1`` … and ``bad`` where they do not fit."""
+    names = header_of(spark, paths, separator) if names is None else list(names)
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    schema = T.StructType([*fields, T.StructField("bad", T.StringType())])
+    # Empty and null-like texts are told apart later, so the parser keeps them as they are.
+    options = {"sep": separator, "quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "multiLine": "true", "columnNameOfCorruptRecord": "bad"}
+    cells = F.from_csv("record", F.lit(schema.toDDL()), options)
+    return read_records(spark, paths).withColumns({"cells": cells, "head": F.col("no") == 0}), names
 
-    Rows of one block are numbered by their running id; one row per block carries the offset.
-    """
-    blocks = df.groupBy("source", "block").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    running = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("source", "block", (F.coalesce(F.sum("_rows").over(running), F.lit(0)) - F.col("_first")).alias("_shift"))
-    joined = lookup_join(df, offsets, ["source", "block"])
-    return joined.withColumn(name, F.col("at") + F.col("_shift")).drop("block", "at", "_shift")
 
+def read_cells(spark: SparkSession, paths: str | Sequence[str], separator: str = ",", names: Sequence[str] | None = None, source: str = "source", pos: str = "pos") -> DataFrame:
+    """CSV cells as texts plus *source* and *pos*, the row number in the file. Records may hold line breaks inside quotes.
 
-def inspect_csv(spark: SparkSession, path: str, separator: str, decimal_comma: bool) -> tuple[dict[str, str], int]:
+    Records with missing cells get NULLs, cells beyond the columns are left out; :func:`misfits` lists both.
+    """
+    rows, names = _parsed(spark, paths, separator, names)
+    cells = [F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)]
+    return rows.filter("NOT head").select(*cells, F.col("source").alias(source), (F.col("no") - 1).alias(pos))
+
+
+def misfits(spark: SparkSession, paths: str | Sequence[str], types: dict[str, str], separator: str = ",", decimal_comma: bool = False) -> DataFrame:
+    """``(source, pos, column, cell, reason)``: what :func:`read_csv` with these *types* cannot hold, NULL columns for whole records."""
+    names = list(types)
+    rows, _ = _parsed(spark, paths, separator, names)
+    none = F.lit(None).cast("string")
+    tests = [F.when(F.col("open"), F.struct(none.alias("column"), F.col("record").alias("cell"), F.lit(UNCLOSED).alias("reason")))]
+    uneven = ~F.col("open") & ~F.col("head") & F.col("cells.bad").isNotNull()
+    tests.append(F.when(uneven, F.struct(none.alias("column"), F.col("record").alias("cell"), F.lit(UNEVEN).alias("reason"))))
+    other = F.col("head") & ~F.forall(F.arrays_zip(F.array(*[F.col(f"cells.c{i}") for i in range(len(names))]).alias("a"), F.array(*map(F.lit, names)).alias("b")), lambda x: x["a"].eqNullSafe(x["b"]))
+    tests.append(F.when(other, F.struct(none.alias("column"), F.col("record").alias("cell"), F.lit(RENAMED).alias("reason"))))
+    for i, (name, kind) in enumerate(types.items()):
+        cell = F.col(f"cells.c{i}")
+        wrong = ~F.col("head") & ~F.col("open") & null_text(cell, kind).isNotNull() & typed_cell(cell, kind, decimal_comma).isNull()
+        tests.append(F.when(wrong, F.struct(F.lit(name).alias("column"), cell.alias("cell"), F.lit(UNTYPED % kind).alias("reason"))))
+    found = rows.select("source", (F.col("no") - 1).alias("pos"), F.explode(F.array_compact(F.array(*tests))).alias("what"))
+    return found.select("source", "pos", "what.*")
+
+
+def inspect_csv(spark: SparkSession, path: str | Sequence[str], separator: str, decimal_comma: bool, names: Sequence[str] | None = None) -> tuple[dict[str, str], int]:
     """Column types of the CSV files under *path* (one dialect) and their number of rows."""
-    cells = read_cells(spark, path, separator)
-    names = [n for n in cells.columns if n not in ("source", "block", "at")]
-    rows = infer_types(cell_classes(cells, names, (), decimal_comma), names).collect()  # one row per column
-    return {row.column: row.type for row in rows}, rows[0].rows if rows else 0
+    names = header_of(spark, path, separator) if names is None else list(names)
+    short = [f"c{i}" for i in range(len(names))]
+    cells = read_cells(spark, path, separator, short)
+    rows = {row.column: row for row in infer_types(cell_classes(cells, short, (), decimal_comma), short).collect()}  # one row per column
+    return {name: rows[c].type for name, c in zip(names, short)}, rows[short[0]].rows if short else 0
 
 
 def read_csv(
-    spark: SparkSession, path: str, separator: str = ",", decimal_comma: bool = False, types: dict[str, str] | None = None
+    spark: SparkSession, path: str | Sequence[str], separator: str = ",", decimal_comma: bool = False, types: dict[str, str] | None = None,
+    source: str = "source", pos: str = "pos",
 ) -> DataFrame:
-    """Typed CSV rows plus ``source`` and ``pos``; types are inferred over all rows unless given."""
+    """Typed CSV rows plus *source* and *pos*; types are inferred over all rows unless given."""
     if types is None:
         types, _ = inspect_csv(spark, path, separator, decimal_comma)
-    cells = number_lines(read_cells(spark, path, separator))
-    return typed(cells, types, ["source", "pos"], decimal_comma)
+    names = {name: f"c{i}" for i, name in enumerate(types)}
+    cells = read_cells(spark, path, separator, list(names.values()))
+    return cells.select(F.col("source").alias(source), F.col("pos").alias(pos), *[typed_cell(F.col(c), types[name], decimal_comma).alias(name) for name, c in names.items()])
+
+
+def read_csv_folder(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All CSV files of *files* (``path``), whatever their dialects, as one frame of typed rows, and ``(source, reason)`` of those left out.
+
+    Files of one dialect and header are one scan. Columns of one name are widened over the scans (integer, float, text);
+    a column that a file does not have is NULL in its rows.
+    """
+    found = file_dialects(spark, files)
+    rows = found.collect()  # one row per file
+    left = [(row.source, row.error) for row in rows if row.error]
+    groups: dict[tuple, list[str]] = {}
+    for row in rows:
+        if not row.error:
+            groups.setdefault((row.separator, row.decimal_comma), []).append(row.source)
+    scans = []
+    for (separator, comma), paths in sorted(groups.items()):
+        heads = read_records(spark, paths).filter("no = 0 AND NOT open").select("source", "record").collect()  # one row per file
+        same: dict[str, list[str]] = {}
+        for row in heads:
+            same.setdefault(row.record, []).append(row.source)
+        left += [(path, UNCLOSED) for path in paths if path not in {row.source for row in heads}]
+        for record in sorted(same):
+            one = sorted(same[record])
+            names = header_of(spark, one[0], separator)
+            scans.append((one, separator, comma, inspect_csv(spark, one, separator, comma, names)[0]))
+    types: dict[str, str] = {}
+    for *_, mine in scans:
+        for name, kind in mine.items():
+            types[name] = wider(types.get(name, kind), kind)
+    frames = []
+    for paths, separator, comma, mine in scans:
+        frame = read_csv(spark, paths, separator, comma, {name: types[name] for name in mine})
+        frames.append(frame)
+    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("pos", T.LongType()), *[T.StructField(n, spark_type(k)) for n, k in types.items()]])
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else spark.createDataFrame([], schema)
+    return whole, spark.createDataFrame(left, "source string, reason string")
+
+
+def wider(one: str, other: str) -> str:
+    """The type that holds the cells of both."""
+    if one == other:
+        return one
+    return "float" if {one, other} == {"integer", "float"} else "text"
 
 
 def spark_type(kind: str) -> T.DataType:
