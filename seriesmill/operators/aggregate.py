@@ -1,4 +1,8 @@
-"""Bucket aggregates. Everything combines before the shuffle; large medians are split exactly."""
+"""Bucket aggregates. Everything combines before the shuffle; large medians are split exactly.
+
+What fits fixed-width buffers is one hash aggregate. The other cases would make Spark sort all rows: first and last of texts, or along
+an order of several columns, take two stages (:func:`end_values`), and the least and greatest text of a group comes from its distinct texts.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import lookup_join
+from .joins import free_names, lookup_join
+from .order import written
 
 #: A group with more rows than this gets its median from :func:`split_median`.
 MEDIAN_ROWS = 2_000_000
 _FLOATS = (T.DoubleType, T.FloatType)
+_ANY_WIDTH = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
 
 
 def without_nan(value: Column, dtype: T.DataType) -> Column:
@@ -66,16 +72,69 @@ def aggregate(
     medians = [item for item in outputs if item[2] == "median"]
     largest = 0
     if medians:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        [count] = free_names(["rows"], df)
+        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)).agg(F.max(count)).first()[0] or 0
+    wide = {name for name in df.columns if isinstance(df.schema[name].dataType, _ANY_WIDTH)}
+    one_key = len(order) == 1 and order[0] not in wide
     split = medians if largest > limit else []
+    ends = [item for item in outputs if item[2] in ("first", "last") and not (one_key and item[1] not in wide)]
+    texts = [item for item in outputs if item[2] in ("min", "max") and item[1] in wide]
     key = order_key(order)
-    inline = [value_column(df, c, f, key).alias(n) for n, c, f in outputs if (n, c, f) not in split]
+    apart = [*split, *ends, *texts]
+    inline = [value_column(df, c, f, key).alias(n) for n, c, f in outputs if (n, c, f) not in apart]
     inline += list(extra)
-    result = df.groupBy(*keys).agg(*inline) if inline else df.select(*keys).distinct()
+    if ends and order[0] not in wide:
+        low, high = free_names(["low", "high"], df)
+        edges = [F.min(order[0]).alias(low), F.max(order[0]).alias(high)]
+        # Written: the rows meet it, whose size decides how, and the result is not computed twice.
+        result = written(df.groupBy(*keys).agg(*inline, *edges), "groups")
+        result = end_values(df, keys, ends, order, result, low, high)
+    elif ends:
+        inline += [value_column(df, c, f, key).alias(n) for n, c, f in ends]
+        result = df.groupBy(*keys).agg(*inline)
+    else:
+        result = df.groupBy(*keys).agg(*inline) if inline else df.select(*keys).distinct()
     for name, column, _ in split:
         result = lookup_join(result, split_median(df, keys, column, name, largest), keys)
+    for name, column, function in texts:
+        result = lookup_join(result, end_text(df, keys, column, name, function), keys)
     names = [*keys, *[n for n, _, _ in outputs]]
-    return result.select(*names, *[c for c in result.columns if c not in names])
+    return result.select(*names, *[c for c in result.columns if c not in (*names, *([low, high] if ends and order[0] not in wide else []))])
+
+
+def end_values(
+    df: DataFrame, keys: Sequence[str], outputs: Sequence[tuple[str, str, str]], order: Sequence[str], groups: DataFrame, low: str, high: str
+) -> DataFrame:
+    """*groups* with the *outputs* of their first or last rows along *order*.
+
+    *groups* has the least and greatest value of the first order column. Only rows at these values are ordered by the
+    other columns, and every partition keeps one row per group before they meet.
+    """
+    used = dict.fromkeys([*keys, *order, *[c for _, c, _ in outputs]])
+    rows = lookup_join(df.select(*used), groups.select(*keys, low, high), keys, "inner")
+    [place] = free_names(["place"], rows)
+    for function, edge in (("first", low), ("last", high)):
+        mine = [(n, c) for n, c, f in outputs if f == function]
+        if not mine:
+            continue
+        toward = [F.asc(c) if function == "first" else F.desc(c) for c in order[1:]] or [F.lit(0)]
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*toward))
+        picked = rows.filter(F.col(order[0]) == F.col(edge)).withColumn(place, number).filter(F.col(place) == 1)
+        values = []
+        for name, column in mine:
+            value = F.col(column)
+            values.append((value.cast("int") if isinstance(df.schema[column].dataType, T.BooleanType) else value).alias(name))
+        groups = lookup_join(groups, picked.select(*keys, *values), keys)
+    return groups
+
+
+def end_text(df: DataFrame, keys: Sequence[str], column: str, name: str, function: str) -> DataFrame:
+    """``(keys, name)``: the least or greatest text of each group, from its distinct texts."""
+    [place] = free_names(["place"], df)
+    toward = F.asc(column) if function == "min" else F.desc(column)
+    texts = df.select(*dict.fromkeys([*keys, column])).filter(F.col(column).isNotNull()).distinct()
+    numbered = texts.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(toward)))
+    return numbered.filter(F.col(place) == 1).select(*keys, F.col(column).alias(name))
 
 
 def split_median(df: DataFrame, keys: Sequence[str], column: str, name: str, largest: int) -> DataFrame:

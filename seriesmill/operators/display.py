@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import free_names, lookup_join
-from .order import number_table, ranked
+from .order import number_table, ranked, written
 
 
 def long_points(df: DataFrame, by: Sequence[str], x: Column, outputs: Sequence[str]) -> DataFrame:
@@ -23,27 +24,29 @@ def envelope(
 ) -> DataFrame:
     """``(by, series, x, y)``: the lowest and the highest value of every bucket, in x order.
 
-    Ties go to the smallest x. Needs no sorted input, combines before the shuffle, and buckets
-    whose values are all missing are left out.
+    Ties go to the smallest x. Needs no sorted input, and buckets whose values are all missing are left out. Two hash aggregates:
+    the extremes of all buckets, written, and then the smallest x of the rows that reach them.
     """
-    aggregates = []
+    number, at = free_names(["bucket", "at"], df)
+    values = free_names([f"value{i}" for i in range(len(outputs))], df)
+    numbers = [F.col(name).cast("double") for name in outputs]
+    known = [F.when(~F.isnan(value), value).alias(name) for value, name in zip(numbers, values)]
+    rows = df.select(*by, bucket.alias(number), x.alias(at), *known)
+    low, high = ([f"{end}{i}" for i in range(len(outputs))] for end in free_names(["low", "high"], rows))
+    ends = [f(v).alias(n) for f, names in ((F.min, low), (F.max, high)) for v, n in zip(values, names)]
+    extremes = written(rows.groupBy(*by, number).agg(*ends), "extremes")
+    met = lookup_join(rows, extremes, [*by, number], "inner")
+    tests = {n: F.col(v) == F.col(n) for names in (low, high) for v, n in zip(values, names)}
+    places = [F.min(F.when(test, F.col(at))).alias(f"{n}x") for n, test in tests.items()]
+    grouped = met.filter(reduce(lambda a, b: a | b, tests.values())).groupBy(*by, number, *low, *high).agg(*places)
+    points = []
     for i, name in enumerate(outputs):
-        value = F.col(name).cast("double")
-        known = value.isNotNull() & ~F.isnan(value)
-        low = F.struct(value.alias("v"), F.col("_x").alias("x"))
-        high = F.struct((-value).alias("v"), F.col("_x").alias("x"))
-        aggregates += [F.min(F.when(known, low)).alias(f"_lo{i}"), F.min(F.when(known, high)).alias(f"_hi{i}")]
-    grouped = df.withColumns({"_bucket": bucket, "_x": x}).groupBy(*by, "_bucket").agg(*aggregates)
-    ends = []
-    for i, name in enumerate(outputs):
-        low = F.struct(F.col(f"_lo{i}.x").alias("x"), F.col(f"_lo{i}.v").alias("y"))
-        high = F.struct(F.col(f"_hi{i}.x").alias("x"), (-F.col(f"_hi{i}.v")).alias("y"))
-        both = F.when(low["x"] <= high["x"], F.array(low, high)).otherwise(F.array(high, low))
-        known = F.col(f"_lo{i}").isNotNull()
-        ends.append(F.when(known, F.struct(F.lit(name).alias("series"), both.alias("points"))))
-    rows = grouped.select(*by, F.explode(F.array_compact(F.array(*ends))).alias("_s"))
-    rows = rows.select(*by, "_s.series", F.explode("_s.points").alias("_p"))
-    return rows.select(*by, "series", "_p.x", "_p.y")
+        one, other = (F.struct(F.col(f"{n}x").alias("x"), F.col(n).alias("y")) for n in (low[i], high[i]))
+        both = F.when(one["x"] <= other["x"], F.array(one, other)).otherwise(F.array(other, one))
+        points.append(F.when(F.col(low[i]).isNotNull(), F.struct(F.lit(name).alias("series"), both.alias("points"))))
+    found = grouped.select(*by, F.explode(F.array_compact(F.array(*points))).alias("s"))
+    found = found.select(*by, "s.series", F.explode("s.points").alias("p"))
+    return found.select(*by, "series", "p.x", "p.y")
 
 
 # -- codes ----------------------------------------------------------------------------

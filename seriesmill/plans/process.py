@@ -183,7 +183,8 @@ def bucketed(prepared: Prepared, rows: DataFrame, by: list[str], split: bool) ->
     # Grouping uses its own column, because x itself still orders first and last.
     rows = rows.withColumn("_bucket", bucket)
     order = prepared.order
-    if any(function in ("first", "last") for _, _, function in prepared.outputs):
+    ends = [column for _, column, function in prepared.outputs if function in ("first", "last")]
+    if ends and not any(column in prepared.texts for column in ends):
         rows, order = first_last_order(prepared, rows)
     first = [F.min(order_struct(prepared)).alias("_appears")] if prepared.category else []
     grouped = aggregate(rows, [*by, "_bucket"], prepared.outputs, order, first)

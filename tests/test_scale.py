@@ -190,3 +190,56 @@ def test_aggregates_combine_in_hash_aggregates(stored, functions):
 def test_every_nth_has_no_single_partition_window(skewed):
     kept = every_nth(skewed, 5, [], ["x", "pos"], 30)
     assert "SinglePartition" not in plan(kept)
+
+
+def jobs_of(spark, build):
+    """How many jobs *build* runs, and its result."""
+    context, group = spark.sparkContext, f"jobs-{random.random()}"
+    context.setJobGroup(group, "counted")
+    try:
+        return build(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_series_bounds_and_batches_need_no_job_before_they_run(spark, skewed):
+    from seriesmill.plans import export as X
+
+    points = Job.from_dict({"x": "x", "y": ["v"], "aggregation": {"method": "target_points", "points": 9, "functions": ["mean"]}})
+    relative = points.override(range_mode="relative", ranges=[[5, 700]])
+    for build in (
+        lambda: process(skewed, points, by=["series"]),
+        lambda: process(skewed, relative, by=["series"]),
+        lambda: X.export_lines(skewed.withColumn("source", F.coalesce("series", F.lit("none"))), points),
+    ):
+        df, jobs = jobs_of(spark, build)
+        assert jobs == 0 and df.count() > 9
+
+
+@pytest.mark.parametrize("functions", [["first", "last"], ["min", "max", "first"]])
+def test_ends_of_texts_need_no_sorting_aggregate(skewed, functions):
+    job = Job.from_dict({"x": "x", "y": ["state"], "aggregation": {"method": "interval", "every": 100, "functions": functions}})
+    got = process(skewed, job, by=["series"])
+    assert "SortAggregate" not in plan(got)
+    want = {}
+    for series, rows in series_of(skewed).items():
+        for r in rows:
+            want.setdefault((series, r.x // 100 * 100), []).append(r.state)
+    pick = {"first": lambda v: v[0], "last": lambda v: v[-1], "min": lambda v: min((t for t in v if t), default=None), "max": lambda v: max((t for t in v if t), default=None)}
+    assert {(r.series, r.x): tuple(r[f"state_{f}"] for f in functions) for r in got.collect()} == {k: tuple(pick[f](v) for f in functions) for k, v in want.items()}
+
+
+def test_envelope_needs_no_sorting_aggregate(spark, skewed):
+    got = D.envelope(skewed.withColumnRenamed("series", "unit"), ["unit"], F.floor(F.col("x") / 50), F.col("x").cast("double"), ["v", "pos"])
+    assert "SortAggregate" not in plan(got)
+    groups = {}
+    for series, rows in series_of(skewed).items():
+        for r in rows:
+            for name in ("v", "pos"):
+                groups.setdefault((series, name, r.x // 50), []).append((float(r[name]), float(r.x)))
+    want = []
+    for (series, name, _), pairs in groups.items():
+        low, high = min(pairs), min((-y, x) for y, x in pairs)
+        ends = [(low[1], low[0]), (high[1], -high[0])]
+        want += [(series, name, *end) for end in (ends if ends[0][0] <= ends[1][0] else ends[::-1])]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
