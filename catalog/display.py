@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesmill import Job
 from seriesmill.functions.times import to_us
+from seriesmill.functions.cells import readout_text
 from seriesmill.operators import display as D
 from seriesmill.operators.lookup import lookup_hold, lookup_nearest
 from seriesmill.plans.plot import plot_points
@@ -88,7 +89,33 @@ def _priority_points(spark, folder):
 
 
 def _summary(spark, folder):
-    return D.category_summary(_priority_points(spark, folder)).drop("text")
+    return D.category_summary(_priority_points(spark, folder))
+
+
+def _summary_texts(spark, folder):
+    """Statuses and prices per customer segment bucket, told as a plot tells them."""
+    df = numbered(spark, folder, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    plot = plot_points(df, Job.from_dict({"x": "day", "y": ["o_orderstatus", "o_totalprice"]}))
+    days = plot.x_categories.select(F.col("code").cast("double").alias("x"), F.col("value").alias("day"))
+    return D.category_summary(plot.points, texts=plot.categories).join(days, "x").select("series", "day", "text")
+
+
+def _splice_texts(spark, folder):
+    """Types of a month in detail, whose dictionary lacks some, inside those of the whole time."""
+    events = table(spark, folder, "events")
+    job = Job.from_dict({"x": "ts", "y": ["event_type"]})
+    whole = plot_points(events, job, tie=["event_id"])
+    lo, hi = 1_705_276_800.0, 1_706_745_600.0
+    part = plot_points(events.filter("event_type <> 'click'"), job, tie=["event_id"], view=(lo, hi))
+    return D.splice(whole.points, part.points, lo, hi, codes={"event_type": (part.categories["event_type"], whole.categories["event_type"])})
+
+
+def _readout(spark, folder):
+    """Numbers of very different sizes as a plot shows them."""
+    power, price = F.pmod("l_orderkey", F.lit(17)) - 9, F.col("l_extendedprice") * F.when(F.col("l_linenumber") == 1, -1).otherwise(1)
+    value = F.when(power < 0, price / F.pow(F.lit(10.0), -power)).otherwise(price * F.pow(F.lit(10.0), power))
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))
+    return rows.select("l_orderkey", "l_linenumber", readout_text(F.col("value")).alias("shown"))
 
 
 def _unique(spark, folder):
@@ -184,9 +211,28 @@ QUERIES = {
     ),
     "category_summary": (
         _summary,
-        PLACES_SQL + """ SELECT 'o_totalprice' AS series, x, count(*) AS "values", min(o_totalprice) AS low, max(o_totalprice) AS high
+        PLACES_SQL + """ SELECT 'o_totalprice' AS series, x, count(*) AS "values", min(o_totalprice) AS low, max(o_totalprice) AS high,
+           CASE WHEN count(*) = 1 THEN printf('%.6g', min(o_totalprice)) ELSE printf('%.6g', min(o_totalprice)) || ' … ' || printf('%.6g', max(o_totalprice)) || ' (' || count(*) || ' values)' END AS text
            FROM n JOIN k ON o_orderpriority = c GROUP BY x""",
     ),
+    "category_summary_texts": (
+        _summary_texts,
+        """SELECT 'o_totalprice' AS series, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN count(*) = 1 THEN printf('%.6g', min(o_totalprice))
+           ELSE printf('%.6g', min(o_totalprice)) || ' … ' || printf('%.6g', max(o_totalprice)) || ' (' || count(*) || ' values)' END AS text FROM orders GROUP BY 2
+           UNION ALL SELECT 'o_orderstatus', strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN count(*) = 1 THEN min(o_orderstatus) ELSE count(*) || ' values' END FROM orders GROUP BY 2""",
+    ),
+    "splice_texts": (
+        _splice_texts,
+        """WITH k AS (SELECT t, (row_number() OVER (ORDER BY t) - 1)::DOUBLE AS c FROM (SELECT DISTINCT event_type AS t FROM events)),
+           e AS (SELECT epoch_us(ts) / 1e6::DOUBLE AS x, event_type AS t FROM events)
+           SELECT 'event_type' AS series, x, c AS y FROM e JOIN k USING (t) WHERE NOT (x >= 1705276800 AND x <= 1706745600 AND t = 'click')""",
+    ),
+    "readout_texts": (
+        _readout,
+        """WITH p AS (SELECT l_orderkey, l_linenumber, l_orderkey % 17 - 9 AS k, l_extendedprice * CASE WHEN l_linenumber = 1 THEN -1 ELSE 1 END AS p FROM lineitem),
+           v AS (SELECT *, CASE WHEN k < 0 THEN p / pow(10.0::DOUBLE, -k) ELSE p * pow(10.0::DOUBLE, k) END AS v FROM p)
+           SELECT l_orderkey, l_linenumber, CASE WHEN v <> 0 AND (abs(v) >= 1e7 OR abs(v) < 1e-3) THEN printf('%.4e', v) ELSE printf('%.6g', v) END AS shown FROM v""",
+    ),
     "category_unique": (
         _unique,
         """SELECT 'o_totalprice' AS series, count(*) = count(DISTINCT o_orderpriority) AS single FROM orders

@@ -144,6 +144,12 @@ QUERIES = {
         _lines("events", {**EVENTS, "csv": {"time_format": "custom", "datetime_format": "%d.%m.%Y %H:%M:%S%.3f (day %j)"}}),
         "SELECT strftime(ts, '%d.%m.%Y %H:%M:%S.%g (day %j)') || ',' || value::VARCHAR AS line FROM events",
     ),
+    "time_custom_weeks": (
+        _lines("events", {**EVENTS, "csv": {"time_format": "custom", "datetime_format": "%e|%-d|%j|%u|%w|%U|%W|%G-W%V|%I %p %P|%s|%C%y|%c%.f"}}),
+        """SELECT lpad(day(ts)::VARCHAR, 2, ' ') || strftime(ts, '|%-d|%j|%u|%w|%U|%W|%G-W%V|%I %p ') || lower(strftime(ts, '%p')) || '|' || (epoch_us(ts) // 1000000) || strftime(ts, '|%Y|%a %b ')
+           || lpad(day(ts)::VARCHAR, 2, ' ') || strftime(ts, ' %H:%M:%S %Y') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' WHEN epoch_us(ts) % 1000 = 0 THEN strftime(ts, '.%g') ELSE strftime(ts, '.%f') END
+           || ',' || value::VARCHAR AS line FROM events""",
+    ),
     "time_epoch_s": (
         _values("events", {**EVENTS, "csv": {"time_format": "epoch_s"}}),
         "SELECT epoch_us(ts) / 1e6::DOUBLE AS ts, value FROM events",

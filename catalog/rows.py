@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesmill import Job
+from seriesmill import Job, process
 from seriesmill.functions.durations import seconds_to_clock, seconds_to_compact, text_to_seconds
 from seriesmill.functions.times import from_us, iso_text_to_us
 from seriesmill.operators.order import number_table
@@ -94,7 +94,13 @@ def _sorted(spark, folder):
     return run(prepare(numbered(spark, folder, "lineitem"), job)).sorted()
 
 
+def _default_axes(spark, folder):
+    """A job that names no columns takes time as x and the first two plain ones as y."""
+    return process(table(spark, folder, "events"), Job(), tie=["event_id"])
+
+
 QUERIES = {
+    "default_axes": (_default_axes, "SELECT ts, user_id, value FROM events"),
     "raw_select": (
         job_query("lineitem", {"x": "l_extendedprice", "y": ["l_quantity", "l_returnflag", "l_quantity", "l_extendedprice"]}, tie=("pos",)),
         "SELECT l_extendedprice, l_quantity, l_returnflag FROM lineitem",

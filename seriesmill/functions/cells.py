@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,51 @@ def float_text(value: Column) -> Column:
     return F.when(usual, text).otherwise(F.coalesce(odd, F.when(plain, spelled).otherwise(power)))
 
 
+#: Below this size, a double times a power of ten is off by less than NEAR.
+EXACT, NEAR = float(1 << 44), 2.0**-8
+
+
 def fixed_text(value: Column, digits: int) -> Column:
-    """A fixed number of decimals, rounded half-even on the exact binary value."""
+    """A fixed number of decimals, rounded half-even on the exact binary value.
+
+    The value times a power of ten is rounded to a whole number, which is the text as a decimal. The product carries an error, so
+    values whose product is near a half, large ones and those that round to zero go through the slower exact form.
+    """
     pattern = "0." + "0" * digits if digits else "0"
     text = F.call_function("format_number", value, F.lit(pattern))
     odd = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return F.when(odd, float_text(value)).otherwise(text)
+    exact = F.when(~odd, text).otherwise(F.when(F.isnan(value), "NaN").when(value > 0, "inf").when(value < 0, "-inf"))
+    if digits > 6:
+        return exact
+    scaled = value * F.lit(float(10**digits))
+    plain = (F.abs(scaled) < EXACT) & (F.abs(scaled) >= 0.5) & (F.abs(scaled - F.floor(scaled) - 0.5) > NEAR)
+    whole = F.rint(scaled).cast("bigint")
+    number = (whole.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-digits))).cast("string") if digits else whole.cast("string")
+    return F.when(plain, number).otherwise(exact)
+
+
+def readout_text(value: Column) -> Column:
+    """A number as a plot shows it: six significant digits, four decimals and a power of ten below 0.001 and from ten million on.
+
+    Halves are rounded to even on the exact binary value, up to whole numbers of 2**53.
+    """
+    size = F.abs(value)
+    far = (size >= 1e7) | (size < 1e-3)
+    # As many decimals as six digits leave; the pattern drops zeros at the end.
+    pattern = F.when(far, "0.0000E0").when(size >= 999999.5, "0.#####E0")
+    for decimals in range(9):
+        pattern = pattern.when(size >= 10.0 ** (5 - decimals), "0." + "#" * decimals if decimals else "0")
+    # With a power of ten, Java rounds halves of whole numbers up: those before an even digit are made a little less.
+    step = F.pow(F.lit(10.0), F.floor(F.log10(size)) - F.when(far, 4).otherwise(5))
+    half = (size >= 999999.5) & (F.pmod(size, step) * 2 == step) & (F.pmod(F.floor(size / step), F.lit(2)) == 0)
+    text = F.call_function("format_number", F.when(half, size - 1).otherwise(size), pattern.otherwise("0"))
+    mantissa, power = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1)
+    sign = F.when(power.startswith("-"), "-").otherwise("+")
+    digits = F.replace(power, F.lit("-"), F.lit(""))
+    text = F.when(text.contains("E"), F.concat(mantissa, F.lit("e"), sign, F.lpad(digits, F.greatest(F.length(digits), F.lit(2)), F.lit("0")))).otherwise(text)
+    finite = value.isNotNull() & ~F.isnan(value) & (size != float("inf"))
+    minus = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(finite, F.concat(minus, F.when(size == 0, "0").otherwise(text))).otherwise("–")
 
 
 def decimal_comma(text: Column) -> Column:

@@ -7,6 +7,7 @@ TIMESTAMP is an instant, and a zone name is only needed for wall-clock work on i
 from __future__ import annotations
 
 import datetime as dt
+import re
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, SparkSession
@@ -208,13 +209,76 @@ def date_pattern(strftime: str) -> str:
     return "".join(out)
 
 
+# Directives that stand for others.
+STRFTIME_WORDS = {
+    "%h": "%b", "%c": "%a %b %e %H:%M:%S %Y", "%x": "%m/%d/%y", "%X": "%H:%M:%S", "%r": "%I:%M:%S %p", "%v": "%e-%b-%Y", "%n": "\n", "%t": "\t",
+    "%e": "%_d", "%k": "%_H", "%l": "%_I",
+}
+#: Numeric directives that take another padding, and the fewest digits of each.
+PADDED = {"d": 2, "m": 2, "y": 2, "j": 3, "H": 2, "I": 2, "M": 2, "S": 2, "V": 2, "U": 2, "W": 2, "C": 2, "g": 2, "u": 1, "w": 1, "Y": 4, "G": 4}
+
+
+def strftime_text(x: Column, strftime: str, instant: bool, zone: str | None) -> Column:
+    """x as text by a strftime pattern; ValueError for a directive that is none or needs a zone that x has not."""
+    for _ in range(2):  # one of them stands for another
+        for word, meaning in STRFTIME_WORDS.items():
+            strftime = re.sub(f"(?<!%)((?:%%)*){re.escape(word)}", lambda m, meaning=meaning: m[1] + meaning, strftime)
+    wall = wall_time(x, instant, zone)
+    parts, plain = [], ""
+    for token in re.findall(r"%[-_0]?(?:\.?[369]?f|:?z|.)|[^%]+|%", strftime, re.DOTALL):
+        special = _directive(token, x, wall, instant)
+        if special is None:
+            plain += token
+            continue
+        if plain:
+            parts.append(F.date_format(wall, date_pattern(plain)))
+        parts.append(special)
+        plain = ""
+    if plain or not parts:
+        parts.append(F.date_format(wall, date_pattern(plain)))
+    return F.concat(*parts)
+
+
+def _directive(token: str, x: Column, wall: Column, instant: bool) -> Column | None:
+    """The text of a directive that has no Spark pattern, or None."""
+    if token in STRFTIME or not token.startswith("%") or token == "%%":
+        return None
+    if token in ("%z", "%:z"):
+        if not instant:
+            raise ValueError(f"The directive {token} needs times with a zone")
+        return _offset(x, wall, ":" if token == "%:z" else "")
+    if token == "%s":
+        return F.floor((F.unix_micros(x) if instant else to_us(x)) / 1_000_000).cast("string")
+    if token == "%P":
+        return F.lower(F.date_format(wall, "a"))
+    if token == "%.f":  # as many groups of three digits as needed
+        return F.regexp_replace(F.date_format(wall, ".SSSSSS"), r"^\.000000$|(?<=^\.\d{3})000$", "")
+    pad, name = (token[1], token[2:]) if token[1] in "-_0" else ("", token[1:])
+    if name not in PADDED:
+        return None
+    day = F.date_trunc("day", wall)
+    week = lambda first: F.floor((F.dayofyear(wall) + 6 - F.pmod(F.weekday(wall) + (1 - first), F.lit(7))) / 7)
+    iso_year = F.year(F.date_add(day.cast("date"), F.lit(3) - F.weekday(wall)))
+    number = {
+        "d": lambda: F.dayofmonth(wall), "m": lambda: F.month(wall), "y": lambda: F.pmod(F.year(wall), F.lit(100)), "j": lambda: F.dayofyear(wall),
+        "H": lambda: F.hour(wall), "I": lambda: F.pmod(F.hour(wall) + 11, F.lit(12)) + 1, "M": lambda: F.minute(wall), "S": lambda: F.second(wall),
+        "V": lambda: F.weekofyear(wall), "U": lambda: week(0), "W": lambda: week(1), "C": lambda: F.floor(F.year(wall) / 100),
+        "G": lambda: iso_year, "g": lambda: F.pmod(iso_year, F.lit(100)), "u": lambda: F.weekday(wall) + 1, "w": lambda: F.pmod(F.weekday(wall) + 1, F.lit(7)),
+        "Y": lambda: F.year(wall),
+    }[name]().cast("string")
+    return number if pad == "-" else F.lpad(number, F.greatest(F.length(number), F.lit(PADDED[name])), F.lit(" " if pad == "_" else "0"))
+
+
+def _offset(x: Column, wall: Column, colon: str = "") -> Column:
+    """How far the wall time is ahead of UTC, as +hhmm."""
+    away = F.floor((to_us(wall) - F.unix_micros(x)) / 60_000_000)
+    size = F.abs(away)
+    return F.concat(F.when(away < 0, "-").otherwise("+"), F.format_string(f"%02d{colon}%02d", F.floor(size / 60), F.pmod(size, F.lit(60))))
+
+
 def iso_text(x: Column, instant: bool, zone: str | None) -> Column:
     """ISO 8601 text with six fraction digits, and the offset of a zoned column."""
     if not instant:
         return F.date_format(x, ISO)
     wall = wall_time(x, True, zone)
-    away = F.floor((to_us(wall) - F.unix_micros(x)) / 60_000_000)
-    sign = F.when(away < 0, "-").otherwise("+")
-    size = F.abs(away)
-    offset = F.concat(sign, F.format_string("%02d%02d", F.floor(size / 60), F.pmod(size, F.lit(60))))
-    return F.concat(F.date_format(wall, ISO), offset)
+    return F.concat(F.date_format(wall, ISO), _offset(x, wall))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import readout_text
 from .joins import free_names, lookup_join
 from .order import number_table, ranked, written
 
@@ -84,17 +85,23 @@ def recode(points: DataFrame, old: DataFrame, new: DataFrame, by: Sequence[str]
     return joined.withColumn("y", F.when(F.col("y").isNotNull(), F.col("_new"))).drop("_new")
 
 
-def splice(overview: DataFrame, detail: DataFrame, lo: float, hi: float, by: Sequence[str] = ()) -> DataFrame:
+def splice(
+    overview: DataFrame, detail: DataFrame, lo: float, hi: float, by: Sequence[str] = (), codes: dict[str, tuple[DataFrame, DataFrame]] | None = None
+) -> DataFrame:
     """*overview* points with those inside ``[lo, hi]`` replaced by *detail*.
 
-    Series without detail are kept whole; detail of unknown series is dropped.
+    Series without detail are kept whole; detail of unknown series is dropped. *codes* gives for text series the dictionaries of
+    detail and overview: the detail's codes become the overview's, NULL where it has none.
     """
     keys = [*by, "series"]
     outside = (F.col("x") < lo) | (F.col("x") > hi)
-    detailed = detail.select(*keys).distinct().withColumn("_detailed", F.lit(True))
-    kept = lookup_join(overview, detailed, keys).filter(F.col("_detailed").isNull() | outside).drop("_detailed")
-    known = overview.select(*keys).distinct().withColumn("_known", F.lit(True))
-    added = lookup_join(detail, known, keys, how="inner").drop("_known")
+    detailed, known = free_names(["detailed", "known"], overview, detail)
+    with_detail = detail.select(*keys).distinct().withColumn(detailed, F.lit(True))
+    kept = lookup_join(overview, with_detail, keys).filter(F.col(detailed).isNull() | outside).drop(detailed)
+    for name, (old, new) in (codes or {}).items():
+        mine = F.col("series") == name
+        detail = detail.filter(~mine).unionByName(recode(detail.filter(mine), old, new, by).select(*detail.columns))
+    added = lookup_join(detail, overview.select(*keys).distinct().withColumn(known, F.lit(True)), keys, how="inner").drop(known)
     return kept.unionByName(added.select(*kept.columns))
 
 
@@ -114,19 +121,30 @@ def state_intervals(
     return rows.select(*by, F.col(x).alias("x_start"), end.alias("x_end"), F.col(value).alias("value"))
 
 
-def category_summary(points: DataFrame, by: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
+def category_summary(points: DataFrame, by: Sequence[str] = (), texts: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per series and category position: how many finite values, the lowest and the highest.
 
-    *text* says it as shown: the value, ``n values`` for text series, or ``low … high (n values)``.
+    *text* says it as shown: the value, or ``low … high (n values)``. Series in *texts* are drawn at the codes of a dictionary
+    (by, value, code): their value is its text, several of them are ``n values``.
     """
     finite = F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") != float("inf"))
     grouped = points.filter(finite).groupBy(*by, "series", "x").agg(
         F.count(F.lit(1)).alias("values"), F.min("y").alias("low"), F.max("y").alias("high")
     )
     count = F.concat(F.col("values").cast("string"), F.lit(" values"))
-    spread = F.concat(F.col("low").cast("string"), F.lit(" … "), F.col("high").cast("string"), F.lit(" ("), count, F.lit(")"))
-    text = F.when(F.col("values") == 1, F.col("low").cast("string"))
-    return grouped.withColumn("text", text.when(F.col("series").isin(*texts), count).otherwise(spread) if texts else text.otherwise(spread))
+    low, high = readout_text(F.col("low")), readout_text(F.col("high"))
+    spread = F.concat(low, F.lit(" … "), high, F.lit(" ("), count, F.lit(")"))
+    numbers = grouped.withColumn("text", F.when(F.col("values") == 1, low).otherwise(spread))
+    if not texts:
+        return numbers
+    [name] = free_names(["name"], grouped)
+    named = numbers.filter(~F.col("series").isin(*texts))
+    for series, dictionary in texts.items():
+        codes = dictionary.select(*by, F.col("code").cast("double").alias("low"), F.col("value").alias(name))
+        rows = lookup_join(grouped.filter(F.col("series") == series), codes, [*by, "low"])
+        text = F.when(F.col("values") == 1, F.coalesce(name, F.lit("–"))).otherwise(count)
+        named = named.unionByName(rows.withColumn("text", text).drop(name))
+    return named
 
 
 def category_unique(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:

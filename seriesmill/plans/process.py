@@ -20,7 +20,7 @@ from ..operators.buckets import interval_bucket, points_bucket
 from ..operators.normalise import is_valid, key_type, normalise, x_key
 from ..operators.order import every_nth
 from ..operators.ranges import Interval, any_inside, resolve, span_of, split_by_interval, stored_filter
-from ..sources.schema import kind_of, x_kind_of
+from ..sources.schema import kind_of, with_defaults, x_kind_of
 from .checks import check_job, interval_of
 from .job import ROW_INDEX, Job, JobError
 
@@ -111,9 +111,11 @@ def prepare(
 ) -> Prepared:
     """Check *job* against *df* and build the filtered, normalised rows.
 
-    *window* replaces the job's ranges (the view of a plot or table).
+    *window* replaces the job's ranges (the view of a plot or table). A job without x or y gets those the columns suggest.
     """
     by, tie = list(by), list(tie)
+    if not job.x or (need_y and not job.values):
+        job = with_defaults(job, df.drop(*by, *tie).schema)
     check_job(job, df.schema, need_y)
     df = with_row_axis(df, job, tie)
     stored = df.schema[job.x].dataType

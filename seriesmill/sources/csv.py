@@ -109,9 +109,12 @@ def line_dialects(lines: DataFrame, by: Sequence[str]) -> DataFrame:
     for i, separator in enumerate(SEPARATORS):
         edge = re.escape(separator)
         for name, pattern in (("comma", COMMA_FLOAT), ("point", POINT_FLOAT)):
-            seen[f"{name}{i}"] = F.col("line").rlike(rf'(^|{edge})\s*"*{pattern[1:-1]}"*\s*($|{edge})')
+            cell = rf'\s*"*{pattern[1:-1]}"*\s*'
+            # A search through the line only where it has the separator at all.
+            held = F.when(F.col("line").contains(separator), F.col("line").rlike(f"(^|{edge}){cell}($|{edge})")).otherwise(F.col("line").rlike(f"^{cell}$"))
+            seen[f"{name}{i}"] = F.lit(False) if separator == "," else held
     used = F.trim(F.replace("line", F.lit("\r"), F.lit(""))) != ""
-    rows = lines.select(*by, "line", "head", used.alias("used"), F.regexp_replace("line", '"[^"]*"?', "").alias("bare")).withColumns(seen)
+    rows = lines.select(*by, "line", "head", used.alias("used"), F.when(F.col("line").contains('"'), F.regexp_replace("line", '"[^"]*"?', "")).otherwise(F.col("line")).alias("bare")).withColumns(seen)
     aggregates = [F.max(F.col("line").contains("\x00")).alias("binary")]
     for i in range(len(SEPARATORS)):
         count = F.when(F.col("used"), F.col(f"n{i}"))

@@ -2,6 +2,7 @@ from conftest import START
 from pyspark.sql import functions as F
 
 from seriesmill import Job
+from seriesmill.functions.cells import readout_text
 from seriesmill.operators import display as D
 from seriesmill.plans.plot import plot_points, table_rows
 
@@ -61,6 +62,22 @@ def test_detail_and_splice(telemetry):
     assert pairs(both, "speed") == sorted(outside + pairs(detail.points))
 
 
+def test_splice_recodes_the_detail(modes):
+    settings = Job.from_dict({"x": "t", "y": ["state"]})
+    overview = plot_points(modes, settings)
+    detail = plot_points(modes, settings, view=(LO + 40, LO + 50))  # knows "run" only
+    codes = {"state": (detail.categories["state"], overview.categories["state"])}
+    both = D.splice(overview.points, detail.points, LO + 40, LO + 50, codes=codes)
+    assert sorted(map(repr, pairs(both, "state"))) == sorted(map(repr, pairs(overview.points, "state")))
+
+
+def test_readout_texts(spark):
+    values = [0.0, -0.0, 1.0, 0.001, 0.00099999, 123456.5, 999999.5, 1234567.0, 1e7, -2.5e-9, 100.0, 0.1 + 0.2, 12345.65, 1e300, 9999999.9, 3822850000.0, 1234565.0, 9999999.5, 99999500.0, 1234.125, 1234.375, 2.0**60]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*values, float("nan"), float("inf"), None])], "i int, v double")
+    got = [r.t for r in df.select("i", readout_text(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert got == [f"{v:.4e}" if v and (abs(v) >= 1e7 or abs(v) < 1e-3) else f"{v:.6g}" for v in values] + ["–"] * 3
+
+
 def test_splice_keeps_series_without_detail(spark):
     base = spark.createDataFrame([(s, float(i), float(i)) for s in "ab" for i in range(5)], "series string, x double, y double")
     detail = spark.createDataFrame([("a", 2.5, 9.0), ("c", 2.5, 1.0)], "series string, x double, y double")
@@ -95,7 +112,7 @@ def test_category_axis(sales):
     reduced = plot_points(sales, Job.from_dict({"x": "region", "y": ["revenue"]}), buckets=1)
     assert pairs(reduced.points) == [(0, 10), (0, 30), (1, 20), (1, 20), (2, 5), (2, 5)]
     summary = {r.x: r.text for r in D.category_summary(got.points.filter("series = 'revenue'")).collect()}
-    assert summary == {0: "10.0 … 30.0 (2 values)", 1: "20.0", 2: "5.0"}
+    assert summary == {0: "10 … 30 (2 values)", 1: "20", 2: "5"}
     assert {r.series: r.single for r in D.category_unique(got.points).collect()} == {"revenue": False, "grade": False}
 
 

@@ -1,11 +1,13 @@
+import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmill import Affine, Job, JobError, Span
+from seriesmill import Affine, Job, JobError, Span, process
 from seriesmill.functions.durations import duration_us, is_duration, offset_seconds
-from seriesmill.functions.times import bound_us, date_pattern
+from seriesmill.functions.times import bound_us, date_pattern, strftime_text
 from seriesmill.plans import job as J
 from seriesmill.plans.checks import check_job
 from seriesmill.sources.schema import default_x, default_y, with_defaults
@@ -125,3 +127,25 @@ def test_bounds_and_patterns():
     assert date_pattern("%d/%m at %H") == "dd'/'MM' at 'HH"
     with pytest.raises(ValueError):
         date_pattern("%!")
+
+
+def test_strftime_texts(spark):
+    moments = [dt.datetime(2023, 12, 31, 23, 59, 59, 120000), dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 29, 12, 5, 9, 7), dt.datetime(2021, 1, 3, 0, 30)]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(moments)], "i int, t timestamp_ntz")
+    pattern = "%Y-%m-%d %e %-d %-H %j %u %w %U %W %G %V %g %I %p %C 100%% %c"
+    got = [r.t for r in df.select("i", strftime_text(F.col("t"), pattern, False, None).alias("t")).orderBy("i").collect()]
+    assert got == [m.strftime(pattern.replace("%e", f"{m.day:2d}").replace("%-d", str(m.day)).replace("%-H", str(m.hour)).replace("%c", f"%a %b {m.day:2d} %H:%M:%S %Y")) for m in moments]
+    fraction = [r.t for r in df.select("i", strftime_text(F.col("t"), "%S%.f", False, None).alias("t")).orderBy("i").collect()]
+    assert fraction == ["59.120", "00", "09.000007", "00"]
+    zoned = df.select("i", F.to_timestamp_ltz(F.col("t").cast("string")).alias("t"))
+    got = [r.t for r in zoned.select("i", strftime_text(F.col("t"), "%H %z %:z %s", True, "Asia/Kolkata").alias("t")).orderBy("i").collect()]
+    assert got[1] == f"05 +0530 +05:30 {int(moments[1].replace(tzinfo=dt.timezone.utc).timestamp())}"
+    for bad in ("%z", "%!", "%Q"):
+        with pytest.raises(ValueError):
+            strftime_text(F.col("t"), bad, False, None)
+
+
+def test_a_job_without_columns_takes_those_that_suggest_themselves(spark):
+    df = spark.createDataFrame([(0, "a", dt.datetime(2024, 1, 1), 1.0, "p")], "pos bigint, source string, at timestamp_ntz, v double, w string")
+    assert process(df, Job(), by=["source"]).columns == ["source", "at", "v", "w"]
+    assert process(df, Job(x="v"), by=["source"]).columns == ["source", "v", "w"]
