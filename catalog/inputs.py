@@ -8,7 +8,8 @@ from seriesmill import Job
 from seriesmill.operators.bounds import column_profile
 from seriesmill.plans.export import split_own_outputs, without_done, planned_outputs
 from seriesmill.sources import csv as C
-from seriesmill.sources.files import find_inputs, inventory
+from seriesmill.operators.normalise import interval_seconds
+from seriesmill.sources.files import find_inputs, inventory, with_units
 
 from .base import numbered, table
 
@@ -124,7 +125,19 @@ def _done(spark, folder):
     return without_done(planned, done).select("source", "output")
 
 
+def _units(spark, folder):
+    """Times and durations that a file holds as whole numbers of some unit."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    stored = table(spark, folder, "events").select("event_id", (us * 1000 + F.col("event_id") % 1000).alias("ns"), F.floor(us / 1_000_000).alias("s"), (F.col("event_id") - 500).alias("took"))
+    found = with_units(stored, {"ns": "ns", "s": "s", "took": "duration ms"})
+    return found.select("event_id", "ns", "s", interval_seconds(F.col("took")).alias("took"))
+
+
 QUERIES = {
+    "stored_units": (
+        _units,
+        "SELECT event_id, ts AS ns, date_trunc('second', ts)::TIMESTAMP AS s, (event_id - 500) / 1000.0::DOUBLE AS took FROM events",
+    ),
     "file_inventory": (
         _inventory,
         " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, 'parquet' AS format, true AS stored, count(*) AS rows FROM {t}" for t in TABLES),

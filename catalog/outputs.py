@@ -8,7 +8,7 @@ from seriesmill import Job, process
 from seriesmill.functions import cells
 from seriesmill.plans import export as X
 from seriesmill.sources.csv import read_csv
-from seriesmill.sources.files import scratch_folder
+from seriesmill.sources.files import find_inputs, scratch_folder
 
 from .base import numbered, rounded, table
 
@@ -60,6 +60,21 @@ def _round_trip(spark, folder):
     return read_csv(spark, target, ";", True).drop("source", "pos")
 
 
+def _batch_files(spark, folder):
+    """A batch over files of several kinds: typed events, a CSV, one with other types, one without the columns, one that is no Parquet."""
+    events, target = table(spark, folder, "events").coalesce(1), scratch_folder(spark, "inputs")
+    for kind in ("view", "click"):
+        events.filter(F.col("event_type") == kind).write.parquet(f"{target}/{kind}.parquet")
+    events.filter("event_type = 'purchase'").select("ts", F.col("value").cast("decimal(12,3)").alias("value"), "user_id").write.parquet(f"{target}/other.parquet")
+    events.select("user_id").write.parquet(f"{target}/no.parquet")
+    events.filter("user_id < 40").select("ts", "value").write.option("header", True).csv(f"{target}/texts.csv")
+    events.filter("user_id < 9").select(F.col("props").alias("value")).write.text(f"{target}/broken.parquet")
+    files = find_inputs(spark, [f"{target}/*/part-*"])
+    job = Job.from_dict({"x": "ts", "y": ["value"], "output": {"path": "{dir}/{stem}.out"}})
+    found = X.write_batch_files(spark, files, job, scratch_folder(spark, "batch")).manifest
+    return found.select(F.regexp_extract("source", "([a-z]+)[.](parquet|csv)/", 1).alias("name"), "rows", "status")
+
+
 def _texts_round_trip(spark, folder):
     """Whole documents, with their line breaks and quotes, written as CSV and read back with inferred types."""
     job = Job.from_dict({"x": "doc_id", "y": ["text", "lang", "source", "n_chars"]})
@@ -191,6 +206,12 @@ QUERIES = {
         _lines("events", {"x": "ts", "y": ["value", "props", "user_id"], "csv": {"quote_style": "non_numeric", "separator": "tab"}}),
         """SELECT '"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"' || chr(9) || value::VARCHAR || chr(9) || '"' || replace(props, '"', '""') || '"' || chr(9) || user_id AS line FROM events""",
     ),
+    "batch_files": (
+        _batch_files,
+        """SELECT 'view' AS name, count(*) AS rows, 'written' AS status FROM events WHERE event_type = 'view' UNION ALL SELECT 'click', count(*), 'written' FROM events WHERE event_type = 'click'
+           UNION ALL SELECT 'other', count(*), 'written' FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'texts', count(*), 'written' FROM events WHERE user_id < 40
+           UNION ALL SELECT 'no', NULL, 'failed' UNION ALL SELECT 'broken', NULL, 'failed'""",
+    ),
     "csv_texts_round_trip": (_texts_round_trip, "SELECT doc_id, text, lang, source, n_chars FROM documents"),
     "csv_round_trip": (
         _round_trip,

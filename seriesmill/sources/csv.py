@@ -322,41 +322,42 @@ def read_csv(
     return cells.select(F.col("source").alias(source), F.col("pos").alias(pos), *[typed_cell(F.col(c), types[name], decimal_comma).alias(name) for name, c in names.items()])
 
 
-def read_csv_folder(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All CSV files of *files* (``path``), whatever their dialects, as one frame of typed rows, and ``(source, reason)`` of those left out.
-
-    Files of one dialect and header are one scan. Columns of one name are widened over the scans (integer, float, text);
-    a column that a file does not have is NULL in its rows.
-    """
-    found = file_dialects(spark, files)
-    rows = found.collect()  # one row per file
-    left = [(row.source, row.error) for row in rows if row.error]
+def csv_scans(spark: SparkSession, files: DataFrame) -> tuple[list[tuple[list[str], str, bool, dict[str, str]]], dict[str, str]]:
+    """CSV files of *files* (``path``) by dialect and header, as ``(paths, separator, decimal_comma, types)``, and why others are no CSV."""
+    rows = file_dialects(spark, files).collect()  # one row per file
+    left = {row.source: row.error for row in rows if row.error}
     groups: dict[tuple, list[str]] = {}
     for row in rows:
         if not row.error:
             groups.setdefault((row.separator, row.decimal_comma), []).append(row.source)
     scans = []
     for (separator, comma), paths in sorted(groups.items()):
-        heads = read_records(spark, paths).filter("no = 0 AND NOT open").select("source", "record").collect()  # one row per file
         same: dict[str, list[str]] = {}
-        for row in heads:
+        for row in read_records(spark, paths).filter("no = 0 AND NOT open").select("source", "record").collect():  # one row per file
             same.setdefault(row.record, []).append(row.source)
-        left += [(path, UNCLOSED) for path in paths if path not in {row.source for row in heads}]
         for record in sorted(same):
             one = sorted(same[record])
             names = header_of(spark, one[0], separator)
             scans.append((one, separator, comma, inspect_csv(spark, one, separator, comma, names)[0]))
+        left.update({path: UNCLOSED for path in set(paths).difference(*same.values())})
+    return scans, left
+
+
+def read_csv_folder(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All CSV files of *files* (``path``), whatever their dialects, as one frame of typed rows, and ``(source, reason)`` of those left out.
+
+    Files of one dialect and header are one scan. Columns of one name are widened over the scans (integer, float, text);
+    a column that a file does not have is NULL in its rows.
+    """
+    scans, left = csv_scans(spark, files)
     types: dict[str, str] = {}
     for *_, mine in scans:
         for name, kind in mine.items():
             types[name] = wider(types.get(name, kind), kind)
-    frames = []
-    for paths, separator, comma, mine in scans:
-        frame = read_csv(spark, paths, separator, comma, {name: types[name] for name in mine})
-        frames.append(frame)
+    frames = [read_csv(spark, paths, separator, comma, {name: types[name] for name in mine}) for paths, separator, comma, mine in scans]
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("pos", T.LongType()), *[T.StructField(n, spark_type(k)) for n, k in types.items()]])
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else spark.createDataFrame([], schema)
-    return whole, spark.createDataFrame(left, "source string, reason string")
+    return whole, spark.createDataFrame(list(left.items()), "source string, reason string")
 
 
 def wider(one: str, other: str) -> str:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.joins import lookup_join
 
@@ -51,31 +55,115 @@ def file_format(path):
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """One row per file of *files* (``path``, ``size``, …): its format, and for Parquet its rows.
+    """One row per file of *files* (``path``, ``size``, …): its format, and for Parquet its rows or the *error* why it cannot be read.
 
-    Counting reads no columns. Files that cannot be read count no rows.
+    Counting reads no columns. Of the files that count no rows, the footers tell the empty ones from those that cannot be read.
     """
     spark = files.sparkSession
     listed = files.withColumn("format", file_format(F.col("path")))
     paths = [row.path for row in listed.filter("format = 'parquet'").select("path").collect()]  # names only
     if not paths:
-        return listed.withColumn("rows", F.lit(None).cast("bigint"))
+        return listed.withColumns({"rows": F.lit(None).cast("bigint"), "error": F.lit(None).cast("string")})
     found = spark.read.option("ignoreCorruptFiles", "true").schema("_none int").parquet(*paths)
     counts = found.groupBy(plain_path(F.col("_metadata.file_path")).alias("path")).agg(F.count(F.lit(1)).alias("_rows"))
-    joined = lookup_join(listed, counts, ["path"])
-    return joined.withColumn("rows", F.when(F.col("format") == "parquet", F.coalesce("_rows", F.lit(0)))).drop("_rows")
+    counted = counts.collect()  # one row per file
+    known = {row.path for row in counted}
+    _, broken = schema_groups(spark, [path for path in paths if path not in known])
+    facts = spark.createDataFrame(
+        [(r.path, r[1], None) for r in counted] + [(p, None, e) for p, e in broken.items()] + [(p, 0, None) for p in paths if p not in known and p not in broken],
+        "path string, rows bigint, error string",
+    )
+    return lookup_join(listed, facts, ["path"])
+
+
+def equal_schemas(spark: SparkSession, paths: Sequence[str], threads: int = 16) -> tuple[list[tuple[T.StructType, list[str]]], dict[str, str]]:
+    """Parquet files by equal schemas, and why the others cannot be read. Spark reads one footer a file, some files at a time."""
+
+    def look(path: str) -> T.StructType | str:
+        try:
+            return spark.read.parquet(path).schema
+        except (PySparkException, Py4JJavaError) as error:
+            return _unreadable(error)
+
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    broken: dict[str, str] = {}
+    with ThreadPoolExecutor(threads) as pool:
+        for path, found in zip(paths, pool.map(look, paths)):
+            if isinstance(found, str):
+                broken[path] = found
+            else:
+                groups.setdefault(found.json(), (found, []))[1].append(path)
+    return list(groups.values()), broken
+
+
+def _unreadable(error: Exception) -> str:
+    return f"not a readable Parquet file: {str(error).strip().splitlines()[0]}"
+
+
+def schema_groups(spark: SparkSession, paths: Sequence[str]) -> tuple[list[tuple[T.StructType, list[str]]], dict[str, str]]:
+    """Parquet files whose schemas fit together, each group with the columns of all its files; and why the others cannot be read.
+
+    Spark merges the schemas of many files as one job over their footers. Files that do not merge are halved until they do,
+    and groups of equal columns are joined again: a misfit among n files costs some 2 log n jobs. A column that a file of a group
+    lacks is NULL in its rows; see :func:`equal_schemas` to tell those apart.
+    """
+    merged: dict[tuple, tuple[T.StructType, list[str]]] = {}
+    broken: dict[str, str] = {}
+    waiting = [sorted(paths)] if paths else []
+    while waiting:
+        part = waiting.pop()
+        try:
+            schema = spark.read.option("mergeSchema", "true").parquet(*part).schema
+        except (PySparkException, Py4JJavaError) as error:
+            if len(part) == 1:
+                broken[part[0]] = _unreadable(error)
+            else:
+                waiting += [part[len(part) // 2 :], part[: len(part) // 2]]
+            continue
+        key = tuple(sorted((f.name, f.dataType.json()) for f in schema.fields))
+        merged.setdefault(key, (schema, []))[1].extend(part)
+    return list(merged.values()), broken
 
 
 # -- scans ------------------------------------------------------------------------------
 
 
-def read_parquet(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
-    """The columns of Parquet files plus ``source`` (file path) and ``pos`` (row number in it)."""
-    reader = spark.read
+#: Microseconds of the units that a plain number in a file may count.
+UNITS = {"ns": 1e-3, "us": 1, "ms": 1e3, "s": 1e6}
+
+
+def read_parquet(
+    spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, schema: T.StructType | None = None, units: dict[str, str] | None = None
+) -> DataFrame:
+    """The columns of Parquet files plus ``source`` (file path) and ``pos`` (row number in it).
+
+    *units* says what whole numbers mean that Spark reads as such: ``{"t": "ns"}`` for times since 1970 (stored nanoseconds
+    are one), ``{"took": "duration ms"}`` for durations. They become times and intervals of microseconds.
+    """
+    if units and any(unit == "ns" for unit in units.values()):
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")  # also needed when the scan runs
+    reader = spark.read if schema is None else spark.read.schema(schema)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.parquet(*([paths] if isinstance(paths, str) else paths))
-    return df.select("*", plain_path(F.col("_metadata.file_path")).alias("source"), F.col("_metadata.row_index").alias("pos"))
+    df = df.select("*", plain_path(F.col("_metadata.file_path")).alias("source"), F.col("_metadata.row_index").alias("pos"))
+    return with_units(df, units or {})
+
+
+def with_units(df: DataFrame, units: dict[str, str]) -> DataFrame:
+    """Whole numbers as the times or durations that they count; parts of a microsecond are cut off toward the past."""
+    out = {}
+    for name, unit in units.items():
+        size = UNITS.get(unit.removeprefix("duration "))
+        if size is None:
+            raise ValueError(f"The unit of {name!r} is one of {', '.join(UNITS)}, or one of them after 'duration ', not {unit!r}")
+        value = F.col(f"`{name}`")
+        if size < 1:
+            value = F.call_function("div", value - F.pmod(value, F.lit(1000)), F.lit(1000))
+        us = value * F.lit(int(max(size, 1)))
+        away = F.make_dt_interval(secs=(us.cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+        out[name] = away if unit.startswith("duration ") else F.lit("1970-01-01").cast("timestamp_ntz") + away
+    return df.withColumns(out) if out else df
 
 
 def number_across_sources(df: DataFrame, source: str = "source", pos: str = "pos") -> DataFrame:

@@ -220,8 +220,8 @@ def test_inventory_and_row_numbers(spark, telemetry, tmp_path):
     deep = files.find_inputs(spark, [str(tmp_path), str(tmp_path / "UPPER.CSV")], recursive=True)
     assert deep.count() == 4
     facts = files.inventory(deep).collect()
-    assert sorted((r.format, r.rows) for r in facts if r.rows is not None) == [("parquet", 0), ("parquet", 200), ("parquet", 200)]
-    assert [r.format for r in facts if r.rows is None] == ["csv"]
+    assert sorted((r.format, r.rows) for r in facts if r.rows is not None) == [("parquet", 200), ("parquet", 200)]
+    assert sorted((r.format, bool(r.error)) for r in facts if r.rows is None) == [("csv", False), ("parquet", True)]
     df = files.read_parquet(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert df.filter("pos = 0").count() == 2
     whole = files.number_across_sources(df)
@@ -415,3 +415,67 @@ def test_folders_with_spaces_have_one_name(spark, tmp_path):
     listed = {r.path for r in files.find_inputs(spark, [str(folder)], recursive=True).collect()}
     read = {r.source for r in files.read_parquet(spark, str(folder), recursive=True).select("source").distinct().collect()}
     assert read <= listed and read
+
+
+def test_an_empty_file_is_no_broken_one(spark, tmp_path):
+    spark.range(0).coalesce(1).write.parquet(str(tmp_path / "none"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "five"))
+    (tmp_path / "torn.parquet").write_bytes(b"PAR1 and no more")
+    facts = {os.path.basename(os.path.dirname(r.path)): (r.rows, bool(r.error)) for r in files.inventory(files.find_inputs(spark, [str(tmp_path)], recursive=True)).collect()}
+    assert facts == {"none": (0, False), "five": (5, False), tmp_path.name: (None, True)}
+
+
+def test_schema_groups(spark, tmp_path):
+    for i in range(9):
+        spark.range(3).select(F.col("id").cast("string" if i == 4 else "double").alias("v"), *([F.lit(1).alias("more")] if i == 7 else [])).coalesce(1).write.parquet(f"{tmp_path}/{i}.parquet")
+    (tmp_path / "5b.parquet").write_text("nope")
+    paths = [f"{tmp_path}/{i}.parquet" for i in range(9)] + [f"{tmp_path}/5b.parquet"]
+    groups, broken = files.schema_groups(spark, paths)
+    assert list(broken) == [paths[-1]] and "not a readable" in broken[paths[-1]]
+    texts = [mine for schema, mine in groups if schema["v"].dataType == T.StringType()]
+    assert texts == [[paths[4]]] and sorted(p for _, mine in groups for p in mine) == sorted(paths[:-1])
+    whole = [files.read_parquet(spark, mine, schema=schema).count() for schema, mine in groups]
+    assert sum(whole) == 27 and len(groups) <= 5
+
+
+def test_a_batch_isolates_files_that_do_not_fit(spark, tmp_path):
+    day = lambda i: dt.datetime(2024, 3, 1, 0, i)
+    for name, rows, schema in (
+        ("a", [(day(i), float(i)) for i in range(4)], "t timestamp_ntz, v double"), ("b", [(day(1), "up")], "t timestamp_ntz, v string"),
+        ("c", [(day(2), 1)], "t timestamp_ntz, w int"), ("x/d", [(day(i), 9.0) for i in range(2)], "t timestamp_ntz, v double"),
+        ("y/d", [(day(3), 8.0)], "t timestamp_ntz, v double"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        [part] = [p for p in os.listdir(f"{tmp_path}/in/{name}") if p.startswith("part-")]
+        os.rename(f"{tmp_path}/in/{name}/{part}", f"{tmp_path}/in/{name}.parquet")
+    write(tmp_path / "in", "e.csv", "t;v\n2024-03-01 00:00:00;1,5\n")
+    (tmp_path / "in" / "f.parquet").write_text("nope")
+    found = files.find_inputs(spark, [str(tmp_path / "in")], recursive=True).filter("path NOT RLIKE '/part-'")
+    settings = Job.from_dict({"x": "t", "y": ["v"], "output": {"path": "/out/{stem}.csv"}})
+    batch = X.write_batch_files(spark, found, settings, str(tmp_path / "out"))
+    got = {r.source.split("/in/")[1]: (r.rows, r.status, (r.error or "")[:15]) for r in batch.manifest.collect()}
+    assert got == {
+        "a.parquet": (4, "written", ""), "b.parquet": (1, "written", ""), "e.csv": (1, "written", ""), "c.parquet": (None, "failed", "Column 'v' not "),
+        "f.parquet": (None, "failed", "not a readable "), "x/d.parquet": (None, "failed", "another input w"), "y/d.parquet": (None, "failed", "another input w"),
+    }
+    assert read_parts(str(tmp_path / "out"), "/out/b.csv") == b"t,v\n2024-03-01T00:01:00.000000,up\n"
+    assert read_parts(str(tmp_path / "out"), "/out/e.csv") == b"t,v\n2024-03-01T00:00:00.000000,1.5\n"
+    with pytest.raises(JobError):
+        X.write_batch_files(spark, found, settings, str(tmp_path / "out2"), fail_fast=True)
+
+
+def test_stored_nanoseconds(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    moments = [0, 1, 1_700_000_000_123_456_789, -1]
+    pq.write_table(pa.table({"t": pa.array(moments, pa.timestamp("ns")), "took": pa.array([1, 1500, None, -7], pa.duration("ms"))}), str(tmp_path / "n.parquet"))
+    before = spark.conf.get("spark.sql.legacy.parquet.nanosAsLong")
+    try:
+        rows = files.read_parquet(spark, str(tmp_path), units={"t": "ns", "took": "duration ms"}).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", before)
+    assert [r.t for r in rows] == [dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=n // 1000) for n in moments]
+    assert [r.took for r in rows] == [None if n is None else dt.timedelta(milliseconds=n) for n in (1, 1500, None, -7)]
+    with pytest.raises(ValueError):
+        files.with_units(spark.range(1), {"id": "weeks"})
