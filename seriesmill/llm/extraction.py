@@ -9,12 +9,16 @@ characters LC and link tags LT below it, the composite density is
 article. The least density on the path from the body to it is the threshold: other blocks at or above it give their own
 block with the largest sum. An article or main element around the best block is taken whole.
 
-Classes and ids count as whole words; those in articles only on containers, and a block that they mark stays if it holds
-an article or, on pages without one, most of the body's unlinked characters. Elements that are by name, role or class menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-or reader comments leave before the densities are computed. A header inside an article stays, as it holds the title.
+Elements that are by name, role or class menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
+leave before the densities are computed. Classes and ids count as whole words; of hyphenated ones the first part counts for
+adverts, comments, cookie notices and share links, the last one for headers, footers and menus. Blocks that a class marks, and
+forms outside articles, stay if they hold an article or, on pages without one, most of the body's unlinked characters. In
+articles, only containers are judged by all of these words, other blocks by those of adverts and comments. A header inside an article
+stays, as it holds the title.
 The text has one line per block: references decoded, white space turned into one space, trimmed; blank blocks give no line.
 
-NULL, blank and text-free pages give an empty text. Broken markup is read like a browser would: paragraphs, list items
+NULL, blank and text-free pages give an empty text. In tags, quotes count only where a value begins; a tag, comment or raw element that
+is never closed goes on to the end of the page. Broken markup is read like a browser would: paragraphs, list items
 and cells end where the next begins, end tags without a start are ignored. Work and memory are linear in the page.
 Repeated rows give repeated results; an empty table gives an empty result. Columns other than id, url and html are ignored.
 """
@@ -55,15 +59,93 @@ NEVER = frozenset(
 SELDOM = frozenset("nav navbar navigation menu menus header footer masthead banner topbar bottombar toc copyright legal disclaimer byline tags meta aside".split())
 CONTENT = frozenset("article content main post entry story body text page".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b[^>]*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|$))|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*+)>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
+# Words that mark adverts and reader comments on any element, first and last parts of hyphenated words, and what "related-" lists.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion comment comments disqus reply replies".split())
+HEADS = STRONG | frozenset(
+    "cookie cookies consent gdpr newsletter subscribe subscription signup sidebar widget breadcrumb breadcrumbs pagination pager share sharing social popup modal overlay".split()
 )
-MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+TAILS = frozenset("nav navbar navigation menu header footer masthead breadcrumbs".split())
+LISTED = frozenset("posts articles stories links news content items reading topics".split())
+
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>=]")
+VALUE = re.compile(r"\s*")
+MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?", re.IGNORECASE)
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW.split("|")}
+
+
+def tokens(source: str):
+    """(text before, end tag, name, attributes) of each tag and, with an empty name, of the text at the end; raw elements have no contents.
+
+    Every character is passed once: quotes count only where a value begins, and what is never closed goes on to the end.
+    """
+    at = 0  # where the text before the next tag begins
+    look = 0
+    size = len(source)
+    while True:
+        begin = source.find("<", look)
+        if begin < 0:
+            break
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            yield source[at:begin], False, None, ""
+            if end < 0:
+                return
+            at = look = end + 3
+            continue
+        tag = TAG.match(source, begin)
+        if tag is None:
+            if source[begin + 1 : begin + 2] not in ("!", "?", "/"):
+                look = begin + 1  # text
+                continue
+            end = source.find(">", begin)
+            if end < 0:
+                break
+            yield source[at:begin], False, None, ""
+            at = look = end + 1
+            continue
+        place = tag.end()
+        while True:  # to the end of the tag
+            stop = STOP.search(source, place)
+            if stop is None or stop[0] == ">":
+                break
+            place = VALUE.match(source, stop.end()).end()
+            if source[place : place + 1] in ('"', "'"):
+                end = source.find(source[place], place + 1)
+                place = end + 1 if end >= 0 else size if source.find(">", place) < 0 else place + 1
+        if stop is None:
+            if source.find(">", begin) < 0:
+                break  # no tag any more
+            yield source[at:begin], False, None, ""
+            return
+        name, rest = tag[2].lower(), source[tag.end() : stop.start()]
+        yield source[at:begin], tag[1] == "/", name, rest
+        at = look = stop.end()
+        if name in RAW_ENDS and not tag[1] and not rest.endswith("/"):
+            end = RAW_ENDS[name].search(source, at)
+            end = source.find(">", end.end()) if end else -1
+            if end < 0:
+                return
+            yield "", True, name, ""
+            at = look = end + 1
+    yield source[at:], False, None, ""
+
+
+def _marked(words: set[str], in_article: bool) -> bool:
+    """Whether class or id words mark what is no article."""
+    if not words.isdisjoint(NEVER) or (not words.isdisjoint(SELDOM) and words.isdisjoint(CONTENT)):
+        return True
+    for word in words:
+        parts = re.split("[-_]+", word)
+        if len(parts) > 1 and (parts[0] in HEADS or not in_article and parts[-1] in TAILS or parts[0] in ("related", "recommended") and not LISTED.isdisjoint(parts[1:])):
+            return True
+    return False
 
 
 def _unwanted(name: str, rest: str, in_article: bool) -> bool | None:
     """Whether an element leaves at once; None if its class or id says so, which its contents can overrule."""
+    if name == "form" and not in_article:
+        return None  # some hold the whole page
     if name in DROPPED:
         return True
     if name == "header" and not in_article:
@@ -83,9 +165,11 @@ def _unwanted(name: str, rest: str, in_article: bool) -> bool | None:
                 return True
         else:
             words.update(value.lower().split())
-    if name in KEPT or in_article and name not in ("div", "section", "ul", "ol"):
-        return False
-    if not words.isdisjoint(NEVER) or (not words.isdisjoint(SELDOM) and words.isdisjoint(CONTENT)):
+    if name in KEPT:
+        return name == "article" and not words.isdisjoint(STRONG)  # a reader's comment as an article of its own
+    if in_article and name not in ("div", "section", "ul", "ol"):
+        return name not in INLINE and not words.isdisjoint(STRONG)
+    if _marked(words, in_article):
         return True if name in INLINE else None
     return False
 
@@ -113,17 +197,38 @@ class _Page:
         return k
 
 
+LISTS = frozenset([*ENDS_LIKE, *(name for names in HOLDS.values() for name in names)])
+
+
 def parse(source: str) -> _Page:
     page = _Page()
     stack: list[tuple[str, int]] = [("body", 0)]  # open elements and their blocks; inline ones have that of the block around
-    links = articles = dropped = at = 0  # open links and articles; depth at which an unwanted element began
+    blocks, lists = [0], []  # places in the stack of elements that are not inline, and of parts of lists and tables
+    opened: dict[str, int] = {}  # how many elements of a name are open
+    links = articles = dropped = 0  # open links and articles; depth at which an unwanted element began
+
+    def push(name: str, block: int):
+        nonlocal links, articles
+        if name not in INLINE:
+            blocks.append(len(stack))
+        if name in LISTS:
+            lists.append(len(stack))
+        stack.append((name, block))
+        opened[name] = opened.get(name, 0) + 1
+        links += name == "a"
+        articles += name in ("article", "main")
 
     def close(to: int):
         nonlocal links, articles, dropped
         while len(stack) > to:
             name, _ = stack.pop()
+            opened[name] -= 1
             links -= name == "a"
             articles -= name in ("article", "main")
+        while blocks[-1] >= to:
+            blocks.pop()
+        while lists and lists[-1] >= to:
+            lists.pop()
         if dropped > len(stack):
             dropped = 0
 
@@ -138,41 +243,27 @@ def parse(source: str) -> _Page:
         if links:
             page.link_chars[block] += size
 
-    for token in TOKEN.finditer(source):
-        write(source[at : token.start()])
-        at = token.end()
-        name = token["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        if token["end"]:
-            if name in ("html", "body"):
-                continue
-            inline = name in INLINE
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+    for text, ends, name, rest in tokens(source):
+        write(text)
+        if name is None or name in ("html", "body"):
             continue
-        if name in ("html", "body"):
+        if ends:
+            if opened.get(name):
+                least = blocks[-1] if name in INLINE else 0
+                for k in range(len(stack) - 1, least, -1):
+                    if stack[k][0] == name:
+                        close(k)
+                        break
             continue
-        if name in ENDS_PARAGRAPH:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if name in ENDS_PARAGRAPH and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
         if name in ENDS_LIKE:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in reversed(lists):
                 if stack[k][0] in ENDS_LIKE[name]:
                     close(k)
                     break
                 if stack[k][0] in HOLDS[name]:
                     break
-        rest = token["rest"]
         block = stack[-1][1]
         if name in VOID:
             if not dropped:
@@ -182,22 +273,19 @@ def parse(source: str) -> _Page:
             continue
         unwanted = not dropped and _unwanted(name, rest, articles > 0)
         if unwanted:
-            stack.append((name, block))
+            push(name, block)
             dropped = len(stack)
         elif name in INLINE or dropped:
-            stack.append((name, block))
+            push(name, block)
             if not dropped:
                 page.tags[block] += 1
                 page.link_tags[block] += name == "a"
         else:
-            stack.append((name, page.add(name, block)))
+            push(name, page.add(name, block))
             if unwanted is None:
                 page.doubtful.append(stack[-1][1])
-        links += name == "a"
-        articles += name in ("article", "main")
         if rest.endswith("/") and name not in INLINE and name not in ENDS_PARAGRAPH:
             close(len(stack) - 1)
-    write(source[at:])
     _without_doubtful(page)
     return page
 
