@@ -75,7 +75,9 @@ RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in
 
 
 def tokens(source: str):
-    """(text before, end tag, name, attributes) of each tag and, with an empty name, of the text at the end; raw elements have no contents.
+    """(text before, end tag, name, attributes) of each tag and, without a name, of the text at the end.
+
+    The contents of raw elements are no text; they come in place of the attributes of their end tag.
 
     Every character is passed once: quotes count only where a value begins, and what is never closed goes on to the end.
     """
@@ -122,11 +124,11 @@ def tokens(source: str):
         yield source[at:begin], tag[1] == "/", name, rest
         at = look = stop.end()
         if name in RAW_ENDS and not tag[1] and not rest.endswith("/"):
-            end = RAW_ENDS[name].search(source, at)
-            end = source.find(">", end.end()) if end else -1
+            close = RAW_ENDS[name].search(source, at)
+            end = source.find(">", close.end()) if close else -1
             if end < 0:
                 return
-            yield "", True, name, ""
+            yield "", True, name, source[at : close.start()]
             at = look = end + 1
     yield source[at:], False, None, ""
 

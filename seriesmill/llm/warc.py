@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .extraction import ENDS_PARAGRAPH, TOKEN
+from .extraction import ENDS_PARAGRAPH, RAW_ENDS, tokens
 from .shared import table
 
 DATE = "2024-01-01T00:00:00Z"
 BREAKS = ENDS_PARAGRAPH | {"br", "title", "option", "caption", "body", "html", "head", "li"}
-LINK = re.compile(r"(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+LINK = re.compile(r"(?:^|[\s\"'])(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 META = re.compile(r"(name|property|http-equiv|content|charset)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>/]+))", re.IGNORECASE)
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
 COLUMNS = ("kind", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "payload_digest", "record")
@@ -89,43 +89,72 @@ def decoded(headers: list[tuple[str, str]], body: bytes) -> bytes:
     if coding in ("gzip", "x-gzip", "deflate"):
         for window in (47, -15):
             try:
-                return zlib.decompressobj(window).decompress(body)
+                return _inflated(body, window)
             except zlib.error:
                 continue
     return body
 
 
+def _inflated(body: bytes, window: int) -> bytes:
+    """All members of a compressed body; what follows them and is none is left out."""
+    out: list[bytes] = []
+    while body:
+        member = zlib.decompressobj(window)
+        try:
+            out.append(member.decompress(body))
+        except zlib.error:
+            if not out:
+                raise
+            break
+        body = member.unused_data if member.eof else b""
+    return b"".join(out)
+
+
 def text_of(body: bytes, content_type: str) -> str:
-    found = CHARSET.search(content_type.encode()) or CHARSET.search(body[:4096])
+    found = CHARSET.search(content_type.encode()) or CHARSET.search(body)
     try:
         return body.decode(found[1].decode() if found else "utf-8", "replace")
     except LookupError:
         return body.decode("utf-8", "replace")
 
 
+MARKUP = frozenset("noscript template svg math select".split())  # raw elements whose contents may link
+
+
 def page_parts(source: str) -> tuple[str, dict]:
-    """Plain text of a page, and its title, metadata and links."""
+    """Plain text of a page, and its title, metadata and links: every href and src of every tag, in page order but for
+    those inside noscript and the like, which come at the end."""
     out: list[str] = []
-    title, metas, links, at = "", [], [], 0
-    for token in TOKEN.finditer(source):
-        out.append(source[at : token.start()])
-        at = token.end()
-        if token["raw"]:
-            if token["raw"].lower() == "title":
-                inner = re.sub(r"<[^>]*>", "", token[0])
-                title = title or " ".join(html.unescape(inner).split())
+    title, metas, links, inner = "", [], [], []
+
+    def start(name: str, rest: str):
+        links.extend({"path": name, "url": html.unescape("".join(found))} for found in LINK.findall(rest))
+
+    for text, ends, name, rest in tokens(source):
+        out.append(text)
+        if name is None:
+            continue
+        if name in RAW_ENDS:
+            if not ends:
+                start(name, rest)
+            elif name == "title":
+                title = title or " ".join(html.unescape(re.sub(r"<[^>]*>", "", rest)).split())
                 out.append("\n")
+            elif name in MARKUP:
+                inner.append(rest)
             continue
-        name = (token["name"] or "").lower()
         if name in BREAKS:
             out.append("\0")
-        if not token["end"] and name:
+        if not ends:
             if name == "meta":
-                metas.append({k.lower(): html.unescape("".join(v)) for k, *v in META.findall(token["rest"])})
-            found = LINK.search(token["rest"])
-            if found:
-                links.append({"path": name, "url": html.unescape("".join(filter(None, found.groups())))})
-    out.append(source[at:])
+                metas.append({k.lower(): html.unescape("".join(v)) for k, *v in META.findall(rest)})
+            start(name, rest)
+    for part in inner:  # grows by what they hold
+        for _, ends, name, rest in tokens(part):
+            if name and not ends:
+                start(name, rest)
+            elif name in MARKUP and ends and rest:
+                inner.append(rest)
     lines = (" ".join(html.unescape(line).split()) for line in "".join(x.replace("\n", " ") if x not in ("\0", "\n") else "\0" for x in out).split("\0"))
     return "\n".join(line for line in lines if line), {"Title": title, "Metas": metas, "Links": links}
 
@@ -156,7 +185,7 @@ def derivatives(record: bytes | None) -> list[tuple]:
     names = {k: f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{own} {k}').urn}>" for k in ("metadata", "conversion")}
     shared = [(k, v) for k, v in headers if k.lower() in ("warc-target-uri", "warc-date", "warc-warcinfo-id")]
     payload = decoded(http, body)
-    is_html = "html" in content_type.lower() or (not content_type and b"<html" in body[:1024].lower())
+    is_html = "html" in content_type.lower() or (not content_type and b"<html" in payload.lower())
     is_text = is_html or content_type.lower().startswith("text/")
     source = text_of(payload, content_type) if is_text else ""
     text, page = page_parts(source) if is_html else ("\n".join(filter(None, (" ".join(x.split()) for x in source.splitlines()))), {})

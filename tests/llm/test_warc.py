@@ -74,3 +74,23 @@ def test_every_page_gives_both(spark):
     got = warc.op4_warc_derivatives(spark, "/root/testdata/sf0.001")
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert {r.kind: r["count"] for r in got.groupBy("kind").count().collect()} == {"metadata": pages, "conversion": pages}
+
+
+def test_all_links_of_a_page():
+    page = (
+        '<link href=/s.css><script src="/a.js">var x = "<a href=/no>";</script><img data-src="/lazy" src=\'/i.png\' ><a data-href=/no href=/x>t</a>'
+        '<iframe src=/f></iframe><noscript><img src="/n.png"><template><a href=/deep></a></template></noscript><video src=/v poster=/p></video>'
+    )
+    _, found = warc.page_parts(page)
+    assert [(x["path"], x["url"]) for x in found["Links"]] == [
+        ("link", "/s.css"), ("script", "/a.js"), ("img", "/i.png"), ("a", "/x"), ("iframe", "/f"), ("video", "/v"), ("img", "/n.png"), ("a", "/deep"),
+    ]
+
+
+def test_whole_payloads_decide():
+    late = "<!-- " + "x" * 5000 + " --><html><head><meta charset=latin-1><title>Caf\xe9</title></head><body><p>word</p></body></html>"
+    members = gzip.compress(late[:3000].encode("latin-1")) + gzip.compress(late[3000:].encode("latin-1")) + b"trailing"
+    rows = warc.derivatives(response(members, (("Content-Encoding", "gzip"),)))
+    assert [r[0] for r in rows] == ["metadata", "conversion"]
+    _, _, block = warc.split_headers(rows[1][-1])
+    assert "Caf\xe9" in rows[0][-1].decode() and block.startswith(b"word")
