@@ -28,11 +28,6 @@ def telemetry(spark):
     return spark.createDataFrame(rows, schema)
 
 
-@pytest.fixture(scope="session")
-def numeric_x(spark):
-    return spark.createDataFrame([(i, float(i), float(i * i)) for i in range(100)], "pos bigint, distance double, force double")
-
-
 @pytest.fixture(scope="session")
 def modes(spark):
     """100 rows at 1 Hz with a text state that is missing for a while."""

@@ -1,17 +1,41 @@
+"""Jobs against plain Python over a fixture of water levels."""
+
 import datetime as dt
+import statistics
 
 import pytest
-from conftest import START
 from pyspark.sql import functions as F
 
 from seriesmill import Job, JobError, process
-from seriesmill.plans.process import prepare, run
-from seriesmill.plans.job import ROW_INDEX
 from seriesmill.plans.estimate import estimate_rows
+from seriesmill.plans.job import ROW_INDEX
+from seriesmill.plans.process import prepare
+
+BEGIN = dt.datetime(2021, 3, 20)
+QUARTER = dt.timedelta(minutes=15)
+#: (pos, at, level, gate, open, place): two and a half days of readings every quarter of an hour, in a shuffled file order.
+TIDE = [
+    ((i * 77) % 240, BEGIN + i * QUARTER, None if i % 31 == 7 else (i * 37 % 101) / 8, i // 50 - 2, i % 3 == 0, ["pier", "lock", None][i % 7 % 3]) for i in range(240)
+]
+
+
+@pytest.fixture(scope="module")
+def tide(spark):
+    return spark.createDataFrame(TIDE, "pos bigint, at timestamp_ntz, level double, gate int, open boolean, place string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def rope(spark):
+    """Loads along a rope, at uneven places from -3.5 on."""
+    return spark.createDataFrame([(i, -3.5 + i + (i % 4) / 4, float((i * 13) % 29)) for i in range(60)], "pos bigint, place double, load double")
 
 
 def job(**settings):
-    return Job.from_dict({"x": "time", "y": ["speed"], **settings})
+    return Job.from_dict({"x": "at", "y": ["level"], **settings})
+
+
+def along(**settings):
+    return Job.from_dict({"x": "place", "y": ["load"], **settings})
 
 
 def rows(df, settings, **options):
@@ -22,25 +46,173 @@ def agg(method, functions=("mean",), **more):
     return {"method": method, "functions": list(functions), **more}
 
 
-def test_ranges(telemetry):
-    got = rows(telemetry, job(ranges=[["2024-01-01T00:00:10", "2024-01-01T00:00:20"]]))
-    assert len(got) == 101 and got[0].speed == 100 and got[-1].speed == 200
-    got = rows(telemetry, job(range_mode="relative", ranges=[[0, 1], ["59s", None]]))
-    assert len(got) == 21 and got[-1].speed == 599
-    assert len(rows(telemetry, job(ranges=[[None, None], [0, 1]]))) == 600
-    with pytest.raises(JobError, match="end is before start"):
-        process(telemetry, job(ranges=[["2024-01-01T00:00:20", "2024-01-01T00:00:10"]]))
-    with pytest.raises(JobError, match="Cannot read"):
-        process(telemetry, job(ranges=[["yesterday", None]]))
+def known(values):
+    return [v for v in values if v is not None]
+
+
+def between(*ranges):
+    return [r for r in TIDE if any((a is None or r[1] >= a) and (b is None or r[1] <= b) for a, b in ranges)]
 
 
-def test_time_zone(spark):
-    rows_in = [(i, START + dt.timedelta(hours=i - 1), float(i)) for i in range(6)]  # 00:00 … 05:00 in Berlin
-    df = spark.createDataFrame(rows_in, "pos bigint, ts timestamp_ntz, v double").withColumn("ts", F.col("ts").cast("timestamp"))
-    local = Job.from_dict({"x": "ts", "y": ["v"], "ranges": [["2024-01-01T02:00:00", "2024-01-01T03:00:00"]]})
-    assert [r.v for r in rows(df, local, zone="Europe/Berlin")] == [2.0, 3.0]
-    utc = local.override(ranges=[["2024-01-01T01:00:00Z", None]])
-    assert [r.v for r in rows(df, utc, zone="Europe/Berlin")] == [2.0, 3.0, 4.0, 5.0]
+def test_ranges_keep_what_lies_in_any_of_them(tide):
+    noon, late = BEGIN + dt.timedelta(hours=12), BEGIN + dt.timedelta(hours=50)
+    for ranges, want in (
+        ([["2021-03-20T12:00", "2021-03-20T18:30"]], between((noon, noon + dt.timedelta(hours=6.5)))),
+        ([["2021-03-20T12:00", "2021-03-20T18:30"], ["2021-03-22T02:00", None]], between((noon, noon + dt.timedelta(hours=6.5)), (late, None))),
+        ([["2021-03-22T02:00", None], [None, "2021-03-20T12:00"], ["2021-03-20T11:00", "2021-03-20T12:00"]], between((late, None), (None, noon))),
+        ([["2021-03-20T12:00", "2021-03-20T13:00"], [None, None]], TIDE),
+    ):
+        assert [(r["at"], r.level) for r in rows(tide, job(ranges=ranges))] == [r[1:3] for r in want]
+    got = rows(tide, job(range_mode="relative", ranges=[["3h", "4h30m"], [200000, None]]))
+    assert [r["at"] for r in got] == [r[1] for r in between((BEGIN + dt.timedelta(hours=3), BEGIN + dt.timedelta(hours=4.5)), (BEGIN + dt.timedelta(seconds=200000), None))]
+    for bad in (["2021-03-21", "2021-03-20"], ["noonish", None]):
+        with pytest.raises(JobError):
+            process(tide, job(ranges=[bad]))
+
+
+def test_bounds_without_zone_mean_wall_time(spark):
+    utc = [dt.datetime(2022, 7, 9, h) for h in (3, 4, 5, 6)]  # 23:00 of the 8th to 02:00 in New York
+    df = spark.createDataFrame([(i, t, i * 1.5) for i, t in enumerate(utc)], "pos bigint, ts timestamp_ntz, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    settings = Job.from_dict({"x": "ts", "y": ["v"], "ranges": [["2022-07-09", "2022-07-09T01:00"]]})
+    assert [r.v for r in rows(df, settings, zone="America/New_York")] == [1.5, 3.0]
+    assert [r.v for r in rows(df, settings.override(ranges=[[None, "2022-07-09T04:00Z"]]), zone="America/New_York")] == [0.0, 1.5]
+
+
+@pytest.mark.parametrize("every, seconds", [("45m", 2700), ("6h", 21600), (5400, 5400)])
+def test_intervals_group_by_their_start(tide, every, seconds):
+    functions = ["mean", "min", "max", "sum", "count", "median", "first", "last"]
+    got = rows(tide, job(y=["level", "open"], aggregation=agg("interval", functions, every=every)))
+    groups = {}
+    for r in TIDE:
+        groups.setdefault(BEGIN + (r[1] - BEGIN) // dt.timedelta(seconds=seconds) * dt.timedelta(seconds=seconds), []).append(r)
+    assert [r["at"] for r in got] == sorted(groups)
+    for r in got:
+        levels, opened = [x[2] for x in groups[r["at"]]], [int(x[4]) for x in groups[r["at"]]]
+        some = known(levels)
+        assert (r.level_min, r.level_max, r.level_count, r.level_first, r.level_last) == (min(some), max(some), len(some), levels[0], levels[-1])
+        assert r.level_mean == pytest.approx(statistics.mean(some)) and r.level_median == pytest.approx(statistics.median(some)) and r.level_sum == pytest.approx(sum(some))
+        assert r.open_mean == pytest.approx(statistics.mean(opened)) and r.open_sum == sum(opened)
+
+
+@pytest.mark.parametrize("points", [1, 7, 50])
+def test_target_points_are_equally_wide(tide, rope, points):
+    got = rows(tide, job(aggregation=agg("target_points", ["count", "first"], points=points)))
+    span = int((TIDE[-1][1] - BEGIN).total_seconds() * 1e6)
+    width = -(-(span + 1) // points)
+    groups = {}
+    for r in TIDE:
+        groups.setdefault(int((r[1] - BEGIN).total_seconds() * 1e6) // width, []).append(r[2])
+    assert [(r.level_count, r.level_first) for r in got] == [(len(known(g)), g[0]) for _, g in sorted(groups.items())]
+    places = [-3.5 + i + (i % 4) / 4 for i in range(60)]
+    width = (max(places) - min(places)) / points
+    counts = {}
+    for x in places:
+        k = min(int((x - min(places)) // width), points - 1)
+        counts[k] = counts.get(k, 0) + 1
+    assert [r.load for r in rows(rope, along(aggregation=agg("target_points", ["count"], points=points)))] == [n for _, n in sorted(counts.items())]
+
+
+def test_target_points_of_nothing_and_of_one_row(tide):
+    assert rows(tide, job(aggregation=agg("target_points", points=5), ranges=[["2035-01-01", None]])) == []
+    assert rows(tide.filter("pos = 0"), job(aggregation=agg("target_points", ["std"], points=5)))[0].level is None
+
+
+@pytest.mark.parametrize("n", [1, 17, 500])
+def test_every_nth_in_x_order_and_in_file_order(tide, n):
+    assert [r["at"] for r in rows(tide, job(aggregation={"method": "every_nth", "n": n}))] == [r[1] for r in TIDE[::n]]
+    file = sorted(TIDE)
+    assert [r["at"] for r in rows(tide, job(sort=False, aggregation={"method": "nth", "n": n}))] == [r[1] for r in file[::n]]
+    first = rows(tide, job(sort=False, aggregation=agg("interval", ["first"], every="1d")))
+    assert [r.level for r in first] == [next(r[2] for r in file if r[1].day == day) for day in (20, 21, 22)]
+
+
+@pytest.mark.parametrize("every", [4, 2.5])
+def test_steps_of_numbers(rope, every):
+    got = rows(rope, along(aggregation=agg("interval", ["max", "count"], every=every)))
+    groups = {}
+    for i in range(60):
+        groups.setdefault((-3.5 + i + (i % 4) / 4) // every * every, []).append(float((i * 13) % 29))
+    assert [(r.place, r.load_max, r.load_count) for r in got] == [(x, max(g), len(g)) for x, g in sorted(groups.items())]
+    with pytest.raises(JobError):
+        process(rope, along(aggregation=agg("interval", every="2h")))
+
+
+def test_whole_numbers_stay_whole(tide):
+    got = rows(tide, Job.from_dict({"x": "gate", "y": ["open"], "aggregation": agg("interval", ["count"], every=3)}))
+    assert [(r.gate, r.open) for r in got] == [(-3, 100), (0, 140)]
+    assert all(isinstance(r.gate, int) for r in got)
+
+
+def test_the_row_number_is_an_axis(tide):
+    file = sorted(TIDE)
+    got = rows(tide, job(x=ROW_INDEX, aggregation=agg("interval", ["first"], every=64)))
+    assert [(r[ROW_INDEX], r.level) for r in got] == [(k, file[k][2]) for k in range(0, 240, 64)]
+    got = rows(tide, job(x=ROW_INDEX, y=["gate"], scaling={ROW_INDEX: {"scale": -0.5, "offset": 10}}, ranges=[[-109, -108]]))
+    assert [(r[ROW_INDEX], r.gate) for r in got] == [(10 - k / 2, file[k][3]) for k in (238, 237, 236)]
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"x": "shape"}, {"y": ["shape"]}, {"x": "missing"}, {"y": ["level", "missing"]}, {"y": [ROW_INDEX]},
+        {"aggregation": {"method": "interval", "every": "soon"}}, {"x": "place", "aggregation": {"method": "interval", "every": 2}},
+        {"x": "place", "aggregation": {"method": "target_points", "points": 3}}, {"x": "place", "ranges": [[None, 4]]},
+        {"y": ["place"], "scaling": {"place": {"offset": 1}}}, {"y": ["open"], "scaling": {"open": {"scale": 3}}}, {"scaling": {"at": {"scale": 0.5}}},
+        {"scaling": {"level": {"offset": "5m"}}},
+    ],
+)
+def test_jobs_that_do_not_fit(tide, change):
+    with pytest.raises(JobError):
+        process(tide.withColumn("shape", F.struct("level")), job(**change))
+
+
+def test_scaled_values_and_times(tide, rope):
+    scaling = {"level": {"scale": -0.25, "offset": 3}, "gate": {"scale": 10}, "other": {"scale": 7}}
+    got = rows(tide, job(y=["level", "gate"], scaling=scaling))
+    assert [(r.level, r.gate) for r in got] == [(None if r[2] is None else 3 - r[2] / 4, r[3] * 10.0) for r in TIDE]
+    got = rows(tide, job(scaling={**scaling, "at": {"offset": "-1d"}}, ranges=[["2021-03-19T06:00", "2021-03-19T08:00"]]))
+    assert [r["at"] for r in got] == [BEGIN + dt.timedelta(hours=-18) + k * QUARTER for k in range(9)]
+    got = rows(rope, along(scaling={"place": {"scale": -2, "offset": 1}}, ranges=[[-10, -4]]))
+    assert [r.place for r in got] == sorted(1 - 2 * x for x in (-3.5 + i + (i % 4) / 4 for i in range(60)) if -10 <= 1 - 2 * x <= -4)
+
+
+@pytest.mark.parametrize("scale, offset", [(0.3, 0), (-0.7, 2.1), (1 / 7, -0.3)])
+def test_scaled_bounds_keep_the_rows_on_them(rope, scale, offset):
+    place = lambda i: -3.5 + i + (i % 4) / 4
+    lo, hi = sorted((place(9) * scale + offset, place(30) * scale + offset))
+    assert len(rows(rope, along(scaling={"place": {"scale": scale, "offset": offset}}, ranges=[[lo, hi]]))) == 22
+
+
+def test_texts_as_values_and_as_axis(tide):
+    got = process(tide, job(y=["place", "level"], aggregation=agg("interval", ["mean", "last", "count"], every="1d")), ordered=True)
+    assert got.columns == ["at", "place_last", "place_count", "level_mean", "level_last", "level_count"]
+    days = [[r for r in TIDE if r[1].day == day] for day in (20, 21, 22)]
+    assert [(r.place_last, r.place_count) for r in got.collect()] == [(d[-1][5], len(known(r[5] for r in d))) for d in days]
+    alone = rows(tide, job(y=["place"], aggregation=agg("interval", every="1d")))  # texts have no mean, so the first stands
+    assert [r.place for r in alone] == [d[0][5] for d in days]
+    file = [r for r in sorted(TIDE) if r[5] is not None]
+    raw = rows(tide, Job.from_dict({"x": "place", "y": ["gate"]}))
+    assert [(r.place, r.gate) for r in raw] == [(r[5], r[3]) for r in file]
+    got = rows(tide, Job.from_dict({"x": "place", "y": ["gate"], "aggregation": agg("per_value", ["max", "count"])}))
+    assert [(r.place, r.gate_max, r.gate_count) for r in got] == [
+        (name, max(r[3] for r in file if r[5] == name), sum(r[5] == name for r in file)) for name in dict.fromkeys(r[5] for r in file)
+    ]
+
+
+def test_estimates_count_rows(tide, rope):
+    def estimate(df, settings, by=()):
+        return estimate_rows(prepare(df, settings, by, need_bounds=True)).collect()[0].estimate
+
+    assert estimate(tide, job()) == 240 and estimate(tide, job(aggregation={"method": "nth", "n": 11})) == 22
+    assert estimate(tide, job(aggregation=agg("interval", every="2h"))) == 30 and estimate(tide, job(aggregation=agg("points", points=33))) == 33
+    assert estimate(rope, along(scaling={"place": {"scale": 100}}, aggregation=agg("interval", every=1000))) == 6
+    assert estimate_rows(prepare(tide, Job.from_dict({"x": "place", "y": ["gate"], "aggregation": agg("per_value")}))).collect()[0].estimate == 2
+
+
+def test_split_gives_a_row_to_every_range_that_holds_it(tide):
+    ranges = [["2h", "5h", "early"], [7200, 9000], ["1h", None, "rest"]]
+    got = process(tide, job(range_mode="relative", ranges=ranges), split=True).groupBy("range_no", "range").count().orderBy("range_no").collect()
+    assert [tuple(r) for r in got] == [(1, "early", 13), (2, "2", 3), (3, "rest", 236)]
 
 
 def test_zoned_buckets_across_clock_changes(spark):
@@ -54,14 +226,6 @@ def test_zoned_buckets_across_clock_changes(spark):
     assert [r.v for r in days] == [50, 10]
 
 
-def test_intervals(telemetry):
-    got = rows(telemetry, job(y=["speed", "temp", "on"], aggregation=agg("interval", ["mean", "max", "count"], every="10s")))
-    assert len(got) == 6 and got[1].time == START + dt.timedelta(seconds=10)
-    assert got[0].speed_mean == 49.5 and got[0].speed_max == 99 and got[0].temp_count == 99 and got[0].on_mean == 0.5
-    got = rows(telemetry, job(aggregation=agg("interval", ["min"], every=30)))
-    assert [r.speed for r in got] == [0, 300]
-
-
 def test_calendar_buckets_before_1970(spark):
     times = [dt.datetime(1969, 12, 31, 23, 59, 59), dt.datetime(1969, 11, 2), dt.datetime(1970, 1, 4), dt.datetime(1970, 1, 5)]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(times)], "pos bigint, t timestamp_ntz, v double")
@@ -78,95 +242,6 @@ def test_calendar_buckets_before_1970(spark):
             starts(bad)
 
 
-def test_points(telemetry, numeric_x):
-    got = rows(telemetry, job(aggregation=agg("target_points", points=6)))
-    assert len(got) == 6 and got[0].speed == 49.5
-    got = rows(telemetry, job(aggregation=agg("target_points", ["first", "last"], points=2), range_mode="relative", ranges=[[10, 20]]))
-    assert len(got) == 2 and got[0].speed_first == 100 and got[1].speed_last == 200
-    got = rows(numeric_x, Job.from_dict({"x": "distance", "y": ["force"], "aggregation": agg("target_points", ["count"], points=4)}))
-    assert [r.force for r in got] == [25, 25, 25, 25]
-    outside = job(aggregation=agg("target_points", points=5), ranges=[["2030-01-01", None]])
-    assert rows(telemetry, outside) == []
-    one = rows(telemetry.limit(1), job(aggregation=agg("target_points", ["std"], points=5)))
-    assert one[0].speed is None
-
-
-def test_every_nth_and_unsorted(telemetry, spark):
-    got = rows(telemetry, job(aggregation={"method": "every_nth", "n": 100}))
-    assert [r.speed for r in got] == [0, 100, 200, 300, 400, 500]
-    down = spark.createDataFrame([(i, START + dt.timedelta(seconds=49 - i), float(49 - i)) for i in range(50)], "pos bigint, time timestamp_ntz, value double")
-    got = rows(down, Job.from_dict({"x": "time", "y": ["value"], "aggregation": agg("interval", ["first"], every="10s")}))
-    assert [r.value for r in got] == [0, 10, 20, 30, 40]
-    got = rows(down, Job.from_dict({"x": "time", "y": ["value"], "sort": False, "aggregation": agg("interval", ["first"], every="10s")}))
-    assert [r.value for r in got] == [9, 19, 29, 39, 49]
-    got = rows(down, Job.from_dict({"x": "time", "y": ["value"], "sort": False, "aggregation": {"method": "nth", "n": 20}}))
-    assert [r.value for r in got] == [49, 29, 9]
-
-
-def test_numeric_x(numeric_x, spark):
-    got = rows(numeric_x, Job.from_dict({"x": "distance", "y": ["force"], "aggregation": agg("interval", ["max"], every=10)}))
-    assert len(got) == 10 and got[0].force == 81 and got[1].distance == 10
-    negative = spark.createDataFrame([(i, i - 5) for i in range(10)], "pos bigint, n int")
-    got = rows(negative.withColumn("v", F.lit(1)), Job.from_dict({"x": "n", "y": ["v"], "aggregation": agg("interval", ["count"], every=4)}))
-    assert [(r.n, r.v) for r in got] == [(-8, 1), (-4, 4), (0, 4), (4, 1)]
-    with pytest.raises(JobError, match="is a duration"):
-        process(numeric_x, Job.from_dict({"x": "distance", "y": ["force"], "aggregation": agg("interval", every="1m")}))
-
-
-def test_row_index(telemetry):
-    got = rows(telemetry, job(x=ROW_INDEX, aggregation=agg("interval", every=200)))
-    assert [r[ROW_INDEX] for r in got] == [0, 200, 400]
-    seconds = job(x=ROW_INDEX, y=["rpm"], scaling={ROW_INDEX: {"scale": 0.1}}, aggregation=agg("interval", every=1))
-    got = rows(telemetry, seconds)
-    assert len(got) == 60 and got[1][ROW_INDEX] == 1.0 and got[0].rpm == 9.0
-    flipped = rows(telemetry, job(x=ROW_INDEX, scaling={ROW_INDEX: {"scale": -1, "offset": 599}}))
-    assert flipped[0].speed == 599 and flipped[1][ROW_INDEX] == 1.0
-
-
-@pytest.mark.parametrize(
-    "change",
-    [
-        {"y": ["nope"]},
-        {"y": ["tags"]},
-        {"x": "tags"},
-        {"x": "nope"},
-        {"y": [ROW_INDEX]},
-        {"aggregation": {"method": "interval", "every": "abc"}},
-        {"x": "label", "aggregation": {"method": "interval", "every": 1}},
-        {"x": "label", "aggregation": {"method": "target_points"}},
-        {"x": "label", "ranges": [[0, 1]]},
-        {"y": ["label"], "scaling": {"label": {"scale": 2}}},
-        {"y": ["on"], "scaling": {"on": {"scale": 2}}},
-        {"scaling": {"time": {"scale": 2}}},
-        {"scaling": {"speed": {"offset": "2h"}}},
-    ],
-)
-def test_misfits(telemetry, change):
-    df = telemetry.withColumn("tags", F.array(F.lit(1)))
-    with pytest.raises(JobError):
-        process(df, job(**change))
-
-
-def test_scaling(telemetry, numeric_x):
-    scaling = {"speed": {"scale": 2, "offset": 1}, "rpm": {"scale": 0.5}, "unused": {"scale": 9}}
-    got = rows(telemetry, job(y=["speed", "rpm", "temp"], scaling=scaling))
-    assert [r.speed for r in got[:3]] == [1, 3, 5] and got[2].rpm == 2.0 and got[1].temp == 21
-    got = rows(telemetry, job(scaling=scaling, aggregation=agg("interval", ["sum", "max"], every="10s")))
-    assert got[0].speed_sum == sum(2 * v + 1 for v in range(100)) and got[0].speed_max == 199
-    shifted = job(scaling={"time": {"offset": "1h"}}, ranges=[["2024-01-01T01:00:10", "2024-01-01T01:00:20"]])
-    got = rows(telemetry, shifted)
-    assert len(got) == 101 and got[0].time == START + dt.timedelta(hours=1, seconds=10)
-    got = rows(numeric_x, Job.from_dict({"x": "distance", "y": ["force"], "scaling": {"distance": {"scale": 1000}}, "ranges": [[10000, 12000]]}))
-    assert [r.force for r in got] == [100, 121, 144]
-
-
-@pytest.mark.parametrize("scale, offset", [(0.1, 0), (-0.1, 3), (1 / 3, 0.7)])
-def test_stored_filter_keeps_the_bounds(numeric_x, scale, offset):
-    lo, hi = sorted((10.0 * scale + offset, 20.0 * scale + offset))
-    got = rows(numeric_x, Job.from_dict({"x": "distance", "y": ["force"], "scaling": {"distance": {"scale": scale, "offset": offset}}, "ranges": [[lo, hi]]}))
-    assert len(got) == 11
-
-
 def test_missing_values(spark):
     nan = float("nan")
     data = [(0, 1.0, 5.0), (1, nan, 9.0), (2, None, 9.0), (3, 1.0, None), (4, 2.0, nan), (5, 3.0, None)]
@@ -179,41 +254,6 @@ def test_missing_values(spark):
     assert got[2].v_sum == 0.0 and got[2].v_min is None
 
 
-def test_texts(modes, sales):
-    settings = {"x": "t", "y": ["state", "v"], "aggregation": agg("interval", ["mean", "last", "count"], every="20s")}
-    got = process(modes, Job.from_dict(settings), ordered=True)
-    assert got.columns == ["t", "state_last", "state_count", "v_mean", "v_last", "v_count"]
-    got = got.collect()
-    assert [r.state_last for r in got] == ["idle", "run", "run", None, "stop"]
-    assert [r.state_count for r in got] == [20, 20, 20, 10, 20]
-    settings["aggregation"] = agg("interval", every="20s")
-    assert [r.state for r in rows(modes, Job.from_dict(settings))] == ["idle", "idle", "run", "run", "stop"]
-    raw = rows(sales, Job.from_dict({"x": "region", "y": ["revenue"]}))
-    assert [r.region for r in raw] == ["North", "South", "North", "East"]
-    got = rows(sales, Job.from_dict({"x": "region", "y": ["revenue", "grade"], "aggregation": agg("per_value", ["mean", "min"])}))
-    assert [tuple(r) for r in got] == [("North", 20.0, 10, "a"), ("South", 20.0, 20, "a"), ("East", 5.0, 5, "c")]
-
-
-def test_estimates(telemetry, numeric_x, sales):
-    def estimate(df, settings, by=()):
-        return estimate_rows(prepare(df, settings, by, need_bounds=True)).collect()[0].estimate
-
-    assert estimate(telemetry, job()) == 600
-    assert estimate(telemetry, job(aggregation={"method": "nth", "n": 7})) == 86
-    assert estimate(telemetry, job(aggregation=agg("interval", every="1s"))) == 60
-    assert estimate(telemetry, job(aggregation=agg("points", points=50))) == 50
-    scaled = {"x": "distance", "y": ["force"], "scaling": {"distance": {"scale": 1000}}, "aggregation": agg("interval", every=25000)}
-    assert estimate(numeric_x, Job.from_dict(scaled)) == 4
-    grouped = Job.from_dict({"x": "region", "y": ["revenue"], "aggregation": agg("per_value")})
-    assert estimate_rows(prepare(sales, grouped)).collect()[0].estimate == 3
-
-
-def test_split_and_cap(telemetry):
-    split = job(range_mode="relative", ranges=[[0, 1, "start"], [10, 12], ["0.5s", "11s"]])
-    got = process(telemetry, split, split=True).groupBy("range_no", "range").count().orderBy("range_no").collect()
-    assert [tuple(r) for r in got] == [(1, "start", 11), (2, "2", 21), (3, "3", 106)]
-
-
 def test_many_series_at_once(skewed):
     settings = Job.from_dict({"x": "x", "y": ["v"], "range_mode": "relative", "ranges": [[0, 400]], "aggregation": agg("points", ["count"], points=4)})
     got = process(skewed, settings, by=["series"]).groupBy("series").agg(F.sum("v").alias("n")).collect()
@@ -223,17 +263,16 @@ def test_many_series_at_once(skewed):
         assert r.n == skewed.filter(same & F.col("x").between(first[r.series], first[r.series] + 400)).count()
 
 
-def test_session_time_zone_does_not_matter(spark, telemetry):
+def test_session_time_zone_does_not_matter(spark, tide):
     settings = job(
-        scaling={"time": {"offset": "1h"}}, ranges=[["2024-01-01T01:00:10", "2024-01-01T01:00:50"]],
-        aggregation=agg("interval", ["first", "last", "count"], every="7s"),
+        scaling={"at": {"offset": "90m"}}, ranges=[["2021-03-20T05:00", "2021-03-21T22:10"]], aggregation=agg("interval", ["first", "last", "count"], every="7h")
     )
-    points = job(aggregation=agg("points", ["mean"], points=7), range_mode="relative", ranges=[[1, "20s"]])
-    want = [rows(telemetry, settings), rows(telemetry, points)]
+    points = job(aggregation=agg("points", ["mean"], points=7), range_mode="relative", ranges=[[1800, "20h"]])
+    want = [rows(tide, settings), rows(tide, points)]
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        assert [rows(telemetry, settings), rows(telemetry, points)] == want
+        assert [rows(tide, settings), rows(tide, points)] == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 
