@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import lookup_join
+from .joins import free_names, lookup_join
 from .normalise import is_valid, key_type, x_key
 
 
@@ -23,15 +23,16 @@ def x_bounds(df: DataFrame, x: str, dtype: T.DataType, by: Sequence[str] = ()) -
     )
 
 
-def with_bounds(df: DataFrame, bounds: DataFrame, by: Sequence[str]) -> tuple[DataFrame, Column, Column]:
-    """*df* with the bounds of its series. A single series gets literals, which fold into plans;
-    several get the columns ``_lo`` and ``_hi``."""
+def with_bounds(df: DataFrame, bounds: DataFrame, by: Sequence[str]) -> tuple[DataFrame, Column, Column, list[str]]:
+    """*df* with the bounds of its series. A single series gets literals, which fold into plans; several get two
+    columns, whose names come last."""
     if not by:
         row = bounds.first()
         kind = bounds.schema["lo"].dataType
-        return df, F.lit(row.lo).cast(kind), F.lit(row.hi).cast(kind)
-    table = bounds.select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return lookup_join(df, table, by), F.col("_lo"), F.col("_hi")
+        return df, F.lit(row.lo).cast(kind), F.lit(row.hi).cast(kind), []
+    names = free_names(["series_lo", "series_hi"], df)
+    table = bounds.select(*by, *[F.col(end).alias(name) for end, name in zip(("lo", "hi"), names)])
+    return lookup_join(df, table, by), *map(F.col, names), names
 
 
 def distinct_x(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:

@@ -46,8 +46,8 @@ def estimate_rows(prepared: Prepared, intervals: Sequence[Interval] | None = Non
         joined = lookup_join(prepared.bounds.select(*by), table, by)
         return joined.withColumn("estimate", F.coalesce("estimate", F.lit(0)))
     bounds = prepared.bounds
-    if prepared.by:  # relative ends are written in terms of the row's series start
-        bounds = bounds.withColumns({"_lo": lo, "_hi": hi})
+    if prepared.carried:  # relative ends are written in terms of the row's series start
+        bounds = bounds.withColumns(dict(zip(prepared.carried, (lo, hi))))
     share = covered_share(intervals, lo, hi) if intervals else F.lit(1.0)
     estimate = estimate_column(job, prepared.stored, F.col("rows"), share, lo, hi, len(intervals))
     return bounds.select(*by, estimate.alias("estimate"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..operators.display import (
     category_dictionary, encode, envelope, long_points, text_dictionary,
 )
 from ..operators.normalise import plot_x
-from ..operators.order import first_rows
+from ..operators.order import first_rows, written
 from ..operators.ranges import Interval
 from ..sources.schema import x_kind_of
 from .estimate import estimate_rows
@@ -28,12 +29,21 @@ class Points:
     """``points`` is ``(by, series, x, y)``; texts are drawn at the codes of their dictionary."""
 
     points: DataFrame
-    rows: int
+    prepared: Prepared
+    source: DataFrame
     reduced: bool
-    bounds: DataFrame | None
     x_categories: DataFrame | None = None
     categories: dict[str, DataFrame] = field(default_factory=dict)
 
+    @property
+    def bounds(self) -> DataFrame | None:
+        return self.prepared.bounds
+
+    @cached_property
+    def rows(self) -> int:
+        """The estimated rows of the largest series; computed when asked for."""
+        return total_estimate(self.prepared, self.source)
+
 
 def view_window(view: tuple[float, float] | None, dtype: T.DataType) -> Interval | None:
     """A window given in plot units (epoch seconds for times) in key units."""
@@ -78,7 +88,6 @@ def plot_points(
     """
     prepared, category = _prepared(df, job, by, tie, zone, view)
     by = prepared.by
-    estimate = total_estimate(prepared, df)
     result = run(prepared)
     frame, x = result.df, F.col(prepared.x)
     texts: dict[str, list[str]] = {}
@@ -98,19 +107,19 @@ def plot_points(
     outputs = [name for name, _, _ in prepared.outputs]
     if buckets is None:
         points = long_points(frame, by, plot_x(x, dtype), outputs)
-        return Points(points, estimate, False, prepared.bounds, x_categories, dictionaries)
+        return Points(points, prepared, df, False, x_categories, dictionaries)
     if category:
         # One bucket per category position.
         points = envelope(frame, by, x, x.cast("double"), outputs)
-        return Points(points, estimate, True, prepared.bounds, x_categories, dictionaries)
+        return Points(points, prepared, df, True, x_categories, dictionaries)
     lo, hi = prepared.lo, prepared.hi
-    if by and "_lo" not in frame.columns:  # bucketed rows no longer carry their series' bounds
-        frame, lo, hi = with_bounds(frame, prepared.bounds, by)
+    if by and not set(prepared.carried) <= set(frame.columns):  # bucketed rows no longer carry their series' bounds
+        frame, lo, hi, _ = with_bounds(frame, prepared.bounds, by)
     if prepared.intervals:
         lo, hi = (F.lit(end).cast(prepared.bounds.schema["lo"].dataType) for end in (prepared.intervals[0].lo, prepared.intervals[0].hi))
     bucket = points_bucket(x, prepared.dtype, buckets, False, lo, hi)
     points = envelope(frame, by, bucket, plot_x(x, dtype), outputs)
-    return Points(points, estimate, True, prepared.bounds, None, dictionaries)
+    return Points(points, prepared, df, True, None, dictionaries)
 
 
 @dataclass
@@ -131,10 +140,10 @@ def table_rows(
     prepared, category = _prepared(df, job, by, tie, zone, view)
     result = run(prepared)
     order = [*by, *result.order]
-    head = first_rows(result.df, limit + 1, order)
+    head = written(first_rows(result.df, limit + 1, order), "head")  # limit + 1 rows, computed once
     count = head.count()
     truncated = count > limit
     estimate = max(total_estimate(prepared, df), count) if truncated else count
-    rows = first_rows(result.df, limit, order).select(*result.names)
+    rows = first_rows(head, limit, order).select(*result.names)
     return Table(rows, truncated, view is not None and not category, estimate)
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..operators.aggregate import aggregate
 from ..operators.bounds import with_bounds, x_bounds
 from ..operators.buckets import interval_bucket, points_bucket
+from ..operators.joins import free_names
 from ..operators.normalise import is_valid, key_type, normalise, x_key
 from ..operators.order import every_nth
 from ..operators.ranges import Interval, any_inside, resolve, span_of, split_by_interval, stored_filter
@@ -44,6 +45,8 @@ class Prepared:
     #: First and last x of the row's series in key units: literals, or columns of *df*.
     lo: Column | None = None
     hi: Column | None = None
+    #: The names of those columns.
+    carried: Sequence[str] = ()
 
     @property
     def x(self) -> str:
@@ -129,8 +132,7 @@ def prepare(
     carried: list[str] = []
     if needed:
         bounds = x_bounds(everything, job.x, dtype, by)
-        df, lo, hi = with_bounds(df, bounds, by)
-        carried = ["_lo", "_hi"] if by else []
+        df, lo, hi, carried = with_bounds(df, bounds, by)
     base: Column | float | None = None
     if relative:
         base = lo if by else bounds.first().lo
@@ -142,7 +144,7 @@ def prepare(
         df = df.filter(early)
     rows = normalise(df, [job.x, *job.values], scaling, [*by, *[t for t in tie if t not in by], *carried])
     rows = rows.filter(is_valid(F.col(job.x), dtype))
-    return Prepared(job, rows, by, tie, stored, dtype, zone, texts, intervals, bounds, lo, hi)
+    return Prepared(job, rows, by, tie, stored, dtype, zone, texts, intervals, bounds, lo, hi, carried)
 
 
 def keep_ranges(prepared: Prepared, intervals: Sequence[Interval] | None = None) -> DataFrame:
@@ -183,18 +185,19 @@ def bucketed(prepared: Prepared, rows: DataFrame, by: list[str], split: bool) ->
             lo, hi = span_of(prepared.intervals, lo, hi)
         bucket = points_bucket(x, prepared.stored, agg.points, prepared.scaled, lo, hi)
     # Grouping uses its own column, because x itself still orders first and last.
-    rows = rows.withColumn("_bucket", bucket)
+    start, appears = free_names(["bucket", "appears"], rows)
+    rows = rows.withColumn(start, bucket)
     order = prepared.order
     ends = [column for _, column, function in prepared.outputs if function in ("first", "last")]
     if ends and not any(column in prepared.texts for column in ends):
-        rows, order = first_last_order(prepared, rows)
-    first = [F.min(order_struct(prepared)).alias("_appears")] if prepared.category else []
-    grouped = aggregate(rows, [*by, "_bucket"], prepared.outputs, order, first)
-    grouped = grouped.withColumnRenamed("_bucket", prepared.x)
-    return Processed(prepared, grouped, by, ["_appears"] if prepared.category else [prepared.x])
+        rows, order = first_last_order(prepared, rows, start)
+    first = [F.min(order_struct(prepared)).alias(appears)] if prepared.category else []
+    grouped = aggregate(rows, [*by, start], prepared.outputs, order, first)
+    grouped = grouped.withColumnRenamed(start, prepared.x)
+    return Processed(prepared, grouped, by, [appears] if prepared.category else [prepared.x])
 
 
-def first_last_order(prepared: Prepared, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+def first_last_order(prepared: Prepared, rows: DataFrame, bucket: str) -> tuple[DataFrame, list[str]]:
     """Order columns for first and last within a bucket, as one BIGINT where that is exact.
 
     A struct of x and the tie-break needs a sorting aggregate. Within a bucket, the distance of x
@@ -213,9 +216,10 @@ def first_last_order(prepared: Prepared, rows: DataFrame) -> tuple[DataFrame, li
     low, high = rows.agg(F.min(tie[0]), F.max(tie[0])).first()
     if low is None or width * (high - low + 1) >= 1 << 63:
         return rows, prepared.order
-    start = x_key(F.col("_bucket"), whole)
+    start = x_key(F.col(bucket), whole)
     packed = (x_key(F.col(prepared.x), whole) - start) * F.lit(high - low + 1) + (F.col(tie[0]) - F.lit(low))
-    return rows.withColumn("_place", packed), ["_place"]
+    [place] = free_names(["place"], rows)
+    return rows.withColumn(place, packed), [place]
 
 
 def order_struct(prepared: Prepared) -> Column:

@@ -120,6 +120,16 @@ def test_number_table(spark):
     assert [r.code for r in number_table(table, ["value"], "code").orderBy("value").collect()] == list(range(300))
 
 
+def test_user_columns_may_be_called_like_those_of_buckets(spark):
+    rows = [(i, "ab"[i % 2], i, float(i % 5), float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "pos bigint, series_lo string, x bigint, bucket double, place double")
+    job = Job.from_dict({"x": "x", "y": ["bucket", "place"], "aggregation": {"method": "target_points", "points": 3, "functions": ["first"]}})
+    got = process(df, job, by=["series_lo"]).collect()
+    assert len(got) == 6 and {(r.bucket, r.place) for r in got if r.x == 0} == {(0.0, 0.0)}
+    relative = job.override(range_mode="relative", ranges=[[0, 9]])
+    assert process(df, relative, by=["series_lo"]).groupBy("series_lo").count().count() == 2
+
+
 def test_user_columns_may_have_any_name(spark):
     """Names that the operators would take for their own columns."""
     rows = [(i, i % 7, float(i), i, i) for i in range(100)]
