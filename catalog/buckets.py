@@ -50,7 +50,7 @@ def _estimates(spark, folder):
 def _median_split(spark, folder):
     """Medians by rank, as used when a group is too large for one task."""
     df = table(spark, folder, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("price"), "l_orderkey")
-    result = aggregate(df, ["l_returnflag"], [("price_median", "price", "median"), ("price_count", "price", "count")], ["l_orderkey"], median_rows=0)
+    result = aggregate(df, ["l_returnflag"], [("price_median", "price", "median"), ("price_count", "price", "count")], ["l_orderkey"])
     return rounded(result, 6)
 
 

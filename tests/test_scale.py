@@ -81,7 +81,7 @@ def test_lookups(spark, skewed, size):
 
 def test_split_median(skewed):
     nulls = skewed.withColumn("v", F.when(F.col("pos") % 13 != 0, F.col("v")))
-    got = A.aggregate(nulls, ["series", "state"], [("m", "v", "median"), ("n", "v", "count")], ["pos"], median_rows=0)
+    got = A.aggregate(nulls, ["series", "state"], [("m", "v", "median"), ("n", "v", "count")], ["pos"])
     groups = {}
     for r in nulls.collect():
         groups.setdefault((r.series, r.state), []).append(r.v)
@@ -91,11 +91,26 @@ def test_split_median(skewed):
     assert not groups
 
 
-def test_split_median_does_not_trust_the_sketch(spark, monkeypatch):
-    """With a useless bracket the exact counts still find the middle."""
-    monkeypatch.setattr(F, "percentile_approx", lambda *a: F.array(F.lit(900.0), F.lit(901.0)))
-    df = spark.range(1001).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
-    assert A.split_median(df, ["k"], "v", "m", 10).first().m == 500
+@pytest.mark.parametrize("slices", [None, 1, 40])
+@pytest.mark.parametrize("values", [
+    [float(i) for i in range(1001)],
+    [1.7e9 + i / 8 for i in range(900)],  # all in one cell
+    [-2.0] * 500 + [3.0] * 500,  # middle ranks in two cells
+    [5.0] * 999 + [-1.0],
+    [0.0, -0.0, 5e-324, -5e-324, float("inf"), float("-inf")],
+    [float("inf"), float("nan"), float("nan"), 1.0, -1.0],
+    [1e308, 1.7e308],
+    [-3.5],
+])
+def test_exact_medians_of_any_spread(spark, values, slices):
+    """One series with these values, and one that is larger, next to each other and to NULLs."""
+    rows = [("a", v, True) for v in values] + [("b", float(i % 77), False) for i in range(2000)] + [("c", None, None)]
+    df = spark.createDataFrame(rows, "value string, v double, which boolean").repartition(7)
+    got = {r.value: r for r in A.exact_medians(df, ["value"], [("m", "v"), ("again", "v"), ("flag", "which")], slices).collect()}
+    ordered = sorted(values, key=lambda v: (v != v, v))
+    low, high = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
+    assert set(got) == {"a", "b"} and got["a"].flag == 1 and got["b"].flag == 0
+    assert got["a"].m == got["a"].again == (low if low == high else low / 2 + high / 2) and got["b"].m == statistics.median(i % 77 for i in range(2000))
 
 
 @pytest.mark.parametrize("threshold", ["-1", "10m"])
