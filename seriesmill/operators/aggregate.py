@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import free_names, lookup_join
-from .order import ranked, written
+from .order import number_cell, ranked, written
 
 _FLOATS = (T.DoubleType, T.FloatType)
 _ANY_WIDTH = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
@@ -126,12 +126,6 @@ def end_text(df: DataFrame, keys: Sequence[str], column: str, name: str, functio
     return numbered.filter(F.col(place) == 1).select(*keys, F.col(column).alias(name))
 
 
-def _cell(value: Column) -> Column:
-    """A whole number that never falls as the double *value* grows; values of one cell differ by less than 0.3 %."""
-    size = F.floor((F.least(F.log2(F.abs(value)), F.lit(1100.0)) + 1100) * 256)
-    return F.when(F.isnan(value), F.lit(1 << 30)).when(value == 0, F.lit(0)).otherwise(size * F.signum(value)).cast("bigint")
-
-
 def exact_medians(
     df: DataFrame, keys: Sequence[str], outputs: Sequence[tuple[str, str]], slices: int | None = None
 ) -> DataFrame:
@@ -152,7 +146,7 @@ def exact_medians(
         pairs.append(F.struct(F.lit(number).alias("n"), plain.cast("double").alias("v")))
     several = df.select(*keys, F.explode(F.array(*pairs)).alias(pair)) if len(pairs) > 1 else df.select(*keys, pairs[0].alias(pair))
     values = several.select(*keys, F.col(f"{pair}.n").alias(which), F.col(f"{pair}.v").alias(value)).filter(F.col(value).isNotNull())
-    values = values.withColumn(cell, _cell(F.col(value)))
+    values = values.withColumn(cell, number_cell(F.col(value)))
     group = [*keys, which]
 
     series = Window.partitionBy(*group)

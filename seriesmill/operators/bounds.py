@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +23,11 @@ def x_bounds(df: DataFrame, x: str, dtype: T.DataType, by: Sequence[str] = ()) -
     )
 
 
-def with_bounds(df: DataFrame, bounds: DataFrame, by: Sequence[str]) -> tuple[DataFrame, Column, Column, list[str]]:
-    """*df* with the bounds of its series. A single series gets literals, which fold into plans; several get two
-    columns, whose names come last."""
+def with_bounds(df: DataFrame, bounds: DataFrame, by: Sequence[str], only: Row | None = None) -> tuple[DataFrame, Column, Column, list[str]]:
+    """*df* with the bounds of its series. A single series gets literals, which fold into plans (*only* is its row, where
+    known); several get two columns, whose names come last."""
     if not by:
-        row = bounds.first()
+        row = only or bounds.first()
         kind = bounds.schema["lo"].dataType
         return df, F.lit(row.lo).cast(kind), F.lit(row.hi).cast(kind), []
     names = free_names(["series_lo", "series_hi"], df)

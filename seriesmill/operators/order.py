@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.files import scratch_folder
 from .joins import free_names, lookup_join
@@ -91,10 +92,39 @@ def every_nth(df: DataFrame, n: int, by: Sequence[str], order: Sequence[str], sl
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first *n* rows, as a distributed top-n."""
+    """The first *n* rows along *order*, NULLs first.
+
+    Spark's top-n brings *n* rows of every partition to one task. Where *order* starts with a number or a time, a cut keeps them
+    away: rows are counted in cells of that column, which are finest near its least value, and the rows beyond the cell with row *n* are
+    filtered out, in the scan where that column is stored. The cut is a scalar subquery, so nothing runs before the query. It passes
+    about 0.3 % more than *n* rows, and those that share their value with the last.
+    """
+    dtype = df.schema[order[0]].dataType
+    if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        value = F.col(order[0])
+        df = df.filter((value <= _cut(df.select(order[0]), n, dtype).scalar()) | value.isNull())
     return df.orderBy(*order).limit(n)
 
 
+def _cut(values: DataFrame, n: int, dtype: T.DataType) -> DataFrame:
+    """One row: a value of the only column that at least *n* rows do not exceed, or its greatest."""
+    value = values[values.columns[0]]
+    key = value.cast("double") if isinstance(dtype, T.NumericType) else F.unix_micros(value.cast("timestamp")).cast("double")
+    keyed = values.select(value.alias("value"), key.alias("key"))
+    least = keyed.agg(F.min("key").alias("least")).scalar()
+    away = F.when(F.col("key") == least, 0.0).otherwise(F.col("key") - least)
+    cells = keyed.groupBy(F.coalesce(number_cell(away), F.lit(-1)).alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.max("value").alias("value"))
+    upto = F.sum("rows").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # a million cells at most
+    reached = cells.select("value", upto.alias("upto"))
+    return reached.agg(F.coalesce(F.min(F.when(F.col("upto") >= n, F.col("value"))), F.max("value")).alias("cut"))
+
+
+def number_cell(value: Column) -> Column:
+    """A whole number that never falls as the double *value* grows; values of one cell differ by less than 0.3 %."""
+    size = F.floor((F.least(F.log2(F.abs(value)), F.lit(1100.0)) + 1100) * 256)
+    return F.when(F.isnan(value), F.lit(1 << 30)).when(value == 0, F.lit(0)).otherwise(size * F.signum(value)).cast("bigint")
+
+
 def number_table(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = ()) -> DataFrame:
     """Positions for a derived table (categories, files), from 0 in each *by*."""
     return number_rows(df, by, order, name)

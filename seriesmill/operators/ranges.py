@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.durations import offset_seconds
-from ..functions.times import bound_us, is_instant, time_literal
+from ..functions.times import bound_us, from_us, is_instant, time_literal
 from ..plans.job import Affine, JobError, Span
 from ..sources.schema import kind_of, x_kind_of
 from .joins import free_names
@@ -143,6 +143,54 @@ def stored_filter(name: str, dtype: T.DataType, affine: Affine | None, intervals
     return reduce(lambda a, b: a | b, terms) if terms else None
 
 
+def hull_filter(name: str, dtype: T.DataType, affine: Affine | None, intervals: Sequence[Interval], bounds: DataFrame) -> Column | None:
+    """A filter on the stored x that keeps at least the rows in *intervals*, whose ends use columns of *bounds* (a row per series).
+
+    The ends of all series' ranges have one hull. It is a scalar subquery, which Spark computes before the scan and pushes into it, so
+    that row groups and files outside are not read. Callers still filter exactly, series by series.
+    """
+    kind = kind_of(dtype)
+    if kind not in ("datetime", "date", "numeric") or isinstance(dtype, T.DecimalType) or not intervals:
+        return None
+    ends = {"lo": [i.lo for i in intervals], "hi": [i.hi for i in intervals]}
+    flipped = kind == "numeric" and affine is not None and affine.scale < 0
+    tests = []
+    for side, values in ends.items():
+        if any(value is None for value in values):
+            continue
+        columns = [_column(value) for value in values]
+        pick = F.least if side == "lo" else F.greatest
+        end = pick(*columns) if len(columns) > 1 else columns[0]
+        low = (side == "lo") != flipped
+        # Of two shapes: Spark merges subqueries of one shape into a struct, whose fields it does not push into scans.
+        if side == "lo":
+            table = bounds.agg(F.min(end).alias("end"))
+        else:
+            table = bounds.select(end.alias("end")).orderBy(F.desc("end")).limit(1)
+        table = table.select(_stored_end(F.col("end"), dtype, affine, low).alias("end"))
+        tests.append(F.col(name) >= table.scalar() if low else F.col(name) <= table.scalar())
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def _stored_end(end: Column, dtype: T.DataType, affine: Affine | None, low: bool) -> Column:
+    """An end in key units as a stored value, never inside of it."""
+    kind = kind_of(dtype)
+    converted = affine is not None and not affine.identity
+    if kind in ("datetime", "date"):
+        us = (end - round(affine.shift * 1e6) if converted else end).cast("bigint")
+        return from_us(us, is_instant(dtype)) if kind == "datetime" else F.date_from_unix_date(F.floor(us / 86_400_000_000).cast("int"))
+    value = end.cast("double")
+    value = affine.invert(value) if converted else value
+    room = F.greatest(F.lit(1.0), F.abs(value)) * 1e-9  # rounding cannot lose a row at a bound
+    value = value - room if low else value + room
+    if not isinstance(dtype, INTEGERS):
+        return value
+    bits = 8 * {"byte": 1, "short": 2, "integer": 4, "long": 8}[dtype.typeName()]
+    furthest = -(1 << bits - 1) if low else (1 << bits - 1) - 1
+    whole = (F.floor(value) if low else F.ceil(value)) if bits < 64 else F.rint(value)
+    return F.coalesce(whole.try_cast(dtype), F.lit(furthest).cast(dtype))
+
+
 def split_by_interval(
     df: DataFrame, x: str, dtype: T.DataType, intervals: Sequence[Interval], number: str = "range_no", label: str = "range"
 ) -> DataFrame:

@@ -140,10 +140,12 @@ def table_rows(
     prepared, category = _prepared(df, job, by, tie, zone, view)
     result = run(prepared)
     order = [*by, *result.order]
-    head = written(first_rows(result.df, limit + 1, order), "head")  # limit + 1 rows, computed once
+    # Buckets are computed once; stored rows are read again, up to the cut.
+    rows = written(result.df, "buckets") if job.bucketed else result.df
+    head = written(first_rows(rows, limit + 1, order), "head")
     count = head.count()
     truncated = count > limit
     estimate = max(total_estimate(prepared, df), count) if truncated else count
-    rows = first_rows(head, limit, order).select(*result.names)
+    rows = head.orderBy(*order).limit(limit).select(*result.names)
     return Table(rows, truncated, view is not None and not category, estimate)
 

@@ -20,7 +20,7 @@ from ..operators.buckets import interval_bucket, points_bucket
 from ..operators.joins import free_names
 from ..operators.normalise import is_valid, key_type, normalise, x_key
 from ..operators.order import every_nth
-from ..operators.ranges import Interval, any_inside, resolve, span_of, split_by_interval, stored_filter
+from ..operators.ranges import Interval, any_inside, hull_filter, resolve, span_of, split_by_interval, stored_filter
 from ..sources.schema import kind_of, with_defaults, x_kind_of
 from .checks import check_job, interval_of
 from .job import ROW_INDEX, Job, JobError
@@ -132,14 +132,19 @@ def prepare(
     carried: list[str] = []
     if needed:
         bounds = x_bounds(everything, job.x, dtype, by)
-        df, lo, hi, carried = with_bounds(df, bounds, by)
+        only = None if by else bounds.first()
+        df, lo, hi, carried = with_bounds(df, bounds, by, only)
     base: Column | float | None = None
     if relative:
-        base = lo if by else bounds.first().lo
+        base = lo if by else only.lo
         if base is None:
             raise JobError("There are no rows with a valid x value")
     intervals = [window] if window else resolve(job.ranges, job.range_mode, dtype, base, zone)
-    early = stored_filter(job.x, stored, job.affine(job.x), intervals)
+    if relative and by:
+        ends = bounds.select(F.col("lo").alias(carried[0]), F.col("hi").alias(carried[1]))
+        early = hull_filter(job.x, stored, job.affine(job.x), intervals, ends)
+    else:
+        early = stored_filter(job.x, stored, job.affine(job.x), intervals)
     if early is not None:
         df = df.filter(early)
     rows = normalise(df, [job.x, *job.values], scaling, [*by, *[t for t in tie if t not in by], *carried])

@@ -11,7 +11,7 @@ from seriesmill.operators import aggregate as A
 from seriesmill.operators import display as D
 from seriesmill.operators import joins
 from seriesmill.operators.lookup import lookup_hold, lookup_nearest
-from seriesmill.operators.order import every_nth, number_rows, number_table, ranked
+from seriesmill.operators.order import every_nth, first_rows, number_rows, number_table, ranked
 from seriesmill.operators import ranges as R
 from seriesmill.operators.ranges import merged
 
@@ -205,6 +205,89 @@ def test_scaled_number_reaches_the_scan(stored):
     assert "GreaterThanOrEqual(rpm,39)" in text and "LessThanOrEqual(rpm,101)" in text
 
 
+def scanned(df):
+    """The rows of *df*, and how many its scan of files gave."""
+    rows = df.collect()
+    plan, found, todo = df._jdf.queryExecution().executedPlan(), [], []
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if "FileSourceScanExec" in node.getClass().getName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        if "AdaptiveSparkPlanExec" in node.getClass().getName():
+            todo.append(node.executedPlan())
+        elif "QueryStageExec" in node.getClass().getName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows, found
+
+
+@pytest.fixture(scope="module")
+def runs(spark, tmp_path_factory):
+    """Sources of 20,000 seconds each, one file a source, in row groups; the later ones start much later."""
+    folder = str(tmp_path_factory.mktemp("runs") / "t")
+    row = spark.range(80_000).select(
+        F.floor(F.col("id") / 20_000).alias("run"), (F.col("id") % 20_000).alias("pos"), F.rand(3).alias("v"),
+    )
+    row = row.withColumn("n", F.col("run") * 1_000_000 + F.col("pos") * 2).withColumn("t", F.timestamp_seconds("n").cast("timestamp_ntz"))
+    row = row.withColumns({"d": F.date_from_unix_date((F.col("n") / 1000).cast("int")), "f": F.col("n") / -4})
+    row.repartitionByRange(4, "run").sortWithinPartitions("run", "pos").write.option("parquet.block.size", 65536).option("parquet.page.row.count.limit", 2000).parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@pytest.mark.parametrize("x, scaling, ranges", [
+    ("t", {}, [["0s", "100s"]]),
+    ("t", {"t": {"offset": "-3h"}}, [["10s", "100s"], ["1m", "150s"]]),
+    ("n", {}, [[10, 300]]),
+    ("n", {"n": {"scale": -0.25, "offset": 7}}, [[10, 300]]),
+    ("f", {}, [[None, 120.5]]),
+    ("d", {}, [["1d", "3d"]]),
+])
+def test_hull_of_relative_ranges(runs, x, scaling, ranges):
+    job = Job.from_dict({"x": x, "y": ["v"], "scaling": scaling, "range_mode": "relative", "ranges": ranges})
+    got = process(runs, job, by=["run"])
+    assert "ubquery" in plan(got)
+    rows = sorted(map(tuple, got.collect()))
+    want = []
+    for run in range(4):
+        want += map(tuple, process(runs.filter(F.col("run") == run).drop("run"), job).select(F.lit(run).cast("bigint"), x, "v").collect())
+    assert rows == sorted(want) and len(rows) > 100
+
+
+def test_hull_prunes_the_scan(runs):
+    one = runs.filter(F.col("run") < 1)
+    job = Job.from_dict({"x": "n", "y": ["v"], "range_mode": "relative", "ranges": [[10, 300]]})
+    rows, found = scanned(process(one, job, by=["run"]))
+    assert len(rows) == 146 and min(found) < 20_000 < max(found) + 1
+
+
+@pytest.mark.parametrize("n", [1, 100, 5000, 90_000])
+@pytest.mark.parametrize("order", [["t", "pos"], ["n", "pos"], ["f", "pos"], ["d", "run", "pos"], ["pos", "run"]])
+def test_first_rows_by_a_cut(runs, order, n):
+    picked = first_rows(runs, n, order)
+    assert [tuple(r) for r in picked.collect()] == [tuple(r) for r in runs.orderBy(*order).limit(n).collect()]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 9, 20])
+@pytest.mark.parametrize("values", [
+    [None, None, 1.0, float("nan"), 3.0, float("inf"), float("-inf"), -2.0], [5.0] * 9, [float("nan")] * 3, [None] * 4, [], [1e300, -1e300, 1e-300, 0.0, -0.0],
+])
+def test_first_rows_of_any_numbers(spark, values, n):
+    df = spark.createDataFrame(list(enumerate(values)), "pos int, v double")
+    order = ["v", "pos"]
+    assert [r.pos for r in first_rows(df, n, order).collect()] == [r.pos for r in df.orderBy(*order).collect()][:n]
+
+
+def test_cut_bounds_what_one_task_gets(runs):
+    from seriesmill.operators.order import _cut
+
+    cut = _cut(runs.select("n"), 1000, runs.schema["n"].dataType).first().cut
+    assert 1000 <= runs.filter(F.col("n") <= cut).count() <= 1010
+    rows, found = scanned(first_rows(runs.select("n", "pos"), 1000, ["n", "pos"]))
+    assert len(rows) == 1000 and min(found) < 80_000
+
+
 @pytest.mark.parametrize("functions", [["mean", "max", "std"], ["first", "last", "sum"]])
 def test_aggregates_combine_in_hash_aggregates(stored, functions):
     settings = {"x": "time", "y": ["speed"], "aggregation": {"method": "interval", "every": "1s", "functions": functions}}
