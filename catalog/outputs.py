@@ -128,6 +128,19 @@ def _resume(spark, folder):
     return spark.read.text(target).groupBy(F.col("output").cast("string").alias("output")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def _placed(spark, folder):
+    """The lines of each output, read from its own path after the batch was moved there twice."""
+    job = Job.from_dict({**EVENTS, "output": {"path": "{stem} of {parent}.csv"}})
+    target = scratch_folder(spark, "placed")
+    name = F.concat(F.lit(f"{target}/day 1/"), F.col("event_type"), F.lit(".parquet"))
+    events = table(spark, folder, "events").withColumn("source", name)
+    for part in (events.filter("event_type < 'p'"), events):
+        X.place_outputs(spark, X.write_batch(part, job, f"{target}/batch", tie=["event_id"]))
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{target}/day 1")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return lines.groupBy(F.regexp_extract(path, "/day 1/(.*)/part-", 1).alias("output")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _dry(spark, folder):
     job = Job.from_dict({**EVENTS, "aggregation": {"method": "every_nth", "n": 4}})
     return X.dry_run(_sources(spark, folder), job, tie=["event_id"])
@@ -240,6 +253,7 @@ QUERIES = {
            SELECT source, 'start' AS range, replace(source, '.parquet', '_start.csv') AS output, n1 AS rows, 'written' AS status, NULL::VARCHAR AS error FROM c
            UNION ALL SELECT source, '2', replace(source, '.parquet', '_2.csv'), n2, 'written', NULL FROM c""",
     ),
+    "batch_placed": (_placed, "SELECT event_type || ' of day 1.csv' AS output, count(*) + 1 AS lines FROM events GROUP BY event_type"),
     "batch_resume": (_resume, "SELECT '/data/' || event_type || '.csv' AS output, count(*) + 1 AS lines FROM events GROUP BY event_type"),
     "dry_run_plan": (
         _dry,

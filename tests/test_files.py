@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import pathlib
 import random
 
 import pytest
@@ -479,3 +480,22 @@ def test_stored_nanoseconds(spark, tmp_path):
     assert [r.took for r in rows] == [None if n is None else dt.timedelta(milliseconds=n) for n in (1, 1500, None, -7)]
     with pytest.raises(ValueError):
         files.with_units(spark.range(1), {"id": "weeks"})
+
+
+def test_outputs_move_to_their_paths(spark, telemetry, tmp_path):
+    df = both_sources(telemetry).withColumn("source", F.concat(F.lit(f"{tmp_path}/in"), F.col("source")))
+    sources = sorted(r.source for r in df.select("source").distinct().collect())
+    settings = Job.from_dict({"x": "time", "y": ["speed"], "output": {"path": "{stem} +1%.csv"}})
+    for _ in range(2):  # an earlier output is replaced
+        placed = X.place_outputs(spark, X.write_batch(df, settings, str(tmp_path / "batch")))
+        rows = {r.source: r for r in placed.manifest.collect()}
+        assert sorted(rows) == sources and {r.status for r in rows.values()} == {"written"}
+        for r in rows.values():
+            assert spark.read.text(r.output).count() == r.rows + 1
+            assert os.path.isdir(r.output)
+    taken = rows[sources[0]].output
+    (pathlib.Path(taken) / "notes.txt").write_text("mine")
+    again = X.place_outputs(spark, X.write_batch(df, settings, str(tmp_path / "batch")))
+    states = {r.source: (r.status, r.rows is None, r.error) for r in again.manifest.collect()}
+    assert states[sources[0]] == ("failed", True, "something that is no output lies at its path")
+    assert states[sources[1]][0] == "written" and (pathlib.Path(taken) / "notes.txt").read_text() == "mine"
