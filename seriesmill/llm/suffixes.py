@@ -17,7 +17,8 @@ one look-up compares them. Neighbours in the sorted order with LENGTH bytes in c
 earliest are marked. Spans of marked strings, joined per document, are what is removed.
 
 A NULL text counts as empty. Rows equal in id and text are one document whose row is repeated: they do not remove each
-other. Rows with equal ids and different texts are told apart by a hash of the text, which also orders them. A NULL id comes after all others. An
+other. Rows with equal ids and different texts are told apart by 31 bits of a hash of the text, which also orders them; without an id 62 more bits of
+another hash stand for it, so that NULL ids come after all others below 2^62. An
 empty table gives an empty result. Columns other than id and text are ignored.
 """
 
@@ -42,7 +43,7 @@ HOT = 2000
 BLOCK = 300_000
 COVER = 32
 SAMPLE = (0, 1, 2, 3, 7, 11, 19)  # fixed value: a difference cover modulo 32
-LAST = (1 << 63) - 1
+NO_ID = 1 << 62  # rows without an id are numbered from here by a hash
 NORMAL, SINGLE, MARKED = 0, 1, 2
 
 
@@ -380,7 +381,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", length: int = LENGTH, gram: in
     if length < gram + 8 or gram not in range(8, 17):
         raise ValueError("strings must be longer than a gram by 8 bytes, and a gram has 8 to 16")
     narrow = docs.select(
-        F.coalesce(docs[id].cast("long"), F.lit(LAST)).alias("doc"), (F.xxhash64(docs["text"]).bitwiseAND(F.lit(0x7FFFFFFF))).alias("print"),
+        F.coalesce(docs[id].cast("long"), NO_ID + F.xxhash64(F.lit("no id"), docs["text"]).bitwiseAND(F.lit(NO_ID - 1))).alias("doc"), (F.xxhash64(docs["text"]).bitwiseAND(F.lit(0x7FFFFFFF))).alias("print"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), docs[id].isNull().alias("no_id"), *(docs[c].alias(f"keep_{c}") for c in keep),
     )
     found = narrow.select("doc", "print", "text").mapInArrow(_find(length, gram), "key long, doc long, pos long, n int, state int")

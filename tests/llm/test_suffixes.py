@@ -93,3 +93,17 @@ def test_query_and_empty_table(spark):
     assert suffixes.repeated(spark.createDataFrame([], SCHEMA)).count() == 0
     got = suffixes.op5_suffix_dedup(spark, "/root/testdata/sf0.001")
     assert got.filter(F.length("kept_sha256") != 64).count() == 0 and got.count() == 200
+
+
+def test_many_rows_without_id_share_a_line(spark):
+    """Texts that 31 bits cannot tell apart: each keeps its own ends, and one of them the line."""
+    line = "Permission is granted to use this text for any purpose, provided that this notice stays with it, says the line. "
+    own = F.lpad(F.hex(F.xxhash64("id")), 16, "0")
+    docs = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(own, F.lit("\n" + line + "\n"), own).alias("text"))
+    spans = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)")
+    found = suffixes.repeated(docs).select(F.col("id"), F.length("text").alias("size"), F.size("spans").alias("spans"), spans.alias("removed"))
+    sizes = found.groupBy("id", "size", (F.col("removed") > 0).alias("cut")).agg(F.count("*").alias("rows"), F.max("spans").alias("spans"), F.min("removed").alias("least"), F.max("removed").alias("most"))
+    got = {r.cut: r for r in sizes.collect()}
+    whole = 32 + len(line) + 2
+    assert got[False].rows <= 16 and got[False].rows + got[True].rows == 200_000 and got[True].id is None and got[True].size == whole
+    assert got[True].spans == 1 and got[True].least >= 100 and got[True].most < whole - 16
