@@ -1,12 +1,12 @@
 """Best-fit packing of token sequences by patterns and non-negative least squares.
 
-Documents become pieces of at most *size* tokens. Pieces of equal length are alike, so the packing is planned on the
+Documents become pieces of at most *size* tokens. Full pieces are sequences of their own. Pieces of equal length are alike, so the packing is planned on the
 histogram of lengths, which has at most *size* entries whatever the corpus: patterns of one, two or three lengths that
 fill a sequence are enumerated, non-negative least squares fits how often each is used, the numbers are rounded down
 and the residual lengths are packed best fit first, again on the histogram. The plan goes to all tasks as ranges:
 the pieces of one length, numbered from 0, go to the pattern places of that length one range after the other. Pieces
-are numbered in groups of (length, salt), the salts' counts giving each group's first number, so a length that a third
-of all pieces share is spread over many tasks.
+are numbered in groups of (length, salt), the salts' counts giving each group's first number. A length has the more salts the more
+pieces it has, so one that a third of all pieces share is spread over many tasks.
 
 The queries give the ids of a plain encode(text, add_special_tokens=False): added tokens of the tokenizer that stand in a
 text, such as <|endoftext|>, get their own ids. Without *added* they are read as any other characters.
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .shared import LOWER, SPACES, by_bytes, byte_view, row_starts, saved, table, word_spans
 
 SIZE = 2048
-SALTS = 64
+GROUP = 1 << 18  # pieces that one task numbers
 GRID = 32
 ROUNDS = 600
 PIECES = "piece int, start long, length long, ids binary"
@@ -306,29 +306,42 @@ def ranges(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {length: tuple(np.array(x, dtype=np.int64) for x in zip(*rows)) for length, rows in out.items()}
 
 
-def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
-    """*pieces* (id, piece, length, …) with sequence_id and offset; *pieces* is read twice, so pass a written table."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().collect()  # size * salts rows at most
-    tally = np.zeros((size + 1, salts), dtype=np.int64)
-    for length, salt, count in counts:
-        tally[length, salt] = count
-    begins = np.cumsum(tally, axis=1) - tally
-    where = ranges(plan(tally.sum(axis=1), size))
+def pack(pieces: DataFrame, size: int = SIZE, salts: int | None = None) -> DataFrame:
+    """*pieces* (id, piece, length, …) with sequence_id and offset.
+
+    Full pieces are sequences of their own, without a plan or a shuffle. The others are numbered in groups of (length, salt) with about
+    GROUP pieces each, or *salts* groups of each length. The pieces are written first, with the numbers that salt them.
+    """
+    rows = saved(pieces.withColumn("number", F.monotonically_increasing_id()))
+    short = rows.filter(F.col("length") < size)
+    histogram = np.zeros(size + 1, dtype=np.int64)
+    for length, count in short.groupBy("length").count().collect():  # size rows at most
+        histogram[length] = count
+    parts = np.maximum(1, -(-histogram // GROUP)) if salts is None else np.full(size + 1, salts)
+    base = np.cumsum(parts) - parts
+    salt = F.pmod(F.xxhash64("number"), F.get(F.lit(parts.tolist()), F.col("length").cast("int"))).cast("int")
+    salted = short.withColumn("salt", salt).drop("number")
+    tally = np.zeros(parts.sum(), dtype=np.int64)
+    for length, one, count in salted.groupBy("length", "salt").count().collect():  # a row for GROUP pieces, and one of each length
+        tally[base[length] + one] = count
+    passed_by = np.cumsum(tally) - tally
+    begins = passed_by - np.repeat(passed_by[base], parts)
+    made = plan(histogram, size)
+    where = ranges(made)
     schema = T.StructType([*salted.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches):
         last, passed = None, 0  # the group at the end of the batch before, and how many of its rows went by
         for batch in batches:
             length, salt = batch.column("length").to_numpy(), batch.column("salt").to_numpy()
-            group = length * salts + salt
+            group = base[length] + salt
             new = np.flatnonzero(np.diff(group, prepend=-1))
             sizes = np.diff(new, append=len(group))
             rank = np.arange(len(group)) - np.repeat(new, sizes)
             if len(group):
                 rank[: sizes[0]] += passed if group[0] == last else 0
                 last, passed = group[-1], rank[-1] + 1
-            number = begins[length, salt] + rank
+            number = begins[group] + rank
             sequence_id, offset = np.empty(len(group), dtype=np.int64), np.empty(len(group), dtype=np.int64)
             for one in np.unique(length):
                 first, sequence, at = where[int(one)]
@@ -338,7 +351,10 @@ def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence_id), pa.array(offset)], [*batch.schema.names, "sequence_id", "offset"])
 
     ordered = salted.repartition("length", "salt").sortWithinPartitions("length", "salt", "id", "piece")
-    return ordered.mapInArrow(run, schema).drop("salt")
+    placed = ordered.mapInArrow(run, schema).drop("salt")
+    planned = sum(often for _, often in made)
+    whole = rows.filter(F.col("length") >= size).withColumns({"sequence_id": F.col("number") + planned, "offset": F.lit(0).cast("long")})
+    return placed.unionByName(whole.drop("number"))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -349,7 +365,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op10_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     pieces = tokenise(table(spark, folder, "documents"), tokenizer_path(), added=True).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(saved(pieces)).withColumnRenamed("id", "doc_id")
+    return pack(pieces).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op10_pack_sequences": (op10_pack_sequences, None)}

@@ -74,3 +74,20 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert packing.pack(packing.tokenise(docs, packing.tokenizer_path())).count() == 0
     assert packing.plan(np.zeros(2049, dtype=int)) == []
+
+
+def test_many_groups_of_a_length_and_full_pieces(spark, monkeypatch):
+    """Equal rows without ids, spread over as many groups as their number asks for; full pieces stay alone."""
+    monkeypatch.setattr(packing, "GROUP", 7)
+    rows = [(None, 0, 0, n, b"") for n in [10] * 500 + [31] * 60 + [64] * 40 + [33] * 3]
+    pieces = spark.createDataFrame(rows, "id long, piece int, start long, length long, ids binary").repartition(5)
+    placed = packing.pack(pieces, size=64).collect()
+    sequences = {}
+    for r in placed:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.length for r in placed) == sorted(r[3] for r in rows)
+    for parts in sequences.values():
+        ends = np.cumsum([length for _, length in sorted(parts)])
+        assert [offset for offset, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and ends[-1] <= 64
+    assert sum(parts == [(0, 64)] for parts in sequences.values()) == 40
+    assert len(sequences) <= 1.1 * sum(r[3] for r in rows) / 64 + 1
