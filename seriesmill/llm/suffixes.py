@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,7 @@ LENGTH = 100
 GRAM = 16
 HOT = 2000
 BLOCK = 300_000
+SEEN = 1 << 16  # strings of hot minimizers that a task remembers
 COVER = 32
 SAMPLE = (0, 1, 2, 3, 7, 11, 19)  # fixed value: a difference cover modulo 32
 NO_ID = 1 << 62  # rows without an id are numbered from here by a hash
@@ -181,7 +183,14 @@ def _with_end(batches):
 
 
 def _cut(length: int):
-    """(bucket, doc, pos, n, text) of the runs listed for each document; the runs of hot minimizers start by start."""
+    """(bucket, doc, pos, n, text) of the runs listed for each document; the runs of hot minimizers start by start.
+
+    Of equal strings of hot minimizers, a task hands on only those that start before all it saw lately; the others are
+    known to repeat and go without text, so one passage of all documents is a few rows a task.
+    """
+
+    def spread(doc):
+        return xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) - (1 << 63)
 
     def emit(rows):
         buckets, docs, places, counts, texts = zip(*rows)
@@ -192,6 +201,7 @@ def _cut(length: int):
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
+        first: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             rows = []
             for doc, packed, listed in zip(*batch.columns):
@@ -201,9 +211,20 @@ def _cut(length: int):
                     if item["state"] == NORMAL:
                         rows.append((item["key"], doc, item["pos"], n, text[start : start + n + length - 1]))
                     else:
-                        for k in range(n):
-                            one = text[start + k : start + k + length]
-                            rows.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), doc, item["pos"] + k, 1, one))
+                        later = 0  # starts up to here that are known to repeat
+                        for k in range(n + 1):
+                            one, at = text[start + k : start + k + length], (doc, item["pos"] + k)
+                            if k < n and first.get(one, at) < at:
+                                later += 1
+                                continue
+                            if later:
+                                rows.append((spread(doc), doc, item["pos"] + k - later, later, b""))
+                                later = 0
+                            if k < n:
+                                if len(first) >= SEEN:
+                                    first.clear()
+                                first[one] = at
+                                rows.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), doc, item["pos"] + k, 1, one))
                     if len(rows) >= 20_000:
                         yield emit(rows)
                         rows = []
@@ -306,6 +327,12 @@ def _mark(length: int, block: int):
     """(doc, pos, n): runs of starts that are to be removed, from rows sorted by bucket."""
 
     def solve(rows):
+        known = pc.equal(pc.binary_length(rows["text"]), 0)  # repeats that need no sorting
+        found = rows.filter(known)
+        yield tuple(found[name].to_numpy() for name in ("doc", "pos", "n"))
+        rows = rows.filter(pc.invert(known))
+        if not rows.num_rows:
+            return
         bucket, doc, pos, n = (rows[name].to_numpy() for name in ("bucket", "doc", "pos", "n"))
         order = np.lexsort((pos, doc))
         new = np.ones(len(order), dtype=bool)

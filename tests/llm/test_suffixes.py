@@ -107,3 +107,28 @@ def test_many_rows_without_id_share_a_line(spark):
     whole = 32 + len(line) + 2
     assert got[False].rows <= 16 and got[False].rows + got[True].rows == 200_000 and got[True].id is None and got[True].size == whole
     assert got[True].spans == 1 and got[True].least >= 100 and got[True].most < whole - 16
+
+
+def test_equal_strings_of_hot_minimizers_are_cut_to_the_earliest_of_a_task(monkeypatch):
+    """Whatever the order of the documents and however little a task remembers, what goes without text starts later than an equal string."""
+    import zstandard
+
+    passage = b"0123456789abcdefghij" * 3
+    docs = [5, 9, 2, 7, 3]
+    listed = [{"key": 1, "pos": (k << 32) + 4, "n": 21, "state": suffixes.SINGLE} for k in range(5)]
+    kind = pa.struct([("key", pa.int64()), ("pos", pa.int64()), ("n", pa.int32()), ("state", pa.int32())])
+    packed = [zstandard.ZstdCompressor().compress(b"head" + passage + b"tail") for _ in docs]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packed), pa.array([[x] for x in listed], pa.list_(kind))], ["doc", "packed", "listed"])
+    for seen in (1 << 16, 7):
+        monkeypatch.setattr(suffixes, "SEEN", seen)
+        out = pa.Table.from_batches(list(suffixes._cut(40)([batch]))).to_pylist()
+        starts = {}
+        for row in out:
+            for k in range(row["n"]):
+                starts.setdefault(row["doc"], []).append(row["pos"] + k)
+        assert starts == {doc: [(at << 32) + 4 + k for k in range(21)] for at, doc in enumerate(docs)}
+        for row in out:
+            if not row["text"]:
+                assert any(len(o["text"]) == 40 and (o["doc"], o["pos"]) < (row["doc"], row["pos"]) for o in out)
+        if seen > 7:
+            assert sum(len(r["text"]) > 0 for r in out) == 40 and [r["n"] for r in out if not r["text"]] == [1, 21, 1, 21, 21]
