@@ -10,7 +10,9 @@ Sorting all vectors on one line and counting there would meet a fixed share of a
 within buckets: in each of several rounds vectors are dealt by the signs of further projections, with one sign more
 whenever the table doubles, so that a bucket holds about BUCKET vectors at any size of the table. The number of rounds
 follows from the probability that a pair right at ``t`` meets in none. A pair that meets in several rounds is counted
-in the first. Vectors meet as one row per different vector, which carries its number of copies; a bucket of more than
+in the first: signs are sums of whole numbers, exact in any order, so a task works out the earlier rounds' signs of
+the pairs it verified, and only the vector itself, as precise as it is stored, travels with a round. Vectors meet as one
+row per different vector, which carries its number of copies; a bucket of more than
 SPLIT vectors is cut into blocks and its pairs of blocks are spread over tasks. A bucket gives each vector's number of
 links and links that span its groups, never all pairs.
 
@@ -21,6 +23,7 @@ and ``kept`` false. An empty table gives an empty result. Columns other than id
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -59,6 +62,21 @@ def count_needed(projections: int = PROJECTIONS, window: float = WINDOW, recall:
     return 0
 
 
+@functools.lru_cache(maxsize=512)
+def planes(length: int, signs: int, turn: int) -> np.ndarray:
+    return np.rint(np.random.default_rng([SEED, length, turn]).standard_normal((length, signs)) * (1 << 10))
+
+
+def codes_of(vectors: np.ndarray, signs: int, rounds: range) -> np.ndarray:
+    """The bucket of each vector in each of *rounds*. Whole factors whose sums stay below 2^53 give a vector the same signs in any batch."""
+    length = vectors.shape[1]
+    whole = np.rint(vectors / np.abs(vectors).max(axis=1, keepdims=True) * (1 << 20))
+    out = np.zeros((len(vectors), len(rounds)), dtype=np.int64)
+    for n, turn in enumerate(rounds):
+        out[:, n] = (whole @ planes(length, signs, turn) > 0) @ (1 << np.arange(signs, dtype=np.int64)) * 4096 + length % 4096
+    return out
+
+
 def collisions(lines: np.ndarray, others: np.ndarray, reach: float) -> np.ndarray:
     """For each row of *lines* and of *others* (vectors by projections), on how many lines the second is in the first's window."""
     counts = np.zeros((len(lines), len(others)), dtype=np.int8)
@@ -95,6 +113,7 @@ def link(df: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold
     """Rows (id, n_links, component), one per row of *df*."""
     rows = narrowed(df, id, vector)
     good = usable("vector") & F.col("id").isNotNull()
+    stored = df.schema[vector].dataType  # array<float> is exact in half the room of doubles
     distinct = saved(rows.filter(good).groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     signs, rounds = signs_and_rounds(distinct.count(), threshold, recall, bucket)
     reach, needed = WINDOW * math.sqrt(2 - 2 * threshold), count_needed(recall=recall)
@@ -104,27 +123,25 @@ def link(df: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold
             vectors = batch.column(0)
             codes = np.zeros((batch.num_rows, rounds), dtype=np.int64)
             for length, mine in by_length(vectors.value_lengths().to_numpy()):
-                planes = np.random.default_rng([SEED, length]).standard_normal((length, rounds * signs))
-                bits = (unit(matrix(vectors.take(pa.array(mine)))) @ planes > 0).reshape(len(mine), rounds, signs)
-                codes[mine] = bits @ (1 << np.arange(signs, dtype=np.int64)) * 4096 + length % 4096
+                codes[mine] = codes_of(matrix(vectors.take(pa.array(mine))), signs, range(rounds))
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * rounds)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], [*batch.schema.names, "codes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(codes.ravel())), vectors], ["first", "copies", "codes", "vector"])
 
-    coded = distinct.mapInArrow(deal, "vector array<double>, first long, copies long, codes array<long>")
-    dealt = saved(coded).select("*", F.posexplode("codes").alias("round", "code"))
+    coded = saved(distinct.mapInArrow(deal, "first long, copies long, codes array<long>, vector array<double>").withColumn("vector", F.col("vector").cast(stored)))
+    dealt = coded.select("first", "copies", "vector", F.posexplode("codes").alias("round", "code"))
     large = dealt.groupBy("round", "code").count().filter(F.col("count") > split).withColumn("blocks", F.ceil(F.col("count") / (split // 2)))
     dealt = dealt.join(large.drop("count"), ["round", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("first"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("round", "code", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "first", "copies", "codes", "vector")
+    dealt = dealt.select("round", "code", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "first", "copies", "vector")
 
     def count(key, rows):
         turn, _, low, high = (k.as_py() for k in key)
         lengths = rows["vector"].combine_chunks().value_lengths().to_numpy()
         first, copies, block = (rows[name].to_numpy() for name in ("first", "copies", "block"))
-        codes = matrix(rows["codes"])[:, :turn]
         nodes, ends_a, ends_b, partners = [], [], [], []
         for length, mine in by_length(lengths):
-            vectors = unit(matrix(rows["vector"].combine_chunks().take(pa.array(mine))))
+            raw = matrix(rows["vector"].combine_chunks().take(pa.array(mine))).astype(np.float64)
+            vectors = unit(raw)
             lines = vectors @ np.random.default_rng([SEED + 1, length]).standard_normal((length, PROJECTIONS))
             left, right = np.flatnonzero(block[mine] == low), np.flatnonzero(block[mine] == high)
             a, b = np.nonzero(collisions(lines[left], lines[right], reach) >= needed)
@@ -133,7 +150,11 @@ def link(df: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold
             a, b = a[keep], b[keep]
             keep = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= threshold
             a, b = a[keep], b[keep]
-            seen = (codes[mine][a] == codes[mine][b]).any(axis=1)  # met in an earlier round
+            ends = np.unique(np.concatenate([a, b]))
+            codes = codes_of(raw[ends], signs, range(turn if len(ends) else 0))
+            seen = np.zeros(len(a), dtype=bool)  # met in an earlier round
+            for code in codes.T:
+                seen |= code[np.searchsorted(ends, a)] == code[np.searchsorted(ends, b)]
             a, b = a[~seen], b[~seen]
             counted = np.bincount(a, copies[mine][b], len(mine)) + np.bincount(b, copies[mine][a], len(mine))
             linked = np.flatnonzero(counted)

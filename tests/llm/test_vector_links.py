@@ -79,3 +79,13 @@ def test_rounds_grow_with_the_table():
 
 def test_empty_table(spark):
     assert vector_links.link(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_signs_do_not_depend_on_the_batch_or_the_stored_precision():
+    draw = np.random.default_rng(6)
+    vectors = draw.standard_normal((500, 48)).astype(np.float32).astype(float)
+    whole = vector_links.codes_of(vectors, 9, range(12))
+    for _ in range(20):
+        mine = draw.permutation(500)[: draw.integers(1, 60)]
+        assert (vector_links.codes_of(vectors[mine], 9, range(5)) == whole[mine, :5]).all()
+    assert (vector_links.codes_of(vectors * 4, 9, range(12)) == whole).all()
