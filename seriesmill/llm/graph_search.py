@@ -4,9 +4,12 @@ Vectors are dealt to shards by a hash. Each shard builds a graph: points enter i
 the middle of the shard proposes the neighbours of each, and robust pruning keeps a diverse few: the nearest candidate
 stays and removes those that are nearer to it, by the factor ALPHA, than to the point. Edges back are added and pruned
 the same way, and a second pass over all points repairs what the first batches could not see. A query searches every
-shard with a beam; its best of each shard are merged. What a shard proposes is scored again by the cosine of the
+shard with a beam; its best of each shard are merged. The whole beam of a shard is scored again by the cosine of the
 original vectors in double precision.
 
+Graphs are built once and written. The queries are dealt to blocks of no more than about a shard's points, and a task
+searches one graph with one block, so neither side of a task grows beyond a shard.
+
 Equal vectors are one point that carries the smallest ids of its copies, as many as an answer can need, so copies
 neither break the pruning nor fill a beam. Shards grow with the square root of the table (SHARD at least, LARGEST at
 most), which keeps the searches of queries that are a share of the table below its square.
@@ -149,7 +152,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, shard: int
     size = min(max(shard, int(18 * math.sqrt(count))), LARGEST)
     shards = max(1, math.ceil(count / size))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)))
-    asked = queries.distinct().withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    graphs = saved(dealt.groupBy("shard").applyInArrow(_graphs, "shard long, place int, first boolean, ids array<long>, vector array<double>, edges array<int>"))
+    queries = saved(queries.distinct())
+    blocks = max(1, math.ceil(queries.count() / size))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", every(shards))
 
     def answer(mine, asked):
         out = []
@@ -159,28 +166,48 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, shard: int
             for length, held in by_length(lengths):
                 who = np.flatnonzero(wanted == length)
                 if len(who):
-                    part = mine.take(pa.array(held))
-                    out += _answer(part, matrix(part["vector"]), asked["id"].to_numpy()[who], matrix(asked["vector"].take(pa.array(who))), k, beam)
+                    part = mine.take(pa.array(held)).sort_by("place")
+                    out += _answer(part, asked["id"].to_numpy()[who], matrix(asked["vector"].take(pa.array(who))), k, beam)
         columns = [np.concatenate([x[n] for x in out]) if out else np.zeros(0, dtype=t) for n, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table(dict(zip(("query_id", "id", "score"), columns)))
 
-    found = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "query_id long, id long, score double")
+    met = graphs.withColumn("block", every(blocks)).groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+    found = met.applyInArrow(answer, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _answer(mine, vectors, query_ids, queries, k, beam):
+def _graphs(key, mine):
+    """The points of a shard with their edges, one graph for each length of vectors."""
+    out = []
+    for _, held in by_length(mine["vector"].combine_chunks().value_lengths().to_numpy()):
+        part = mine.take(pa.array(held))
+        points = unit(matrix(part["vector"])).astype(np.float32)
+        edges, start = build(points) if len(points) > 2 else (np.full((len(points) + 1, 1), -1), 0)
+        if len(points) == 2:
+            edges[:2, 0] = 1, 0
+        edges = edges[:-1].astype(np.int32)
+        bounds = pa.array(np.arange(len(edges) + 1, dtype=np.int32) * edges.shape[1])
+        out.append(pa.table({
+            "shard": pa.array(np.full(len(points), key[0].as_py())), "place": pa.array(np.arange(len(points), dtype=np.int32)), "first": pa.array(np.arange(len(points)) == start),
+            "ids": part["ids"], "vector": part["vector"], "edges": pa.ListArray.from_arrays(bounds, pa.array(edges.ravel())),
+        }))
+    return pa.concat_tables(out)
+
+
+def _answer(mine, query_ids, queries, k, beam):
+    vectors = matrix(mine["vector"])
     points = unit(vectors).astype(np.float32)
-    points = np.concatenate([points, np.zeros((1, points.shape[1]), dtype=np.float32)])  # what id -1 points at
     ids = mine["ids"].to_pylist()
-    edges, start = build(points[:-1]) if len(points) > 2 else (np.full((2, 1), -1), 0)
+    edges = matrix(mine["edges"]).astype(np.int64)
+    edges = np.concatenate([edges, np.full((1, edges.shape[1]), -1)])  # what id -1 leads to
+    start = int(np.argmax(mine["first"].to_numpy()))
     norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     step = max(16, min(BATCH, (1 << 28) // len(points)))
     out = []
     for begin in range(0, len(query_ids), step):
         own, asked = query_ids[begin : begin + step], queries[begin : begin + step]
-        near, _ = beam_search(points[:-1], edges, start, unit(asked).astype(np.float32), beam)
-        near = near[:, : max(4 * k, k + 1)]
+        near, _ = beam_search(points, edges, start, unit(asked).astype(np.float32), beam)
         exact = np.einsum("ijk,ik->ij", vectors[near], asked) / norms[near] / np.sqrt(np.einsum("ij,ij->i", asked, asked))[:, None]
         exact[near < 0] = -np.inf
         for row, who in enumerate(own.tolist()):

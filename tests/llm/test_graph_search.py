@@ -64,3 +64,17 @@ def test_few_rows(spark):
     assert graph_search.nearest(one, F.lit(True)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0], 1, ""), (1, [1.0, 1.0], 1, "")], SCHEMA)
     assert [(r.query_id, r.rank, r.id) for r in graph_search.nearest(two, F.lit(True)).orderBy("query_id").collect()] == [(0, 1, 1), (1, 1, 0)]
+
+
+def test_many_query_blocks_over_small_shards_and_recall_on_a_given_table(spark):
+    """Every row a query, so each graph meets several blocks; then the registered query next to brute force on a given table."""
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.standard_normal(12).tolist(), 1, "x") for i in range(600)]
+    got = graph_search.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3), F.lit(True), shard=120).collect()
+    want = brute(rows, lambda q: True)
+    assert sum(r.id in {i for _, i in want[r.query_id]} for r in got) >= 0.97 * 3000 and len(got) == 3000
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = brute([(r.vec_id, r.embedding) for r in table.select("vec_id", "embedding").collect()], lambda q: q % 50 == 0)
+    got = graph_search.op7_graph_search(spark, "/root/testdata/sf0.01").collect()
+    found = sum(r.score >= -want[r.query_id][-1][0] - 1e-9 for r in got)
+    assert len(got) == sum(map(len, want.values())) and found >= 0.97 * len(got)
