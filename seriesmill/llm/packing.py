@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, SPACES, by_bytes, byte_view, row_starts, saved, table, word_spans
+from .shared import LOWER, SPACES, by_bytes, byte_view, hand_back, row_starts, saved, table, word_spans
 
 SIZE = 2048
 GROUP = 1 << 18  # pieces that one task numbers
@@ -179,9 +179,10 @@ def tokenise(docs: DataFrame, path: str, size: int = SIZE, id: str = "doc_id", a
     """
 
     def run(batches):
+        hand_back()
         vocabulary = _vocabulary(path, added)
         for batch in batches:
-            for part in by_bytes(batch, 1, 1 << 22):
+            for part in by_bytes(batch, 1, 1 << 20):
                 ids, offsets = token_ids(vocabulary, part.column(1))
                 pieces = -(-np.diff(offsets) // size)
                 row = np.repeat(np.arange(part.num_rows), pieces)
@@ -195,6 +196,7 @@ def tokenise(docs: DataFrame, path: str, size: int = SIZE, id: str = "doc_id", a
                     [part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), binary.cast(pa.binary())],
                     ["id", "piece", "start", "length", "ids"],
                 )
+            hand_back()
 
     narrow = docs.select(docs[id].alias("id"), docs["text"].cast("string").alias("text"))
     schema = T.StructType([narrow.schema["id"], *T._parse_datatype_string(PIECES).fields])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pathlib
 import tempfile
 import uuid
@@ -71,6 +72,14 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def hand_back():
+    """Gives memory that a worker no longer needs back to the system; workers serve stage after stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def row_starts(offsets: np.ndarray, size: int) -> np.ndarray:
     """A flag for each byte that is the first of its row."""
     flags = np.zeros(size + 1, dtype=bool)

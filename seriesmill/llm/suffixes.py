@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_bytes, byte_view, saved, table
+from .shared import by_bytes, byte_view, hand_back, saved, table
 
 LENGTH = 100
 GRAM = 16
@@ -387,6 +387,8 @@ def _mark(length: int, block: int):
                     if len(doc):
                         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(n.astype(np.int32))], ["doc", "pos", "n"])
                 begin = end
+            del rows, bucket
+            hand_back()
 
     return run
 
@@ -441,6 +443,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", length: int = LENGTH, gram: in
                 kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
                 columns = [*part.columns[: width - 2], pa.array(texts, pa.binary()), pa.array(spans, kind)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", *names, "text", "spans"])
+            hand_back()
 
     fields = shown.drop("packed", "removed").schema
     fields = fields.add("text", "binary").add("spans", T.ArrayType(T.StructType().add("begin", "long").add("end", "long")))
