@@ -499,3 +499,39 @@ def test_outputs_move_to_their_paths(spark, telemetry, tmp_path):
     states = {r.source: (r.status, r.rows is None, r.error) for r in again.manifest.collect()}
     assert states[sources[0]] == ("failed", True, "something that is no output lies at its path")
     assert states[sources[1]][0] == "written" and (pathlib.Path(taken) / "notes.txt").read_text() == "mine"
+
+
+def test_a_batch_works_out_paths_once_a_source(telemetry, tmp_path, monkeypatch):
+    """A filter on planned paths must not find its way below the aggregate over all rows."""
+    plans, plan_outputs = [], X.planned_outputs
+
+    def spy(sources, *rest):
+        planned = plan_outputs(sources, *rest)
+        plans.append(planned.filter("error IS NULL")._jdf.queryExecution().optimizedPlan().toString())
+        return planned
+
+    monkeypatch.setattr(X, "planned_outputs", spy)
+    rows = {r.source: r.rows for r in X.write_batch(both_sources(telemetry), job(output={"path": "{stem}.out"}), str(tmp_path / "b")).manifest.collect()}
+    assert rows == {"/d/one.parquet": 600, "/d/two.parquet": 15}
+    assert plans and not any("Aggregate" in plan for plan in plans)
+
+
+def test_a_batch_over_files_of_a_split_table(spark, tmp_path, monkeypatch):
+    from catalog import outputs
+
+    rows = [(i, START + dt.timedelta(seconds=i), i % 50, ("view", "click", "purchase")[i % 3], i / 8, "{}") for i in range(3000)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(outputs, "find_inputs", lambda *a: seen.append(files.find_inputs(*a)) or seen[0])
+    conf = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "20000"}
+    before = {name: spark.conf.get(name) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        got = {(r.name, r.rows, r.status) for r in outputs._batch_files(spark, str(tmp_path)).collect()}
+        assert seen[0].count() > 6  # no kind passes through one task
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == {("view", 1000, "written"), ("click", 1000, "written"), ("other", 1000, "written"), ("texts", 2400, "written"), ("no", None, "failed"), ("broken", None, "failed")}
