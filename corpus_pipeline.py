@@ -36,7 +36,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that shingle similarities of 0.8 or more join, one row of it."""
+    """The document of smallest id of each group of near-duplicates, one row of it: SimHash groups, and what min-hashes propose
+    beyond four bits, held against the exact similarity of shingles, 0.8 or more."""
     docs = _checked(docs)
     found = jaccard.similar_groups(docs, words=NEAR_WORDS, carry=(CHECK,))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col(CHECK).alias(CHECK))).alias("first")
@@ -88,7 +89,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("min-hash near-dedup", one_of_each_group),
+    ("simhash near-dedup", one_of_each_group),
     ("suffix-array dedup", without_repeats),
     ("mixing sources to target weights", mixed),
     ("best-fit packing", packed),

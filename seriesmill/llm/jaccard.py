@@ -1,8 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of their sets of shingles.
+"""Near-duplicates by SimHash groups and the exact Jaccard similarity of their sets of shingles.
 
-Documents with the same set of shingles are one node. Candidates come from min-hashes: 20 keys of five minima each, so
-that a pair of similarity s shares a key with probability 1 - (1 - s^5)^20: 0.9996 right at 0.8, more above. Nodes are
-only ever joined by a similarity counted exactly on whole sets of shingles, in two steps. First each node meets the first
+Documents with the same set of shingles are one node. Candidates are the groups of SimHash fingerprints that op9's Golay keys
+link (:func:`.simhash.print_groups`): a group is a key of its nodes. Four bits miss most edited texts, so min-hashes propose
+the rest: 20 more keys of five minima each, so that a pair of similarity s shares one with probability 1 - (1 - s^5)^20:
+0.9996 right at 0.8, more above. Nodes are only ever joined by a similarity counted exactly on whole sets of shingles, in two steps. First each node meets the first
 node of each of its keys, which is linear in the nodes and joins what is dense; a hub's members are spread over tasks. Then
 the keys whose nodes are still apart compare those pairs that nothing joins yet; keys with the same nodes do so once. Keys of many
 shingles are cut into blocks, and pairs of blocks are spread over tasks. Candidates that do not verify join nothing, so
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import by_bytes, hand_back, saved
-from .simhash import shingle_hashes
+from .simhash import print_groups, prints_of, shingle_hashes
 
 LEAST = 0.8
 BANDS, DEPTH = 20, 5
@@ -36,13 +37,17 @@ SHIFTS = _DRAW.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64)
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The different shingle hashes of each text, ascending, and the bounds of the texts."""
-    hashes, bounds = shingle_hashes(column, words)
-    row = np.repeat(np.arange(len(column)), np.diff(bounds))
+    return different(*shingle_hashes(column, words))
+
+
+def different(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each text, ascending, and the new bounds."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     order = np.lexsort((hashes, row))
     hashes = hashes[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    return hashes[new], np.searchsorted(row[new], np.arange(len(column) + 1))
+    return hashes[new], np.searchsorted(row[new], np.arange(len(bounds)))
 
 
 def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -170,20 +175,25 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", words: int = 5, least: f
         for batch in batches:
             hand_back()
             for part in by_bytes(batch, 1, 1 << 19):
-                hashes, bounds = shingle_sets(part.column(1), words)
+                found, ends = shingle_hashes(part.column(1), words)
+                prints = prints_of(found, ends).view(np.int64)
+                hashes, bounds = different(found, ends)
                 digests = [xxhash.xxh64_intdigest(hashes[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:])]
                 keys = band_keys(hashes, bounds).view(np.int64)
                 at = np.append(0, np.cumsum(np.where(np.diff(bounds) > 0, BANDS, 0))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())), *part.columns[3:]],
-                    ["id", "pick", "node", "size", "keys", *carried],
+                    [part.column(0), part.column(2), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())), pa.array(prints), *part.columns[3:]],
+                    ["id", "pick", "node", "size", "keys", "print", *carried],
                 )
 
     zero = F.lit(0).cast("long")
-    described = narrow.select("id", "pick", zero.alias("node"), zero.alias("size"), F.array(zero).alias("keys"), *carried)
+    described = narrow.select("id", "pick", zero.alias("node"), zero.alias("size"), F.array(zero).alias("keys"), zero.alias("print"), *carried)
     described = saved(narrow.mapInArrow(describe, described.schema))
     nodes = saved(described.groupBy("node").agg(F.min("id").alias("first"), F.min("pick").alias("pick"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    printed = saved(described.filter("size > 0").select("print", "node", "size").distinct())  # texts of one set may repeat shingles unlike
+    groups = print_groups(saved(printed.select("print").distinct()))
+    grouped = printed.join(groups, "print").select(F.xxhash64("root", F.lit("print")).alias("key"), "node", "size").distinct()
+    keyed = grouped.union(nodes.select(F.explode("keys").alias("key"), "node", "size"))
     keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1")
     members = saved(keyed.join(keys, "key"))
 

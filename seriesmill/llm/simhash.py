@@ -64,7 +64,11 @@ def shingle_hashes(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np
 
 def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
     """The fingerprint of each text as an unsigned 64-bit number."""
-    found, bounds = shingle_hashes(column, words)
+    return prints_of(*shingle_hashes(column, words))
+
+
+def prints_of(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The fingerprints of texts from what :func:`shingle_hashes` gives of them."""
     shingles = np.diff(bounds)
     out = np.zeros(len(shingles), dtype=np.uint64)
     full = np.flatnonzero(shingles)
@@ -254,6 +258,12 @@ def link_prints(prints: DataFrame, distance: int = DISTANCE, group: int = GROUP)
     return links.select("a", "b")
 
 
+def print_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Different fingerprints (print, …) with the smallest one that links reach, *root*."""
+    found = components(link_prints(prints, distance))
+    return prints.join(found, prints["print"] == found["node"], "left").select(*prints.columns, F.coalesce("component", "print").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", words: int = WORDS, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, print, component, root, *carry*): the fingerprint as a signed 64-bit number, and the smallest id and fingerprint that links reach."""
     carried = [f"carry_{c}" for c in carry]
@@ -266,8 +276,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", words: int = WORDS, dis
 
     printed = saved(narrow.mapInArrow(run, narrow.select("id", F.lit(0).cast("long").alias("print"), *carried).schema))
     prints = saved(printed.groupBy("print").agg(F.min("id").alias("first")))
-    found = components(link_prints(prints, distance))
-    rooted = prints.join(found, prints["print"] == found["node"], "left").select("print", "first", F.coalesce("component", "print").alias("root"))
+    rooted = print_groups(prints, distance)
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(least, "root").select("print", "component", "root")
     return printed.join(named, "print").select("id", "print", "component", "root", *(F.col(f"carry_{c}").alias(c) for c in carry))

@@ -118,3 +118,22 @@ def test_a_chain_through_one_key_is_joined_although_its_ends_are_not_alike(spark
     sets = [np.arange(10 * k, 10 * k + 100, dtype=np.uint64) for k in range(4)]  # 90 of 110 with the next, 80 of 120 beyond
     assert {frozenset(x) for x in jaccard.similar_links(np.arange(4), sets, 0.8)} == {frozenset((k, k + 1)) for k in range(3)}
     assert jaccard.similar_links(np.arange(4), sets, 0.8, np.array([7, 7, 9, 9])) in ([(1, 2)], [(2, 1)])
+
+
+def test_fingerprint_groups_alone_join_what_is_similar_within_four_bits(spark, monkeypatch):
+    """The step of the stage's method: without any min-hash in common, texts meet through their fingerprints, and only similar ones are joined."""
+    import numpy as np
+
+    def no_common_keys(hashes, bounds):
+        starts = bounds[:-1][np.diff(bounds) > 0]
+        return np.zeros((len(starts), 20), dtype=np.uint64) + np.bitwise_xor.reduceat(hashes, starts)[:, None]
+
+    monkeypatch.setattr(jaccard, "band_keys", no_common_keys)
+    rows = [(i, t) for i, t in edited_texts()[:300]] + [(1000, "a b c d e " * 9 + "x y z"), (1001, "a b c d e " * 9 + "u v w"), (1002, "one two"), (1003, None)]
+    prints = [brute_print(t or "", 5) for _, t in rows]
+    near = {k: (prints[k] ^ prints[k + 1]).bit_count() <= 4 and similarity(shingles(rows[k][1]), shingles(rows[k + 1][1])) >= 0.8 for k in range(0, 302, 2)}
+    assert 20 <= sum(near.values()) <= 130 and not near[300]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(4)
+    got = {r.id: r.component for r in jaccard.similar_groups(docs).collect()}
+    assert got == {**{i: i for i, _ in rows}, **{rows[k + 1][0]: rows[k][0] for k, joined in near.items() if joined}}
+    assert pipeline.STAGES[1] == ("simhash near-dedup", pipeline.one_of_each_group)
