@@ -6,9 +6,12 @@ start) is removed; strings are those of the input and never cross documents.
 Equal strings contain the same GRAM-byte gram of least hash (leftmost among equals) at the same place. So the starts
 in a document fall into runs that share this minimizer, and only runs with the same minimizer can hold equal strings. A batch
 keeps the earliest of identical runs and marks the others; copies of whole documents, found by their SHA-256, are marked,
-too. The minimizers of the rest are shuffled without text, and
-those seen once are dropped. For the others the text of the runs is dealt by minimizer, the suffix bucket. Runs of a minimizer
-with more than HOT different surroundings are dealt start by start, by their whole string, so that no bucket is large.
+too. The minimizers of the rest are shuffled without text. A run has two parts, the starts far before the minimizer and those
+near it; all strings of a part share more than half of their bytes, and 24 bits of a hash of these travel along. Parts that meet no other with
+their minimizer and hash are dropped, so what repeats by chance (short phrases, a frequent word) is never cut out. Parts of a minimizer with more than
+HOT different surroundings are dealt by minimizer and hash first, again without text. For the others
+the text is dealt by minimizer, the suffix bucket; only parts whose shared bytes have more than HOT surroundings are
+dealt start by start, by their whole string, so that no bucket is large.
 
 A task sorts its buckets in blocks of bounded size: suffixes by their first COVER bytes, and what still ties by the
 ranks of a precomputed difference-cover sample. The positions whose residue modulo COVER is in the cover are ranked by
@@ -46,7 +49,8 @@ SEEN = 1 << 16  # strings of hot minimizers that a task remembers
 COVER = 32
 SAMPLE = (0, 1, 2, 3, 7, 11, 19)  # fixed value: a difference cover modulo 32
 NO_ID = 1 << 62  # rows without an id are numbered from here by a hash
-NORMAL, SINGLE, MARKED = 0, 1, 2
+NORMAL, SINGLE, MARKED, SPLIT = 0, 1, 2, 3
+PART = 24  # bits of the hash of what the strings of a part share
 
 
 @functools.cache
@@ -81,11 +85,16 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts that share a minimizer: first start, number of starts, the minimizer's hash, a hash of the run's text."""
+    """Runs of starts that share a minimizer: first start, number of starts, the minimizer's hash, a hash of the run's text.
+
+    Then the two parts: how many starts come first, far before the minimizer, and a hash of PART bits of the bytes that all strings of
+    the first and of the second part share (0 for a part without starts).
+    """
     size = len(data)
     empty = np.zeros(0, dtype=np.int64)
+    none = (empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty)
     if size < length:
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return none
     text = padded(data, 16)
     words = np.lib.stride_tricks.as_strided(text.view("<u8"), (len(text) - 8,), (1,))
     hashed = (words[:size] * np.uint64(0x9E3779B97F4A7C15)) ^ ((words[gram - 8 : size + gram - 8] + np.uint64(gram)) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -106,7 +115,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     np.subtract.at(flags, offsets[1:][long] - length + 1, 1)
     starts = np.flatnonzero(np.cumsum(flags[:size]) > 0)
     if not len(starts):
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return none
     place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -116,40 +125,97 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     sums = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
     content = (sums[first + count + length - 1] - sums[first]) * down[first] ^ (count.astype(np.uint64) << np.uint64(56))
-    return first, count, hashed[place[at]], content
+    place, middle = place[at], (window + 1) // 2
+    far = np.clip(place - first - middle + 1, 0, count)
+
+    def part(begins, ends):
+        begins, ends = np.maximum(begins, 0), np.minimum(ends, size)
+        mixed = (sums[ends] - sums[begins]) * down[begins]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.maximum(mixed >> np.uint64(64 - PART), np.uint64(1)).astype(np.int64)
+
+    first_part = np.where(far > 0, part(place - middle, place + gram), 0)
+    second_part = np.where(far < count, part(place, place + length - middle + 1), 0)
+    return first, count, hashed[place], content, far, first_part, second_part
 
 
 def _find(length: int, gram: int):
-    """(key, doc, pos, n, state) of the runs of a batch; *pos* holds the text's hash and the start."""
+    """(key, doc, pos, n, parts) of the runs of a batch; *pos* holds the text's hash and the start.
+
+    The lowest PART bits of *key* are the hash of the first part, the others are the minimizer's. *parts* is the hash of the second part
+    and, in the lower 32 bits, the number of starts in the first; it is -1 for what equals an earlier run.
+    """
 
     def run(batches):
         for batch in batches:
             found = []
             for part in by_bytes(batch, 2, 1 << 19):
                 data, offsets = byte_view(part.column(2))
-                first, count, key, content = runs(data, offsets, length, gram)
+                first, count, key, content, far, first_part, second_part = runs(data, offsets, length, gram)
+                key = key << np.uint64(PART) | first_part.view(np.uint64)
                 row = np.searchsorted(offsets, first, side="right") - 1
                 doc, print_ = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
-                found.append((key.view(np.int64), content, doc, (print_ << 32) | (first - offsets[row]), count))
+                found.append((key.view(np.int64), content, doc, (print_ << 32) | (first - offsets[row]), count, (second_part << 32) | far))
             if not found:
                 continue
-            key, content, doc, pos, count = (np.concatenate(x) for x in zip(*found))
+            key, content, doc, pos, count, parts = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((pos, doc, content, key))
-            key, content, doc, pos, count = (x[order] for x in (key, content, doc, pos, count))
+            key, content, doc, pos, count, parts = (x[order] for x in (key, content, doc, pos, count, parts))
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else order
             later = (doc != doc[lead]) | (pos != pos[lead])  # identical to an earlier run
             kept = new | later  # repeated rows drop out
-            state = np.where(later, MARKED, NORMAL).astype(np.int32)
-            key = np.where(later, doc ^ (pos << 20), key)
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, doc, pos, count.astype(np.int32), state)], ["key", "doc", "pos", "n", "state"])
+            key, parts = np.where(later, doc ^ (pos << 20), key), np.where(later, -1, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, doc, pos, count.astype(np.int32), parts)], ["key", "doc", "pos", "n", "parts"])
 
     return run
 
 
-def _shared(hot: int):
-    """Of rows sorted by key: those that are marked or share their key; keys of more than *hot* rows get the state SINGLE."""
+def _rows(key, doc, pos, n, state):
+    columns = [pa.array(key), pa.array(doc), pa.array(pos), pa.array(n.astype(np.int32)), pa.array(np.broadcast_to(np.int32(state), len(key)))]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc", "pos", "n", "state"])
+
+
+def _met(rows, key, large):
+    """(key, doc, pos, n, state) of the parts of runs, sorted by *key*, that meet another of their minimizer and hash; runs of *large* minimizers come part by part.
+
+    Where both parts of a run are alike to others, the run stays in one piece.
+    """
+    whole, doc, pos, n, parts = (x.to_numpy() for x in rows.columns)
+    marked, far = parts < 0, parts & 0xFFFFFFFF
+    found = np.flatnonzero(marked)
+    yield _rows(key[found], doc[found], pos[found], n[found], MARKED)
+    first, second = whole & ((1 << PART) - 1), parts >> 32
+    for at, code, begin, size in ((large & ~marked & (first > 0), whole, 0, far), (large & ~marked & (second > 0), ~(key << PART | second), far, n - far)):
+        at = np.flatnonzero(at)
+        begin = np.broadcast_to(begin, len(n))
+        yield _rows(code[at], doc[at], pos[at] + begin[at], size[at], SPLIT)
+    at = np.flatnonzero(~large & ~marked)
+    key, first, second, far, n, doc, pos = (x[at] for x in (key, first, second, far, n, doc, pos))
+    met = []
+    for part in (first, second):
+        order = np.lexsort((part, key))
+        same = (key[order[1:]] == key[order[:-1]]) & (part[order[1:]] == part[order[:-1]])
+        alike = np.zeros(len(order), dtype=bool)
+        alike[order[1:]] = same
+        alike[order[:-1]] |= same
+        met.append(alike & (part > 0))
+    at = np.flatnonzero(met[0] | met[1])
+    skip, end = np.where(met[0], 0, far)[at], np.where(met[1], n, far)[at]
+    yield _rows(key[at], doc[at], pos[at] + skip, end - skip, NORMAL)
+
+
+def _again(rows, key, large):
+    """Of parts sorted by *key*, those that share it; the *large* ones are to be dealt start by start."""
+    sizes = np.unique(key, return_counts=True)[1]
+    at = np.flatnonzero((np.repeat(sizes, sizes) > 1) | large)
+    _, doc, pos, n, _ = (x.to_numpy()[at] for x in rows.columns)
+    yield _rows(key[at], doc, pos, n, np.where(large[at], SINGLE, NORMAL))
+
+
+def _shared(hot: int, shift: int, pick):
+    """*pick* of rows sorted by key, whole keys at a time; keys (without the lowest *shift* bits) of more than *hot* rows are large and come as they are read."""
 
     def run(batches):
         held, hot_key = None, None  # rows of the last key; that key, if its rows went out as hot already
@@ -159,7 +225,7 @@ def _shared(hot: int):
             if not parts:
                 continue
             rows = pa.concat_tables(parts)
-            key, state = rows["key"].to_numpy(), rows["state"].to_numpy()
+            key = rows["key"].to_numpy() >> shift
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(new, append=len(key))
             large = np.repeat(sizes > hot, sizes)
@@ -167,11 +233,8 @@ def _shared(hot: int):
                 large |= key == hot_key
             done = len(key) if batch is None or large[-1] else int(new[-1])
             hot_key = key[-1] if large[-1] else None
-            keep = np.flatnonzero((np.repeat(sizes, sizes) > 1)[:done] | large[:done] | (state[:done] == MARKED))
-            if len(keep):
-                flag = np.where((state[keep] != MARKED) & large[keep], SINGLE, state[keep])
-                part = rows.take(pa.array(keep)).set_column(4, "state", pa.array(flag.astype(np.int32)))
-                yield from part.combine_chunks().to_batches()
+            if done:
+                yield from (x for x in pick(rows.slice(0, done), key[:done], large[:done]) if x.num_rows)
             held = rows.slice(done)
 
     return run
@@ -413,19 +476,21 @@ def repeated(docs: DataFrame, id: str = "doc_id", length: int = LENGTH, gram: in
         F.coalesce(docs[id].cast("long"), NO_ID + F.xxhash64(F.lit("no id"), docs["text"]).bitwiseAND(F.lit(NO_ID - 1))).alias("doc"), (F.xxhash64(docs["text"]).bitwiseAND(F.lit(0x7FFFFFFF))).alias("print"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), docs[id].isNull().alias("no_id"), *(docs[c].alias(f"keep_{c}") for c in keep),
     )
-    found = narrow.select("doc", "print", "text").mapInArrow(_find(length, gram), "key long, doc long, pos long, n int, state int")
-    found = saved(found.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(hot), found.schema))
+    kind = "key long, doc long, pos long, n int, state int"
+    found = narrow.select("doc", "print", "text").mapInArrow(_find(length, gram), "key long, doc long, pos long, n int, parts long")
+    found = _kept(found.repartition(F.shiftright("key", PART)).sortWithinPartitions("key").mapInArrow(_shared(hot, PART, _met), kind))
     print_ = F.shiftright("pos", 32).alias("print")
-    copies = saved(_copies(narrow))
+    copies = _kept(_copies(narrow))
+    split = found.filter(F.col("state") == SPLIT).repartition("key").sortWithinPartitions("key").mapInArrow(_shared(hot, 0, _again), kind)
     item = F.struct("key", "pos", "n", "state")
-    listed = found.filter(F.col("state") != MARKED).groupBy("doc", print_).agg(F.collect_list(item).alias("listed"))  # runs of one document
+    listed = found.filter(F.col("state") == NORMAL).union(split).groupBy("doc", print_).agg(F.collect_list(item).alias("listed"))  # runs of one document
     listed = listed.join(copies, ["doc", "print"], "left_anti")
     packed = narrow.mapInArrow(_pack, _packed_schema(narrow))
     cut = packed.select("doc", "print", "packed").dropDuplicates(["doc", "print"]).join(listed, ["doc", "print"]).select("doc", "packed", "listed")
     cut = cut.mapInArrow(_cut(length), "bucket long, doc long, pos long, n int, text binary")
     marked = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mark(length, block), "doc long, pos long, n int")
     whole = copies.filter(F.col("size") >= length).select("doc", F.shiftleft("print", 32).alias("pos"), (F.col("size") - length + 1).cast("int").alias("n"))
-    marked = saved(marked.union(found.filter(F.col("state") == MARKED).select("doc", "pos", "n")).union(whole))
+    marked = _kept(marked.union(found.filter(F.col("state") == MARKED).select("doc", "pos", "n")).union(whole))
     removed = marked.groupBy("doc", print_).agg(F.collect_list(F.struct(F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"), "n")).alias("removed"))
     joined = packed.join(removed, ["doc", "print"], "left")
     names = [f"keep_{c}" for c in keep]
@@ -451,6 +516,17 @@ def repeated(docs: DataFrame, id: str = "doc_id", length: int = LENGTH, gram: in
     return out.withColumnsRenamed({f"keep_{c}": c for c in keep})
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """*df* as *saved* gives it; the shuffle files of its job go at once, not when the driver happens to collect its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return saved(df)
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
+
+
 def _copies(narrow: DataFrame) -> DataFrame:
     """(doc, print, size) of the documents whose whole text an earlier one has; all their strings repeat, so none needs sorting."""
     texts = narrow.select("doc", "print", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest"))

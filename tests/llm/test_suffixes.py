@@ -1,4 +1,7 @@
 import random
+import re
+import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -132,3 +135,84 @@ def test_equal_strings_of_hot_minimizers_are_cut_to_the_earliest_of_a_task(monke
                 assert any(len(o["text"]) == 40 and (o["doc"], o["pos"]) < (row["doc"], row["pos"]) for o in out)
         if seen > 7:
             assert sum(len(r["text"]) > 0 for r in out) == 40 and [r["n"] for r in out if not r["text"]] == [1, 21, 1, 21, 21]
+
+
+def shuffle_files(spark):
+    names = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", names))
+
+
+def test_text_of_a_hot_short_phrase_is_not_dealt_out(spark, tmp_path, monkeypatch):
+    """A phrase of 31 bytes in all documents repeats no 100 bytes, so none of the text around it is cut out; a passage of some documents is."""
+    draw = random.Random(4)
+    own = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    passage = own(170)
+    rows = [(i, f"{own(300)}\nReleased under the MIT License.\n{own(200)}{passage if i % 100 == 7 else ''}{own(90)}", "", 1) for i in range(400)]
+    real = suffixes._mark
+
+    def counted(length, block):
+        inner = real(length, block)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    size = sum(len(x) for x in batch.column(4).to_pylist())
+                    (tmp_path / uuid.uuid4().hex).write_text(str(size))
+                    yield batch
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(suffixes, "_mark", counted)
+    want = brute(rows, 100)
+    for r in suffixes.repeated(spark.createDataFrame(rows, SCHEMA).repartition(4), hot=20).collect():
+        flags = np.zeros(len(r.text), dtype=bool)
+        for a, b in r.spans:
+            flags[a:b] = True
+        assert (flags == want[r.id, bytes(r.text).decode()]).all(), r.id
+    assert 4 * 170 <= sum(int(x.read_text()) for x in tmp_path.iterdir()) < 20_000
+
+
+@pytest.mark.parametrize("hot", [2, 5, 2000])
+def test_parts_of_runs_keep_all_that_repeats(hot):
+    """Repeats at every distance from the minimizer, runs of large keys in several batches: what is left gives all starts that repeat."""
+    draw = random.Random(hot)
+    base = "".join(draw.choice("abcdefgh ") for _ in range(1500))
+    texts = [(base[draw.randint(0, 1300) :][: draw.randint(60, 400)] + str(i)).encode() for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([0] * 40, pa.int64()), pa.array(texts)], ["doc", "print", "text"])
+    length, gram = 50, 16
+    rows = pa.Table.from_batches(list(suffixes._find(length, gram)([batch])))
+
+    def passed(rows, shift, pick):
+        rows = rows.sort_by("key")
+        out = list(suffixes._shared(hot, shift, pick)(rows.to_batches(max_chunksize=3)))
+        return pa.Table.from_batches(out, schema=out[0].schema) if out else rows.slice(0, 0)
+
+    met = passed(rows, suffixes.PART, suffixes._met)
+    state = met["state"].to_numpy()
+    again = passed(met.filter(pa.array(state == suffixes.SPLIT)), 0, suffixes._again)
+    starts = lambda rows: sorted((r["doc"], (r["pos"] & 0xFFFFFFFF) + k) for r in rows.to_pylist() for k in range(r["n"]))
+
+    def later(listed):
+        seen = {}
+        return {(doc, at) for doc, at in listed if seen.setdefault(texts[doc][at : at + length], (doc, at)) != (doc, at)}
+
+    marked = set(starts(met.filter(pa.array(state == suffixes.MARKED))))
+    left = sorted(starts(met.filter(pa.array(state == suffixes.NORMAL))) + starts(again))
+    want = later((doc, at) for doc, text in enumerate(texts) for at in range(len(text) - length + 1))
+    assert want and marked | later(left) == want and set(again["state"].to_pylist()) <= {suffixes.NORMAL, suffixes.SINGLE}
+    assert (hot < 2000) == (suffixes.SPLIT in state)
+
+
+def test_shuffle_files_go_with_each_written_table(spark):
+    """When the plan of the result is there, the shuffles of the tables written for it have left the disk, without a collection of garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(name, None)
+    found = suffixes.repeated(spark.createDataFrame(documents(5), SCHEMA).repartition(4), length=40)
+    for _ in range(40):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.25)
+    assert shuffle_files(spark) <= before and spark.conf.get(name, None) == setting
+    assert found.count() == len(documents(5))
