@@ -143,11 +143,11 @@ def shuffle_files(spark):
 
 
 def test_text_of_a_hot_short_phrase_is_not_dealt_out(spark, tmp_path, monkeypatch):
-    """A phrase of 31 bytes in all documents repeats no 100 bytes, so none of the text around it is cut out; a passage of some documents is."""
+    """A phrase of 52 bytes in all documents repeats no 100 bytes, so none of the text around it is cut out; a passage of some documents is."""
     draw = random.Random(4)
     own = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
     passage = own(170)
-    rows = [(i, f"{own(300)}\nReleased under the MIT License.\n{own(200)}{passage if i % 100 == 7 else ''}{own(90)}", "", 1) for i in range(400)]
+    rows = [(i, f"{own(300)}\nReleased under the MIT License, see the file LICENSE\n{own(200)}{passage if i % 100 == 7 else ''}{own(90)}", "", 1) for i in range(400)]
     real = suffixes._mark
 
     def counted(length, block):
